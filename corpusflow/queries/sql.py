@@ -43,3 +43,31 @@ def char_tokens(src: str, order: str = "doc_id") -> str:
         f"FROM (SELECT split, domain, {order}, string_split({char_clean('text')}, '') AS c FROM {src} "
         f"WHERE length({char_clean('text')}) > 0)"
     )
+
+
+def stream_positions(tokens: str, docs: str, part: list[str], order: str = "doc_id") -> str:
+    """Per-token stream positions: tokens (part.., doc_id, i, id) + docs (part.., doc_id, n)."""
+    p = ", ".join(part)
+    on = " AND ".join(f"t.{c} = o.{c}" for c in part)
+    return (
+        f"SELECT {', '.join('t.' + c for c in part)}, t.id, o.off + t.i AS pos FROM ({tokens}) t JOIN "
+        f"(SELECT {p}, {order} AS doc_id, coalesce(sum(n) OVER (PARTITION BY {p} ORDER BY {order} "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ({docs})) o "
+        f"ON {on} AND t.doc_id = o.doc_id"
+    )
+
+
+def block_summary(positions: str, part: list[str], block_len: int) -> str:
+    """Scalar block view matching ``packing.block_summary``."""
+    p = ", ".join(part)
+    return (
+        f"SELECT {p}, CAST(pos // {block_len} AS BIGINT) AS block_id, count(*) AS n_tokens, "
+        f"CAST(arg_min(id, pos) AS BIGINT) AS first_id, CAST(arg_max(id, pos) AS BIGINT) AS last_id, "
+        f"CAST(sum((pos % {block_len} + 1) * (id + 1)) AS BIGINT) AS checksum "
+        f"FROM ({positions}) GROUP BY {p}, pos // {block_len}"
+    )
+
+
+def bytes_md5(text: str, eot: bool) -> str:
+    tail = " || '0100'" if eot else ""
+    return f"md5(regexp_replace(hex(encode({text})), '(..)', '00\\1', 'g'){tail})"
