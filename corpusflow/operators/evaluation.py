@@ -49,7 +49,7 @@ def masked_token_loss(
     return scores.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum(keep.cast("long")).alias("n_unmasked"),
-        (F.sum(nll) / F.sum(keep.cast("double"))).alias("loss"),
+        F.try_divide(F.sum(nll), F.sum(keep.cast("double"))).alias("loss"),
     )
 
 
@@ -111,7 +111,7 @@ def feature_covariance(reps: DataFrame, vec_col: str, group_cols: Sequence[str]
         F.sum("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum("sx").alias("sx"),
         F.sum("sy").alias("sy"),
     )
-    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+    cov = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1)
     return sums.select(*group_cols, "i", "j", "n", cov.alias("cov"))
 
 
