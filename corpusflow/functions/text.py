@@ -20,7 +20,18 @@ def char_clean(text: Column) -> Column:
 
 
 def char_ids(text: Column) -> Column:
-    """ARRAY<INT> of character ids (other characters are dropped)."""
+    """ARRAY<INT> of character ids (other characters are dropped).
+
+    The alphabet filter is a native regex; the byte -> id lookup runs as an
+    Arrow batch kernel over the values buffer (see ``functions.arrow``).
+    """
+    from corpusflow.functions.arrow import char_ids_batch
+
+    return char_ids_batch(char_clean(text))
+
+
+def char_ids_native(text: Column) -> Column:
+    """The same ids with higher-order functions only (no Python; slower per element)."""
     clean = char_clean(text)
     chars = F.split(clean, "")
     ids = F.transform(
@@ -35,7 +46,14 @@ def char_count(text: Column) -> Column:
 
 
 def char_decode(ids: Column) -> Column:
-    """Inverse of :func:`char_ids`."""
+    """Inverse of :func:`char_ids` (Arrow batch kernel)."""
+    from corpusflow.functions.arrow import char_decode_batch
+
+    return char_decode_batch(ids)
+
+
+def char_decode_native(ids: Column) -> Column:
+    """Inverse of :func:`char_ids` with higher-order functions only."""
     return F.array_join(
         F.transform(ids, lambda i: F.when(i == 0, F.lit("\n")).otherwise(F.char(i + F.lit(31)))), ""
     )

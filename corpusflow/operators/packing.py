@@ -124,13 +124,8 @@ def context_tail(df: DataFrame, ids_col: str, length: int, out_col: str | None =
 
 def block_summary(blocks: DataFrame, part_cols: Sequence[str], ids_col: str = "ids") -> DataFrame:
     """Scalar view of a block table for checks: size, first, last, positional checksum."""
-    ids = F.col(ids_col)
-    weighted = F.transform(ids, lambda x, i: (i.cast("long") + 1) * (x.cast("long") + 1))
-    return blocks.select(
-        *part_cols,
-        "block_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.get(ids, 0).cast("long").alias("first_id"),
-        F.get(ids, F.size(ids) - 1).cast("long").alias("last_id"),
-        F.aggregate(weighted, F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"),
+    from corpusflow.functions.arrow import ids_stats
+
+    return blocks.select(*part_cols, "block_id", ids_stats(F.col(ids_col)).alias("_s")).select(
+        *part_cols, "block_id", "_s.n_tokens", "_s.first_id", "_s.last_id", "_s.checksum"
     )

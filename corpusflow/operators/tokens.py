@@ -1,18 +1,20 @@
-"""Tokenisation: native character ids, byte-pair encoding via Arrow batches.
+"""Tokenisation: character ids and byte-pair encoding over Arrow batches.
 
 Tokenised tables carry ``ids ARRAY<INT>`` and ``n_tokens BIGINT``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
+from corpusflow.functions.arrow import lists_from_numpy
 from corpusflow.functions.text import char_count, char_decode, char_ids
 
 # The GPT-2 pre-tokenisation pattern and its end-of-text token.
@@ -97,18 +99,20 @@ def _value(payload):
 
 def _encode_column(df: DataFrame, text: Column, vocab: Vocab, append_eot: bool, allow_special: bool):
     payload = _payload(df, vocab)
-    eot = [vocab.eot_id] if append_eot else []
+    eot = vocab.eot_id if append_eot else None
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<int>")
+    def encode(s: pa.Array) -> pa.Array:
         enc = _encoding(_value(payload))
-        for s in batches:
-            texts = s.fillna("").tolist()
-            if allow_special:
-                out = [enc.encode(t, allowed_special="all") for t in texts]
-            else:
-                out = enc.encode_ordinary_batch(texts, num_threads=1)
-            yield pd.Series([np.asarray(x + eot, dtype=np.int32) for x in out])
+        texts = pc.fill_null(s, "").to_pylist()
+        if allow_special:
+            out = [enc.encode(t, allowed_special="all") for t in texts]
+        else:
+            out = enc.encode_ordinary_batch(texts, num_threads=1)
+        if eot is not None:
+            for x in out:
+                x.append(eot)
+        return lists_from_numpy([np.asarray(x, dtype=np.int32) for x in out])
 
     return encode(text)
 
@@ -162,18 +166,18 @@ def tokenize_char(df: DataFrame, text_col: str = "text") -> DataFrame:
 def detokenize(
     df: DataFrame, ids_col: str = "ids", vocab: Vocab | str | None = None, out_col: str = "text"
 ) -> DataFrame:
-    """Ids back to text: native for the character vocabulary, Arrow UDF for BPE."""
+    """Ids back to text (``vocab="char"`` for the character vocabulary, else BPE)."""
     if vocab == "char":
         return df.withColumn(out_col, char_decode(F.col(ids_col)))
     vocab = vocab or Vocab.byte_level()
     payload = _payload(df, vocab)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
         enc = _encoding(_value(payload))
-        for s in batches:
-            yield pd.Series(
-                [None if x is None else enc.decode([int(i) for i in x], errors="replace") for x in s]
-            )
+        return pa.array(
+            [None if x is None else enc.decode(x, errors="replace") for x in ids.to_pylist()],
+            pa.string(),
+        )
 
     return df.withColumn(out_col, decode(F.col(ids_col)))

@@ -71,10 +71,9 @@ SELECT d.doc_id, CAST(length({sql.char_clean('d.text')}) AS BIGINT) AS n_tokens,
 FROM corpus d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id, d.text""",
 )
 def q_tokenize_char(spark, base):
+    from corpusflow.functions.arrow import ids_stats
+
     tok = char_corpus(spark, base)
-    weighted = F.transform("ids", lambda x, i: (i.cast("long") + 1) * (x.cast("long") + 1))
-    return tok.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.aggregate(weighted, F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"),
+    return tok.select("doc_id", ids_stats(F.col("ids")).alias("s")).select(
+        "doc_id", "s.n_tokens", "s.checksum"
     )

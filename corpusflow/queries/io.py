@@ -146,7 +146,7 @@ def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
     blocks = pack_blocks(char_corpus(spark, base).drop("text"), BLOCK, PART, ["doc_id"])
     write_token_bin(blocks, root, BLOCK, blocks_per_file=8).collect()  # manifest: one row per file
-    pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=300)
+    pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=BLOCK)
     return block_summary(rebase(pieces, BLOCK, PART), PART)
 
 

@@ -35,8 +35,10 @@ TOKENS = sql.char_tokens("corpus")
 
 
 def ids_checksum(col="ids"):
-    weighted = F.transform(col, lambda x, i: (i.cast("long") + 1) * (x.cast("long") + 1))
-    return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, b: a + b)
+    """Positional checksum sum((i+1)*(id+1)) of an id array (Arrow batch kernel)."""
+    from corpusflow.functions.arrow import ids_stats
+
+    return ids_stats(F.col(col))["checksum"]
 
 
 @register(
@@ -112,7 +114,9 @@ def q_context_tail(spark, base):
 
 
 def _ids_md5(col="ids"):
-    return F.md5(F.array_join(F.transform(col, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    from corpusflow.functions.arrow import ids_md5
+
+    return ids_md5(F.col(col))
 
 
 @register(

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,22 +156,35 @@ def read_token_bin(spark: SparkSession, glob: str, piece_len: int = 1 << 16) ->
     File layout (from :func:`write_token_bin`): ``<root>/<split>/<domain>/<first_pos>.bin``.
     Each file becomes pieces of at most ``piece_len`` ids with their stream
     ``offset``; :func:`corpusflow.operators.mixing.rebase` turns them into
-    blocks of any length.
+    blocks of any length. Decoding is one ``np.frombuffer`` per file and the
+    pieces are Arrow list slices of it (no per-token Python).
     """
     raw = spark.read.format("binaryFile").load(glob).select("path", "content")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, blob in zip(pdf["path"], pdf["content"]):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            paths = rb.column("path").to_pylist()
+            blobs = rb.column("content")
+            for i, path in enumerate(paths):
                 parts = path.rstrip("/").split("/")
                 split, domain, name = parts[-3], parts[-2], parts[-1]
                 first = int(name.split(".")[0])
-                ids = np.frombuffer(bytes(blob), dtype="<u2").astype(np.int32)
-                for k in range(0, len(ids), piece_len):
-                    piece = ids[k : k + piece_len]
-                    out.append((split, domain, first + k, len(piece), piece))
-            if out:
-                yield pd.DataFrame(out, columns=["split", "domain", "offset", "n_tokens", "ids"])
-
-    return raw.mapInPandas(decode, TOKEN_PIECE_SCHEMA)
+                ids = np.frombuffer(blobs[i].as_buffer(), dtype="<u2").astype(np.int32)
+                starts = np.arange(0, len(ids), piece_len, dtype=np.int64)
+                if len(starts) == 0:
+                    continue
+                ends = np.minimum(starts + piece_len, len(ids))
+                offsets = np.append(starts, len(ids)).astype(np.int32)
+                k = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([split] * k, pa.string()),
+                        pa.array([domain] * k, pa.string()),
+                        pa.array(first + starts, pa.int64()),
+                        pa.array(ends - starts, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())),
+                    ],
+                    names=["split", "domain", "offset", "n_tokens", "ids"],
+                )
+
+    return raw.mapInArrow(decode, TOKEN_PIECE_SCHEMA)

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,22 +42,25 @@ def write_token_bin(
     root = path.rstrip("/")
     keyed = blocks.withColumn("file_id", F.floor(F.col("block_id") / F.lit(blocks_per_file)).cast("long"))
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_id")
-        ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["ids"]]) if len(pdf) else np.zeros(0, np.int64)
+    def write(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by("block_id")
+        ids = pc.list_flatten(tbl.column("ids")).to_numpy().astype(np.int64)
         if ids.size and (ids.max() > UINT16_MAX or ids.min() < 0):
             raise ValueError("token id outside uint16 range")
-        split, domain = pdf["split"].iloc[0], pdf["domain"].iloc[0]
-        file_id = int(pdf["file_id"].iloc[0])
-        first = int(pdf["block_id"].iloc[0]) * block_len
+        split, domain = tbl.column("split")[0].as_py(), tbl.column("domain")[0].as_py()
+        file_id = tbl.column("file_id")[0].as_py()
+        first = tbl.column("block_id")[0].as_py() * block_len
         target = posixpath.join(root, str(split), str(domain), f"{first:015d}.bin")
         fs.write_atomic(target, ids.astype("<u2").tobytes())
-        return pd.DataFrame(
-            [(split, domain, file_id, first, int(ids.size), target)],
-            columns=["split", "domain", "file_id", "first_pos", "n_tokens", "file"],
+        return pa.table(
+            {
+                "split": [split], "domain": [domain], "file_id": pa.array([file_id], pa.int64()),
+                "first_pos": pa.array([first], pa.int64()), "n_tokens": pa.array([int(ids.size)], pa.int64()),
+                "file": [target],
+            }
         )
 
-    return keyed.groupBy("split", "domain", "file_id").applyInPandas(write, MANIFEST_SCHEMA)
+    return keyed.groupBy("split", "domain", "file_id").applyInArrow(write, MANIFEST_SCHEMA)
 
 
 def materialise_once(build: Callable[[], DataFrame], path: str, spark: SparkSession) -> DataFrame:

@@ -59,3 +59,11 @@ def test_context_tail(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([1, 2],)], "ids array<int>")
     out = [r.ids for r in context_tail(df, "ids", 3).collect()]
     assert out == [[3, 4, 5], [1, 2]]
+
+
+def test_ids_stats_kernel(spark):
+    from corpusflow.functions.arrow import ids_stats
+
+    df = spark.createDataFrame([([5, 0, 2],), ([],), ([7],)], "ids array<int>")
+    got = [tuple(r) for r in df.select(ids_stats(F.col("ids")).alias("s")).select("s.*").collect()]
+    assert got == [(3, 5, 2, 1 * 6 + 2 * 1 + 3 * 3), (0, None, None, 0), (1, 7, 7, 8)]
