@@ -142,7 +142,7 @@ def shuffle_blocks(
     """
     keyed = blocks.withColumn("_key", seeded_key(seed, *part_cols, "block_id"))
     ranked = ordered_index(
-        keyed, ["_key", "block_id"], part_cols, bucket=hash_bucket("_key", 3),
+        keyed, ["_key", "block_id"], part_cols, bucket=hash_bucket("_key"),
         weight=F.size("ids"), start_col="offset",
     )
     pieces = ranked.select(

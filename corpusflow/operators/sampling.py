@@ -160,7 +160,7 @@ def epoch_batches(
     bs = min(batch_size, math.ceil(n_total / 2))
     ex = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     ex = ex.withColumn("_key", seeded_key(seed, "epoch", key_col))
-    ranked = ordered_index(ex, ["_key", key_col], ["epoch"], bucket=hash_bucket("_key", 3))
+    ranked = ordered_index(ex, ["_key", key_col], ["epoch"], bucket=hash_bucket("_key"))
     return ranked.withColumn("batch", F.floor(F.col("_idx") / F.lit(bs)).cast("long")).withColumn(
         "pos", F.pmod(F.col("_idx"), F.lit(bs)).cast("long")
     ).drop("_key", "_idx", "_n")

@@ -23,7 +23,7 @@ VAL_SHARES = (0.0005, 0.05, 0.1)
 
 def _shuffle_rank(df: DataFrame, id_col: str, seed, part_cols: Sequence[str]) -> DataFrame:
     keyed = df.withColumn("_key", seeded_key(seed, id_col))
-    return ordered_index(keyed, ["_key", id_col], part_cols, bucket=hash_bucket("_key", 3))
+    return ordered_index(keyed, ["_key", id_col], part_cols, bucket=hash_bucket("_key"))
 
 
 def split_shuffled(

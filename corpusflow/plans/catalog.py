@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import strip_markup_expr
 from corpusflow.operators.splits import DEFAULT_SEED, split_shuffled
+from corpusflow.session import ensure_parallel
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+def table(spark: SparkSession, base: str, name: str, spread_on: str | None = None) -> DataFrame:
+    """A fixture table; ``spread_on`` hash-spreads an under-partitioned scan (see ``ensure_parallel``)."""
+    df = spark.read.parquet(f"{base}/{name}.parquet")
+    return ensure_parallel(df, spread_on) if spread_on else df
 
 
 def documents_corpus(

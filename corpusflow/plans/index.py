@@ -29,25 +29,38 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hex_prefix_int
 
-DEFAULT_BUCKETS = 4096
+ROWS_PER_BUCKET = 20_000
+MAX_BUCKETS = 1 << 20
+HASH_DIGITS = 5
 
 
-def hash_bucket(hexcol: Column | str, digits: int = 3) -> Column:
-    """Bucket from the leading hex digits of an md5 order key (16**digits buckets)."""
+def hash_bucket(hexcol: Column | str, digits: int = HASH_DIGITS) -> Column:
+    """Bucket from the leading hex digits of an md5 order key (16**digits buckets).
+
+    md5 keys are uniform, so 16**5 (about one million) buckets keep every
+    bucket's window small up to ~10**10 rows, while the bucket-stats table
+    stays at most a million rows per partition (one sort in one task).
+    """
     c = F.col(hexcol) if isinstance(hexcol, str) else hexcol
     return hex_prefix_int(c, digits)
 
 
-def range_bucket(df: DataFrame, col: str, target_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """``(col - min) div width`` with a width giving at most ``target_buckets`` buckets.
+def range_bucket(
+    df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+) -> Column:
+    """``(col - min) div width``, sized so a bucket holds about ``rows_per_bucket`` rows.
 
-    Runs one small aggregate (min, max) to size the width.
+    Runs one small aggregate (min, max, count) over the order column. The
+    bucket count grows with the data (capped at ``max_buckets``), so neither
+    the per-bucket window nor the bucket-stats table grows without bound.
+    Assumes the column is spread fairly evenly over its range (dense ids).
     """
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = row["lo"], row["hi"]
+    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")).first()
+    lo, hi, n = row["lo"], row["hi"], row["n"]
     if lo is None:
         return F.lit(0).cast("long")
-    width = max(1, -(-(int(hi) - int(lo) + 1) // target_buckets))
+    buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
+    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
     return F.floor((F.col(col) - F.lit(int(lo))) / F.lit(width)).cast("long")
 
 

@@ -29,6 +29,8 @@ from corpusflow.sources.readers import (
 from corpusflow.sources.sinks import materialise_once, write_archives, write_jsonl, write_token_bin
 from corpusflow.functions.text import strip_markup_sql
 
+FILE_BLOCKS = 64  # blocks per token file: 32k tokens
+
 DOC_JSON_SCHEMA = (
     "doc_id BIGINT, text STRING, meta STRUCT<lang: STRING, source: STRING, n_chars: BIGINT>"
 )
@@ -145,7 +147,7 @@ def _bin_positions():
 def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
     blocks = pack_blocks(char_corpus(spark, base).drop("text"), BLOCK, PART, ["doc_id"])
-    write_token_bin(blocks, root, BLOCK, blocks_per_file=8).collect()  # manifest: one row per file
+    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS).collect()  # manifest: one row per file
     pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=BLOCK)
     return block_summary(rebase(pieces, BLOCK, PART), PART)
 
@@ -153,13 +155,13 @@ def q_read_token_bin(spark, base):
 @register(
     "write_token_bin",
     f"""{_bin_positions()}
-SELECT split, domain, CAST(pos // {BLOCK * 8} AS BIGINT) AS file_id, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n_tokens
-FROM pos GROUP BY split, domain, pos // {BLOCK * 8}""",
+SELECT split, domain, CAST(pos // {BLOCK * FILE_BLOCKS} AS BIGINT) AS file_id, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n_tokens
+FROM pos GROUP BY split, domain, pos // {BLOCK * FILE_BLOCKS}""",
 )
 def q_write_token_bin(spark, base):
     root = scratch_path(spark, "token-bin-manifest")
     blocks = pack_blocks(char_corpus(spark, base).drop("text"), BLOCK, PART, ["doc_id"])
-    manifest = write_token_bin(blocks, root, BLOCK, blocks_per_file=8)
+    manifest = write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS)
     return manifest.drop("file")
 
 

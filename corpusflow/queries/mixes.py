@@ -32,6 +32,7 @@ from corpusflow.queries import sql
 from corpusflow.queries.corpus import CORPUS, char_corpus
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
+from corpusflow.session import materialise
 
 SEQ = 128
 HEAD = 4
@@ -49,9 +50,14 @@ def summary(positions: str, part=PART, block=BLOCK) -> str:
     return sql.block_summary(positions, part, block)
 
 
+def tokens_of(spark, base):
+    """The tokenised corpus, written once to the shared folder (read by several branches)."""
+    return materialise(char_corpus(spark, base).drop("text"), "char-corpus")
+
+
 def blocks_of(spark, base):
-    tok = char_corpus(spark, base).drop("text")
-    return pack_blocks(tok, BLOCK, PART, ["doc_id"])
+    """The block table, written once: operators below read it for lengths and for data."""
+    return materialise(pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"]), "blocks")
 
 
 @register(
@@ -62,7 +68,7 @@ ap AS (SELECT p.split, 'all' AS domain, p.id, p.pos + b.base AS pos FROM pos p J
 {summary('SELECT * FROM ap')}""",
 )
 def q_concat_domains(spark, base):
-    tok = char_corpus(spark, base).drop("text")
+    tok = tokens_of(spark, base)
     return block_summary(concat_domains(tok, BLOCK), PART)
 
 
@@ -128,8 +134,8 @@ np AS (SELECT s.split, 'noise' AS domain, a.id, s.j AS pos FROM src s JOIN ap a
 {summary('SELECT * FROM np')}""",
 )
 def q_noise_tokens(spark, base):
-    tok = char_corpus(spark, base).drop("text")
-    all_blocks = concat_domains(tok, BLOCK)
+    tok = tokens_of(spark, base)
+    all_blocks = materialise(concat_domains(tok, BLOCK), "all-blocks")
     sizes = common_length_budget(tok).select(
         "split", F.lit("all").alias("domain"), F.col("budget").alias("n")
     )
@@ -165,8 +171,8 @@ np AS (SELECT st.split, 'mix' AS domain, p.id, st.base + st.i * {CTX_MIX} + p.po
 {summary('SELECT * FROM np')}""",
 )
 def q_mix_by_rate(spark, base):
-    tok = char_corpus(spark, base).drop("text")
-    blocks = pack_blocks(tok, BLOCK, PART, ["doc_id"])
+    tok = tokens_of(spark, base)
+    blocks = materialise(pack_blocks(tok, BLOCK, PART, ["doc_id"]), "blocks")
     budgets = common_length_budget(tok).select("split", F.col("budget").alias("n"))
     return block_summary(mix_by_rate(blocks, BLOCK, budgets, None, CTX_MIX, 17), PART)
 

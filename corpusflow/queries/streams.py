@@ -125,7 +125,7 @@ def _ids_md5(col="ids"):
   {sql.bytes_md5('text', True)} AS ids_md5 FROM documents""",
 )
 def q_tokenize_bpe(spark, base):
-    docs = table(spark, base, "documents").select("doc_id", "text")
+    docs = table(spark, base, "documents", spread_on="doc_id").select("doc_id", "text")
     return tokenize_bpe(docs).select("doc_id", "n_tokens", _ids_md5().alias("ids_md5"))
 
 
@@ -135,7 +135,7 @@ def q_tokenize_bpe(spark, base):
   {sql.bytes_md5('text', False)} AS ids_md5 FROM documents""",
 )
 def q_tokenize_raw(spark, base):
-    docs = table(spark, base, "documents").select("doc_id", "text")
+    docs = table(spark, base, "documents", spread_on="doc_id").select("doc_id", "text")
     return tokenize_raw(docs, special="ordinary").select("doc_id", "n_tokens", _ids_md5().alias("ids_md5"))
 
 
@@ -146,7 +146,7 @@ def q_tokenize_raw(spark, base):
 def q_detokenize(spark, base):
     from corpusflow.operators.tokens import tokenize_char
 
-    docs = tokenize_char(table(spark, base, "documents").select("doc_id", "text"))
+    docs = tokenize_char(table(spark, base, "documents", spread_on="doc_id").select("doc_id", "text"))
     return detokenize(docs.drop("text"), "ids", "char").select(
         "doc_id", F.md5("text").alias("text_md5")
     )

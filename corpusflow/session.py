@@ -70,3 +70,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def ensure_parallel(df: DataFrame, *key_cols: str) -> DataFrame:
+    """Hash-repartition a freshly scanned table that has fewer splits than cores.
+
+    Expensive per-row steps (tokenisers) run in the scan stage; a single
+    Parquet row group gives a single task. At cluster scale inputs have many
+    splits and this is a no-op; on small inputs it spreads rows over all
+    cores. Call it on scan-only plans (asking an exchange plan for its
+    partition count would run it).
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
