@@ -123,7 +123,7 @@ def q_read_archives(spark, base):
 
 @register(
     "read_year_partitions",
-    """SELECT 1991 + ntile(12) OVER (ORDER BY doc_id) AS year, doc_id,
+    """SELECT CAST(1991 + ntile(12) OVER (ORDER BY doc_id) AS INTEGER) AS year, doc_id,
   CAST(ntile(12) OVER (ORDER BY doc_id) - 1 AS BIGINT) AS year_order FROM documents""",
 )
 def q_read_year_partitions(spark, base):

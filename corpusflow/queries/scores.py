@@ -67,7 +67,7 @@ def q_cross_entropy(spark, base):
 @register(
     "masked_token_loss",
     f"""WITH {EMB_SQL}, t AS (SELECT e.*, coalesce(l.quality, -1) AS target FROM emb e LEFT JOIN labels l ON l.doc_id = e.vec_id)
-SELECT layer, count(*) AS n_tokens, sum(CASE WHEN target <> -1 THEN 1 ELSE 0 END) AS n_unmasked,
+SELECT layer, count(*) AS n_tokens, CAST(sum(CASE WHEN target <> -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_unmasked,
   round(sum(CASE WHEN target <> -1 THEN {LSE} - dlogits[target + 1] ELSE 0.0 END) / sum(CASE WHEN target <> -1 THEN 1.0 ELSE 0.0 END), 6) AS loss
 FROM t GROUP BY layer""",
 )
