@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import seeded_key
-from corpusflow.plans.index import hash_bucket, ordered_index
+from corpusflow.plans.index import hash_bucket, head_flag, ordered_index
 
 # The seed and validation shares used by the corpus builders.
 DEFAULT_SEED = 2357
@@ -26,6 +26,16 @@ def _shuffle_rank(df: DataFrame, id_col: str, seed, part_cols: Sequence[str]) ->
     return ordered_index(keyed, ["_key", id_col], part_cols, bucket=hash_bucket("_key"))
 
 
+def _shuffled_head(df, id_col, seed, part_cols, head_size, flag_col, broadcast_parts=True):
+    """Flag the first ``head_size(n)`` rows in md5(seed:id) order -- no row is shuffled."""
+    keyed = df.withColumn("_key", seeded_key(seed, id_col))
+    flagged = head_flag(
+        keyed, ["_key", id_col], part_cols, hash_bucket("_key"), head_size, flag_col,
+        broadcast_parts=broadcast_parts,
+    )
+    return flagged.drop("_key")
+
+
 def split_shuffled(
     df: DataFrame,
     id_col: str,
@@ -35,12 +45,20 @@ def split_shuffled(
     split_col: str = "split",
     names: tuple[str, str] = ("train", "val"),
 ) -> DataFrame:
-    """Shuffled split with exactly ``ceil(val_share * n)`` validation rows per partition."""
-    ranked = _shuffle_rank(df, id_col, seed, part_cols)
-    n_val = F.ceil(F.lit(float(val_share)) * F.col("_n").cast("double"))
-    return ranked.withColumn(
-        split_col, F.when(F.col("_idx") < n_val, F.lit(names[1])).otherwise(F.lit(names[0]))
-    ).drop("_key", "_idx", "_n")
+    """Shuffled split with exactly ``ceil(val_share * n)`` validation rows per partition.
+
+    Rows are ordered by ``md5(seed:id)``; the first ``ceil(share * n)`` are
+    validation. Only the threshold key per partition is computed (see
+    :func:`head_flag`), so labelling a corpus moves no text through a shuffle.
+    ``part_cols`` values (domains) are few: their tables are broadcast.
+    """
+    share = float(val_share)
+    flagged = _shuffled_head(
+        df, id_col, seed, part_cols, lambda n: F.ceil(F.lit(share) * n.cast("double")), "_val"
+    )
+    return flagged.withColumn(
+        split_col, F.when(F.col("_val"), F.lit(names[1])).otherwise(F.lit(names[0]))
+    ).drop("_val")
 
 
 def split_nested_halves(
@@ -125,12 +143,14 @@ def split_fraction(
     part_cols: Sequence[str] = (),
     split_col: str = "split",
 ) -> DataFrame:
-    """Random split with exactly ``int(train_fraction * n)`` train rows."""
-    ranked = _shuffle_rank(df, id_col, seed, part_cols)
-    n_train = F.floor(F.lit(float(train_fraction)) * F.col("_n").cast("double"))
-    return ranked.withColumn(
-        split_col, F.when(F.col("_idx") < n_train, F.lit("train")).otherwise(F.lit("val"))
-    ).drop("_key", "_idx", "_n")
+    """Random split with exactly ``int(train_fraction * n)`` train rows (no row shuffle)."""
+    f = float(train_fraction)
+    flagged = _shuffled_head(
+        df, id_col, seed, part_cols, lambda n: F.floor(F.lit(f) * n.cast("double")), "_train"
+    )
+    return flagged.withColumn(
+        split_col, F.when(F.col("_train"), F.lit("train")).otherwise(F.lit("val"))
+    ).drop("_train")
 
 
 def val_rows(n: int, share: float) -> int:

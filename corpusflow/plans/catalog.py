@@ -33,7 +33,7 @@ def documents_corpus(
     seed=DEFAULT_SEED,
 ) -> DataFrame:
     """``documents`` as a corpus: domain = ``source`` (or ``lang``), exact shuffled split per domain."""
-    docs = table(spark, base, "documents").select(
+    docs = table(spark, base, "documents", spread_on="doc_id").select(
         "doc_id", "text", F.col(domain_col).alias("domain")
     )
     return split_shuffled(docs, "doc_id", val_share, seed, part_cols=["domain"])

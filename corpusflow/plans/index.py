@@ -126,3 +126,60 @@ def ordered_index(
     if no_part:
         drop.append("_part")
     return out.drop(*drop)
+
+
+def head_flag(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    part_cols: Sequence[str],
+    bucket: Column,
+    head_size,
+    flag_col: str = "_head",
+    broadcast_parts: bool = True,
+) -> DataFrame:
+    """Flag the first ``head_size(n)`` rows of every partition by ``order_cols``, shuffling no rows.
+
+    Only the *threshold* -- the order key of the k-th row -- is needed, not
+    every row's rank:
+
+    1. bucket counts per partition (partial + final aggregate, small);
+    2. the bucket holding the k-th row and how many rows of it are needed;
+    3. the rows of that one bucket per partition are ranked (a tiny subset)
+       and the k-th one's order key becomes the partition's threshold;
+    4. every row compares its key with its partition's threshold -- a map-side
+       join against one row per partition.
+
+    ``head_size`` maps the partition row count (a Column) to k. With
+    ``broadcast_parts`` the per-partition tables (one row per partition value)
+    are broadcast explicitly; pass False when partition values are unbounded.
+    """
+    part_cols = list(part_cols)
+    order_cols = list(order_cols)
+    no_part = not part_cols
+    if no_part:
+        df = df.withColumn("_part", F.lit(0))
+        part_cols = ["_part"]
+    hint = F.broadcast if broadcast_parts else (lambda x: x)
+    b = df.withColumn("_bkt", bucket)
+    stats = b.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    w = Window.partitionBy(*part_cols)
+    before = F.coalesce(
+        F.sum("_bn").over(w.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    stats = stats.select(
+        *part_cols, "_bkt", "_bn", before.alias("_before"), F.sum("_bn").over(w).alias("_n")
+    ).withColumn("_k", head_size(F.col("_n")).cast("long"))
+    pivot = stats.where(
+        (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") >= F.col("_k"))
+    ).select(*part_cols, F.col("_bkt").alias("_pb"), (F.col("_k") - F.col("_before")).alias("_need"))
+    cand = b.join(hint(pivot), [*part_cols]).where(F.col("_bkt") == F.col("_pb"))
+    rn = F.row_number().over(Window.partitionBy(*part_cols).orderBy(*order_cols))
+    thr = cand.select(*part_cols, *order_cols, "_need", rn.alias("_rn")).where(
+        F.col("_rn") == F.col("_need")
+    ).select(*part_cols, F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)]).alias("_thr"))
+    key = F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
+    out = b.join(hint(thr), part_cols, "left").withColumn(
+        flag_col, F.coalesce(key <= F.col("_thr"), F.lit(False))
+    )
+    out = out.drop("_bkt", "_thr")
+    return out.drop("_part") if no_part else out
