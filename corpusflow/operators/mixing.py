@@ -71,7 +71,8 @@ def concat_domains(
     located = token_offsets(tok_df, STREAM, list(order_cols))
     sizes = located.groupBy("split", "domain").agg(F.max("stream_len").alias("_len"))
     bases = _bases(sizes, "_len", domains).select("split", "domain", "_base")
-    shifted = located.join(bases, ["split", "domain"]).withColumn(
+    # bases: one row per (split, domain) stream -- bounded by the domain registry
+    shifted = located.join(F.broadcast(bases), ["split", "domain"]).withColumn(
         "offset", F.col("offset") + F.col("_base")
     ).withColumn("domain", F.lit(name))
     return rebase(shifted, block_len, STREAM)
@@ -109,7 +110,7 @@ def carve_tail(
     )
     tails = lens.withColumn("_tail", F.col("stream_len") - F.col("_cut"))
     bases = _bases(tails, "_tail", domains).select("split", "domain", "_cut", "_base")
-    located = locate_blocks(blocks, block_len).join(bases, ["split", "domain"])
+    located = locate_blocks(blocks, block_len).join(F.broadcast(bases), ["split", "domain"])
     start = F.col("offset")
     end = F.col("offset") + F.col("n_tokens")
     kept = located.where(start < F.col("_cut")).select(
@@ -199,7 +200,7 @@ def noise_tokens(
     output block and joined to source blocks on ``block_id`` (uniform keys).
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") > 0)
+    plan = sizes.join(F.broadcast(lens), list(src_cols)).where(F.col("stream_len") > 0)
     L = F.lit(block_len)
     out_blocks = plan.withColumn(
         "_ob", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / L) - 1))
@@ -238,7 +239,7 @@ def resample_spans(
     ``out_base + i * ctx_len``. Streams shorter than one span give nothing.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
+    plan = sizes.join(F.broadcast(lens), list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
     if "out_base" not in plan.columns:
         plan = plan.withColumn("out_base", F.lit(0).cast("long"))
     n_spans = F.floor(F.col("n") / F.lit(ctx_len)).cast("long")

@@ -13,6 +13,7 @@ from corpusflow.operators.splits import split_shuffled
 from corpusflow.plans.catalog import corpus_catalog, documents_corpus, table
 from corpusflow.queries import sql
 from corpusflow.queries.corpus import CORPUS, char_corpus
+from corpusflow.queries.mixes import blocks_of
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS
 from corpusflow.session import scratch_path
@@ -146,7 +147,7 @@ def _bin_positions():
 )
 def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
-    blocks = pack_blocks(char_corpus(spark, base).drop("text"), BLOCK, PART, ["doc_id"])
+    blocks = blocks_of(spark, base)
     write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS).collect()  # manifest: one row per file
     pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=BLOCK)
     return block_summary(rebase(pieces, BLOCK, PART), PART)
@@ -160,7 +161,7 @@ FROM pos GROUP BY split, domain, pos // {BLOCK * FILE_BLOCKS}""",
 )
 def q_write_token_bin(spark, base):
     root = scratch_path(spark, "token-bin-manifest")
-    blocks = pack_blocks(char_corpus(spark, base).drop("text"), BLOCK, PART, ["doc_id"])
+    blocks = blocks_of(spark, base)
     manifest = write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS)
     return manifest.drop("file")
 

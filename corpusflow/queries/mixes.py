@@ -32,7 +32,7 @@ from corpusflow.queries import sql
 from corpusflow.queries.corpus import CORPUS, char_corpus
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
-from corpusflow.session import materialise
+from corpusflow.session import session_cached
 
 SEQ = 128
 HEAD = 4
@@ -51,13 +51,17 @@ def summary(positions: str, part=PART, block=BLOCK) -> str:
 
 
 def tokens_of(spark, base):
-    """The tokenised corpus, written once to the shared folder (read by several branches)."""
-    return materialise(char_corpus(spark, base).drop("text"), "char-corpus")
+    """The tokenised corpus, built once per application in the shared folder."""
+    return session_cached(
+        spark, f"char-corpus:{base}", lambda: char_corpus(spark, base).drop("text")
+    )
 
 
 def blocks_of(spark, base):
-    """The block table, written once: operators below read it for lengths and for data."""
-    return materialise(pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"]), "blocks")
+    """The block table, built once per application: operators read it for lengths and data."""
+    return session_cached(
+        spark, f"blocks:{base}:{BLOCK}", lambda: pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"])
+    )
 
 
 @register(
@@ -135,7 +139,7 @@ np AS (SELECT s.split, 'noise' AS domain, a.id, s.j AS pos FROM src s JOIN ap a
 )
 def q_noise_tokens(spark, base):
     tok = tokens_of(spark, base)
-    all_blocks = materialise(concat_domains(tok, BLOCK), "all-blocks")
+    all_blocks = session_cached(spark, f"all-blocks:{base}:{BLOCK}", lambda: concat_domains(tok, BLOCK))
     sizes = common_length_budget(tok).select(
         "split", F.lit("all").alias("domain"), F.col("budget").alias("n")
     )
@@ -172,7 +176,7 @@ np AS (SELECT st.split, 'mix' AS domain, p.id, st.base + st.i * {CTX_MIX} + p.po
 )
 def q_mix_by_rate(spark, base):
     tok = tokens_of(spark, base)
-    blocks = materialise(pack_blocks(tok, BLOCK, PART, ["doc_id"]), "blocks")
+    blocks = blocks_of(spark, base)
     budgets = common_length_budget(tok).select("split", F.col("budget").alias("n"))
     return block_summary(mix_by_rate(blocks, BLOCK, budgets, None, CTX_MIX, 17), PART)
 

@@ -86,3 +86,20 @@ def ensure_parallel(df: DataFrame, *key_cols: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
+
+
+def session_cached(spark: SparkSession, key: str, build) -> DataFrame:
+    """Build a derived table once per application (shared folder), then reuse it.
+
+    The path is keyed by the application id and ``key`` (which must name the
+    inputs and parameters), so another run never sees a stale copy; within a
+    run, every operator over the same corpus reads one materialised build.
+    """
+    import hashlib
+
+    from corpusflow.sources.sinks import materialise_once
+
+    app = spark.sparkContext.applicationId
+    digest = hashlib.md5(f"{app}:{key}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_root(spark)}/corpusflow/cache/{digest}"
+    return materialise_once(build, path, spark)
