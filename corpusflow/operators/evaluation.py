@@ -69,12 +69,17 @@ def top_k_mask(df: DataFrame, vec_col: str, k: int, out_col: str | None = None):
 COV_SCHEMA = "i int, j int, n long, sxy double, sx double, sy double"
 
 
-def feature_covariance(reps: DataFrame, vec_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
+def feature_covariance(
+    reps: DataFrame, vec_col: str, group_cols: Sequence[str] = (), max_tasks: int | None = None
+) -> DataFrame:
     """Unbiased d x d covariance of the vectors of every group.
 
-    Each Arrow batch contributes a partial Gram matrix X'X, its column sums and
-    row count (numpy, one matmul per group and batch); Spark sums the partials
-    per (group, i, j) with a map-side combine. Rows never leave their task.
+    Each task accumulates, per group, the Gram matrix X'X, the column sums and
+    the row count over all its Arrow batches (one numpy matmul per batch) and
+    emits them once: d*d rows per (task, group), whatever the row count.
+    Spark then sums the partials per (group, i, j). ``max_tasks`` coalesces
+    the input splits first (no shuffle) to bound the number of partials;
+    default: twice the cluster parallelism.
     """
     group_cols = list(group_cols)
     schema = ", ".join(
@@ -82,29 +87,35 @@ def feature_covariance(reps: DataFrame, vec_col: str, group_cols: Sequence[str]
         + [COV_SCHEMA]
     )
     inp = reps.select(*group_cols, vec_col)
+    limit = max_tasks or 2 * reps.sparkSession.sparkContext.defaultParallelism
+    inp = inp.coalesce(limit)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             pdf = rb.to_pandas()
             groups = pdf.groupby(group_cols, sort=False) if group_cols else [((), pdf)]
             for key, g in groups:
-                x = np.stack(g[vec_col].to_numpy()).astype(np.float64)
-                n, d = x.shape
-                gram = x.T @ x
-                s = x.sum(axis=0)
-                ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-                out = {}
                 key = key if isinstance(key, tuple) else (key,)
-                for c, v in zip(group_cols, key):
-                    out[c] = np.repeat(v, d * d)
-                out.update(
-                    i=ii.ravel().astype(np.int32), j=jj.ravel().astype(np.int32),
-                    n=np.full(d * d, n, dtype=np.int64), sxy=gram.ravel(),
-                    sx=s[ii.ravel()], sy=s[jj.ravel()],
-                )
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
+                x = np.stack(g[vec_col].to_numpy()).astype(np.float64)
+                gram, s, n = x.T @ x, x.sum(axis=0), x.shape[0]
+                if key in acc:
+                    a = acc[key]
+                    acc[key] = (a[0] + gram, a[1] + s, a[2] + n)
+                else:
+                    acc[key] = (gram, s, n)
+        for key, (gram, s, n) in acc.items():
+            d = gram.shape[0]
+            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
+            out = {c: np.repeat(v, d * d) for c, v in zip(group_cols, key)}
+            out.update(
+                i=ii.ravel().astype(np.int32), j=jj.ravel().astype(np.int32),
+                n=np.full(d * d, n, dtype=np.int64), sxy=gram.ravel(),
+                sx=s[ii.ravel()], sy=s[jj.ravel()],
+            )
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
 
     parts = inp.mapInArrow(partial, schema)
     sums = parts.groupBy(*group_cols, "i", "j").agg(

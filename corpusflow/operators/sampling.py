@@ -137,10 +137,18 @@ def sample_with_domain_ids(
     seed,
     weights: dict[str, float] | None = None,
     split: str = "train",
+    grouped: bool = False,
 ) -> DataFrame:
-    """Weighted samples plus the domain id per sample and per token."""
+    """Weighted samples plus the domain id per sample and per token.
+
+    ``grouped=True`` is the per-domain form: samples of one domain are placed
+    in the same partition, ordered by sample id (a batch is small and bounded).
+    """
     s = sample_domains_weighted(blocks, block_len, seq_len, batch_size, seed, weights, split)
-    return s.withColumn("token_domain_ids", F.array_repeat(F.col("domain_id"), seq_len))
+    s = s.withColumn("token_domain_ids", F.array_repeat(F.col("domain_id"), seq_len))
+    if grouped:
+        s = s.repartition("domain_id").sortWithinPartitions("domain_id", "sample_id")
+    return s
 
 
 def epoch_batches(
