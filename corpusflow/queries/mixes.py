@@ -29,7 +29,7 @@ from corpusflow.operators.sampling import (
 from corpusflow.operators.splits import split_fraction
 from corpusflow.plans.catalog import documents_corpus, table
 from corpusflow.queries import sql
-from corpusflow.queries.corpus import CORPUS, char_corpus
+from corpusflow.queries.corpus import CORPUS, char_corpus, tokens_of
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
 from corpusflow.session import session_cached
@@ -50,13 +50,6 @@ def summary(positions: str, part=PART, block=BLOCK) -> str:
     return sql.block_summary(positions, part, block)
 
 
-def tokens_of(spark, base):
-    """The tokenised corpus, built once per application in the shared folder."""
-    return session_cached(
-        spark, f"char-corpus:{base}", lambda: char_corpus(spark, base).drop("text")
-    )
-
-
 def blocks_of(spark, base):
     """The block table, built once per application: operators read it for lengths and data."""
     return session_cached(

@@ -150,12 +150,17 @@ def q_feature_rank(spark, base):
 
 @register("linear_probe")
 def q_linear_probe(spark, base):
+    from concurrent.futures import ThreadPoolExecutor
+
     data = split_fraction(emb(spark, base), "vec_id", 0.8, 2357)
-    out = None
-    for layer in (0, 1, 2):  # one distributed fit per layer
+
+    def fit(layer):  # one distributed fit per layer; the three run as concurrent jobs
         _, acc = linear_probe(data.where(F.col("layer") == layer), "embedding", "label", max_iter=50)
-        acc = acc.withColumn("layer", F.lit(layer).cast("long"))
-        out = acc if out is None else out.unionByName(acc)
+        return acc.withColumn("layer", F.lit(layer).cast("long"))
+
+    with ThreadPoolExecutor(3) as pool:
+        fitted = list(pool.map(fit, (0, 1, 2)))
+    out = fitted[0].unionByName(fitted[1]).unionByName(fitted[2])
     return out.select("layer", "split", "n", F.round("accuracy", 6).alias("accuracy"))
 
 

@@ -22,7 +22,7 @@ from corpusflow.operators.splits import (
 from corpusflow.operators.tokens import detokenize, tokenize_bpe, tokenize_raw
 from corpusflow.plans.catalog import documents_corpus, table
 from corpusflow.queries import sql
-from corpusflow.queries.corpus import CORPUS, char_corpus
+from corpusflow.queries.corpus import CORPUS, char_corpus, tokens_of
 from corpusflow.queries.registry import register
 
 BLOCK = 512
@@ -82,7 +82,7 @@ pos AS ({sql.stream_positions(
 {sql.block_summary('SELECT * FROM pos', ['split', 'domain', 'shard'], 1 << 16)}""",
 )
 def q_concat_shard(spark, base):
-    tok = char_corpus(spark, base).drop("text")
+    tok = tokens_of(spark, base)
     sharded = shard_contiguous(tok, SHARDS, ["doc_id"], PART)
     pieces = concat_shard(sharded, "shard", ["doc_id"], part_cols=PART)
     return block_summary(pieces, [*PART, "shard"])
@@ -94,7 +94,7 @@ def q_concat_shard(spark, base):
 {sql.block_summary('SELECT * FROM pos', PART, BLOCK)}""",
 )
 def q_pack_blocks(spark, base):
-    tok = char_corpus(spark, base).drop("text")
+    tok = tokens_of(spark, base)
     return block_summary(pack_blocks(tok, BLOCK, PART, ["doc_id"]), PART)
 
 
@@ -107,7 +107,7 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id AND t.i >= d.n - {TAIL}
 GROUP BY d.doc_id, d.n""",
 )
 def q_context_tail(spark, base):
-    tok = context_tail(char_corpus(spark, base), "ids", TAIL, "tail")
+    tok = context_tail(tokens_of(spark, base), "ids", TAIL, "tail")
     return tok.select(
         "doc_id", F.size("tail").cast("long").alias("n_tokens"), ids_checksum("tail").alias("checksum")
     )
