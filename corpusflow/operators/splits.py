@@ -1,13 +1,14 @@
 """Exact, seeded, partition-independent train/validation splits.
 
-``randomSplit`` and ``sampleBy`` only give approximate shares, so every split
-here ranks rows by an md5 key with :func:`ordered_index` and cuts at an exact
-row count.
+``randomSplit`` and ``sampleBy`` only give approximate shares. Shuffled
+splits here order rows by an md5 key and cut at an exact row count through a
+per-partition threshold (:func:`head_flag`, no row shuffle); order-based
+splits (round robin, character prefix) use the exact rank / prefix sum of
+:func:`ordered_index`.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,11 +22,6 @@ DEFAULT_SEED = 2357
 VAL_SHARES = (0.0005, 0.05, 0.1)
 
 
-def _shuffle_rank(df: DataFrame, id_col: str, seed, part_cols: Sequence[str]) -> DataFrame:
-    keyed = df.withColumn("_key", seeded_key(seed, id_col))
-    return ordered_index(keyed, ["_key", id_col], part_cols, bucket=hash_bucket("_key"))
-
-
 def _shuffled_head(df, id_col, seed, part_cols, head_size, flag_col, broadcast_parts=True):
     """Flag the first ``head_size(n)`` rows in md5(seed:id) order -- no row is shuffled."""
     keyed = df.withColumn("_key", seeded_key(seed, id_col))
@@ -153,11 +149,6 @@ def split_fraction(
     ).drop("_train")
 
 
-def val_rows(n: int, share: float) -> int:
-    """Driver-side helper mirroring the exact validation count."""
-    return math.ceil(share * n)
-
-
 __all__ = [
     "DEFAULT_SEED",
     "VAL_SHARES",
@@ -166,5 +157,4 @@ __all__ = [
     "split_round_robin",
     "split_prefix",
     "split_fraction",
-    "val_rows",
 ]

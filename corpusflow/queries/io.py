@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.domains import filter_domain, normalise_domain, strip_markup
 from corpusflow.operators.mixing import rebase
-from corpusflow.operators.packing import block_summary, pack_blocks, shard_contiguous
+from corpusflow.operators.packing import block_summary, shard_contiguous
 from corpusflow.operators.splits import split_shuffled
 from corpusflow.plans.catalog import corpus_catalog, documents_corpus, table
 from corpusflow.queries import sql

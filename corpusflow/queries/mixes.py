@@ -29,7 +29,7 @@ from corpusflow.operators.sampling import (
 from corpusflow.operators.splits import split_fraction
 from corpusflow.plans.catalog import documents_corpus, table
 from corpusflow.queries import sql
-from corpusflow.queries.corpus import CORPUS, char_corpus, tokens_of
+from corpusflow.queries.corpus import CORPUS, tokens_of
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
 from corpusflow.session import session_cached

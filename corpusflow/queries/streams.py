@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import char_clean
 from corpusflow.operators.packing import (
     block_summary,
     concat_shard,
@@ -202,5 +201,3 @@ def q_split_fraction(spark, base):
     docs = table(spark, base, "documents").select("doc_id")
     return split_fraction(docs, "doc_id", 0.5, 2357)
 
-
-_ = char_clean  # re-exported for query authors

@@ -85,8 +85,9 @@ def stream_metric_rollup(
     """Per metric name and tumbling window: count, sum and latest value.
 
     Append mode behind a watermark: a window is written once, when the
-    watermark (max event time - delay) has passed its end; rows later than
-    the watermark are dropped by Spark, as for any watermarked aggregation.
+    watermark (max event time - delay) has passed its end. A row older than
+    the previous micro-batch's watermark is dropped as late (Spark's rule for
+    watermarked aggregations); a row for a window still in state is counted.
     Event time without zone is read as UTC.
     """
     log = _file_stream(spark, directory, schema, glob, max_files).withColumn(

@@ -63,3 +63,14 @@ def test_metric_rollup_latest_value(spark):
     df = spark.createDataFrame(rows, "at long, name string, value double, ts long")
     out = {r.at: r for r in metric_rollup(df, "at", "name", "value", "ts").collect()}
     assert out[0].loss == 0.5 and out[0].acc == 0.1 and out[1].loss is None
+
+
+def test_last_position_logits(spark):
+    from corpusflow.operators.evaluation import last_position
+
+    df = spark.createDataFrame(
+        [(0, 0, [9.0, 0.0], 1), (0, 1, [0.0, 9.0], 1), (1, 0, [0.0, 1.0], 0), (1, 3, [5.0, 1.0], 0)],
+        "example long, pos long, logits array<double>, label long",
+    )
+    last = last_position(df, ["example"], "pos", ["logits", "label"])
+    assert accuracy(last, "logits", "label").first().accuracy == 1.0

@@ -4,7 +4,6 @@ import zipfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import tok_frame
 from corpusflow.operators.mixing import rebase
