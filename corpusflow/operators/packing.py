@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.plans.index import ordered_index
+from corpusflow.plans.index import bucket_bases, ordered_index, range_bucket
 
 
 def token_offsets(
@@ -83,17 +83,97 @@ def regroup_blocks(frags: DataFrame, part_cols: Sequence[str]) -> DataFrame:
     )
 
 
+TOKENS_PER_BUCKET = 1 << 22
+
+
+def _cut_schema(df: DataFrame, part_cols: Sequence[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(
+        [f"{c} {types[c]}" for c in part_cols]
+        + ["block_id long", "lo long", "ids array<int>", "whole boolean"]
+    )
+
+
+def _cut_bucket(part_cols, order_cols, block_len):
+    """Arrow function for one (partition, bucket) group: its tokens are one
+    contiguous run of the stream, cut into block pieces by slicing offsets."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    L = block_len
+
+    def cut(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by([(c, "ascending") for c in order_cols])
+        values = pc.list_flatten(tbl.column("ids")).combine_chunks()
+        lo = int(tbl.column("_bwbase")[0].as_py())
+        total = int(tbl.column("_total")[0].as_py())
+        hi = lo + len(values)
+        cols = {c: tbl.column(c)[0].as_py() for c in part_cols}
+        if hi == lo:
+            return pa.table({**{c: pa.array([], tbl.schema.field(c).type) for c in part_cols},
+                             "block_id": pa.array([], pa.int64()), "lo": pa.array([], pa.int64()),
+                             "ids": pa.array([], pa.list_(pa.int32())), "whole": pa.array([], pa.bool_())})
+        blocks = np.arange(lo // L, (hi - 1) // L + 1, dtype=np.int64)
+        starts = np.maximum(lo, blocks * L)
+        ends = np.minimum(hi, (blocks + 1) * L)
+        offsets = np.append(starts - lo, ends[-1] - lo).astype(np.int32)
+        whole = (starts == blocks * L) & ((ends == (blocks + 1) * L) | (ends == total))
+        k = len(blocks)
+        return pa.table({
+            **{c: pa.array([cols[c]] * k, tbl.schema.field(c).type) for c in part_cols},
+            "block_id": pa.array(blocks),
+            "lo": pa.array(starts),
+            "ids": pa.ListArray.from_arrays(pa.array(offsets), values.cast(pa.int32())),
+            "whole": pa.array(whole),
+        })
+
+    return cut
+
+
 def pack_blocks(
     tok_df: DataFrame,
     block_len: int,
     part_cols: Sequence[str],
     order_cols: Sequence[str],
     bucket: Column | None = None,
+    tokens_per_bucket: int = TOKENS_PER_BUCKET,
 ) -> DataFrame:
     """Tokenised documents -> ``(part..., block_id, ids)`` with ``block_len`` ids per block.
 
-    Only the last block of a stream can be shorter.
+    Only the last block of a stream can be shorter. Documents are bucketed by
+    a monotone key sized to about ``tokens_per_bucket`` tokens; each
+    (partition, bucket) group holds one contiguous run of its stream, so it
+    is cut into blocks where it sits (Arrow slicing of the concatenated ids,
+    no per-token rows). Only the at most two boundary pieces per group are
+    shuffled again to be joined with their neighbours: the tokens cross one
+    shuffle, not two.
     """
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    if bucket is None:
+        bucket = range_bucket(
+            tok_df, order_cols[0], weight="n_tokens", weight_per_bucket=tokens_per_bucket
+        )
+    based = bucket_bases(tok_df.select(*part_cols, *order_cols, "ids", "n_tokens"), part_cols, bucket,
+                         weight="n_tokens")
+    pieces = based.select(*part_cols, "_bkt", *order_cols, "ids", "_bwbase", "_total").groupBy(
+        *part_cols, "_bkt"
+    ).applyInArrow(_cut_bucket(part_cols, order_cols, block_len), _cut_schema(tok_df, part_cols))
+    whole = pieces.where("whole").select(*part_cols, "block_id", "ids")
+    edges = pieces.where(~F.col("whole")).select(*part_cols, "block_id", "lo", F.col("ids").alias("frag"))
+    return whole.unionByName(regroup_blocks(edges, part_cols))
+
+
+def pack_blocks_exploded(
+    tok_df: DataFrame,
+    block_len: int,
+    part_cols: Sequence[str],
+    order_cols: Sequence[str],
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Same result as :func:`pack_blocks` with native operators only: every
+    document is exploded into its block fragments, which are re-grouped by
+    block (two shuffles of the tokens)."""
     located = token_offsets(tok_df, part_cols, order_cols, bucket=bucket)
     return regroup_blocks(fragments(located, block_len, part_cols), part_cols)
 

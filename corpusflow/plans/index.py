@@ -46,50 +46,50 @@ def hash_bucket(hexcol: Column | str, digits: int = HASH_DIGITS) -> Column:
 
 
 def range_bucket(
-    df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+    df: DataFrame,
+    col: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
+    weight: str | None = None,
+    weight_per_bucket: int | None = None,
 ) -> Column:
-    """``(col - min) div width``, sized so a bucket holds about ``rows_per_bucket`` rows.
+    """``(col - min) div width``, sized so a bucket holds about ``rows_per_bucket`` rows
+    (and, with ``weight``, about ``weight_per_bucket`` units of it, e.g. tokens).
 
-    Runs one small aggregate (min, max, count) over the order column. The
-    bucket count grows with the data (capped at ``max_buckets``), so neither
-    the per-bucket window nor the bucket-stats table grows without bound.
-    Assumes the column is spread fairly evenly over its range (dense ids).
+    Runs one small aggregate (min, max, count[, sum]) over the order column.
+    The bucket count grows with the data (capped at ``max_buckets``), so
+    neither the per-bucket work nor the bucket-stats table grows without
+    bound. Assumes the column is spread fairly evenly over its range (dense ids).
     """
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")).first()
+    aggs = [F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")]
+    if weight is not None:
+        aggs.append(F.sum(weight).alias("w"))
+    row = df.agg(*aggs).first()
     lo, hi, n = row["lo"], row["hi"], row["n"]
     if lo is None:
         return F.lit(0).cast("long")
-    buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
+    need = -(-n // rows_per_bucket)
+    if weight is not None and weight_per_bucket and row["w"]:
+        need = max(need, -(-int(row["w"]) // weight_per_bucket))
+    buckets = min(max_buckets, max(1, need))
     width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
     return F.floor((F.col(col) - F.lit(int(lo))) / F.lit(width)).cast("long")
 
 
-def ordered_index(
+def bucket_bases(
     df: DataFrame,
-    order_cols: Sequence[str],
-    part_cols: Sequence[str] = (),
-    bucket: Column | None = None,
+    part_cols: Sequence[str],
+    bucket: Column,
     weight: str | Column | None = None,
-    idx_col: str = "_idx",
     count_col: str = "_n",
-    start_col: str = "_start",
     total_col: str = "_total",
 ) -> DataFrame:
-    """Add the 0-based rank of every row within ``part_cols`` by ``order_cols``.
+    """Rows with their bucket (``_bkt``) and the bucket's bases.
 
-    Also adds the partition row count. With ``weight``: the exclusive running
-    sum of the weight (``start_col``) and the partition total (``total_col``).
-    ``bucket`` must be non-decreasing in ``order_cols``; by default it is a
-    range bucket over the first order column.
+    Adds ``_bbase`` (rows before the bucket in its partition) and the
+    partition count; with ``weight`` also ``_w``, ``_bwbase`` (weight before
+    the bucket) and the partition total. Steps 1-3 of the module docstring.
     """
-    part_cols = list(part_cols)
-    order_cols = list(order_cols)
-    if bucket is None:
-        bucket = range_bucket(df, order_cols[0])
-    no_part = not part_cols
-    if no_part:
-        df = df.withColumn("_part", F.lit(0))
-        part_cols = ["_part"]
     b = df.withColumn("_bkt", bucket)
     aggs = [F.count(F.lit(1)).alias("_bn")]
     if weight is not None:
@@ -112,8 +112,36 @@ def ordered_index(
             F.sum("_bw").over(wpart).cast("long").alias(total_col),
         ]
     bases = stats.select(*cols)
+    return b.join(bases, [*part_cols, "_bkt"], "inner")
+
+
+def ordered_index(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    part_cols: Sequence[str] = (),
+    bucket: Column | None = None,
+    weight: str | Column | None = None,
+    idx_col: str = "_idx",
+    count_col: str = "_n",
+    start_col: str = "_start",
+    total_col: str = "_total",
+) -> DataFrame:
+    """Add the 0-based rank of every row within ``part_cols`` by ``order_cols``.
 
-    joined = b.join(bases, [*part_cols, "_bkt"], "inner")
+    Also adds the partition row count. With ``weight``: the exclusive running
+    sum of the weight (``start_col``) and the partition total (``total_col``).
+    ``bucket`` must be non-decreasing in ``order_cols``; by default it is a
+    range bucket over the first order column.
+    """
+    part_cols = list(part_cols)
+    order_cols = list(order_cols)
+    if bucket is None:
+        bucket = range_bucket(df, order_cols[0])
+    no_part = not part_cols
+    if no_part:
+        df = df.withColumn("_part", F.lit(0))
+        part_cols = ["_part"]
+    joined = bucket_bases(df, part_cols, bucket, weight, count_col, total_col)
     inner = Window.partitionBy(*part_cols, "_bkt").orderBy(*order_cols)
     out = joined.withColumn(idx_col, (F.col("_bbase") + F.row_number().over(inner) - 1).cast("long"))
     drop = ["_bkt", "_bbase"]

@@ -67,3 +67,14 @@ def test_ids_stats_kernel(spark):
     df = spark.createDataFrame([([5, 0, 2],), ([],), ([7],)], "ids array<int>")
     got = [tuple(r) for r in df.select(ids_stats(F.col("ids")).alias("s")).select("s.*").collect()]
     assert got == [(3, 5, 2, 1 * 6 + 2 * 1 + 3 * 3), (0, None, None, 0), (1, 7, 7, 8)]
+
+
+def test_local_cut_equals_exploded(spark):
+    from corpusflow.operators.packing import pack_blocks_exploded
+
+    rows = [("train", "d%d" % (i % 3), i, list(range(i, i + (i * 13) % 41))) for i in range(200)]
+    df = tok_frame(spark, rows)
+    for tpb in (50, 1000, 1 << 22):
+        a = pack_blocks(df, 16, ["split", "domain"], ["doc_id"], tokens_per_bucket=tpb)
+        b = pack_blocks_exploded(df, 16, ["split", "domain"], ["doc_id"])
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
