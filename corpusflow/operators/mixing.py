@@ -65,17 +65,21 @@ def concat_domains(
 ) -> DataFrame:
     """Concatenate the domain streams of each split, in list order, into one stream.
 
-    Per-domain offsets come from the bucketed prefix sum; the domain base is a
-    running sum over a table with one row per (split, domain).
+    One packing pass over the union: rows are ordered by (domain ordinal,
+    order columns) within the split; the bucket is the ordinal times a stride
+    plus the id range bucket, so it stays monotone in that order. The ordinal
+    table has one row per (split, domain) and is broadcast.
     """
-    located = token_offsets(tok_df, STREAM, list(order_cols))
-    sizes = located.groupBy("split", "domain").agg(F.max("stream_len").alias("_len"))
-    bases = _bases(sizes, "_len", domains).select("split", "domain", "_base")
-    # bases: one row per (split, domain) stream -- bounded by the domain registry
-    shifted = located.join(F.broadcast(bases), ["split", "domain"]).withColumn(
-        "offset", F.col("offset") + F.col("_base")
-    ).withColumn("domain", F.lit(name))
-    return rebase(shifted, block_len, STREAM)
+    from corpusflow.operators.packing import pack_blocks
+    from corpusflow.plans.index import MAX_BUCKETS, range_bucket
+
+    order_cols = list(order_cols)
+    names = tok_df.select("split", "domain").distinct()
+    ords = _domain_order(names, domains).select("split", "domain", "_ord")
+    rows = tok_df.join(F.broadcast(ords), ["split", "domain"]).withColumn("domain", F.lit(name))
+    inner = range_bucket(tok_df, order_cols[0], weight="n_tokens", weight_per_bucket=1 << 22)
+    bucket = F.col("_ord") * F.lit(2 * MAX_BUCKETS) + inner
+    return pack_blocks(rows, block_len, STREAM, ["_ord", *order_cols], bucket=bucket)
 
 
 def train_one_eval_all(corpus: DataFrame, domain: str | Column) -> DataFrame:
