@@ -113,7 +113,7 @@ def q_read_archives(spark, base):
     docs = table(spark, base, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"
     )
-    write_archives(docs, root, "name", "text", max_members=200).collect()  # bounded: one row per archive
+    write_archives(docs, root, "name", "text", max_members=200).count()  # runs the writes
     members = read_archives(spark, f"{root}/*.tar.gz")
     return members.select(
         F.regexp_extract("member", r"^(\d+)\.txt$", 1).cast("long").alias("doc_id"),
@@ -148,7 +148,7 @@ def _bin_positions():
 def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
     blocks = blocks_of(spark, base)
-    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS).collect()  # manifest: one row per file
+    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS).count()  # runs the writes
     pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=BLOCK)
     return block_summary(rebase(pieces, BLOCK, PART), PART)
 
