@@ -163,12 +163,15 @@ def _gather(
     src_cols: Sequence[str],
     out_cols: Sequence[str],
     out_block_len: int | None = None,
+    broadcast_spans: bool = False,
 ) -> DataFrame:
     """Copy stream spans to new positions.
 
     ``spans``: (src_cols..., out_cols..., ``start``, ``length``, ``out_offset``).
     Each span is joined to the at most ceil(length/L)+1 source blocks it
     covers (an equi-join on block_id), sliced, and re-grouped by target block.
+    ``broadcast_spans`` is for callers whose span count has a fixed bound (a
+    batch of windows): the block table is then read in place, not shuffled.
     """
     L = F.lit(block_len)
     s, n = F.col("start"), F.col("length")
@@ -176,7 +179,7 @@ def _gather(
         "block_id", F.explode(F.sequence(F.floor(s / L), F.floor((s + n - 1) / L)).cast("array<long>"))
     )
     src = blocks.select(*src_cols, "block_id", "ids")
-    joined = cover.join(src, [*src_cols, "block_id"])
+    joined = (F.broadcast(cover) if broadcast_spans else cover).join(src, [*src_cols, "block_id"])
     lo = F.greatest(s, F.col("block_id") * L)
     hi = F.least(s + n, (F.col("block_id") + 1) * L)
     pieces = joined.select(

@@ -39,7 +39,10 @@ def _windows_from_draws(blocks, draws, block_len, seq_len, src_cols, keep_cols):
         "out_offset", F.lit(0).cast("long")
     )
     out_cols = [*keep_cols, *[c for c in src_cols if c not in keep_cols], "start"]
-    got = _gather(blocks, spans, block_len, src_cols, out_cols, out_block_len=seq_len + 1)
+    # draws are bounded by the batch size: broadcast them, read the blocks in place
+    got = _gather(
+        blocks, spans, block_len, src_cols, out_cols, out_block_len=seq_len + 1, broadcast_spans=True
+    )
     return got.select(
         *out_cols,
         F.slice("ids", 1, seq_len).alias("x"),
