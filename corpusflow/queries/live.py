@@ -27,7 +27,7 @@ def q_stream_token_report(spark, base):
 @register(
     "stream_metric_rollup",
     """WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS t, event_type, value FROM events),
-w AS (SELECT time_bucket(INTERVAL 1 DAY, t) AS ws, event_type, count(*) AS n, round(sum(value), 6) AS value_sum,
+w AS (SELECT time_bucket(INTERVAL 1 DAY, t) AS ws, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS value_sum,
   max_by(value, t) AS last_value FROM e GROUP BY ALL)
 SELECT CAST(ws AS DATE) AS day, event_type, n, value_sum, last_value FROM w
 WHERE ws + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 1 HOUR FROM e)""",
@@ -40,5 +40,5 @@ def q_stream_metric_rollup(spark, base):
     )
     return out.select(
         F.to_date("window_start").alias("day"), "event_type", "n",
-        F.round("value_sum", 6).alias("value_sum"), "last_value",
+        (F.round("value_sum", 6) + F.lit(0.0)).alias("value_sum"), "last_value",
     )

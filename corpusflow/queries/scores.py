@@ -43,12 +43,12 @@ def emb(spark, base):
 @register(
     "accuracy",
     f"""WITH {EMB_SQL}
-SELECT layer, count(*) AS n, round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+SELECT layer, count(*) AS n, round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy
 FROM emb GROUP BY layer""",
 )
 def q_accuracy(spark, base):
     a = accuracy(emb(spark, base), "logits", "label", ["layer"])
-    return a.select("layer", "n", F.round("accuracy", 6).alias("accuracy"))
+    return a.select("layer", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
 
 
 LSE = "(list_max(dlogits) + ln(list_sum(list_transform(dlogits, lambda x: exp(x - list_max(dlogits))))))"
@@ -57,18 +57,18 @@ LSE = "(list_max(dlogits) + ln(list_sum(list_transform(dlogits, lambda x: exp(x
 @register(
     "cross_entropy",
     f"""WITH {EMB_SQL}
-SELECT layer, count(*) AS n, round(avg({LSE} - dlogits[label + 1]), 6) AS loss FROM emb GROUP BY layer""",
+SELECT layer, count(*) AS n, round(avg({LSE} - dlogits[label + 1]), 6) + 0.0 AS loss FROM emb GROUP BY layer""",
 )
 def q_cross_entropy(spark, base):
     c = cross_entropy(emb(spark, base), "logits", "label", ["layer"])
-    return c.select("layer", "n", F.round("loss", 6).alias("loss"))
+    return c.select("layer", "n", (F.round("loss", 6) + F.lit(0.0)).alias("loss"))
 
 
 @register(
     "masked_token_loss",
     f"""WITH {EMB_SQL}, t AS (SELECT e.*, coalesce(l.quality, -1) AS target FROM emb e LEFT JOIN labels l ON l.doc_id = e.vec_id)
 SELECT layer, count(*) AS n_tokens, CAST(sum(CASE WHEN target <> -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_unmasked,
-  round(sum(CASE WHEN target <> -1 THEN {LSE} - dlogits[target + 1] ELSE 0.0 END) / sum(CASE WHEN target <> -1 THEN 1.0 ELSE 0.0 END), 6) AS loss
+  round(sum(CASE WHEN target <> -1 THEN {LSE} - dlogits[target + 1] ELSE 0.0 END) / sum(CASE WHEN target <> -1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS loss
 FROM t GROUP BY layer""",
 )
 def q_masked_token_loss(spark, base):
@@ -77,7 +77,7 @@ def q_masked_token_loss(spark, base):
         "target", F.coalesce("quality", F.lit(-1))
     )
     m = masked_token_loss(scored, "logits", "target", ["layer"])
-    return m.select("layer", "n_tokens", "n_unmasked", F.round("loss", 6).alias("loss"))
+    return m.select("layer", "n_tokens", "n_unmasked", (F.round("loss", 6) + F.lit(0.0)).alias("loss"))
 
 
 def _softmax_sql(t: float) -> str:
@@ -88,16 +88,16 @@ def _softmax_sql(t: float) -> str:
 @register(
     "softmax_temperature",
     f"""WITH {EMB_SQL}, p AS (SELECT vec_id, {_softmax_sql(0.7)} AS probs FROM emb)
-SELECT vec_id, round(list_max(probs), 6) AS p_max, CAST(list_position(probs, list_max(probs)) - 1 AS BIGINT) AS p_argmax,
-  round(list_sum(probs), 6) AS p_sum FROM p""",
+SELECT vec_id, round(list_max(probs), 6) + 0.0 AS p_max, CAST(list_position(probs, list_max(probs)) - 1 AS BIGINT) AS p_argmax,
+  round(list_sum(probs), 6) + 0.0 AS p_sum FROM p""",
 )
 def q_softmax_temperature(spark, base):
     p = softmax_temperature(emb(spark, base), "logits", 0.7)
     return p.select(
         "vec_id",
-        F.round(F.array_max("probs"), 6).alias("p_max"),
+        (F.round(F.array_max("probs"), 6) + F.lit(0.0)).alias("p_max"),
         V.argmax(F.col("probs")).alias("p_argmax"),
-        F.round(V.array_sum(F.col("probs")), 6).alias("p_sum"),
+        (F.round(V.array_sum(F.col("probs")), 6) + F.lit(0.0)).alias("p_sum"),
     )
 
 
@@ -117,13 +117,13 @@ def q_draw_from_probs(spark, base):
     "top_k_mask",
     f"""WITH {EMB_SQL}, k AS (SELECT vec_id, dlogits, list_reverse_sort(dlogits)[least(3, len(dlogits))] AS thr FROM emb)
 SELECT vec_id, CAST(len(list_filter(dlogits, lambda x: x >= thr)) AS BIGINT) AS n_kept,
-  round(list_sum(list_filter(dlogits, lambda x: x >= thr)), 4) AS kept_sum FROM k""",
+  round(list_sum(list_filter(dlogits, lambda x: x >= thr)), 4) + 0.0 AS kept_sum FROM k""",
 )
 def q_top_k_mask(spark, base):
     m = top_k_mask(emb(spark, base).withColumn("d", V.as_double(F.col("logits"))), "d", 3, "masked")
     kept = F.filter("masked", lambda x: x > F.lit(float("-inf")))
     return m.select(
-        "vec_id", F.size(kept).cast("long").alias("n_kept"), F.round(V.array_sum(kept), 4).alias("kept_sum")
+        "vec_id", F.size(kept).cast("long").alias("n_kept"), (F.round(V.array_sum(kept), 4) + F.lit(0.0)).alias("kept_sum")
     )
 
 
@@ -161,7 +161,7 @@ def q_linear_probe(spark, base):
     with ThreadPoolExecutor(3) as pool:
         fitted = list(pool.map(fit, (0, 1, 2)))
     out = fitted[0].unionByName(fitted[1]).unionByName(fitted[2])
-    return out.select("layer", "split", "n", F.round("accuracy", 6).alias("accuracy"))
+    return out.select("layer", "split", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
 
 
 @register(
