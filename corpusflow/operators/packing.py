@@ -94,9 +94,10 @@ def _cut_schema(df: DataFrame, part_cols: Sequence[str]) -> str:
     )
 
 
-def _cut_bucket(part_cols, order_cols, block_len):
+def _cut_bucket(part_cols, order_cols, block_len, keep_whole: bool):
     """Arrow function for one (partition, bucket) group: its tokens are one
-    contiguous run of the stream, cut into block pieces by slicing offsets."""
+    contiguous run of the stream, cut into block pieces by slicing offsets.
+    ``keep_whole`` selects complete blocks, else only the boundary pieces."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -117,15 +118,18 @@ def _cut_bucket(part_cols, order_cols, block_len):
         blocks = np.arange(lo // L, (hi - 1) // L + 1, dtype=np.int64)
         starts = np.maximum(lo, blocks * L)
         ends = np.minimum(hi, (blocks + 1) * L)
-        offsets = np.append(starts - lo, ends[-1] - lo).astype(np.int32)
         whole = (starts == blocks * L) & ((ends == (blocks + 1) * L) | (ends == total))
+        keep = whole if keep_whole else ~whole
+        offsets = np.append(starts - lo, ends[-1] - lo).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), values.cast(pa.int32())).filter(pa.array(keep))
+        blocks, starts, whole = blocks[keep], starts[keep], whole[keep]
         k = len(blocks)
         return pa.table({
             **{c: pa.array([cols[c]] * k, tbl.schema.field(c).type) for c in part_cols},
             "block_id": pa.array(blocks),
             "lo": pa.array(starts),
-            "ids": pa.ListArray.from_arrays(pa.array(offsets), values.cast(pa.int32())),
-            "whole": pa.array(whole),
+            "ids": ids,
+            "whole": pa.array(whole, pa.bool_()),
         })
 
     return cut
@@ -156,12 +160,16 @@ def pack_blocks(
         )
     based = bucket_bases(tok_df.select(*part_cols, *order_cols, "ids", "n_tokens"), part_cols, bucket,
                          weight="n_tokens")
-    pieces = based.select(*part_cols, "_bkt", *order_cols, "ids", "_bwbase", "_total").groupBy(
+    grouped = based.select(*part_cols, "_bkt", *order_cols, "ids", "_bwbase", "_total").groupBy(
         *part_cols, "_bkt"
-    ).applyInArrow(_cut_bucket(part_cols, order_cols, block_len), _cut_schema(tok_df, part_cols))
-    whole = pieces.where("whole").select(*part_cols, "block_id", "ids")
-    edges = pieces.where(~F.col("whole")).select(*part_cols, "block_id", "lo", F.col("ids").alias("frag"))
-    return whole.unionByName(regroup_blocks(edges, part_cols))
+    )
+    schema = _cut_schema(tok_df, part_cols)
+    # both branches read the same grouping shuffle (Spark reuses the exchange)
+    whole = grouped.applyInArrow(_cut_bucket(part_cols, order_cols, block_len, True), schema)
+    edges = grouped.applyInArrow(_cut_bucket(part_cols, order_cols, block_len, False), schema)
+    return whole.select(*part_cols, "block_id", "ids").unionByName(
+        regroup_blocks(edges.select(*part_cols, "block_id", "lo", F.col("ids").alias("frag")), part_cols)
+    )
 
 
 def pack_blocks_exploded(

@@ -10,11 +10,11 @@ the same numbers in two levels:
    (partition, bucket) -- a table of at most ``#partitions x #buckets`` rows;
 3. an exclusive running sum over that small table gives each bucket its base
    (the only ordered window, over few rows);
-4. the base joins back on (partition, bucket) -- AQE turns this into a
-   broadcast join once the stats side is measured small, and keeps a shuffle
-   join otherwise -- and a window inside (partition, bucket) adds the local
-   rank.  The join's shuffle already partitions by (partition, bucket), so
-   the inner window needs no second exchange.
+4. the bases are written to the shared folder (small: one row per
+   partition and bucket) and join back on (partition, bucket): a broadcast
+   join when their measured size allows, a shuffle join otherwise; a window
+   inside (partition, bucket) adds the local rank. A shuffle join already
+   partitions by (partition, bucket), so the inner window adds no exchange.
 
 The bucket count is bounded, so steps 2-3 stay small at any input size and
 the work of step 4 is spread over many tasks.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hex_prefix_int
+from corpusflow.session import materialise
 
 ROWS_PER_BUCKET = 20_000
 MAX_BUCKETS = 1 << 20
@@ -111,7 +112,11 @@ def bucket_bases(
             F.coalesce(F.sum("_bw").over(before), F.lit(0)).cast("long").alias("_bwbase"),
             F.sum("_bw").over(wpart).cast("long").alias(total_col),
         ]
-    bases = stats.select(*cols)
+    # Written to the shared folder before the join: the planner then sees the
+    # real (small) size of the bases and broadcasts them -- never the row side,
+    # whose static estimate can look small -- and keeps a shuffle join when
+    # the bases are too large to broadcast. Also spares recomputing the stats.
+    bases = materialise(stats.select(*cols), "bucket-bases")
     return b.join(bases, [*part_cols, "_bkt"], "inner")
 
 
