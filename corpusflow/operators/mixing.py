@@ -203,30 +203,33 @@ def noise_tokens(
 
     ``sizes``: (src_cols..., ``n``) -- how many tokens to draw from each stream.
     Draw ``j`` takes position ``hash_index(seed, stream_len, j)``. A random
-    gather is inherently one row per drawn token; the draws are generated per
-    output block and joined to source blocks on ``block_id`` (uniform keys).
+    gather is inherently one row per drawn token: the draws (generated per
+    output block) join the source blocks on ``block_id`` (uniform keys), pick
+    their id with ``element_at``, and are re-grouped by output block.
     """
     lens = stream_lengths(blocks, src_cols)
     plan = sizes.join(F.broadcast(lens), list(src_cols)).where(F.col("stream_len") > 0)
     L = F.lit(block_len)
-    out_blocks = plan.withColumn(
+    out_blocks = plan.where(F.col("n") > 0).withColumn(
         "_ob", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / L) - 1))
-    ).where(F.col("n") > 0)
+    )
     draws = out_blocks.withColumn(
         "_j",
         F.explode(
             F.sequence(F.col("_ob") * L, F.least(F.col("n"), (F.col("_ob") + 1) * L) - 1)
         ),
-    ).withColumn("start", hash_index(seed, F.col("stream_len"), *src_cols, "_j"))
-    spans = draws.select(
-        *src_cols,
-        F.lit(name).alias("_out"),
-        "start",
-        F.lit(1).cast("long").alias("length"),
-        F.col("_j").alias("out_offset"),
+    ).withColumn("_pos", hash_index(seed, F.col("stream_len"), *src_cols, "_j"))
+    draws = draws.select(
+        *src_cols, "_ob", "_j",
+        F.floor(F.col("_pos") / L).cast("long").alias("block_id"),
+        F.pmod(F.col("_pos"), L).cast("int").alias("_i"),
+    )
+    picked = draws.join(blocks.select(*src_cols, "block_id", "ids"), [*src_cols, "block_id"]).select(
+        "split", "_ob", F.struct("_j", F.element_at("ids", F.col("_i") + 1).alias("_id")).alias("_d")
     )
-    out = _gather(blocks, spans, block_len, src_cols, ["split", "_out"])
-    return out.withColumnRenamed("_out", "domain")
+    return picked.groupBy("split", "_ob").agg(
+        F.transform(F.array_sort(F.collect_list("_d")), lambda d: d["_id"]).alias("ids")
+    ).select("split", F.lit(name).alias("domain"), F.col("_ob").alias("block_id"), "ids")
 
 
 def resample_spans(
