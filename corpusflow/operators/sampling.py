@@ -72,7 +72,7 @@ def sample_windows(
 def domain_weight_table(lens: DataFrame, weights: dict[str, float] | None, seq_len: int) -> DataFrame:
     """Domains with at least one window, cumulative weights as half-open [lo, hi) ranges.
 
-    One row per domain: small by construction, so it is broadcast to the draws.
+    One row per domain: small by construction (the domain registry).
     """
     lens = lens.withColumn("_nw", n_windows(F.col("stream_len"), seq_len)).where(F.col("_nw") > 0)
     if weights is None:
@@ -110,17 +110,34 @@ def sample_domains_weighted(
 ) -> DataFrame:
     """Draw a domain per sample by weight (uniform by default), then a window in it.
 
-    The domain draw is a broadcast range join ``lo <= u < hi`` against the
-    per-domain weight table. Output: ``sample_id, domain, domain_id, start, x, y``.
+    The per-domain weight table (half-open ranges ``lo <= u < hi``) has one row
+    per domain; it is read to the driver and becomes a ``CASE`` over the
+    bounds, so the draw needs no join. Output: ``sample_id, domain, domain_id,
+    start, x, y``.
     """
     spark = blocks.sparkSession
     lens = stream_lengths(blocks.where(F.col("split") == split))
-    table = domain_weight_table(lens, weights, seq_len)
+    # one row per domain (registry-sized): the draw is a CASE over its bounds, no join
+    table = domain_weight_table(lens, weights, seq_len).orderBy("domain_id").collect()
+    if not table:
+        raise ValueError(f"no domain of split {split!r} has a window of length {seq_len}")
     draws = spark.range(batch_size).withColumnRenamed("id", "sample_id").withColumn(
         "_u", hash_uniform(seed, F.lit("domain"), "sample_id")
     )
-    picked = draws.join(
-        F.broadcast(table), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))
+    pick = F.lit(len(table) - 1)
+    for r in reversed(table[:-1]):
+        pick = F.when(F.col("_u") < F.lit(r["hi"]), F.lit(r["domain_id"])).otherwise(pick)
+    pick = F.when(F.col("_u") < F.lit(table[0]["lo"]), F.lit(None)).otherwise(pick)
+    names = F.array(*[F.lit(r["domain"]) for r in table])
+    n_win = F.array(*[F.lit(r["_nw"]).cast("long") for r in table])
+    picked = draws.withColumn("domain_id", pick.cast("long")).where(
+        F.col("domain_id").isNotNull()
+    ).select(
+        F.lit(split).alias("split"),
+        F.element_at(names, (F.col("domain_id") + 1).cast("int")).alias("domain"),
+        "sample_id",
+        "domain_id",
+        F.element_at(n_win, (F.col("domain_id") + 1).cast("int")).alias("_nw"),
     )
     picked = picked.withColumn(
         "start", hash_index(seed, F.col("_nw"), F.lit("window"), "sample_id") * F.lit(seq_len)

@@ -211,6 +211,16 @@ def head_flag(
         F.col("_rn") == F.col("_need")
     ).select(*part_cols, F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)]).alias("_thr"))
     key = F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
+    if no_part:
+        # one partition: the threshold is a single value, used as a literal (no join)
+        row = thr.select("_thr").first()
+        if row is None:
+            flag = F.lit(False)
+        else:
+            t = row["_thr"]
+            flag = key <= F.struct(*[F.lit(t[f"_t{i}"]).alias(f"_t{i}") for i in range(len(order_cols))])
+        out = b.withColumn(flag_col, flag).drop("_bkt")
+        return out.drop("_part")
     out = b.join(hint(thr), part_cols, "left").withColumn(
         flag_col, F.coalesce(key <= F.col("_thr"), F.lit(False))
     )
