@@ -40,19 +40,17 @@ def documents_corpus(
 
 
 def _benchmark(spark, base):
-    bench = table(spark, base, "benchmark").select(
-        F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("domain")
-    )
-    return split_shuffled(bench, "doc_id", 0.1, DEFAULT_SEED, part_cols=["domain"])
+    # a one-domain corpus: split unpartitioned, then label (a literal partition
+    # column would be folded by the optimizer into a join on a constant)
+    bench = table(spark, base, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return split_shuffled(bench, "doc_id", 0.1, DEFAULT_SEED).withColumn("domain", F.lit("benchmark"))
 
 
 def _pages(spark, base):
     pages = table(spark, base, "pages").select(
-        F.col("page_id").alias("doc_id"),
-        strip_markup_expr(F.col("html"), "html").alias("text"),
-        F.lit("pages").alias("domain"),
+        F.col("page_id").alias("doc_id"), strip_markup_expr(F.col("html"), "html").alias("text")
     )
-    return split_shuffled(pages, "doc_id", 0.05, DEFAULT_SEED, part_cols=["domain"])
+    return split_shuffled(pages, "doc_id", 0.05, DEFAULT_SEED).withColumn("domain", F.lit("pages"))
 
 
 class Catalog:
