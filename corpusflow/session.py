@@ -37,6 +37,7 @@ def get_spark(
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -103,3 +104,42 @@ def session_cached(spark: SparkSession, key: str, build) -> DataFrame:
     digest = hashlib.md5(f"{app}:{key}".encode()).hexdigest()[:16]
     path = f"{checkpoint_root(spark)}/corpusflow/cache/{digest}"
     return materialise_once(build, path, spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusflow`` importable in every Python worker of this application.
+
+    UDFs defined in the package are pickled by reference, so executors must be
+    able to import it. The package sources are zipped once into the shared
+    folder (content-addressed name) and added with ``addPyFile``, which
+    distributes them with the tasks; the driver's ``sys.path`` alone would
+    not reach the workers.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import corpusflow
+    from corpusflow.sources import fs
+
+    pkg_dir = os.path.dirname(os.path.abspath(corpusflow.__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in sorted(os.walk(pkg_dir)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    arc = os.path.relpath(full, os.path.dirname(pkg_dir))
+                    zf.writestr(zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
+    data = buf.getvalue()
+    path = f"{checkpoint_root(spark)}/corpusflow/pyfiles/corpusflow-{hashlib.md5(data).hexdigest()[:12]}.zip"
+    if not fs.exists(path):
+        fs.write_atomic(path, data)
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
