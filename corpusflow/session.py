@@ -116,14 +116,15 @@ def ship_package(spark: SparkSession) -> None:
     able to import it. The package sources are zipped once into the shared
     folder (content-addressed name) and added with ``addPyFile``, which
     distributes them with the tasks; the driver's ``sys.path`` alone would
-    not reach the workers.
+    not reach the workers. Set ``CORPUSFLOW_SHIP=0`` where the package is
+    already installed on every executor.
     """
     import hashlib
     import io
     import zipfile
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or os.environ.get("CORPUSFLOW_SHIP") == "0":
         return
     import corpusflow
     from corpusflow.sources import fs
