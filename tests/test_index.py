@@ -41,3 +41,27 @@ def test_no_single_partition_exchange_on_rows(spark):
         if "SinglePartition" in line:
             below = plan[plan.index(line):]
             assert "HashAggregate" in below.splitlines()[1]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.013, 0.5, 1.0])
+def test_head_flag_equals_rank_cut(spark, share):
+    import math
+
+    from corpusflow.plans.index import head_flag
+
+    rng = random.Random(7)
+    rows = [(rng.choice("abcd"), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, id long").withColumn(
+        "k", F.md5(F.col("id").cast("string"))
+    )
+    cut = lambda n: F.ceil(F.lit(share) * n.cast("double"))
+    for parts in (["g"], []):
+        got = {r.id: r._head for r in head_flag(df, ["k", "id"], parts, hash_bucket("k", 2), cut).collect()}
+        w = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+        ref = df.select(
+            "id",
+            (F.row_number().over(w.orderBy("k", "id")) - 1).alias("r"),
+            F.count("*").over(w).alias("n"),
+        ).collect()
+        want = {r.id: r.r < math.ceil(share * r.n) for r in ref}
+        assert got == want
