@@ -4,11 +4,12 @@ representation covariance and rank, linear probes, metric roll-ups."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import vectors as V
@@ -182,6 +183,31 @@ def linear_probe(
     return model, acc
 
 
+def linear_probe_sweep(
+    reps: DataFrame,
+    vec_col: str,
+    label_col: str,
+    split_col: str = "split",
+    max_iters: Sequence[int] = (10, 25, 50, 100),
+    reg: float = 0.0,
+) -> DataFrame:
+    """Probe accuracies for several training budgets; the best validation one is flagged.
+
+    The probe keeps its best validation accuracy over training; Spark's fit
+    exposes only its final model, so each budget is one distributed fit and
+    ``is_best`` marks the validation row with the highest accuracy (the
+    smallest budget on ties).
+    """
+    frames = []
+    for it in max_iters:
+        _, acc = linear_probe(reps, vec_col, label_col, split_col, max_iter=it, reg=reg)
+        frames.append(acc.withColumn("max_iter", F.lit(int(it))))
+    accs = reduce(lambda a, b: a.unionByName(b), frames)
+    val = F.col(split_col) == "val"
+    w = Window.partitionBy(split_col).orderBy(F.desc("accuracy"), F.asc("max_iter"))
+    return accs.withColumn("is_best", val & (F.row_number().over(w) == 1))
+
+
 def metric_rollup(
     log: DataFrame,
     axis_col: str,

@@ -74,3 +74,20 @@ def test_last_position_logits(spark):
     )
     last = last_position(df, ["example"], "pos", ["logits", "label"])
     assert accuracy(last, "logits", "label").first().accuracy == 1.0
+
+
+def test_linear_probe_sweep_flags_best(spark):
+    from corpusflow.operators.evaluation import linear_probe_sweep
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        label = i % 3
+        vec = (rng.normal(size=4) + 3 * np.eye(4)[label]).tolist()
+        rows.append((vec, label, "val" if i % 5 == 0 else "train"))
+    df = spark.createDataFrame(rows, "v array<double>, y int, split string")
+    out = linear_probe_sweep(df, "v", "y", max_iters=(2, 20)).collect()
+    best = [r for r in out if r.is_best]
+    assert len(best) == 1 and best[0].split == "val"
+    assert best[0].accuracy == max(r.accuracy for r in out if r.split == "val")
+    assert best[0].accuracy > 0.8
