@@ -42,16 +42,21 @@ def get_spark(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set one only if unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder of the session: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Only a local master without either (tests, laptops) gets a folder of its own, once per session;
+    on a cluster a missing folder is an error, since executors cannot see the driver's disk.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        try:
-            root = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset config raises
-            root = None
+        root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
