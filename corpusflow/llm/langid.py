@@ -24,7 +24,7 @@ SAMPLE_PER_LANG = 1000  # labelled texts that are fitted for each language, at m
 CENTROIDS_PER_LANG = 4
 ROUNDS = 10
 #: A text is rejected if its best cosine is below this part of what all but 1 % of the sample reach.
-REJECT_PART = 0.5
+REJECT_PART = 0.25
 UNKNOWN = "und"
 SLICE_BYTES = 1_000_000
 
