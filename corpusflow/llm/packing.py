@@ -14,6 +14,7 @@ that is not full, so nothing has to be shuffled: the texts are read once.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -28,7 +29,8 @@ TIERS = (1024, 512, 256, 128)
 STEP_WINDOWS = 16  # a step group holds as many tokens as so many windows of the longest tier
 CELL_TOKENS = 4_000_000
 END_ID = 0
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000  # distinct pieces that a task remembers
+RUN = 200  # pieces that are encoded together
 
 SCHEMA = (
     "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -47,12 +49,21 @@ class ByteBpe:
     """Token ids of whole texts by a byte-level BPE tokenizer file.
 
     Its pre-tokenizer never joins what stands on both sides of a single space between two other
-    characters. Texts are cut there, and each distinct piece of a batch is encoded once.
+    characters. Texts are cut there, and each distinct piece of a batch that is not known from an
+    earlier one is encoded once. Pieces that may follow each other in a text are encoded in runs.
     """
 
     def __init__(self, path: str):
-        self.path = path
-        self.known: dict[bytes, np.ndarray] = {}
+        self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one character stands for one byte
+        self.forget()
+
+    def forget(self):
+        self.known: dict[bytes, int] = {}
+        self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id, tokens per text)."""
@@ -64,33 +75,45 @@ class ByteBpe:
         bounds = np.append(starts, len(data))
         buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-        values = self._ids(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        flat_ids = np.concatenate(values)
+        place, sizes, ids = self._look_up(pieces.dictionary.to_pylist())
         at = np.cumsum(sizes) - sizes
-        piece = np.asarray(pieces.indices)
+        piece = place[np.asarray(pieces.indices)]
         lengths = sizes[piece]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         take = np.arange(ends[-1]) + np.repeat(at[piece] - ends[:-1], lengths)
-        per_text = np.diff(ends[np.searchsorted(starts, offsets)])
-        total = per_text + 1
+        total = np.diff(ends[np.searchsorted(starts, offsets)]) + 1
         out = np.full(int(total.sum()), END_ID, dtype=np.uint32)
         mask = np.ones(len(out), dtype=bool)
         mask[np.cumsum(total) - 1] = False
-        out[mask] = flat_ids[take]
+        out[mask] = ids[take]
         return out, total
 
-    def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each piece, tokens of each place, their ids)."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {}
+            self.forget()
             new = pieces
-        tokenizer = _tokenizer(self.path)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, dtype=np.uint32)) for p, e in zip(part, found))
-        return [self.known[p] for p in pieces]
+        inner = [p for p in new if _JOINABLE.fullmatch(p)]
+        outer = [p for p in new if not _JOINABLE.fullmatch(p)]
+        for part, run in ((inner, RUN), (outer, 1)):
+            if not part:
+                continue
+            joined = [b"".join(part[i : i + run]).decode() for i in range(0, len(part), run)]
+            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+            ends = np.cumsum([len(p) for p in part])
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+            self.sizes.append(np.diff(last + 1, prepend=0))
+            self.ids.append(ids)
+        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
+        return np.array([self.known[p] for p in pieces]), self.sizes[0], self.ids[0]
+
+
+#: A space and a sure character before anything that ends in a sure one: may follow its like in a text.
+_SURE = rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf])"
+_JOINABLE = re.compile(rb" (?=" + _SURE + rb")(?:.*" + _SURE + rb")", re.DOTALL)
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
