@@ -14,9 +14,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.sample import least_hashed
 from corpusflow.llm.textbytes import flat, slices
 
 FEATURES = 4096
@@ -100,14 +101,12 @@ def fit(
 ) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of each language, those of least md5 of the id among ``usable`` ones.
 
-    Only ids and labels are ranked (Spark keeps ``per_lang`` rows per language and task before the
-    shuffle); the chosen texts become trigram counts in the tasks, and only those reach the driver.
+    Only ids and labels are ranked; the chosen texts become trigram counts in the tasks, and only those reach the driver.
     Rows without label, id or letters are not used. Without any usable row every text is unknown.
     """
-    ranked = Window.partitionBy("lang").orderBy("h", "id")
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.col(id_col).cast("string")).alias("h"))
-    ids = ids.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= per_lang).select("id").distinct()
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    ids = least_hashed(ids, "lang", F.lit(per_lang)).select("id").distinct()
     # per_lang rows of each language: a proven bound.
     sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
         F.broadcast(ids), "id"

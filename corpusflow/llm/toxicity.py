@@ -21,9 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.sample import least_hashed
 from corpusflow.llm.textbytes import flat, slices, words
 
 ORDER = 4
@@ -249,10 +250,8 @@ def fit(
     """
     known = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    ranked = Window.partitionBy("y").orderBy(F.md5(F.col("id").cast("string")), "id")
     rows = F.when(F.col("y") == 1, positive_rows).otherwise(negative_rows)
-    chosen = known.withColumn("nth", F.row_number().over(ranked))
-    chosen = chosen.where((F.col("nth") <= rows) & (F.col("nth") <= max(positive_rows, negative_rows))).select("id", "y")
+    chosen = least_hashed(known, "y", rows)
     # positive_rows + negative_rows rows: a proven bound.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = sample.where(F.length("text") <= MAX_FIT_CHARS).select("id", "y", "text")
