@@ -45,6 +45,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _encoder(path: str) -> ByteBpe:
+    """One per worker process, so that tasks share what it has learned."""
+    return ByteBpe(path)
+
+
 class ByteBpe:
     """Token ids of whole texts by a byte-level BPE tokenizer file.
 
@@ -232,7 +238,7 @@ def pack(
     tiers = tuple(tiers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, cell = ByteBpe(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, task, cell = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
