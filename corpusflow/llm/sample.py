@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import materialise
+
 
 def least_hashed(rows: DataFrame, label: str, limit: Column) -> DataFrame:
     """Of (id, ``label``) the ``limit`` rows of each label with the least md5 of the id; limit is a column over label.
@@ -14,7 +16,8 @@ def least_hashed(rows: DataFrame, label: str, limit: Column) -> DataFrame:
     """
     h = F.md5(F.col("id").cast("string"))
     part = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    # Written first: Spark then knows it for a small table, and filters the rows before it shuffles them.
+    sizes = materialise(rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n")), "label-sizes")
     near = rows.join(sizes, F.col(label) == F.col("_label")).where(part * F.col("_n") <= 4 * limit)
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_h", "id"))
     ranked = near.withColumn("_h", h).withColumn("_nth", nth)
