@@ -8,6 +8,7 @@ any file system it knows, and a task that is tried again leaves no second copy.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,14 +71,14 @@ def write_archives(
     url_col: str = "url",
     payload_col: str = "html",
     min_bytes: int = MIN_BYTES,
-    records_per_file: int = 2000,
+    records_per_file: int = 1000,
 ) -> None:
     """Write one WARC record per page: a response with its payload, or a revisit of an equal payload.
 
     Null payloads are empty; null urls become ``urn:page:<id>``. Line ends in urls are dropped, so a
     header stays one line.
     """
-    rows = revisits(pages, id_col, payload_col, min_bytes)
+    rows = revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, min_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     uri = F.coalesce(
         F.regexp_replace(F.col(url_col), r"[\r\n]", ""),
@@ -118,12 +119,14 @@ def write_archives(
         rows.select(record.alias("value"))
         .write.option("lineSep", RECORD_END)
         .option("maxRecordsPerFile", records_per_file)
+        .option("compression", "gzip")
         .text(path)
     )
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """Records of one archive; lengths, not separators, say where a record ends."""
+    """Records of one archive, gzipped or not; lengths, not separators, say where a record ends."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     view = memoryview(data)
     while at < len(data):
