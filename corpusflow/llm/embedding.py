@@ -111,9 +111,19 @@ def _codebook(x: np.ndarray, k: int) -> np.ndarray:
     return codes
 
 
+def _least_hashed(vectors: DataFrame, salt: str, limit: int, rows: int) -> pa.Table:
+    """The ``limit`` of ``rows`` vectors with the least hash of salt and id.
+
+    Only vectors with a hash small enough for four times the limit are sorted, however many there are.
+    """
+    h = F.xxhash64(F.lit(salt), F.col("id"))
+    near = vectors.select("id", "v").where(F.pmod(h, F.lit(1 << 40)) * float(rows) <= 4.0 * limit * (1 << 40))
+    return near.orderBy(F.pmod(h, F.lit(1 << 40)), "id").limit(limit).toArrow()
+
+
 def fit_index(vectors: DataFrame, rows: int, fit_rows: int = FIT_ROWS) -> MultiIndex:
     """Codebooks from at most ``fit_rows`` vectors, those of least hash of the id, of ``rows`` in all."""
-    sample = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
+    sample = _least_hashed(vectors, "fit", fit_rows, rows)
     x = _matrix(sample["v"].combine_chunks())
     k = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, min(MAX_CODES, max(1, len(x) // 10))))
     h = max(1, x.shape[1] // 2)
@@ -121,14 +131,14 @@ def fit_index(vectors: DataFrame, rows: int, fit_rows: int = FIT_ROWS) -> MultiI
 
 
 def visits_needed(
-    vectors: DataFrame, index: MultiIndex, threshold: float, target: float, query_rows: int = QUERY_ROWS
+    vectors: DataFrame, rows: int, index: MultiIndex, threshold: float, target: float, query_rows: int = QUERY_ROWS
 ) -> tuple[int, float]:
     """(visits per vector, recall measured with them): links of sampled queries, searched in all rows.
 
     The tasks give a histogram of how many cells a query has to visit for each of its links, so what
     comes back has at most a row per cell.
     """
-    sample = vectors.select("id", "v").orderBy(F.xxhash64(F.lit("query"), F.col("id")), "id").limit(query_rows).toArrow()
+    sample = _least_hashed(vectors, "query", query_rows, rows)
     queries, names = _matrix(sample["v"].combine_chunks()), np.asarray(sample["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +156,8 @@ def visits_needed(
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["place", "n"])
 
-    rows = vectors.select("id", "v").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    places = sorted((r["place"], r["n"]) for r in rows)
+    found = vectors.select("id", "v").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    places = sorted((r["place"], r["n"]) for r in found)
     total = sum(n for _, n in places)
     need, seen = 1, 0
     for place, n in places:
@@ -307,7 +317,7 @@ def near_vectors(
     n = reps.count()
     if n:
         index = fit_index(reps, n)
-        visits, recall = visits_needed(reps, index, threshold, target_recall)
+        visits, recall = visits_needed(reps, n, index, threshold, target_recall)
         if report is not None:
             report |= {"visits": visits, "recall": recall, "codes": len(index.left)}
         blocks = _spread(_dealt(materialise(_visited(reps, index, visits), "vector-visits")))
