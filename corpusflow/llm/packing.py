@@ -191,7 +191,13 @@ def plan(lengths: np.ndarray, tiers: Sequence[int] = TIERS) -> tuple[np.ndarray,
                     window[0] = (size, (first[0][:half], first[1][:half]), size)
                     continue
                 else:
-                    break
+                    n = min(len(lot[0]) for _, lot, _ in window)
+                    if all(len(lot[0]) == n for _, lot, _ in window):
+                        break  # nothing is left to fill the last window
+                    for w, (got, (d, s), used) in enumerate(window):  # windows that are not made free their pieces
+                        window[w] = (got, (d[:n], s[:n]), used)
+                        give(got, (d[n:], s[n:]))
+                    continue
                 window.append((got, take(got), used))
                 gap -= used
             n = min(len(lot[0]) for _, lot, _ in window)

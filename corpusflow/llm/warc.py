@@ -153,11 +153,8 @@ def parse_archive(data: bytes) -> Iterator[dict]:
 
 def read_archives(spark, path: str) -> DataFrame:
     """A row per record of the archives below ``path``; revisit records have no payload."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string(SCHEMA)
-    arrow = to_arrow_schema(schema)
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in SCHEMA.split(", "))])
 
     def parse(batches):
         for batch in batches:
@@ -173,7 +170,7 @@ def read_archives(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parse, schema)
+    return files.mapInArrow(parse, SCHEMA)
 
 
 def resolve(records: DataFrame) -> DataFrame:
