@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -27,9 +28,9 @@ from corpusflow.llm.textbytes import flat, slices
 
 TIERS = (1024, 512, 256, 128)
 STEP_WINDOWS = 16  # a step group holds as many tokens as so many windows of the longest tier
-CELL_TOKENS = 4_000_000
+CELL_TOKENS = 2_000_000
 END_ID = 0
-CACHE_ENTRIES = 500_000  # distinct pieces that a task remembers
+CACHE_ENTRIES = 300_000  # distinct pieces that a task remembers
 RUN = 200  # pieces that are encoded together
 
 SCHEMA = (
@@ -68,8 +69,8 @@ class ByteBpe:
         self.forget()
 
     def forget(self):
-        self.known: dict[bytes, int] = {}
-        self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        self.known = pa.array([], pa.large_binary())
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id, tokens per text)."""
@@ -81,7 +82,7 @@ class ByteBpe:
         bounds = np.append(starts, len(data))
         buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-        place, sizes, ids = self._look_up(pieces.dictionary.to_pylist())
+        place, sizes, ids = self._look_up(pieces.dictionary)
         at = np.cumsum(sizes) - sizes
         piece = place[np.asarray(pieces.indices)]
         lengths = sizes[piece]
@@ -94,27 +95,32 @@ class ByteBpe:
         out[mask] = ids[take]
         return out, total
 
-    def _look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each piece, tokens of each place, their ids)."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        place = pc.index_in(pieces, value_set=self.known)
+        if len(self.known) + place.null_count > CACHE_ENTRIES:
             self.forget()
-            new = pieces
-        inner = [p for p in new if _JOINABLE.fullmatch(p)]
-        outer = [p for p in new if not _JOINABLE.fullmatch(p)]
-        for part, run in ((inner, RUN), (outer, 1)):
+            place = pa.nulls(len(pieces), pa.int32())
+        fresh = np.asarray(place.is_null())
+        new = pieces.filter(pa.array(fresh)).to_pylist()
+        place = np.array(place.fill_null(0), dtype=np.int64)
+        inner = np.array([_JOINABLE.fullmatch(p) is not None for p in new], dtype=bool)
+        order = np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])
+        place[np.flatnonzero(fresh)[order]] = len(self.known) + np.arange(len(new))
+        for part, run in (([new[i] for i in order[: inner.sum()]], RUN), ([new[i] for i in order[inner.sum() :]], 1)):
             if not part:
                 continue
             joined = [b"".join(part[i : i + run]).decode() for i in range(0, len(part), run)]
-            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
-            ends = np.cumsum([len(p) for p in part])
-            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
-            self.sizes.append(np.diff(last + 1, prepend=0))
-            self.ids.append(ids)
-        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        return np.array([self.known[p] for p in pieces]), self.sizes[0], self.ids[0]
+            encoded = []
+            for i in range(0, len(joined), 20):  # an encoding holds far more than its ids
+                found = self.tokenizer.encode_batch_fast(joined[i : i + 20], add_special_tokens=False)
+                encoded += [np.array(e.ids, dtype=np.uint32) for e in found]
+            ids = np.concatenate(encoded)
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in part]))
+            self.known = pa.concat_arrays([self.known, pa.array(part, pa.large_binary())])
+            self.sizes = np.concatenate([self.sizes, np.diff(last + 1, prepend=0)])
+            self.ids = np.concatenate([self.ids, ids])
+        return place, self.sizes, self.ids
 
 
 #: A space and a sure character before anything that ends in a sure one: may follow its like in a text.
@@ -249,7 +255,7 @@ def pack(
         size = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 1_000_000):
                 tokens, per_text = encoder.encode(texts.slice(a, b - a))
                 held.append((ids.slice(a, b - a), tokens, per_text))
                 size += len(tokens)

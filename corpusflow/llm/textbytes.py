@@ -26,7 +26,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, max_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``max_bytes`` bytes; a longer text is a range of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start, held = 0, 0
