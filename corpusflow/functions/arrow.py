@@ -34,7 +34,7 @@ def _dense(a: pa.Array) -> pa.Array:
 
 
 def _string_parts(s: pa.Array):
-    s = _dense(pc.fill_null(s, ""))
+    s = _dense(pc.fill_null(s, "").cast(pa.string()))
     off = np.frombuffer(s.buffers()[1], dtype=np.int32, count=len(s) + 1)
     buf = s.buffers()[2]
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.zeros(0, np.uint8)
@@ -98,9 +98,9 @@ def lists_from_numpy(chunks: list[np.ndarray], dtype=pa.int32()) -> pa.Array:
     off = np.zeros(len(chunks) + 1, dtype=np.int64)
     np.cumsum(lens, out=off[1:])
     vals = np.concatenate(chunks).astype(np.int32) if chunks else np.zeros(0, np.int32)
-    if off[-1] < 2**31:
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(vals, dtype))
-    return pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(vals, dtype))
+    if off[-1] >= 2**31:
+        raise ValueError("a batch of 2**31 ids or more: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(vals, dtype))
 
 
 _HEX = np.frombuffer(b"0123456789ABCDEF", dtype=np.uint8)
@@ -112,7 +112,9 @@ def ids_md5(ids: pa.Array) -> pa.Array:
     import hashlib
 
     vals, off = _list_parts(ids)
-    v = vals.astype(np.int64) & 0xFFFF
+    v = vals.astype(np.int64)
+    if len(v) and (v.min() < 0 or v.max() > 0xFFFF):
+        raise ValueError("an id does not fit in four hex digits")
     digits = np.stack([_HEX[(v >> s) & 15] for s in (12, 8, 4, 0)], axis=1).reshape(-1)
     raw = digits.tobytes()
     return pa.array(

@@ -11,9 +11,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusflow.functions import vectors as V
 from corpusflow.functions.hashing import hash_uniform
+from corpusflow.session import materialise
 
 
 def last_position(df: DataFrame, example_cols: Sequence[str], pos_col: str, cols: Sequence[str]):
@@ -67,64 +69,72 @@ def top_k_mask(df: DataFrame, vec_col: str, k: int, out_col: str | None = None):
     return df.withColumn(out_col or vec_col, V.top_k_mask(F.col(vec_col), k))
 
 
-COV_SCHEMA = "i int, j int, n long, sxy double, sx double, sy double"
+COV_SCHEMA = "i int, j int, n long, m2 double, mx double, my double"
 
 
-def feature_covariance(
-    reps: DataFrame, vec_col: str, group_cols: Sequence[str] = (), max_tasks: int | None = None
-) -> DataFrame:
-    """Unbiased d x d covariance of the vectors of every group.
-
-    Each task accumulates, per group, the Gram matrix X'X, the column sums and
-    the row count over all its Arrow batches (one numpy matmul per batch) and
-    emits them once: d*d rows per (task, group), whatever the row count.
-    Spark then sums the partials per (group, i, j). ``max_tasks`` coalesces
-    the input splits first (no shuffle) to bound the number of partials;
-    default: twice the cluster parallelism.
+def feature_covariance(reps: DataFrame, vec_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Unbiased d x d covariance of the vectors of every group (null group values are a group).
+
+    Each task accumulates, per group, row count, mean and centred co-moments
+    over all its Arrow batches (merged pairwise, so large means do not cancel)
+    and emits them once: d*d rows per (task, group), whatever the row count.
+    Spark then merges the partials per (group, i, j) around the group's mean.
     """
     group_cols = list(group_cols)
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields if f.name in group_cols]
         + [COV_SCHEMA]
     )
-    inp = reps.select(*group_cols, vec_col)
-    limit = max_tasks or 2 * reps.sparkSession.sparkContext.defaultParallelism
-    inp = inp.coalesce(limit)
+    fields = [f.name for f in reps.schema.fields if f.name in group_cols]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            pdf = rb.to_pandas()
-            groups = pdf.groupby(group_cols, sort=False) if group_cols else [((), pdf)]
-            for key, g in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(g[vec_col].to_numpy()).astype(np.float64)
-                gram, s, n = x.T @ x, x.sum(axis=0), x.shape[0]
+            vectors = rb.column(len(fields))
+            x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(rb.num_rows, -1)
+            keys = list(zip(*(rb.column(k).to_pylist() for k in range(len(fields))))) or [()] * rb.num_rows
+            at: dict = {}
+            for row, key in enumerate(keys):
+                at.setdefault(key, []).append(row)
+            for key, rows in at.items():
+                own = x[rows]
+                mean = own.mean(axis=0)
+                n, m2 = len(own), (own - mean).T @ (own - mean)
                 if key in acc:
-                    a = acc[key]
-                    acc[key] = (a[0] + gram, a[1] + s, a[2] + n)
+                    n0, mean0, m20 = acc[key]
+                    delta = mean - mean0
+                    acc[key] = (
+                        n0 + n, mean0 + delta * (n / (n0 + n)), m20 + m2 + np.outer(delta, delta) * (n0 * n / (n0 + n))
+                    )
                 else:
-                    acc[key] = (gram, s, n)
-        for key, (gram, s, n) in acc.items():
-            d = gram.shape[0]
+                    acc[key] = (n, mean, m2)
+        for key, (n, mean, m2) in acc.items():
+            d = len(mean)
             ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-            out = {c: np.repeat(v, d * d) for c, v in zip(group_cols, key)}
+            ii, jj = ii.ravel(), jj.ravel()
+            out = {c: pa.array([v] * (d * d), rb_types[c]) for c, v in zip(fields, key)}
             out.update(
-                i=ii.ravel().astype(np.int32), j=jj.ravel().astype(np.int32),
-                n=np.full(d * d, n, dtype=np.int64), sxy=gram.ravel(),
-                sx=s[ii.ravel()], sy=s[jj.ravel()],
+                i=pa.array(ii, pa.int32()), j=pa.array(jj, pa.int32()), n=pa.array(np.full(d * d, n, dtype=np.int64)),
+                m2=pa.array(m2.ravel()), mx=pa.array(mean[ii]), my=pa.array(mean[jj]),
             )
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
-
-    parts = inp.mapInArrow(partial, schema)
-    sums = parts.groupBy(*group_cols, "i", "j").agg(
-        F.sum("n").alias("n"), F.sum("sxy").alias("sxy"), F.sum("sx").alias("sx"),
-        F.sum("sy").alias("sy"),
+            yield pa.RecordBatch.from_pydict(out)
+
+    inp = reps.select(*fields, vec_col).where(F.col(vec_col).isNotNull())
+    rb_types = {c: to_arrow_type(reps.schema[c].dataType) for c in fields}
+    parts = materialise(inp.mapInArrow(partial, schema), "covariance-parts")
+    keys = [*fields, "i", "j"]
+    means = parts.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        F.try_divide(F.sum(F.col("n") * F.col("mx")), F.sum("n")).alias("_x"),
+        F.try_divide(F.sum(F.col("n") * F.col("my")), F.sum("n")).alias("_y"),
     )
-    cov = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1)
-    return sums.select(*group_cols, "i", "j", "n", cov.alias("cov"))
+    means = means.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), "_n", "_x", "_y")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)))
+    moved = F.col("m2") + F.col("n") * (F.col("mx") - F.col("_x")) * (F.col("my") - F.col("_y"))
+    cov = F.try_divide(F.sum(moved), F.max("_n") - 1)
+    return parts.join(means, same).groupBy(*keys).agg(F.max("_n").alias("n"), cov.alias("cov"))
 
 
 def feature_rank(cov: DataFrame, group_cols: Sequence[str], eps: float = float(np.finfo(np.float32).eps)):
@@ -216,7 +226,11 @@ def metric_rollup(
     ts_col: str,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Wide table per axis point: latest value (by time) of every metric name."""
+    """Wide table per axis point: latest value (by ``ts_col``) of every metric name.
+
+    Without ``names`` Spark looks them up first. Give ``ts_col`` a column that orders all rows of a
+    name (a struct of time and id) where times repeat.
+    """
     g = log.groupBy(axis_col)
     pivoted = g.pivot(name_col, list(names)) if names is not None else g.pivot(name_col)
     return pivoted.agg(F.max_by(value_col, ts_col))

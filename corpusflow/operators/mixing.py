@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_index, seeded_key
 from corpusflow.operators.packing import fragments, regroup_blocks, token_offsets
-from corpusflow.plans.index import hash_bucket, ordered_index
+from corpusflow.plans.index import ordered_index
 
 STREAM = ["split", "domain"]
 
@@ -65,21 +65,17 @@ def concat_domains(
 ) -> DataFrame:
     """Concatenate the domain streams of each split, in list order, into one stream.
 
-    One packing pass over the union: rows are ordered by (domain ordinal,
-    order columns) within the split; the bucket is the ordinal times a stride
-    plus the id range bucket, so it stays monotone in that order. The ordinal
-    table has one row per (split, domain) and is broadcast.
+    One packing pass over the union: rows are range-partitioned by (domain
+    ordinal, order columns) within the split. The ordinal table has one row per
+    (split, domain); the planner chooses its join.
     """
     from corpusflow.operators.packing import pack_blocks
-    from corpusflow.plans.index import MAX_BUCKETS, range_bucket
 
     order_cols = list(order_cols)
     names = tok_df.select("split", "domain").distinct()
     ords = _domain_order(names, domains).select("split", "domain", "_ord")
-    rows = tok_df.join(F.broadcast(ords), ["split", "domain"]).withColumn("domain", F.lit(name))
-    inner = range_bucket(tok_df, order_cols[0], weight="n_tokens", weight_per_bucket=1 << 22)
-    bucket = F.col("_ord") * F.lit(2 * MAX_BUCKETS) + inner
-    return pack_blocks(rows, block_len, STREAM, ["_ord", *order_cols], bucket=bucket)
+    rows = tok_df.join(ords, ["split", "domain"]).withColumn("domain", F.lit(name))
+    return pack_blocks(rows, block_len, STREAM, ["_ord", *order_cols])
 
 
 def train_one_eval_all(corpus: DataFrame, domain: str | Column) -> DataFrame:
@@ -147,7 +143,7 @@ def shuffle_blocks(
     """
     keyed = blocks.withColumn("_key", seeded_key(seed, *part_cols, "block_id"))
     ranked = ordered_index(
-        keyed, ["_key", "block_id"], part_cols, bucket=hash_bucket("_key"),
+        keyed, ["_key", "block_id"], part_cols,
         weight=F.size("ids"), start_col="offset",
     )
     pieces = ranked.select(

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.plans.index import bucket_bases, ordered_index, range_bucket
+from corpusflow.plans.index import bucket_bases, ordered_index, range_buckets
 
 
 def token_offsets(
@@ -120,6 +120,8 @@ def _cut_bucket(part_cols, order_cols, block_len, keep_whole: bool):
         ends = np.minimum(hi, (blocks + 1) * L)
         whole = (starts == blocks * L) & ((ends == (blocks + 1) * L) | (ends == total))
         keep = whole if keep_whole else ~whole
+        if hi - lo >= 2**31:
+            raise ValueError(f"a bucket of {hi - lo} tokens is too large to cut: lower tokens_per_bucket")
         offsets = np.append(starts - lo, ends[-1] - lo).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), values.cast(pa.int32())).filter(pa.array(keep))
         blocks, starts, whole = blocks[keep], starts[keep], whole[keep]
@@ -145,8 +147,8 @@ def pack_blocks(
 ) -> DataFrame:
     """Tokenised documents -> ``(part..., block_id, ids)`` with ``block_len`` ids per block.
 
-    Only the last block of a stream can be shorter. Documents are bucketed by
-    a monotone key sized to about ``tokens_per_bucket`` tokens; each
+    Only the last block of a stream can be shorter. Documents are range-partitioned
+    into buckets of about ``tokens_per_bucket`` tokens; each
     (partition, bucket) group holds one contiguous run of its stream, so it
     is cut into blocks where it sits (Arrow slicing of the concatenated ids,
     no per-token rows). Only the at most two boundary pieces per group are
@@ -154,12 +156,11 @@ def pack_blocks(
     shuffle, not two.
     """
     part_cols, order_cols = list(part_cols), list(order_cols)
+    tok_df = tok_df.select(*part_cols, *order_cols, "ids", "n_tokens")
     if bucket is None:
-        bucket = range_bucket(
-            tok_df, order_cols[0], weight="n_tokens", weight_per_bucket=tokens_per_bucket
-        )
-    based = bucket_bases(tok_df.select(*part_cols, *order_cols, "ids", "n_tokens"), part_cols, bucket,
-                         weight="n_tokens")
+        tok_df = range_buckets(tok_df, part_cols, order_cols, "n_tokens", tokens_per_bucket)
+        bucket = F.col("_bkt")
+    based = bucket_bases(tok_df, part_cols, bucket, weight="n_tokens")
     grouped = based.select(*part_cols, "_bkt", *order_cols, "ids", "_bwbase", "_total").groupBy(
         *part_cols, "_bkt"
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_index, hash_uniform, seeded_key
 from corpusflow.operators.mixing import STREAM, _gather, stream_lengths
-from corpusflow.plans.index import hash_bucket, ordered_index
+from corpusflow.plans.index import ordered_index
 
 
 def n_windows(stream_len, seq_len: int):
@@ -188,7 +188,7 @@ def epoch_batches(
     bs = min(batch_size, math.ceil(n_total / 2))
     ex = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     ex = ex.withColumn("_key", seeded_key(seed, "epoch", key_col))
-    ranked = ordered_index(ex, ["_key", key_col], ["epoch"], bucket=hash_bucket("_key"))
+    ranked = ordered_index(ex, ["_key", key_col], ["epoch"])
     return ranked.withColumn("batch", F.floor(F.col("_idx") / F.lit(bs)).cast("long")).withColumn(
         "pos", F.pmod(F.col("_idx"), F.lit(bs)).cast("long")
     ).drop("_key", "_idx", "_n")

@@ -70,9 +70,10 @@ _ENCODINGS: dict = {}
 
 
 def _encoding(payload):
-    """One tiktoken encoder per Python worker and vocabulary."""
+    """One tiktoken encoder per Python worker and vocabulary (told apart by content, not by name)."""
     name, ranks, pat_str, special = payload
-    enc = _ENCODINGS.get(name)
+    key = (pat_str, tuple(special), hash(frozenset(ranks.items())))
+    enc = _ENCODINGS.get(key)
     if enc is None:
         import tiktoken
 
@@ -82,19 +83,13 @@ def _encoding(payload):
             mergeable_ranks=ranks,
             special_tokens=dict(special),
         )
-        _ENCODINGS[name] = enc
+        _ENCODINGS[key] = enc
     return enc
 
 
 def _payload(df: DataFrame, vocab: Vocab):
-    data = (vocab.name, vocab.ranks, vocab.pat_str, vocab.special)
-    if len(vocab.ranks) > 4096:  # ship large rank tables once per executor
-        return df.sparkSession.sparkContext.broadcast(data)
-    return data
-
-
-def _value(payload):
-    return payload.value if hasattr(payload, "value") else payload
+    """The vocabulary, shipped once per executor."""
+    return df.sparkSession.sparkContext.broadcast((vocab.name, vocab.ranks, vocab.pat_str, vocab.special))
 
 
 def _encode_column(df: DataFrame, text: Column, vocab: Vocab, append_eot: bool, allow_special: bool):
@@ -103,7 +98,7 @@ def _encode_column(df: DataFrame, text: Column, vocab: Vocab, append_eot: bool,
 
     @arrow_udf("array<int>")
     def encode(s: pa.Array) -> pa.Array:
-        enc = _encoding(_value(payload))
+        enc = _encoding(payload.value)
         texts = pc.fill_null(s, "").to_pylist()
         if allow_special:
             out = [enc.encode(t, allowed_special="all") for t in texts]
@@ -153,13 +148,13 @@ def tokenize_raw(
 
 
 def tokenize_char(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """96-symbol character ids; characters outside the alphabet are dropped.
+    """96-symbol character ids; characters outside the alphabet are dropped, a null text has none.
 
     ``n_tokens`` is computed independently of ``ids`` so that a query which
     only counts tokens never builds the arrays (column pruning removes them).
     """
     return df.withColumn("ids", char_ids(F.col(text_col))).withColumn(
-        "n_tokens", char_count(F.col(text_col))
+        "n_tokens", F.coalesce(char_count(F.col(text_col)), F.lit(0)).cast("long")
     )
 
 
@@ -174,7 +169,7 @@ def detokenize(
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        enc = _encoding(_value(payload))
+        enc = _encoding(payload.value)
         return pa.array(
             [None if x is None else enc.decode(x, errors="replace") for x in ids.to_pylist()],
             pa.string(),

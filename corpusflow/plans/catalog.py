@@ -73,7 +73,10 @@ class Catalog:
             corpus = self._builders[name](spark, base)
             if domain == "all":
                 return corpus
-            return corpus.where(F.col("domain") == domain)
+            found = corpus.where(F.col("domain") == domain)
+            if found.select("domain").limit(1).isEmpty():
+                raise KeyError(f"Unknown domain '{domain}' of dataset '{name}'")
+            return found
         raise KeyError(f"Unknown dataset key '{key}'")
 
 

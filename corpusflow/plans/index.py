@@ -4,10 +4,13 @@ A plain ``row_number() OVER (ORDER BY ...)`` or a running sum partitioned only
 by (split, domain) puts a whole stream into one task. ``ordered_index`` gets
 the same numbers in two levels:
 
-1. every row gets a *bucket*: a coarse key that is monotone in the order
-   (the leading hex digits of an md5 shuffle key, or ``id div width``);
+1. every row gets a *bucket* that is monotone in the order: by default the
+   number of its partition after Spark's range partitioning by (partition
+   columns, order columns), which works for any sortable type, spreads an
+   outlier or a large stream like everything else and has no bucket cap (a
+   caller may give another monotone expression, e.g. leading md5 digits);
 2. a partial + final aggregate counts rows (and sums a weight) per
-   (partition, bucket) -- a table of at most ``#partitions x #buckets`` rows;
+   (partition, bucket);
 3. an exclusive running sum over that small table gives each bucket its base
    (the only ordered window, over few rows);
 4. the bases are written to the shared folder (small: one row per
@@ -16,8 +19,9 @@ the same numbers in two levels:
    inside (partition, bucket) adds the local rank. A shuffle join already
    partitions by (partition, bucket), so the inner window adds no exchange.
 
-The bucket count is bounded, so steps 2-3 stay small at any input size and
-the work of step 4 is spread over many tasks.
+Rows with range buckets are written to the shared folder once, so that every
+reader of the bucket number sees the same boundaries and nothing upstream is
+replayed by steps 2 and 4.
 """
 
 from __future__ import annotations
@@ -30,8 +34,6 @@ from pyspark.sql import functions as F
 from corpusflow.functions.hashing import hex_prefix_int
 from corpusflow.session import materialise
 
-ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 1 << 20
 HASH_DIGITS = 5
 
 
@@ -46,35 +48,25 @@ def hash_bucket(hexcol: Column | str, digits: int = HASH_DIGITS) -> Column:
     return hex_prefix_int(c, digits)
 
 
-def range_bucket(
+def range_buckets(
     df: DataFrame,
-    col: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
+    part_cols: Sequence[str],
+    order_cols: Sequence[str],
     weight: str | None = None,
     weight_per_bucket: int | None = None,
-) -> Column:
-    """``(col - min) div width``, sized so a bucket holds about ``rows_per_bucket`` rows
-    (and, with ``weight``, about ``weight_per_bucket`` units of it, e.g. tokens).
-
-    Runs one small aggregate (min, max, count[, sum]) over the order column.
-    The bucket count grows with the data (capped at ``max_buckets``), so
-    neither the per-bucket work nor the bucket-stats table grows without
-    bound. Assumes the column is spread fairly evenly over its range (dense ids).
+) -> DataFrame:
+    """``df``, written to the shared folder, with ``_bkt``: its range partition by (part_cols, order_cols).
+
+    There are as many buckets as shuffle partitions, and with ``weight`` as many as keep a bucket near
+    ``weight_per_bucket`` if that is more (one aggregate over the weight).
     """
-    aggs = [F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")]
-    if weight is not None:
-        aggs.append(F.sum(weight).alias("w"))
-    row = df.agg(*aggs).first()
-    lo, hi, n = row["lo"], row["hi"], row["n"]
-    if lo is None:
-        return F.lit(0).cast("long")
-    need = -(-n // rows_per_bucket)
-    if weight is not None and weight_per_bucket and row["w"]:
-        need = max(need, -(-int(row["w"]) // weight_per_bucket))
-    buckets = min(max_buckets, max(1, need))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
-    return F.floor((F.col(col) - F.lit(int(lo))) / F.lit(width)).cast("long")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if weight is not None and weight_per_bucket:
+        total = df.agg(F.sum(weight).alias("w")).first()["w"] or 0
+        n = max(n, -(-int(total) // weight_per_bucket))
+    rows = df.repartitionByRange(n, *part_cols, *order_cols)
+    return materialise(rows.withColumn("_bkt", F.spark_partition_id().cast("long")), "range-buckets")
 
 
 def bucket_bases(
@@ -135,17 +127,17 @@ def ordered_index(
 
     Also adds the partition row count. With ``weight``: the exclusive running
     sum of the weight (``start_col``) and the partition total (``total_col``).
-    ``bucket`` must be non-decreasing in ``order_cols``; by default it is a
-    range bucket over the first order column.
+    ``bucket`` must be non-decreasing in ``order_cols``; by default it is the
+    range partition of the row (:func:`range_buckets`).
     """
     part_cols = list(part_cols)
     order_cols = list(order_cols)
-    if bucket is None:
-        bucket = range_bucket(df, order_cols[0])
     no_part = not part_cols
     if no_part:
         df = df.withColumn("_part", F.lit(0))
         part_cols = ["_part"]
+    if bucket is None:
+        df, bucket = range_buckets(df, part_cols, order_cols), F.col("_bkt")
     joined = bucket_bases(df, part_cols, bucket, weight, count_col, total_col)
     inner = Window.partitionBy(*part_cols, "_bkt").orderBy(*order_cols)
     out = joined.withColumn(idx_col, (F.col("_bbase") + F.row_number().over(inner) - 1).cast("long"))
@@ -161,6 +153,9 @@ def ordered_index(
     return out.drop(*drop)
 
 
+TIED = "rows with equal order keys lie on both sides of the cut: the keys must be unique"
+
+
 def head_flag(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -182,6 +177,7 @@ def head_flag(
     4. every row compares its key with its partition's threshold -- a map-side
        join against one row per partition.
 
+    Keys that repeat at the threshold raise an error, since the cut would not be exact.
     ``head_size`` maps the partition row count (a Column) to k. With
     ``broadcast_parts`` the per-partition tables (one row per partition value)
     are broadcast explicitly; pass False when partition values are unbounded.
@@ -206,14 +202,24 @@ def head_flag(
         (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") >= F.col("_k"))
     ).select(*part_cols, F.col("_bkt").alias("_pb"), (F.col("_k") - F.col("_before")).alias("_need"))
     cand = b.join(hint(pivot), [*part_cols]).where(F.col("_bkt") == F.col("_pb"))
-    rn = F.row_number().over(Window.partitionBy(*part_cols).orderBy(*order_cols))
-    thr = cand.select(*part_cols, *order_cols, "_need", rn.alias("_rn")).where(
-        F.col("_rn") == F.col("_need")
-    ).select(*part_cols, F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)]).alias("_thr"))
+    ordered = Window.partitionBy(*part_cols).orderBy(*order_cols)
+    equal = F.count(F.lit(1)).over(Window.partitionBy(*part_cols, *order_cols))
+    thr = cand.select(
+        *part_cols, *order_cols, "_need", F.row_number().over(ordered).alias("_rn"),
+        (F.rank().over(ordered) + equal - 1).alias("_last"),
+    ).where(F.col("_rn") == F.col("_need"))
+    # rows equal to the threshold that lie beyond it could not be told from it
+    thr = thr.select(
+        *part_cols,
+        F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)]).alias("_thr"),
+        (F.col("_last") > F.col("_need")).alias("_tied"),
+    )
     key = F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
     if no_part:
         # one partition: the threshold is a single value, used as a literal (no join)
-        row = thr.select("_thr").first()
+        row = thr.select("_thr", "_tied").first()
+        if row is not None and row["_tied"]:
+            raise ValueError(TIED)
         if row is None:
             flag = F.lit(False)
         else:
@@ -222,7 +228,9 @@ def head_flag(
         out = b.withColumn(flag_col, flag).drop("_bkt")
         return out.drop("_part")
     out = b.join(hint(thr), part_cols, "left").withColumn(
-        flag_col, F.coalesce(key <= F.col("_thr"), F.lit(False))
+        flag_col,
+        F.when(F.col("_tied") & (key == F.col("_thr")), F.raise_error(F.lit(TIED))).otherwise(
+            F.coalesce(key <= F.col("_thr"), F.lit(False))
+        ),
     )
-    out = out.drop("_bkt", "_thr")
-    return out.drop("_part") if no_part else out
+    return out.drop("_bkt", "_thr", "_tied")

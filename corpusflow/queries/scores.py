@@ -1,5 +1,5 @@
 """Queries over scored tables: ``embeddings`` plays logits / representations
-(first 10 dimensions = logits of the 10 labels, ``vec_id % 3`` = layer),
+(the vector = logits, of which labels name one, ``vec_id % 3`` = layer),
 ``labels`` gives token targets (absent row = ignored), ``events`` is the metric log."""
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from corpusflow.plans.catalog import table
 from corpusflow.queries import sql
 from corpusflow.queries.registry import register
 
-N_LOGITS = 10
-EMB_SQL = f"""emb AS (SELECT vec_id, vec_id % 3 AS layer, embedding[1:{N_LOGITS}] AS logits,
-  CAST(embedding[1:{N_LOGITS}] AS DOUBLE[]) AS dlogits, label FROM embeddings)"""
+METRICS = ("click", "error", "purchase", "signup", "view")
+EMB_SQL = """emb AS (SELECT vec_id, vec_id % 3 AS layer, embedding AS logits,
+  CAST(embedding AS DOUBLE[]) AS dlogits, label FROM embeddings)"""
 
 
 def emb(spark, base):
@@ -35,7 +35,7 @@ def emb(spark, base):
         "vec_id",
         F.pmod("vec_id", F.lit(3)).alias("layer"),
         "embedding",
-        F.slice("embedding", 1, N_LOGITS).alias("logits"),
+        F.col("embedding").alias("logits"),
         "label",
     )
 
@@ -166,8 +166,12 @@ def q_linear_probe(spark, base):
 
 @register(
     "metric_rollup",
-    """PIVOT (SELECT CAST(ts AS DATE) AS day, event_type, value, ts FROM events) ON event_type USING max_by(value, ts) GROUP BY day""",
+    "SELECT CAST(ts AS DATE) AS day, "
+    + ", ".join(
+        f"max_by(value, struct_pack(ts := ts, id := event_id)) FILTER (WHERE event_type = '{n}') AS {n}" for n in METRICS
+    )
+    + " FROM events GROUP BY day",
 )
 def q_metric_rollup(spark, base):
-    log = table(spark, base, "events").withColumn("day", F.to_date("ts"))
-    return metric_rollup(log, "day", "event_type", "value", "ts")
+    log = table(spark, base, "events").withColumn("day", F.to_date("ts")).withColumn("at", F.struct("ts", "event_id"))
+    return metric_rollup(log, "day", "event_type", "value", "at", METRICS)

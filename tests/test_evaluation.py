@@ -91,3 +91,12 @@ def test_linear_probe_sweep_flags_best(spark):
     assert len(best) == 1 and best[0].split == "val"
     assert best[0].accuracy == max(r.accuracy for r in out if r.split == "val")
     assert best[0].accuracy > 0.8
+
+
+def test_covariance_of_large_means_and_null_groups(spark):
+    rows = [(None if i < 10 else "a", [1e8 + (i % 2), 1e8 + (i % 2)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(5)
+    got = {(r["g"], r["i"], r["j"]): (r["n"], r["cov"]) for r in feature_covariance(df, "v", ["g"]).collect()}
+    assert len(got) == 8
+    assert got[(None, 0, 1)][0] == 10 and abs(got[(None, 0, 1)][1] - 2.5 / 9) < 1e-6
+    assert got[("a", 0, 1)][0] == 30 and abs(got[("a", 0, 1)][1] - 7.5 / 29) < 1e-6

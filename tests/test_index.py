@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusflow.plans.index import hash_bucket, ordered_index
+from corpusflow.plans.index import hash_bucket, head_flag, ordered_index, range_buckets
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
@@ -31,24 +31,33 @@ def test_ordered_index_hash_bucket_no_partition(spark):
     assert sorted(got.collect()) == sorted(ref.collect())
 
 
-def test_no_single_partition_exchange_on_rows(spark):
-    df = spark.range(1000).withColumn("g", F.lit("x"))
-    plan = ordered_index(df, ["id"], ["g"])._jdf.queryExecution().executedPlan().toString()
-    # a single-partition exchange may only feed the small bucket-stats window;
-    # the row-level row_number is partitioned by the bucket
-    assert "row_number() windowspecdefinition(_bkt" in plan
-    for line in plan.splitlines():
-        if "SinglePartition" in line:
-            below = plan[plan.index(line):]
-            assert "HashAggregate" in below.splitlines()[1]
+def test_ordered_index_any_type_and_outliers(spark):
+    ids = [*range(400), 2**62, -(2**62)]
+    df = spark.createDataFrame([(i, f"path/{i}") for i in ids], "id long, path string")
+    for col, order in (("id", sorted(ids)), ("path", sorted(f"path/{i}" for i in ids))):
+        got = {r[col]: r["_idx"] for r in ordered_index(df, [col]).collect()}
+        assert got == {v: k for k, v in enumerate(order)}
+
+
+def test_outlier_leaves_buckets_even(spark):
+    df = spark.createDataFrame([(i,) for i in [*range(20_000), 2**62]], "id long").withColumn("g", F.lit("x"))
+    sizes = [r["count"] for r in range_buckets(df, ["g"], ["id"]).groupBy("_bkt").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * (20_001 / len(sizes))
+
+
+def test_repeated_keys_at_the_cut_fail(spark):
+    df = spark.createDataFrame([(1, "a")] * 100, "id long, g string").withColumn("k", F.md5(F.col("id").cast("string")))
+    share = lambda n: F.ceil(F.lit(0.05) * n.cast("double"))
+    with pytest.raises(Exception, match="must be unique"):
+        head_flag(df, ["k", "id"], ["g"], hash_bucket("k", 2), share).collect()
+    with pytest.raises(ValueError, match="must be unique"):
+        head_flag(df, ["k", "id"], [], hash_bucket("k", 2), share).collect()
 
 
 @pytest.mark.parametrize("share", [0.0, 0.013, 0.5, 1.0])
 def test_head_flag_equals_rank_cut(spark, share):
     import math
 
-    from corpusflow.plans.index import head_flag
-
     rng = random.Random(7)
     rows = [(rng.choice("abcd"), i) for i in range(700)]
     df = spark.createDataFrame(rows, "g string, id long").withColumn(
