@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_index, seeded_key
 from corpusflow.operators.packing import fragments, regroup_blocks, token_offsets
+from corpusflow.plans.generate import count_up
 from corpusflow.plans.index import ordered_index
 
 STREAM = ["split", "domain"]
@@ -204,11 +205,9 @@ def noise_tokens(
     their id with ``element_at``, and are re-grouped by output block.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(F.broadcast(lens), list(src_cols)).where(F.col("stream_len") > 0)
+    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") > 0)
     L = F.lit(block_len)
-    out_blocks = plan.where(F.col("n") > 0).withColumn(
-        "_ob", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / L) - 1))
-    )
+    out_blocks = count_up(plan, F.ceil(F.col("n") / L), "_ob", chunk=256)
     draws = out_blocks.withColumn(
         "_j",
         F.explode(
@@ -245,13 +244,11 @@ def resample_spans(
     ``out_base + i * ctx_len``. Streams shorter than one span give nothing.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(F.broadcast(lens), list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
+    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
     if "out_base" not in plan.columns:
         plan = plan.withColumn("out_base", F.lit(0).cast("long"))
     n_spans = F.floor(F.col("n") / F.lit(ctx_len)).cast("long")
-    spans = plan.where(n_spans > 0).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0).cast("long"), n_spans - 1))
-    )
+    spans = count_up(plan, n_spans, "_i", chunk=4096)
     spans = spans.withColumn(
         "start", hash_index(seed, F.col("stream_len") - F.lit(ctx_len) + 1, *src_cols, "_i")
     ).withColumn("length", F.lit(ctx_len).cast("long")).withColumn(

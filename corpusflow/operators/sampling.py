@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_index, hash_uniform, seeded_key
 from corpusflow.operators.mixing import STREAM, _gather, stream_lengths
+from corpusflow.plans.generate import count_up
 from corpusflow.plans.index import ordered_index
 
 
@@ -27,10 +28,8 @@ def n_windows(stream_len, seq_len: int):
 
 def window_starts(totals: DataFrame, seq_len: int, len_col: str = "stream_len") -> DataFrame:
     """All window starts of every stream (one row per window, not per token)."""
-    S = F.lit(seq_len)
-    return totals.where(F.col(len_col) > S).withColumn(
-        "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col(len_col) - S - 1, F.lit(seq_len).cast("long")))
-    )
+    counted = count_up(totals, n_windows(F.col(len_col), seq_len), "start")
+    return counted.withColumn("start", F.col("start") * F.lit(seq_len))
 
 
 def _windows_from_draws(blocks, draws, block_len, seq_len, src_cols, keep_cols):

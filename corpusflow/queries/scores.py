@@ -4,6 +4,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import vectors as V
@@ -24,7 +27,9 @@ from corpusflow.operators.splits import split_fraction
 from corpusflow.plans.catalog import table
 from corpusflow.queries import sql
 from corpusflow.queries.registry import register
+from corpusflow.session import materialise
 
+N_BATCHES = 4
 METRICS = ("click", "error", "purchase", "signup", "view")
 EMB_SQL = """emb AS (SELECT vec_id, vec_id % 3 AS layer, embedding AS logits,
   CAST(embedding AS DOUBLE[]) AS dlogits, label FROM embeddings)"""
@@ -144,23 +149,26 @@ def q_feature_covariance(spark, base):
 
 @register("feature_rank")
 def q_feature_rank(spark, base):
-    cov = feature_covariance(emb(spark, base), "embedding", ["layer"])
-    return mean_rank(feature_rank(cov, ["layer"]), ["layer"])
+    # a batch of representations per layer, ranked on its own; every batch counts in the mean
+    reps = emb(spark, base).withColumn("batch", F.pmod(F.floor(F.col("vec_id") / 3), F.lit(N_BATCHES)))
+    cov = feature_covariance(reps, "embedding", ["layer", "batch"])
+    return mean_rank(feature_rank(cov, ["layer", "batch"]), ["layer"])
 
 
 @register("linear_probe")
 def q_linear_probe(spark, base):
     from concurrent.futures import ThreadPoolExecutor
 
-    data = split_fraction(emb(spark, base), "vec_id", 0.8, 2357)
+    data = materialise(split_fraction(emb(spark, base), "vec_id", 0.8, 2357), "probe-split")
+
+    layers = sorted(r["layer"] for r in data.select("layer").distinct().collect())  # layers of a model: few
 
-    def fit(layer):  # one distributed fit per layer; the three run as concurrent jobs
+    def fit(layer):  # one distributed fit per layer, as concurrent jobs
         _, acc = linear_probe(data.where(F.col("layer") == layer), "embedding", "label", max_iter=50)
         return acc.withColumn("layer", F.lit(layer).cast("long"))
 
     with ThreadPoolExecutor(3) as pool:
-        fitted = list(pool.map(fit, (0, 1, 2)))
-    out = fitted[0].unionByName(fitted[1]).unionByName(fitted[2])
+        out = reduce(DataFrame.unionByName, pool.map(fit, layers))
     return out.select("layer", "split", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
 
 

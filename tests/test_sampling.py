@@ -57,3 +57,17 @@ def test_epoch_batches_and_schedule(spark):
     # batch size capped at ceil(n_total / 2)
     small = epoch_batches(df, "k", 512, 1, 9, n_total=10)
     assert small.agg(F.max("batch")).first()[0] == 1
+
+
+def test_window_starts_of_very_long_streams_are_spread(spark):
+    t = spark.createDataFrame([("x", 627_000_000_000)], "domain string, stream_len long")
+    starts = window_starts(t, 128)
+    assert starts.limit(3).count() == 3  # no array of all starts
+
+
+def test_count_up_numbers_every_row(spark):
+    from corpusflow.plans.generate import count_up
+
+    t = spark.createDataFrame([("a", 10), ("b", 0), ("c", -2), ("d", None), ("e", 3)], "k string, n long")
+    got = sorted((r["k"], r["i"]) for r in count_up(t, F.col("n"), "i", chunk=4).collect())
+    assert got == [("a", i) for i in range(10)] + [("e", i) for i in range(3)]
