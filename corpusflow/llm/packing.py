@@ -47,9 +47,9 @@ def _tokenizer(path: str):
 
 
 @cache
-def _encoder(path: str) -> ByteBpe:
+def _encoder(path: str, entries: int) -> ByteBpe:
     """One per worker process, so that tasks share what it has learned."""
-    return ByteBpe(path)
+    return ByteBpe(path, entries)
 
 
 class ByteBpe:
@@ -60,7 +60,8 @@ class ByteBpe:
     earlier one is encoded once. Pieces that may follow each other in a text are encoded in runs.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.tokenizer = _tokenizer(path)
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -98,7 +99,7 @@ class ByteBpe:
     def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each piece, tokens of each place, their ids)."""
         place = pc.index_in(pieces, value_set=self.known)
-        if len(self.known) + place.null_count > CACHE_ENTRIES:
+        if len(self.known) + place.null_count > self.entries:
             self.forget()
             place = pa.nulls(len(pieces), pa.int32())
         fresh = np.asarray(place.is_null())
@@ -239,6 +240,8 @@ def pack(
     tiers: Sequence[int] = TIERS,
     step_windows: int = STEP_WINDOWS,
     cell_tokens: int = CELL_TOKENS,
+    cache_entries: int = CACHE_ENTRIES,
+    slice_bytes: int = 1_000_000,
 ) -> DataFrame:
     """A row per piece: document id, start, length, ``ids`` (little-endian unsigned 32-bit), place in its sequence.
 
@@ -246,16 +249,18 @@ def pack(
     their own, null ids pass through, other columns are ignored. A sequence holds ``sequence_tokens``
     of at most ``tier`` tokens; it needs no padding at a power of two, else padding to the longest
     tier. ``step_id`` groups sequences of one cell. A document longer than a cell is a cell of its own.
+    ``cache_entries`` (distinct pieces that a worker remembers) and ``slice_bytes`` (texts encoded at a
+    time) trade memory for speed; they do not change the result.
     """
     tiers = tuple(tiers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, cell = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, task, cell = _encoder(tokenizer, cache_entries), TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, slice_bytes):
                 tokens, per_text = encoder.encode(texts.slice(a, b - a))
                 held.append((ids.slice(a, b - a), tokens, per_text))
                 size += len(tokens)

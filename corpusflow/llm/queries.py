@@ -47,7 +47,7 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 1024 tokens."""
-    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path(), cache_entries=900_000, slice_bytes=2_000_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
