@@ -9,7 +9,7 @@ task ever holds more than a block's worth of ids per fragment.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from corpusflow.functions.hashing import hash_index, seeded_key
 from corpusflow.operators.packing import fragments, regroup_blocks, token_offsets
 from corpusflow.plans.generate import count_up
 from corpusflow.plans.index import ordered_index
+from corpusflow.session import materialise
 
 STREAM = ["split", "domain"]
 
@@ -79,6 +80,19 @@ def concat_domains(
     return pack_blocks(rows, block_len, STREAM, ["_ord", *order_cols])
 
 
+def concat_streams(
+    blocks: DataFrame, block_len: int, domains: Sequence[str] | None = None, name: str = "all"
+) -> DataFrame:
+    """The streams of each split that a block table holds, one after the other, as one stream."""
+    bases = _bases(stream_lengths(blocks), "stream_len", domains).select("split", "domain", "_base")
+    # Written first, as in carve_tail: a row per stream.
+    located = locate_blocks(blocks, block_len).join(materialise(bases, "concat-bases"), ["split", "domain"])
+    pieces = located.select(
+        "split", F.lit(name).alias("domain"), (F.col("offset") + F.col("_base")).alias("offset"), "n_tokens", "ids"
+    )
+    return rebase(pieces, block_len, STREAM)
+
+
 def train_one_eval_all(corpus: DataFrame, domain: str | Column) -> DataFrame:
     """Train rows of one domain, validation rows of every domain."""
     d = F.lit(domain) if isinstance(domain, str) else domain
@@ -92,33 +106,50 @@ def head_blocks(blocks: DataFrame, n_blocks: int) -> DataFrame:
     return blocks.where(F.col("block_id") < F.lit(n_blocks))
 
 
+def _per_split(sizes: int | Mapping[str, int]) -> Column:
+    """A number for every split: the same for all, or by split name (null where not named)."""
+    if isinstance(sizes, int):
+        return F.lit(sizes).cast("long")
+    if not sizes:
+        return F.lit(None).cast("long")
+    pairs = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    return F.try_element_at(pairs, F.col("split")).cast("long")
+
+
 def carve_tail(
     blocks: DataFrame,
     block_len: int,
-    n_blocks: int,
+    n_blocks: int | Mapping[str, int],
     domains: Sequence[str] | None = None,
     mix_name: str = "mix",
+    head: Mapping[str, int] | None = None,
+    allow_overlap: bool = False,
 ) -> DataFrame:
     """Move the last ``n_blocks * L`` tokens of each stream into a shared ``mix`` stream.
 
-    The kept part of each stream stays at its positions (only the block that
-    holds the cut is shortened); the carved tails are concatenated in domain
-    order and packed afresh. A stream shorter than the tail moves whole.
+    ``n_blocks`` may differ by split (a split that is not named moves nothing). The kept part of each
+    stream stays at its positions (only the block that holds the cut is shortened); the carved tails are
+    concatenated in domain order and packed afresh. A stream shorter than the tail moves whole.
+    Of the splits in ``head`` only the first so many blocks are kept; with ``allow_overlap`` these may
+    reach into the tail, whose tokens then stand in both.
     """
     L = F.lit(block_len)
-    lens = stream_lengths(blocks).withColumn(
-        "_cut", F.greatest(F.col("stream_len") - F.lit(n_blocks * block_len), F.lit(0))
-    )
+    moved_len = F.coalesce(_per_split(n_blocks), F.lit(0)) * L
+    lens = stream_lengths(blocks).withColumn("_cut", F.greatest(F.col("stream_len") - moved_len, F.lit(0)))
+    limit = F.col("stream_len") if allow_overlap else F.col("_cut")
+    first = _per_split(head or {}) * L
+    lens = lens.withColumn("_keep", F.when(first.isNotNull(), F.least(first, limit)).otherwise(F.col("_cut")))
     tails = lens.withColumn("_tail", F.col("stream_len") - F.col("_cut"))
-    bases = _bases(tails, "_tail", domains).select("split", "domain", "_cut", "_base")
-    located = locate_blocks(blocks, block_len).join(F.broadcast(bases), ["split", "domain"])
+    # Written first: the planner knows the size of this row per stream and chooses the join by it.
+    bases = materialise(_bases(tails, "_tail", domains).select("split", "domain", "_cut", "_keep", "_base"), "carve-bases")
+    located = locate_blocks(blocks, block_len).join(bases, ["split", "domain"])
     start = F.col("offset")
     end = F.col("offset") + F.col("n_tokens")
-    kept = located.where(start < F.col("_cut")).select(
+    kept = located.where(start < F.col("_keep")).select(
         "split",
         "domain",
         "block_id",
-        F.slice("ids", F.lit(1), F.least(F.col("_cut") - start, L).cast("int")).alias("ids"),
+        F.slice("ids", F.lit(1), F.least(F.col("_keep") - start, L).cast("int")).alias("ids"),
     )
     moved = located.where(end > F.col("_cut")).select(
         "split",
@@ -160,15 +191,12 @@ def _gather(
     src_cols: Sequence[str],
     out_cols: Sequence[str],
     out_block_len: int | None = None,
-    broadcast_spans: bool = False,
 ) -> DataFrame:
     """Copy stream spans to new positions.
 
     ``spans``: (src_cols..., out_cols..., ``start``, ``length``, ``out_offset``).
     Each span is joined to the at most ceil(length/L)+1 source blocks it
     covers (an equi-join on block_id), sliced, and re-grouped by target block.
-    ``broadcast_spans`` is for callers whose span count has a fixed bound (a
-    batch of windows): the block table is then read in place, not shuffled.
     """
     L = F.lit(block_len)
     s, n = F.col("start"), F.col("length")
@@ -176,7 +204,7 @@ def _gather(
         "block_id", F.explode(F.sequence(F.floor(s / L), F.floor((s + n - 1) / L)).cast("array<long>"))
     )
     src = blocks.select(*src_cols, "block_id", "ids")
-    joined = (F.broadcast(cover) if broadcast_spans else cover).join(src, [*src_cols, "block_id"])
+    joined = cover.join(src, [*src_cols, "block_id"])
     lo = F.greatest(s, F.col("block_id") * L)
     hi = F.least(s + n, (F.col("block_id") + 1) * L)
     pieces = joined.select(
@@ -188,6 +216,20 @@ def _gather(
     return rebase(pieces, out_block_len or block_len, out_cols)
 
 
+TARGET = "_target_split"
+
+
+def _from_split(sizes: DataFrame, source_split: str | None) -> DataFrame:
+    """``sizes`` with the split that is filled in ``TARGET`` and the one it is drawn from in ``split``.
+
+    With a source the few rows are written first, so that its constant name stays a join key.
+    """
+    sizes = sizes.withColumn(TARGET, F.col("split"))
+    if source_split is None:
+        return sizes
+    return materialise(sizes.withColumn("split", F.lit(source_split)), "draw-sizes")
+
+
 def noise_tokens(
     blocks: DataFrame,
     block_len: int,
@@ -195,6 +237,7 @@ def noise_tokens(
     seed,
     src_cols: Sequence[str] = STREAM,
     name: str = "noise",
+    source_split: str | None = None,
 ) -> DataFrame:
     """``n`` tokens drawn independently, with replacement, from a stream (unigram noise).
 
@@ -202,10 +245,12 @@ def noise_tokens(
     Draw ``j`` takes position ``hash_index(seed, stream_len, j)``. A random
     gather is inherently one row per drawn token: the draws (generated per
     output block) join the source blocks on ``block_id`` (uniform keys), pick
-    their id with ``element_at``, and are re-grouped by output block.
+    their id with ``element_at``, and are re-grouped by output block. With ``source_split``
+    the draws of every split come from the stream of that one.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") > 0)
+    plan = _from_split(sizes, source_split).join(lens, list(src_cols)).where(F.col("stream_len") > 0)
+    key_cols = [TARGET if c == "split" else c for c in src_cols]
     L = F.lit(block_len)
     out_blocks = count_up(plan, F.ceil(F.col("n") / L), "_ob", chunk=256)
     draws = out_blocks.withColumn(
@@ -213,18 +258,18 @@ def noise_tokens(
         F.explode(
             F.sequence(F.col("_ob") * L, F.least(F.col("n"), (F.col("_ob") + 1) * L) - 1)
         ),
-    ).withColumn("_pos", hash_index(seed, F.col("stream_len"), *src_cols, "_j"))
+    ).withColumn("_pos", hash_index(seed, F.col("stream_len"), *key_cols, "_j"))
     draws = draws.select(
-        *src_cols, "_ob", "_j",
+        TARGET, *src_cols, "_ob", "_j",
         F.floor(F.col("_pos") / L).cast("long").alias("block_id"),
         F.pmod(F.col("_pos"), L).cast("int").alias("_i"),
     )
     picked = draws.join(blocks.select(*src_cols, "block_id", "ids"), [*src_cols, "block_id"]).select(
-        "split", "_ob", F.struct("_j", F.element_at("ids", F.col("_i") + 1).alias("_id")).alias("_d")
+        TARGET, "_ob", F.struct("_j", F.element_at("ids", F.col("_i") + 1).alias("_id")).alias("_d")
     )
-    return picked.groupBy("split", "_ob").agg(
+    return picked.groupBy(TARGET, "_ob").agg(
         F.transform(F.array_sort(F.collect_list("_d")), lambda d: d["_id"]).alias("ids")
-    ).select("split", F.lit(name).alias("domain"), F.col("_ob").alias("block_id"), "ids")
+    ).select(F.col(TARGET).alias("split"), F.lit(name).alias("domain"), F.col("_ob").alias("block_id"), "ids")
 
 
 def resample_spans(
@@ -236,29 +281,32 @@ def resample_spans(
     src_cols: Sequence[str] = STREAM,
     out_cols: Sequence[str] = STREAM,
     name: str | None = None,
+    source_split: str | None = None,
 ) -> DataFrame:
     """``n // ctx_len`` spans of ``ctx_len`` consecutive tokens from independent random starts.
 
     ``sizes``: (src_cols..., ``n``, optional ``out_base``). Span ``i`` starts at
     ``hash_index(seed, len - ctx_len + 1, stream, i)`` and lands at
-    ``out_base + i * ctx_len``. Streams shorter than one span give nothing.
+    ``out_base + i * ctx_len``. Streams shorter than one span give nothing. With
+    ``source_split`` the spans of every split come from the streams of that one.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = sizes.join(lens, list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
+    key_cols = [TARGET if c == "split" else c for c in src_cols]
+    plan = _from_split(sizes, source_split).join(lens, list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
     if "out_base" not in plan.columns:
         plan = plan.withColumn("out_base", F.lit(0).cast("long"))
     n_spans = F.floor(F.col("n") / F.lit(ctx_len)).cast("long")
     spans = count_up(plan, n_spans, "_i", chunk=4096)
     spans = spans.withColumn(
-        "start", hash_index(seed, F.col("stream_len") - F.lit(ctx_len) + 1, *src_cols, "_i")
+        "start", hash_index(seed, F.col("stream_len") - F.lit(ctx_len) + 1, *key_cols, "_i")
     ).withColumn("length", F.lit(ctx_len).cast("long")).withColumn(
         "out_offset", F.col("out_base") + F.col("_i") * F.lit(ctx_len)
     )
+    out_cols = [TARGET if c == "split" else c for c in out_cols]
     if name is not None:
-        spans = spans.withColumn("_out_domain", F.lit(name))
-        out = _gather(blocks, spans, block_len, src_cols, ["split", "_out_domain"])
-        return out.withColumnRenamed("_out_domain", "domain")
-    return _gather(blocks, spans, block_len, src_cols, out_cols)
+        spans, out_cols = spans.withColumn("_out_domain", F.lit(name)), [TARGET, "_out_domain"]
+    out = _gather(blocks, spans, block_len, src_cols, out_cols)
+    return out.withColumnsRenamed({TARGET: "split", "_out_domain": "domain"})
 
 
 def mix_by_rate(
@@ -269,13 +317,15 @@ def mix_by_rate(
     ctx_len: int = 1000,
     seed=0,
     name: str = "mix",
+    source_split: str | None = None,
 ) -> DataFrame:
     """Mixture of streams: ``floor(n * rate_d)`` tokens from domain ``d``, as ``ctx_len`` spans.
 
     ``budgets``: (split, ``n``) total mixture length per split. ``rates`` maps
     domain -> rate (uniform over the domains present when omitted); streams are
     concatenated in rate-list order (or by name). Taking whole spans floors a
-    second time, so the mixture can be shorter than asked.
+    second time, so the mixture can be shorter than asked. With ``source_split`` the
+    mixture of every split is drawn from the streams of that one.
     """
     lens = stream_lengths(blocks)
     if rates is None:
@@ -283,17 +333,16 @@ def mix_by_rate(
         table = lens.join(k, "split").withColumn("_rate", F.lit(1.0) / F.col("_k"))
         domains = None
     else:
-        spark = blocks.sparkSession
-        rate_df = spark.createDataFrame(list(rates.items()), "domain string, _rate double")
-        table = lens.join(F.broadcast(rate_df), "domain")
+        rate_df = blocks.sparkSession.createDataFrame(list(rates.items()), "domain string, _rate double")
+        table = lens.join(rate_df, "domain")
         domains = list(rates)
-    table = table.join(budgets, "split").withColumn(
+    table = table.join(_from_split(budgets, source_split), "split").withColumn(
         "n", F.floor(F.col("n") * F.col("_rate")).cast("long")
     )
     table = table.withColumn(
         "_used", F.floor(F.col("n") / F.lit(ctx_len)).cast("long") * F.lit(ctx_len)
     ).withColumn("_used", F.when(F.col("stream_len") >= F.lit(ctx_len), F.col("_used")).otherwise(0))
-    with_base = _bases(table, "_used", domains).select(
-        "split", "domain", "n", F.col("_base").alias("out_base")
+    with_base = _bases(table, "_used", domains, TARGET).select(
+        F.col(TARGET).alias("split"), "domain", "n", F.col("_base").alias("out_base")
     )
-    return resample_spans(blocks, block_len, with_base, ctx_len, seed, name=name)
+    return resample_spans(blocks, block_len, with_base, ctx_len, seed, name=name, source_split=source_split)

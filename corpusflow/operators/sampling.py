@@ -18,6 +18,7 @@ from corpusflow.functions.hashing import hash_index, hash_uniform, seeded_key
 from corpusflow.operators.mixing import STREAM, _gather, stream_lengths
 from corpusflow.plans.generate import count_up
 from corpusflow.plans.index import ordered_index
+from corpusflow.session import materialise
 
 
 def n_windows(stream_len, seq_len: int):
@@ -38,10 +39,10 @@ def _windows_from_draws(blocks, draws, block_len, seq_len, src_cols, keep_cols):
         "out_offset", F.lit(0).cast("long")
     )
     out_cols = [*keep_cols, *[c for c in src_cols if c not in keep_cols], "start"]
-    # draws are bounded by the batch size: broadcast them, read the blocks in place
-    got = _gather(
-        blocks, spans, block_len, src_cols, out_cols, out_block_len=seq_len + 1, broadcast_spans=True
-    )
+    # Written first: the planner sees the size of a batch of draws and, while it is small, broadcasts it
+    # and reads the blocks in place.
+    spans = materialise(spans, "window-draws")
+    got = _gather(blocks, spans, block_len, src_cols, out_cols, out_block_len=seq_len + 1)
     return got.select(
         *out_cols,
         F.slice("ids", 1, seq_len).alias("x"),
@@ -71,7 +72,7 @@ def sample_windows(
 def domain_weight_table(lens: DataFrame, weights: dict[str, float] | None, seq_len: int) -> DataFrame:
     """Domains with at least one window, cumulative weights as half-open [lo, hi) ranges.
 
-    One row per domain: small by construction (the domain registry).
+    One row per domain: small by construction (the domain registry). The last range ends at 1.
     """
     lens = lens.withColumn("_nw", n_windows(F.col("stream_len"), seq_len)).where(F.col("_nw") > 0)
     if weights is None:
@@ -83,9 +84,10 @@ def domain_weight_table(lens: DataFrame, weights: dict[str, float] | None, seq_l
             [(d, float(w), i) for i, (d, w) in enumerate(weights.items())],
             "domain string, weight double, _pos int",
         )
-        table = lens.join(F.broadcast(wdf), "domain")
+        table = lens.join(wdf, "domain")
         order = F.col("_pos")
     w = Window.partitionBy("split").orderBy(order)
+    last = F.row_number().over(w) == F.count(F.lit(1)).over(Window.partitionBy("split"))
     cum = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
     tot = F.sum("weight").over(Window.partitionBy("split"))
     return table.select(
@@ -94,10 +96,13 @@ def domain_weight_table(lens: DataFrame, weights: dict[str, float] | None, seq_l
         "_nw",
         (F.row_number().over(w) - 1).cast("long").alias("domain_id"),
         ((cum - F.col("weight")) / tot).alias("lo"),
-        (cum / tot).alias("hi"),
+        F.when(last, F.lit(1.0)).otherwise(cum / tot).alias("hi"),
     )
 
 
+CELLS = 1024  # of the unit interval, to find the range that a draw falls into
+
+
 def sample_domains_weighted(
     blocks: DataFrame,
     block_len: int,
@@ -109,35 +114,23 @@ def sample_domains_weighted(
 ) -> DataFrame:
     """Draw a domain per sample by weight (uniform by default), then a window in it.
 
-    The per-domain weight table (half-open ranges ``lo <= u < hi``) has one row
-    per domain; it is read to the driver and becomes a ``CASE`` over the
-    bounds, so the draw needs no join. Output: ``sample_id, domain, domain_id,
-    start, x, y``.
+    The draws join the weight table (half-open ranges ``lo <= u < hi``, a row per domain) on the cell
+    of the unit interval that they fall into; a range stands in every cell that it meets. Output:
+    ``sample_id, domain, domain_id, start, x, y``.
     """
     spark = blocks.sparkSession
     lens = stream_lengths(blocks.where(F.col("split") == split))
-    # one row per domain (registry-sized): the draw is a CASE over its bounds, no join
-    table = domain_weight_table(lens, weights, seq_len).orderBy("domain_id").collect()
-    if not table:
+    table = domain_weight_table(lens, weights, seq_len).where(F.col("lo") < F.col("hi"))
+    cell = lambda u: F.floor(u * F.lit(CELLS)).cast("int")
+    cells = F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(CELLS - 1)))
+    table = materialise(table.withColumn("_cell", F.explode(cells)), "domain-weights")
+    if table.isEmpty():
         raise ValueError(f"no domain of split {split!r} has a window of length {seq_len}")
     draws = spark.range(batch_size).withColumnRenamed("id", "sample_id").withColumn(
         "_u", hash_uniform(seed, F.lit("domain"), "sample_id")
     )
-    pick = F.lit(len(table) - 1)
-    for r in reversed(table[:-1]):
-        pick = F.when(F.col("_u") < F.lit(r["hi"]), F.lit(r["domain_id"])).otherwise(pick)
-    pick = F.when(F.col("_u") < F.lit(table[0]["lo"]), F.lit(None)).otherwise(pick)
-    names = F.array(*[F.lit(r["domain"]) for r in table])
-    n_win = F.array(*[F.lit(r["_nw"]).cast("long") for r in table])
-    picked = draws.withColumn("domain_id", pick.cast("long")).where(
-        F.col("domain_id").isNotNull()
-    ).select(
-        F.lit(split).alias("split"),
-        F.element_at(names, (F.col("domain_id") + 1).cast("int")).alias("domain"),
-        "sample_id",
-        "domain_id",
-        F.element_at(n_win, (F.col("domain_id") + 1).cast("int")).alias("_nw"),
-    )
+    picked = draws.withColumn("_cell", cell(F.col("_u"))).join(table, "_cell")
+    picked = picked.where((F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi")))
     picked = picked.withColumn(
         "start", hash_index(seed, F.col("_nw"), F.lit("window"), "sample_id") * F.lit(seq_len)
     )

@@ -240,3 +240,41 @@ def q_normalise_domain(spark, base):
 def q_strip_markup(spark, base):
     pages = strip_markup(table(spark, base, "pages"), "html", "html")
     return pages.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+#: A paper around each document: comment, section, environment, emphasis, inline and display formulas.
+_PAPER = (
+    "\\documentclass{article} % draft\n\\begin{document}\n\\section*{",
+    "}\n\\emph{",
+    "} costs 5\\% of $x^2$ and $$y = z$$\n",
+    "\n\\cite[p. 3]{key} \\alpha\n% end\n\\end{document}\n",
+)
+_PAPER_SQL = (
+    f"('{_PAPER[0]}' || source || '{_PAPER[1]}' || lang || '{_PAPER[2]}' || text || '{_PAPER[3]}')"
+)
+
+
+@register(
+    "strip_markup_latex",
+    f"SELECT doc_id, md5({strip_markup_sql(_PAPER_SQL, 'latex')}) AS text_md5, "
+    f"CAST(length({strip_markup_sql(_PAPER_SQL, 'latex')}) AS BIGINT) AS n_chars FROM documents",
+)
+def q_strip_markup_latex(spark, base):
+    a, b, c, d = (F.lit(x) for x in _PAPER)
+    papers = table(spark, base, "documents").select("doc_id", F.concat(a, "source", b, "lang", c, "text", d).alias("tex"))
+    out = strip_markup(papers, "tex", "latex")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+LANGUAGES = {"en": "English", "de": "German", "fr": "French"}
+
+
+@register(
+    "normalise_domain_mapped",
+    "SELECT doc_id, CASE lang "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())
+    + f" ELSE lang END AS domain_name, lang NOT IN {tuple(LANGUAGES)} AS unmatched FROM documents",
+)
+def q_normalise_domain_mapped(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "lang")
+    return normalise_domain(docs, "lang", LANGUAGES).select("doc_id", "domain_name", "unmatched")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.aggregates import common_length_budget, sample_counts
@@ -174,6 +175,31 @@ def q_mix_by_rate(spark, base):
     return block_summary(mix_by_rate(blocks, BLOCK, budgets, None, CTX_MIX, 17), PART)
 
 
+RATES = {"src3": 0.5, "src0": 0.2, "src11": 0.3}
+
+
+def _named(values: dict[str, float]) -> str:
+    rows = ", ".join(f"('{d}', CAST({v!r} AS DOUBLE), {i})" for i, (d, v) in enumerate(values.items()))
+    return f"named AS (SELECT * FROM (VALUES {rows}) AS v(domain, weight, nth))"
+
+
+@register(
+    "mix_by_rate_explicit",
+    f"""WITH {POS}, {BUDGET}, {_named(RATES)},
+r AS (SELECT l.split, l.domain, v.nth, l.T, CAST(floor(b.n * v.weight) AS BIGINT) AS n FROM lens l JOIN named v USING (domain) JOIN budget b USING (split)),
+u AS (SELECT *, CASE WHEN T >= {CTX_RESAMPLE} THEN (n // {CTX_RESAMPLE}) * {CTX_RESAMPLE} ELSE 0 END AS used FROM r),
+bs AS (SELECT *, coalesce(sum(used) OVER (PARTITION BY split ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM u),
+sp AS (SELECT split, domain, T, base, unnest(range(n // {CTX_RESAMPLE})) AS i FROM bs WHERE T >= {CTX_RESAMPLE}),
+st AS (SELECT *, CAST(floor({sql.hash_uniform(37, 'split', 'domain', 'i')} * (T - {CTX_RESAMPLE} + 1)) AS BIGINT) AS start FROM sp),
+np AS (SELECT st.split, 'mix' AS domain, p.id, st.base + st.i * {CTX_RESAMPLE} + p.pos - st.start AS pos FROM st JOIN pos p
+  ON p.split = st.split AND p.domain = st.domain AND p.pos >= st.start AND p.pos < st.start + {CTX_RESAMPLE})
+{summary('SELECT * FROM np')}""",
+)
+def q_mix_by_rate_explicit(spark, base):
+    budgets = common_length_budget(tokens_of(spark, base)).select("split", F.col("budget").alias("n"))
+    return block_summary(mix_by_rate(blocks_of(spark, base), BLOCK, budgets, RATES, CTX_RESAMPLE, 37), PART)
+
+
 @register(
     "window_starts",
     f"""WITH {POS}
@@ -250,6 +276,42 @@ def q_sample_with_domain_ids(spark, base):
     )
 
 
+WEIGHTS = {"src3": 0.5, "src0": 2.0, "src11": 1.0}
+EXPLICIT = f"""{_named(WEIGHTS)},
+tbl AS (SELECT domain, {_nw()} AS nw, row_number() OVER (ORDER BY nth) - 1 AS domain_id,
+    (sum(weight) OVER (ORDER BY nth) - weight) / sum(weight) OVER () AS lo, sum(weight) OVER (ORDER BY nth) / sum(weight) OVER () AS hi
+  FROM lens JOIN named USING (domain) WHERE split = 'train' AND T > {SEQ}),
+dr AS (SELECT range AS sample_id, {sql.hash_uniform(53, "'domain'", 'range')} AS u FROM range(64)),
+st AS (SELECT 'train' AS split, t.domain, dr.sample_id, t.domain_id,
+    CAST(floor({sql.hash_uniform(53, "'window'", 'dr.sample_id')} * t.nw) AS BIGINT) * {SEQ} AS start
+  FROM dr JOIN tbl t ON dr.u >= t.lo AND dr.u < t.hi)"""
+
+
+@register(
+    "sample_domains_explicit",
+    f"""WITH {POS}, {EXPLICIT}
+SELECT sample_id, domain, domain_id, start, x_checksum, y_checksum FROM ({_window_sums('SELECT * FROM st')})""",
+)
+def q_sample_domains_explicit(spark, base):
+    s = sample_domains_weighted(blocks_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS)
+    return s.select(
+        "sample_id", "domain", "domain_id", "start",
+        ids_checksum("x").alias("x_checksum"), ids_checksum("y").alias("y_checksum"),
+    )
+
+
+@register(
+    "sample_grouped_by_domain",
+    f"""WITH {POS}, {EXPLICIT}
+SELECT domain_id, sample_id, row_number() OVER (PARTITION BY domain_id ORDER BY sample_id) - 1 AS nth, x_checksum
+FROM ({_window_sums('SELECT * FROM st')})""",
+)
+def q_sample_grouped_by_domain(spark, base):
+    s = sample_with_domain_ids(blocks_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS, grouped=True)
+    nth = F.row_number().over(Window.partitionBy("domain_id").orderBy("sample_id")) - 1  # of one batch
+    return s.select("domain_id", "sample_id", nth.cast("long").alias("nth"), ids_checksum("x").alias("x_checksum"))
+
+
 @register(
     "sample_counts",
     f"""WITH {POS}, {WEIGHTED.format(b=256)}

@@ -16,6 +16,7 @@ from corpusflow.operators.evaluation import (
     draw_from_probs,
     feature_covariance,
     feature_rank,
+    last_position,
     linear_probe,
     masked_token_loss,
     mean_rank,
@@ -56,6 +57,20 @@ def q_accuracy(spark, base):
     return a.select("layer", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
 
 
+@register(
+    "accuracy_last_position",
+    f"""WITH {EMB_SQL}, e AS (SELECT layer, vec_id // 12 AS example, arg_max(logits, vec_id) AS logits, arg_max(label, vec_id) AS label FROM emb GROUP BY ALL)
+SELECT layer, count(*) AS n, round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy
+FROM e GROUP BY layer""",
+)
+def q_accuracy_last_position(spark, base):
+    # twelve vectors are four positions of an example in each of three layers
+    scored = emb(spark, base).withColumn("example", F.floor(F.col("vec_id") / 12))
+    last = last_position(scored, ["layer", "example"], "vec_id", ["logits", "label"])
+    a = accuracy(last, "logits", "label", ["layer"])
+    return a.select("layer", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
+
+
 LSE = "(list_max(dlogits) + ln(list_sum(list_transform(dlogits, lambda x: exp(x - list_max(dlogits))))))"
 
 

@@ -5,6 +5,7 @@ from conftest import tok_frame
 from corpusflow.operators.mixing import (
     carve_tail,
     concat_domains,
+    concat_streams,
     mix_by_rate,
     noise_tokens,
     resample_spans,
@@ -90,3 +91,35 @@ def test_mix_floors_twice(spark):
     assert all(x < 100 for x in out[:20]) and all(x >= 200 for x in out[20:])
     weighted = mix_by_rate(blocks, L, budgets, {"b": 1.0, "a": 0.0}, ctx_len=10, seed=2).collect()
     assert Counter(x >= 200 for x in _flat(weighted, "mix")) == Counter({True: 40})
+
+
+def test_carve_by_split_with_head(spark):
+    rows = [(s, d, 0, list(range(k, k + 30))) for s in ("train", "val") for d, k in (("a", 0), ("b", 100))]
+    blocks = pack_blocks(tok_frame(spark, rows), L, ["split", "domain"], ["doc_id"])
+
+    def stream(out, split, domain):
+        return _flat([b for b in out if b.split == split], domain)
+
+    out = carve_tail(blocks, L, {"train": 1, "val": 2}, head={"val": 2}, allow_overlap=True).collect()
+    assert stream(out, "train", "a") == list(range(22)) and stream(out, "val", "a") == list(range(16))
+    assert stream(out, "train", "mix") == list(range(22, 30)) + list(range(122, 130))
+    assert stream(out, "val", "mix") == list(range(14, 30)) + list(range(114, 130))
+    apart = carve_tail(blocks, L, {"val": 2}, head={"val": 2}).collect()
+    assert stream(apart, "val", "a") == list(range(14)) and stream(apart, "train", "a") == list(range(30))
+    assert stream(apart, "train", "mix") == []
+
+
+def test_concat_streams_keeps_every_token(spark):
+    blocks = _blocks(spark, {"b": list(range(11)), "a": list(range(50, 69))})
+    assert _flat(concat_streams(blocks, L).collect(), "all") == [*range(50, 69), *range(11)]
+    assert _flat(concat_streams(blocks, L, ["b", "a"]).collect(), "all") == [*range(11), *range(50, 69)]
+
+
+def test_draws_from_another_split(spark):
+    rows = [("train", "a", 0, [1] * 40), ("val", "a", 0, [2] * 40)]
+    blocks = pack_blocks(tok_frame(spark, rows), L, ["split", "domain"], ["doc_id"])
+    sizes = spark.createDataFrame([("train", "a", 20), ("val", "a", 20)], "split string, domain string, n long")
+    noise = noise_tokens(blocks, L, sizes, 3, source_split="train").collect()
+    assert {b.split for b in noise} == {"train", "val"} and set(_flat(noise, "noise")) == {1}
+    mix = mix_by_rate(blocks, L, sizes.drop("domain"), {"a": 1.0}, 10, 2, source_split="train").collect()
+    assert Counter(x for b in mix for x in b.ids) == Counter({1: 40})

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from test_plans import formatted
 from tools.check_oracles import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +25,8 @@ def duck():
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, key):
     df = entry.queries()[key](spark, SF)
+    plan = formatted(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     res = duck.execute(ORACLES[key])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)

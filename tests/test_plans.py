@@ -54,3 +54,14 @@ def test_window_sampling_reads_blocks_in_place(spark):
     assert inputs, plan
     ids_exchanges = [i for i in inputs if re.search(r"\bids#", i) and "start" not in i]
     assert not ids_exchanges, ids_exchanges
+
+
+def test_domain_filter_and_columns_reach_the_scan(spark, tmp_dir):
+    rows = [(i, "some text", {"set_name": f"s{i % 3}", "n": i}) for i in range(30)]
+    schema = "doc_id long, text string, meta struct<set_name: string, n: long>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_dir}/docs")
+    from corpusflow.operators.domains import filter_domain
+
+    plan = formatted(filter_domain(spark.read.parquet(f"{tmp_dir}/docs"), "meta.set_name", "s1").select("doc_id"))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(meta\.set_name,s1\)", plan), plan
+    assert re.search(r"ReadSchema: struct<doc_id:bigint,meta:struct<set_name:string>>", plan), plan
