@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from corpusflow.functions.hashing import seeded_key
 from corpusflow.plans.index import hash_bucket, head_flag, ordered_index
 
-# The seed and validation shares used by the corpus builders.
+# Fixed value: the seed used by the corpus builders.
 DEFAULT_SEED = 2357
-VAL_SHARES = (0.0005, 0.05, 0.1)
 
 
 def _shuffled_head(df, id_col, seed, part_cols, head_size, flag_col, broadcast_parts=True):
@@ -151,7 +150,6 @@ def split_fraction(
 
 __all__ = [
     "DEFAULT_SEED",
-    "VAL_SHARES",
     "split_shuffled",
     "split_nested_halves",
     "split_round_robin",

@@ -13,7 +13,7 @@ from corpusflow.operators.tokens import tokenize_char
 from corpusflow.plans.catalog import documents_corpus
 from corpusflow.queries import sql
 from corpusflow.queries.registry import register
-from corpusflow.session import session_cached
+from corpusflow.session import input_version, session_cached
 
 CORPUS = f"corpus AS ({sql.documents_corpus()})"
 
@@ -22,10 +22,15 @@ def char_corpus(spark, base, domain_col="source"):
     return tokenize_char(documents_corpus(spark, base, domain_col))
 
 
+def documents_version(spark, base) -> str:
+    """Names the documents below ``base`` in cache keys."""
+    return f"{base}:{input_version(spark, f'{base}/documents.parquet')}"
+
+
 def tokens_of(spark, base):
     """The tokenised corpus, built once per application in the shared folder."""
     return session_cached(
-        spark, f"char-corpus:{base}", lambda: char_corpus(spark, base).drop("text")
+        spark, f"char-corpus:{documents_version(spark, base)}", lambda: char_corpus(spark, base).drop("text")
     )
 
 

@@ -30,7 +30,7 @@ from corpusflow.operators.sampling import (
 from corpusflow.operators.splits import split_fraction
 from corpusflow.plans.catalog import documents_corpus, table
 from corpusflow.queries import sql
-from corpusflow.queries.corpus import CORPUS, tokens_of
+from corpusflow.queries.corpus import CORPUS, documents_version, tokens_of
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
 from corpusflow.session import session_cached
@@ -54,7 +54,7 @@ def summary(positions: str, part=PART, block=BLOCK) -> str:
 def blocks_of(spark, base):
     """The block table, built once per application: operators read it for lengths and data."""
     return session_cached(
-        spark, f"blocks:{base}:{BLOCK}", lambda: pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"])
+        spark, f"blocks:{documents_version(spark, base)}:{BLOCK}", lambda: pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"])
     )
 
 
@@ -133,7 +133,7 @@ np AS (SELECT s.split, 'noise' AS domain, a.id, s.j AS pos FROM src s JOIN ap a
 )
 def q_noise_tokens(spark, base):
     tok = tokens_of(spark, base)
-    all_blocks = session_cached(spark, f"all-blocks:{base}:{BLOCK}", lambda: concat_domains(tok, BLOCK))
+    all_blocks = session_cached(spark, f"all-blocks:{documents_version(spark, base)}:{BLOCK}", lambda: concat_domains(tok, BLOCK))
     sizes = common_length_budget(tok).select(
         "split", F.lit("all").alias("domain"), F.col("budget").alias("n")
     )

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(
@@ -94,12 +95,21 @@ def ensure_parallel(df: DataFrame, *key_cols: str) -> DataFrame:
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
 
 
+def input_version(spark: SparkSession, path: str) -> str:
+    """A hash of the names, sizes and times of a Parquet table's files: another one once it is rewritten."""
+    names = ["_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"]
+    files = spark.read.parquet(path).select(*names).distinct()
+    found = files.agg(F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()["h"]
+    return f"{(found or 0) & (1 << 64) - 1:016x}"
+
+
 def session_cached(spark: SparkSession, key: str, build) -> DataFrame:
     """Build a derived table once per application (shared folder), then reuse it.
 
     The path is keyed by the application id and ``key`` (which must name the
-    inputs and parameters), so another run never sees a stale copy; within a
-    run, every operator over the same corpus reads one materialised build.
+    inputs with their :func:`input_version`, and parameters), so neither another
+    run nor rewritten input sees a stale copy; within a run, every operator over
+    the same corpus reads one materialised build.
     """
     import hashlib
 
@@ -144,8 +154,10 @@ def ship_package(spark: SparkSession) -> None:
                     arc = os.path.relpath(full, os.path.dirname(pkg_dir))
                     zf.writestr(zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
     data = buf.getvalue()
-    path = f"{checkpoint_root(spark)}/corpusflow/pyfiles/corpusflow-{hashlib.md5(data).hexdigest()[:12]}.zip"
-    if not fs.exists(path):
+    path = fs.qualify(
+        spark, f"{checkpoint_root(spark)}/corpusflow/pyfiles/corpusflow-{hashlib.md5(data).hexdigest()[:12]}.zip"
+    )
+    if not fs.is_there(spark, path):
         fs.write_atomic(path, data)
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)

@@ -39,7 +39,7 @@ def write_token_bin(
     65535 fails the task. Returns the manifest (one row per file); the write
     happens when the manifest is evaluated.
     """
-    root = path.rstrip("/")
+    root, shown = fs.qualify(blocks.sparkSession, path), path.rstrip("/")
     keyed = blocks.withColumn("file_id", F.floor(F.col("block_id") / F.lit(blocks_per_file)).cast("long"))
 
     def write(tbl: pa.Table) -> pa.Table:
@@ -50,13 +50,13 @@ def write_token_bin(
         split, domain = tbl.column("split")[0].as_py(), tbl.column("domain")[0].as_py()
         file_id = tbl.column("file_id")[0].as_py()
         first = tbl.column("block_id")[0].as_py() * block_len
-        target = posixpath.join(root, str(split), str(domain), f"{first:015d}.bin")
-        fs.write_atomic(target, ids.astype("<u2").tobytes())
+        name = posixpath.join(str(split), str(domain), f"{first:015d}.bin")
+        fs.write_atomic(posixpath.join(root, name), ids.astype("<u2").tobytes())
         return pa.table(
             {
                 "split": [split], "domain": [domain], "file_id": pa.array([file_id], pa.int64()),
                 "first_pos": pa.array([first], pa.int64()), "n_tokens": pa.array([int(ids.size)], pa.int64()),
-                "file": [target],
+                "file": [posixpath.join(shown, name)],
             }
         )
 
@@ -69,7 +69,7 @@ def materialise_once(build: Callable[[], DataFrame], path: str, spark: SparkSess
     Completeness is the ``_SUCCESS`` marker: a half-written folder (a killed
     job) is rebuilt, not trusted.
     """
-    if not fs.exists(posixpath.join(path, "_SUCCESS")):
+    if not fs.is_there(spark, posixpath.join(path, "_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -86,7 +86,7 @@ def write_archives(
     Evaluate it once (or persist it): a second evaluation rewrites the same
     archive names with the same content.
     """
-    root = path.rstrip("/")
+    root, shown = fs.qualify(df.sparkSession, path), path.rstrip("/")
     sel = df.select(F.col(name_col).cast("string").alias("n"), F.col(content_col).alias("c"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,9 +98,9 @@ def write_archives(
         def close():
             tar.close()
             # named by partition and chunk: a retried task overwrites, never duplicates
-            name = posixpath.join(root, f"part-{part:05d}-{len(written):05d}.tar.gz")
-            fs.write_atomic(name, buf.getvalue())
-            written.append((name, count))
+            name = f"part-{part:05d}-{len(written):05d}.tar.gz"
+            fs.write_atomic(posixpath.join(root, name), buf.getvalue())
+            written.append((posixpath.join(shown, name), count))
 
         for pdf in batches:
             for n, c in zip(pdf["n"], pdf["c"]):
