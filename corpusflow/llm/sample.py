@@ -11,14 +11,14 @@ from corpusflow.session import materialise
 def least_hashed(rows: DataFrame, label: str, limit: Column) -> DataFrame:
     """Of (id, ``label``) the ``limit`` rows of each label with the least md5 of the id; limit is a column over label.
 
-    Only rows whose hash is small enough for four times the limit are ranked, so that what meets in
-    a task does not grow with the table.
+    Only rows whose hash is small enough for the limit and eight standard deviations more are ranked, so
+    that what meets in a task does not grow with the table and hardly exceeds the limit.
     """
     h = F.md5(F.col("id").cast("string"))
     part = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     # Written first: Spark then knows it for a small table, and filters the rows before it shuffles them.
     sizes = materialise(rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n")), "label-sizes")
-    near = rows.join(sizes, F.col(label) == F.col("_label")).where(part * F.col("_n") <= 4 * limit)
+    near = rows.join(sizes, F.col(label) == F.col("_label")).where(part * F.col("_n") <= limit + 8 * F.sqrt(limit) + 32)
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_h", "id"))
     ranked = near.withColumn("_h", h).withColumn("_nth", nth)
     return ranked.where(F.col("_nth") <= limit).select("id", label)
