@@ -14,13 +14,14 @@ that is not full, so nothing has to be shuffled: the texts are read once.
 from __future__ import annotations
 
 import heapq
-import re
+import os
 from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -43,6 +44,7 @@ SCHEMA = (
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -57,7 +59,7 @@ class ByteBpe:
 
     Its pre-tokenizer never joins what stands on both sides of a single space between two other
     characters. Texts are cut there, and each distinct piece of a batch that is not known from an
-    earlier one is encoded once. Pieces that may follow each other in a text are encoded in runs.
+    earlier one is encoded once; of what is known, the most used half stays when there is too much. Pieces that may follow each other in a text are encoded in runs.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -72,6 +74,21 @@ class ByteBpe:
     def forget(self):
         self.known = pa.array([], pa.large_binary())
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
+        self.keys, self.place_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of what is known
+
+    def keep_used(self, entries: int):
+        """Keep the ``entries`` pieces that slices used most; older uses count half."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:entries])
+        ends = np.cumsum(self.sizes)
+        starts, sizes = (ends - self.sizes)[keep], self.sizes[keep]
+        at = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts - at, sizes)]
+        self.known, self.sizes, self.uses = self.known.take(pa.array(keep)), sizes, self.uses[keep] // 2
+        new = np.full(len(ends), -1, dtype=np.int64)
+        new[keep] = np.arange(len(keep))
+        place = new[self.place_of]
+        self.keys, self.place_of = self.keys[place >= 0], place[place >= 0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id, tokens per text)."""
@@ -79,7 +96,9 @@ class ByteBpe:
         n = len(offsets) - 1
         if not len(data):
             return np.full(n, END_ID, np.uint32), np.ones(n, np.int64)
-        starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], _cuts(data)]))
+        first = _cuts(data)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(first)
         bounds = np.append(starts, len(data))
         buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
@@ -98,39 +117,70 @@ class ByteBpe:
 
     def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each piece, tokens of each place, their ids)."""
-        place = pc.index_in(pieces, value_set=self.known)
-        if len(self.known) + place.null_count > self.entries:
-            self.forget()
-            place = pa.nulls(len(pieces), pa.int32())
-        fresh = np.asarray(place.is_null())
-        new = pieces.filter(pa.array(fresh)).to_pylist()
-        place = np.array(place.fill_null(0), dtype=np.int64)
-        inner = np.array([_JOINABLE.fullmatch(p) is not None for p in new], dtype=bool)
-        order = np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])
-        place[np.flatnonzero(fresh)[order]] = len(self.known) + np.arange(len(new))
-        for part, run in (([new[i] for i in order[: inner.sum()]], RUN), ([new[i] for i in order[inner.sum() :]], 1)):
-            if not part:
+        raw = pieces.to_numpy(zero_copy_only=False)
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        if len(self.known) + len(raw) > self.entries:
+            self.keep_used(self.entries // 2)
+        by_key = np.argsort(keys)  # looking up in order is faster
+        at = np.empty(len(raw), dtype=np.int64)
+        at[by_key] = np.minimum(np.searchsorted(self.keys, keys[by_key]), len(self.keys) - 1)
+        fresh = np.ones(len(raw), dtype=bool)
+        place = np.zeros(len(raw), dtype=np.int64)
+        if len(self.keys):
+            maybe = np.flatnonzero(self.keys[at] == keys)
+            place[maybe] = self.place_of[at[maybe]]
+            # Equal hashes only propose: the bytes decide.
+            same = pc.equal(self.known.take(pa.array(place[maybe])), pieces.take(pa.array(maybe)))
+            fresh[maybe[np.asarray(same)]] = False
+        np.add.at(self.uses, place[~fresh], 1)
+        new, learned = np.flatnonzero(fresh), len(self.known)
+        inner = _joinable(pieces)[new]
+        for part, run in ((new[inner], RUN), (new[~inner], 1)):
+            if not len(part):
                 continue
-            joined = [b"".join(part[i : i + run]).decode() for i in range(0, len(part), run)]
+            place[part] = len(self.known) + np.arange(len(part))
+            found = pieces.take(pa.array(part))
+            data, bounds = _bytes(found)
+            runs = np.append(bounds[:-1:run], bounds[-1])
+            joined = [data[i:j].tobytes().decode() for i, j in zip(runs, runs[1:])]
             encoded = []
             for i in range(0, len(joined), 20):  # an encoding holds far more than its ids
-                found = self.tokenizer.encode_batch_fast(joined[i : i + 20], add_special_tokens=False)
-                encoded += [np.array(e.ids, dtype=np.uint32) for e in found]
+                batch = self.tokenizer.encode_batch_fast(joined[i : i + 20], add_special_tokens=False)
+                encoded += [np.array(e.ids, dtype=np.uint32) for e in batch]
             ids = np.concatenate(encoded)
-            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in part]))
-            self.known = pa.concat_arrays([self.known, pa.array(part, pa.large_binary())])
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), bounds[1:])
+            self.known = pa.concat_arrays([self.known, found])
             self.sizes = np.concatenate([self.sizes, np.diff(last + 1, prepend=0)])
             self.ids = np.concatenate([self.ids, ids])
+        added = by_key[fresh[by_key]]
+        into = np.searchsorted(self.keys, keys[added])
+        self.keys = np.insert(self.keys, into, keys[added])
+        self.place_of = np.insert(self.place_of, into, place[added])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - learned, np.int64)])
         return place, self.sizes, self.ids
 
 
-#: A space and a sure character before anything that ends in a sure one: may follow its like in a text.
-_SURE = rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf])"
-_JOINABLE = re.compile(rb" (?=" + _SURE + rb")(?:.*" + _SURE + rb")", re.DOTALL)
+def _bytes(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a large binary array without nulls."""
+    _, offsets, data = pieces.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _joinable(pieces: pa.Array) -> np.ndarray:
+    """Pieces that are a space and a sure character before anything that ends in a sure one: they may
+    follow their like in a text. No piece is empty."""
+    data, bounds = _bytes(pieces)
+    first, last = bounds[:-1], bounds[1:] - 1
+    graph = (data > 0x20) & (data < 0x7F)
+    lead = (data >= 0xC3) & (data < 0xE0)
+    starts = (data[first] == 0x20) & (last > first) & (graph | lead)[np.minimum(first + 1, last)]
+    ends = graph[last] | (((data[last] & 0xC0) == 0x80) & lead[np.maximum(last - 1, first)])
+    return starts & ends
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """Places of single spaces between two characters that are surely no white space.
+    """Whether each byte is a single space between two characters that are surely no white space.
 
     Sure are visible ASCII and two-byte characters that start with C3 or more; a place missed costs
     only speed.
@@ -141,7 +191,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     before[1:] = graph[:-1]
     before[2:] |= lead[:-2]
     after[:-1] = graph[1:] | lead[1:]
-    return np.flatnonzero((data == 0x20) & before & after)
+    return (data == 0x20) & before & after
 
 
 def plan(lengths: np.ndarray, tiers: Sequence[int] = TIERS) -> tuple[np.ndarray, ...]:

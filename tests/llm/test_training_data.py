@@ -218,6 +218,22 @@ def test_piece_encoding_equals_whole_texts():
 # --- SimHash --------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("entries", [3, 40, 1000])
+def test_forgotten_pieces_are_encoded_again(entries):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokenizer_path()), packing.ByteBpe(tokenizer_path(), entries)
+    rng = np.random.default_rng(5)
+    letters = np.array(["a", "b", " ", " ", "  ", "\n", "\u00e9", "\u00a0", "\u3000", "\u6f22", "'s", "7"])
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(15)]
+        ids, per_text = e.encode(pa.array(texts))
+        want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+        assert per_text.tolist() == [len(w) for w in want]
+        assert ids.tolist() == sum(want, [])
+    assert (np.diff(e.keys.astype(object)) >= 0).all() and len(e.keys) == len(e.known) == len(e.sizes) == len(e.uses)
+
+
 def brute_fingerprint(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
