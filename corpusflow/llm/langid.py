@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.sample import least_hashed
-from corpusflow.llm.textbytes import flat, slices
+from corpusflow.llm.textbytes import flat, slices, tidy
 
 FEATURES = 4096
 SAMPLE_PER_LANG = 1000  # labelled texts that are fitted for each language, at most
@@ -179,7 +179,7 @@ def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -191,4 +191,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
             if batch.num_rows:
                 yield batch.filter(pa.array(~predict(batch.column(at), model)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

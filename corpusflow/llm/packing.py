@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corpusflow.llm.textbytes import flat, slices
+from corpusflow.llm.textbytes import flat, slices, tidy
 
 TIERS = (1024, 512, 256, 128)
 STEP_WINDOWS = 16  # a step group holds as many tokens as so many windows of the longest tier
@@ -321,7 +321,7 @@ def pack(
             yield from _cell(held, id_col, tiers, step_windows, (task << 40) + (cell << 24))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def _cell(held, id_col, tiers, step_windows, first: int) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusflow.llm.graph import components, merge
+from corpusflow.llm.textbytes import tidy
 from corpusflow.session import materialise
 
 SEED = 42
 MAX_GROUP = 50_000  # fingerprints that one subtrie may have before it is split
 SPLIT_BITS = 6
-MAX_PAIRS = 500_000  # node pairs held at a time
+MAX_PAIRS = 100_000  # node pairs held at a time
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -56,7 +57,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, words_per_shingle: int, nam
             fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def trie_pairs(values: np.ndarray, runs: np.ndarray, depth: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,7 +141,7 @@ def links(fps: DataFrame, distance: int = 2, max_group: int = MAX_GROUP) -> Data
         ready = whole if ready is None else ready.unionByName(whole)
         rows = _split(rows.join(large, group), distance)
     return ready.repartition(*group).sortWithinPartitions(*group, "r").mapInArrow(
-        lambda batches: _join(batches, distance), "a long, b long"
+        tidy(lambda batches: _join(batches, distance)), "a long, b long"
     )
 
 

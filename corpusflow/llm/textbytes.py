@@ -39,6 +39,16 @@ def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
+def tidy(run):
+    """``run`` over Arrow batches; a worker goes on to other tasks, so Arrow's free memory is given back at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words per text) of the runs of non-space bytes in each text."""
     inside = ~SPACE[data]
