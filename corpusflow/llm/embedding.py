@@ -3,7 +3,8 @@
 Each half of the unit vectors has a codebook of its own; a pair of codes is a cell of the product grid.
 Every vector visits the cells nearest to it in the order of the sum of its squared distances to the two
 codes (the multi-sequence order), as many as a sample of queries, compared with all rows, needs for
-the target recall. What it finds there is verified in double precision.
+the target recall. Where too few queries have links to tell, every vector visits all cells that can hold
+a link of it. What it finds there is verified in double precision.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ from corpusflow.session import materialise
 THRESHOLD = 0.9
 TARGET_RECALL = 0.999
 FIT_ROWS = 20_000  # vectors that the codebooks are fitted on, at most
-QUERY_ROWS = 512  # vectors whose links are searched in all rows to set the number of visits
+QUERY_ROWS = 512  # vectors whose links are searched in all rows to set the number of visits, at first
+MAX_QUERY_ROWS = 32_768  # and in all, where few of them have links
+QUERY_BLOCK = 512  # queries compared at a time
+ENOUGH = 64  # groups of queries with links, from which the visits are set
 CELL_ROWS = 64  # wanted mean rows of a cell
 MAX_CODES = 128
 MEMBERS, PROBES = 256, 512  # rows of a cell that meet in a task
 ROUNDS = 12
+WHOLE_CELL_ROWS = 4096  # wanted mean rows of a cell, and rows that meet, where all possible cells are visited
+SLACK = 1e-9  # of squared distances, for rounding
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -98,6 +104,24 @@ class MultiIndex:
         nearest = np.argsort(da[:, i] + db[:, j], axis=1, kind="stable")[:, :n]
         return np.take_along_axis(ia, i[nearest], axis=1) * len(self.right) + np.take_along_axis(ib, j[nearest], axis=1)
 
+    def possible(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
+        """For every row the cells that can hold a vector within ``reach``, a squared distance; its own first.
+
+        Points nearer to code i than to the row's nearest code m lie beyond the plane between the two,
+        (d_i - d_m) / (2 |c_i - c_m|) away; what a pair of codes is away adds up over the halves.
+        """
+        near = []
+        for d, c in zip(self.distances(x), (self.left, self.right)):
+            m = d.argmin(axis=1)
+            apart = 2 * np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-300))
+            near.append(((d - d.min(axis=1, keepdims=True)) / apart[m]) ** 2)
+        own = self.cells(x)
+        out = []
+        for a, b, first in zip(*near, own):
+            cells = np.flatnonzero((a[:, None] + b[None, :]).ravel() <= reach + SLACK)
+            out.append(np.concatenate([[first], cells[cells != first]]))
+        return out
+
 
 def _codebook(x: np.ndarray, k: int) -> np.ndarray:
     """k-means from evenly spaced rows of a hash-ordered sample."""
@@ -121,78 +145,131 @@ def _least_hashed(vectors: DataFrame, salt: str, limit: int, rows: int) -> pa.Ta
     return near.orderBy(F.pmod(h, F.lit(1 << 40)), "id").limit(limit).toArrow()
 
 
-def fit_index(vectors: DataFrame, rows: int, fit_rows: int = FIT_ROWS) -> MultiIndex:
+def fit_index(vectors: DataFrame, rows: int, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS) -> MultiIndex:
     """Codebooks from at most ``fit_rows`` vectors, those of least hash of the id, of ``rows`` in all."""
     sample = _least_hashed(vectors, "fit", fit_rows, rows)
     x = _matrix(sample["v"].combine_chunks())
-    k = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, min(MAX_CODES, max(1, len(x) // 10))))
+    k = int(np.clip(round((rows / cell_rows) ** 0.5), 1, min(MAX_CODES, max(1, len(x) // 10))))
     h = max(1, x.shape[1] // 2)
     return MultiIndex(_codebook(x[:, :h], k), _codebook(x[:, h:], k))
 
 
-def visits_needed(
-    vectors: DataFrame, rows: int, index: MultiIndex, threshold: float, target: float, query_rows: int = QUERY_ROWS
-) -> tuple[int, float]:
-    """(visits per vector, recall measured with them): links of sampled queries, searched in all rows.
-
-    The tasks give a histogram of how many cells a query has to visit for each of its links, so what
-    comes back has at most a row per cell.
-    """
-    sample = _least_hashed(vectors, "query", query_rows, rows)
-    queries, names = _matrix(sample["v"].combine_chunks()), np.asarray(sample["id"])
+def _places(vectors: DataFrame, queries: np.ndarray, names: np.ndarray, index: MultiIndex, threshold: float) -> DataFrame:
+    """(query, place, n): links of each query to the rows of the cell that it visits at that place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = index.distances(queries)
-        place = np.empty((len(queries), a.shape[1] * b.shape[1]), dtype=np.int32)
-        for q in range(len(queries)):
-            place[q, np.argsort((a[q][:, None] + b[q][None, :]).ravel(), kind="stable")] = np.arange(place.shape[1])
-        found = np.zeros(place.shape[1], dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, ids = _matrix(batch.column(1)), np.asarray(batch.column(0))
-            q, r = np.nonzero((queries @ x.T >= threshold) & (names[:, None] != ids[None, :]))
-            np.add.at(found, place[q, index.cells(x)[r]], 1)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["place", "n"])
-
-    found = vectors.select("id", "v").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    places = sorted((r["place"], r["n"]) for r in found)
-    total = sum(n for _, n in places)
-    need, seen = 1, 0
-    for place, n in places:
-        seen += n
+            cells = index.cells(x)
+            for at in range(0, len(queries), QUERY_BLOCK):
+                some = slice(at, at + QUERY_BLOCK)
+                q, r = np.nonzero((queries[some] @ x.T >= threshold) & (names[some, None] != ids[None, :]))
+                key, n = np.unique((q + at) * (a.shape[1] * b.shape[1]) + cells[r], return_counts=True)
+                q, cell = np.divmod(key, a.shape[1] * b.shape[1])
+                place = np.empty(len(key), dtype=np.int64)
+                for one in np.unique(q):
+                    mine = q == one
+                    sums = (a[one][:, None] + b[one][None, :]).ravel()
+                    place[mine] = (sums <= sums[cell[mine]][:, None]).sum(axis=1) - 1
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(place), pa.array(n)], names=["query", "place", "n"])
+
+    found = vectors.select("id", "v").mapInArrow(run, "query long, place long, n long")
+    return found.groupBy("query", "place").agg(F.sum("n").alias("n"))
+
+
+def _query_groups(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Group of every query: the first query, itself in no earlier group, that it links with."""
+    groups = np.full(len(x), -1)
+    for i in range(len(x)):
+        if groups[i] < 0:
+            groups[(groups < 0) & (x @ x[i] >= threshold)] = i
+            groups[i] = i
+    return groups
+
+
+def visits_needed(
+    vectors: DataFrame, rows: int, index: MultiIndex, threshold: float, target: float, query_rows: int = QUERY_ROWS
+) -> tuple[int | None, float | None]:
+    """(visits per vector, recall measured with them): links of sampled queries, searched in all rows.
+
+    Recall is that of a query, whatever the number of its links, and queries that link with each other
+    share the weight of one, so that a large group does not set the visits alone. Queries are drawn until
+    ``ENOUGH`` groups of them have links, or all vectors are queries. If ``MAX_QUERY_ROWS`` queries do
+    not have them, the visits cannot be told: (None, None).
+    The driver gets a row per query with links, and as many as there are cells.
+    """
+    drawn, parts = 0, []
+    while True:
+        limit = min(rows, MAX_QUERY_ROWS, max(query_rows, 4 * drawn))
+        sample = _least_hashed(vectors, "query", limit, rows).slice(drawn)
+        if sample.num_rows:
+            queries, names = _matrix(sample["v"].combine_chunks()), np.asarray(sample["id"])
+            found = materialise(_places(vectors, queries, names, index, threshold), "vector-queries")
+            totals = found.groupBy("query").agg(F.sum("n").alias("total")).toArrow()
+            parts.append((found, np.asarray(totals["query"]), np.asarray(totals["total"]), queries))
+        drawn = limit
+        linked = [queries[q] for _, q, _, queries in parts]
+        groups = _query_groups(np.concatenate(linked), threshold) if linked else np.zeros(0, int)
+        n_groups = len(np.unique(groups))
+        if n_groups >= ENOUGH or drawn >= rows:
+            break
+        if drawn >= MAX_QUERY_ROWS:
+            return None, None
+    if not n_groups:  # every vector was a query: there are no links
+        return 1, 1.0
+    shares = 1 / np.bincount(groups)[groups]
+    weights, at = {}, 0
+    for found, q, totals, _ in parts:
+        share = pa.table({"_query": q, "share": shares[at : at + len(q)] / totals})
+        at += len(q)
+        share = F.broadcast(vectors.sparkSession.createDataFrame(share))
+        by = found.join(share, F.col("query") == F.col("_query")).groupBy("place").agg(F.sum(F.col("n") * F.col("share")).alias("w"))
+        for r in by.collect():
+            weights[r["place"]] = weights.get(r["place"], 0.0) + r["w"]
+    places = sorted(weights.items())
+    need, seen = 1, 0.0
+    for place, w in places:
+        seen += w
         need = place + 1
-        if seen >= target * total:
+        if seen >= target * n_groups:
             break
     need = int(np.ceil(1.5 * need)) + 2  # a margin for what the sample does not show
-    reached = sum(n for place, n in places if place < need)
-    return need, reached / total if total else 1.0
+    reached = sum(w for place, w in places if place < need)
+    return need, min(1.0, reached / n_groups)
 
 
-def _visited(vectors: DataFrame, index: MultiIndex, visits: int) -> DataFrame:
-    """``vectors`` with ``near``: the cells that each visits, its own first."""
+def _visited(vectors: DataFrame, index: MultiIndex, visits: int | None, threshold: float) -> DataFrame:
+    """``vectors`` with ``near``: the cells that each visits, its own first; without ``visits`` all that can hold a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = index.visits(_matrix(batch.column(1)), visits)
-                at = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
-                lists = pa.ListArray.from_arrays(at, pa.array(near.ravel().astype(np.int64)))
+                x = _matrix(batch.column(1))
+                near = list(index.visits(x, visits)) if visits else index.possible(x, 2 - 2 * threshold)
+                at = pa.array(np.cumsum([0, *map(len, near)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(near).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "copies", "near"])
 
     return vectors.select("id", "v", "copies").mapInArrow(run, "id long, v array<double>, copies long, near array<long>")
 
 
-def _dealt(visited: DataFrame) -> DataFrame:
-    """A member row of each vector in its cell and a probe row in every cell that it visits."""
+def _dealt(visited: DataFrame, whole: bool) -> DataFrame:
+    """A member row of each vector in its cell and a probe row in every cell that it visits.
+
+    Where all possible cells are visited (``whole``), both sides find a link, and members need no list.
+    """
     own = F.element_at("near", 1)
-    members = visited.select(own.alias("cell"), F.lit(0).alias("probe"), "id", "v", "copies", "near")
+    near = F.array(own) if whole else F.col("near")
+    members = visited.select(own.alias("cell"), F.lit(0).alias("probe"), "id", "v", "copies", near.alias("near"))
     probes = visited.select(F.explode("near").alias("cell"), F.lit(1).alias("probe"), "id", "v", "copies", F.array(own).alias("near"))
     return members.union(probes)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, in_block: tuple[int, int]) -> DataFrame:
     """Cells with many rows as blocks of members x blocks of probes, so that a task's share is bounded."""
     sizes = rows.groupBy("cell").agg(
         F.sum((F.col("probe") == 0).cast("long")).alias("members"), F.sum("probe").alias("probes")
@@ -200,8 +277,8 @@ def _spread(rows: DataFrame) -> DataFrame:
     sizes = materialise(
         sizes.select(
             F.col("cell").alias("_cell"),
-            F.ceil(F.col("members") / MEMBERS).alias("_m"),
-            F.ceil(F.col("probes") / PROBES).alias("_p"),
+            F.ceil(F.col("members") / in_block[0]).alias("_m"),
+            F.ceil(F.col("probes") / in_block[1]).alias("_p"),
         ).where("_m > 0"),
         "cells",
     )
@@ -218,7 +295,7 @@ def _spread(rows: DataFrame) -> DataFrame:
     )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, whole: bool) -> Iterator[pa.RecordBatch]:
     """Links of each block: (a, b, null) edges and (a, null, n) additions to a's number of links."""
     key, members = None, None
 
@@ -228,8 +305,8 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         fine = qids[at] != ids[mt]
         at, mt = at[fine], mt[fine]
         # Found from the other side as well: counted only where the smaller id probes.
-        twice = (near[mt] == qcell[at][:, None]).any(axis=1)
-        fine = ~twice | (qids[at] < ids[mt])
+        twice = whole or (near[mt] == qcell[at][:, None]).any(axis=1)
+        fine = np.logical_not(twice) | (qids[at] < ids[mt])
         at, mt = at[fine], mt[fine]
         if not len(at):
             return None
@@ -304,7 +381,7 @@ def near_vectors(
     unique (of repeated ids, all rows get the most links and the least component); rows with a null id stand
     alone with null component. A table holds vectors of one length; any of another than the most frequent
     length link with nothing. ``report`` gets the visits per vector
-    and the recall that the sample of queries measured.
+    and the recall that the sample of queries measured, both None where all possible cells are visited.
     """
     spark = rows.sparkSession
     ids = materialise(usable_vectors(rows.where(F.col(id_col).isNotNull()), id_col, vector_col), "vectors")
@@ -318,11 +395,15 @@ def near_vectors(
     if n:
         index = fit_index(reps, n)
         visits, recall = visits_needed(reps, n, index, threshold, target_recall)
+        whole = visits is None
+        if whole:
+            index = fit_index(reps, n, cell_rows=WHOLE_CELL_ROWS)
         if report is not None:
             report |= {"visits": visits, "recall": recall, "codes": len(index.left)}
-        blocks = _spread(_dealt(materialise(_visited(reps, index, visits), "vector-visits")))
+        visited = materialise(_visited(reps, index, visits, threshold), "vector-visits")
+        blocks = _spread(_dealt(visited, whole), (WHOLE_CELL_ROWS, WHOLE_CELL_ROWS) if whole else (MEMBERS, PROBES))
         blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "probe")
-        found = materialise(blocks.mapInArrow(lambda b: _verify(b, threshold), "a long, b long, n long"), "vector-links")
+        found = materialise(blocks.mapInArrow(lambda b: _verify(b, threshold, whole), "a long, b long, n long"), "vector-links")
     else:
         found = spark.createDataFrame([], "a long, b long, n long")
     linked = found.where("n IS NOT NULL").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))

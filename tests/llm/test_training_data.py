@@ -445,6 +445,59 @@ def test_no_vectors(spark):
     assert embedding.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _reps(spark, x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), [float(c) for c in v], 1) for i, v in enumerate(u)]
+    return u, spark.createDataFrame(rows, "id long, v array<double>, copies long")
+
+
+def test_visits_where_few_queries_have_links(spark, monkeypatch):
+    """One linked pair among 1,500 vectors: the first queries do not show it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x[1] = x[0] + rng.normal(size=16) * 0.1 * np.linalg.norm(x[0]) / 4
+    u, reps = _reps(spark, x)
+    linked = u @ u.T >= 0.9
+    rows = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for limit, measured in ((32_768, True), (64, False)):  # all vectors are drawn, or too few for a measurement
+        monkeypatch.setattr(embedding, "MAX_QUERY_ROWS", limit)
+        monkeypatch.setattr(embedding, "WHOLE_CELL_ROWS", 100)
+        index = embedding.fit_index(reps, 1500)
+        visits, recall = embedding.visits_needed(reps, 1500, index, 0.9, 0.999, query_rows=32)
+        assert (visits is not None) == (recall is not None) == measured
+        report = {}
+        got = {r["vec_id"]: r["n_links"] for r in embedding.near_vectors(rows, report=report).collect()}
+        assert [got[i] for i in range(1500)] == (linked.sum(axis=1) - 1).tolist()
+
+
+def test_large_group_does_not_set_the_visits(spark, monkeypatch):
+    """A tight group of a third has most links; those of 150 loose pairs need more visits."""
+    monkeypatch.setattr(embedding, "CELL_ROWS", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.05
+    x[300:450] = x[450:600] + rng.normal(size=(150, 32)) * 0.43
+    u, reps = _reps(spark, x)
+    index = embedding.fit_index(reps, 900)
+    visits, recall = embedding.visits_needed(reps, 900, index, 0.9, 0.999, query_rows=900)
+    q, r = np.nonzero((u @ u.T >= 0.9) & ~np.eye(900, dtype=bool))
+    loose = q >= 300
+    cells, near = index.cells(u), index.visits(u, visits)
+    reached = (near[q[loose]] == cells[r[loose]][:, None]).any(axis=1).mean()
+    assert loose.sum() > 50 and reached >= 0.99 and recall >= 0.99
+
+
+def test_possible_cells_lose_no_near_vector():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 8))
+    x[150:] = x[:150] + rng.normal(size=(150, 8)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embedding.MultiIndex(embedding._codebook(x[:, :4], 9), embedding._codebook(x[:, 4:], 7))
+    cells, near = index.cells(x), index.possible(x, 0.2)
+    assert [c[0] for c in near] == cells.tolist() and all(len(set(c)) == len(c) for c in near)
+    assert all(cells[b] in near[a] for a, b in np.argwhere(x @ x.T >= 0.9)) and min(map(len, near)) < 63
+
+
 def test_visits_are_the_nearest_cells():
     rng = np.random.default_rng(6)
     index = embedding.MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
