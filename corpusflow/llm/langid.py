@@ -25,7 +25,9 @@ SAMPLE_PER_LANG = 1000  # labelled texts that are fitted for each language, at m
 CENTROIDS_PER_LANG = 4
 ROUNDS = 10
 #: A text is rejected if its best cosine is below this part of what all but 1 % of the sample reach.
-REJECT_PART = 0.25
+REJECT_PART = 0.5
+#: Texts of fewer letters reach less: their limit falls with the root of the number of letters.
+FULL_LETTERS = 100
 UNKNOWN = "und"
 SLICE_BYTES = 1_000_000
 
@@ -161,7 +163,8 @@ def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarra
         nearest, score = sims.argmax(axis=1), np.where(some, np.clip(sims.max(axis=1), 0, 1), 0.0)
         langs += [model.langs[c] if ok else UNKNOWN for c, ok in zip(nearest, some)]
         scores.append(score)
-        rejected.append(~some | (score < model.reject_below))
+        limit = model.reject_below * np.sqrt(np.minimum(1, letters / FULL_LETTERS))
+        rejected.append(~some | (score < limit))
     return langs, np.concatenate(scores or [np.zeros(0)]).astype(float), np.concatenate(rejected or [np.zeros(0, bool)])
 
 

@@ -528,6 +528,23 @@ def test_language_odd(spark, odd, empty, documents):
     assert langid.classify(odd, none).where("lang_pred != 'und'").count() == 0
 
 
+@pytest.mark.parametrize("left_out", ["de", "es", "fr"])
+def test_texts_of_an_unlearned_language_are_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    model = langid.fit(docs, (F.col("lang") != left_out) & (F.col("doc_id") % 2 == 0))
+    got = langid.classify(docs, model).where("lang_pred != 'und'").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    unlearned = got.lang == left_out
+    assert got[unlearned].rejected.mean() > 0.9
+    assert got[~unlearned].rejected.mean() < 0.01
+
+
+def test_short_texts_are_kept(spark, documents):
+    model = langid.fit(documents, F.lit(True))
+    words = [w for r in documents.where("length(text) > 200").limit(40).collect() for w in r["text"].split()[:1] if w.isalpha()]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert langid.classify(rows, model).where("NOT rejected").count() >= 0.9 * len(words)
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 
