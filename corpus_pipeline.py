@@ -25,9 +25,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; every document stays."""
+    """Texts without the boilerplate lines of their source; every document stays.
+
+    Copies of a text count as one page, so that they are left to the next stage instead of being emptied.
+    """
     ship_package(spark)
-    cleaned = drop_boilerplate(docs, "source", "text")
+    cleaned = drop_boilerplate(docs, "source", "text", count_copies=False)
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))

@@ -20,18 +20,19 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def line_ratios(pages: DataFrame, host_col: str, text_col: str) -> DataFrame:
+def line_ratios(pages: DataFrame, host_col: str, text_col: str, count_copies: bool = True) -> DataFrame:
     """(host, line key, on_pages, pages) for every line with a non-blank character.
 
-    A page counts once for a line that it repeats. Counts are combined before the shuffle, so a
-    frequent line or a large host costs each task a row or a few.
+    A page counts once for a line that it repeats, and without ``count_copies`` pages of a host with the
+    same text (128 bits of it) count as one. Counts are combined before the shuffle, so a frequent line
+    or a large host costs each task a row or a few, and copies of a text a row a line.
     """
     own = F.array_distinct(F.transform(F.filter(_lines(text_col), lambda x: F.trim(x) != ""), _key))
-    seen = pages.select(F.col(host_col).alias("host"), F.explode(own).alias("line"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on_pages"))
-    totals = materialise(
-        pages.groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("pages")), "line-hosts"
-    )
+    n = F.count(F.lit(1)) if count_copies else F.count_distinct("page")
+    rows = pages.select(F.col(host_col).alias("host"), own.alias("lines"), _key(F.col(text_col)).alias("page"))
+    seen = rows.select("host", "page", F.explode("lines").alias("line"))
+    counts = seen.groupBy("host", "line").agg(n.alias("on_pages"))
+    totals = materialise(rows.groupBy(F.col("host").alias("_host")).agg(n.alias("pages")), "line-hosts")
     counts = counts.where(F.col("on_pages") > 1)
     return counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
 
@@ -42,6 +43,7 @@ def drop_boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    count_copies: bool = True,
 ) -> DataFrame:
     """``pages`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_dropped``.
 
@@ -49,9 +51,10 @@ def drop_boilerplate(
     than ``ratio`` of them. Lines are \\n-separated and compared exactly; blank lines never count and
     stay. Null hosts form one host; pages without text (null) count as pages and stay null with 0
     lines; a page that loses all its lines stays with an empty text. Repeated rows are pages of their
-    own. Other columns pass through.
+    own; without ``count_copies`` pages of a host with the same text count as one, so that copies do not
+    make their whole text boilerplate. Other columns pass through.
     """
-    frequent = line_ratios(pages, host_col, text_col).where(
+    frequent = line_ratios(pages, host_col, text_col, count_copies).where(
         (F.col("on_pages") >= min_pages) & (F.col("on_pages") > F.col("pages") * F.lit(ratio))
     )
     # At most (lines per page) / ratio lines of a host pass, so a host's list is bounded.

@@ -373,6 +373,21 @@ def test_boilerplate_lines(spark):
             assert "shared by host" in r["text"] and r["n_dropped"] == 0
 
 
+def test_pipeline_keeps_a_document_of_many_copies(spark):
+    """Copies over a tenth of a source are left to the near-dedup stage, which keeps one with its text."""
+    copied = "\n".join(f"copied line {i} with some words of its own" for i in range(8))
+    rows = [(i, copied, "en", "h", len(copied)) for i in range(40)]
+    for i in range(40, 100):
+        text = f"shared by all\nown words {i} {i * 7919 % 1009} {i * 104729 % 997} of document {i * 31 % 89}"
+        rows.append((i, text, "en", "h", len(text)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    cleaned = stages["line_dedup"](spark, docs, SF)
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert all(got[i] == copied for i in range(40)) and not any("shared by all" in t for t in got.values())
+    assert [r["text"] for r in stages["simhash_dedup"](spark, cleaned, SF).collect()].count(copied) == 1
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.drop_boilerplate(odd, min_pages=2).collect()
     assert len(got) == 10
