@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.sample import least_hashed
+from corpusflow.llm.sample import least_hashed, one_row_an_id
 from corpusflow.llm.textbytes import flat, slices, tidy
+from corpusflow.session import materialise
 
 FEATURES = 4096
 SAMPLE_PER_LANG = 1000  # labelled texts that are fitted for each language, at most
@@ -103,33 +104,41 @@ def fit(
 ) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of each language, those of least md5 of the id among ``usable`` ones.
 
-    Only ids and labels are ranked; the chosen texts become trigram counts in the tasks, and only those reach the driver.
+    Of an id that repeats, one row counts. Only ids and labels are ranked; the chosen texts become trigram
+    counts in the tasks, and only those reach the driver.
     Rows without label, id or letters are not used. Without any usable row every text is unknown.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    ids = least_hashed(ids, "lang", F.lit(per_lang)).select("id").distinct()
-    # per_lang rows of each language: a proven bound.
-    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
-        F.broadcast(ids), "id"
-    )
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = materialise(one_row_an_id(known, "id", "text", "lang"), "lang-rows")
+    chosen = least_hashed(rows.select("id", "lang"), "lang", F.lit(per_lang)).join(rows, ["id", "lang"])
+    # per_lang rows of each language, one per id; rows that equal them give way in the tasks and after them.
+    chosen = materialise(chosen.select("id", "lang", "digest"), "lang-sample")
+    sample = known.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "lang", "digest"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            langs, texts = batch.column(1), batch.column(2)
+            ids = batch.column(0).to_pylist()
+            batch = batch.take(pa.array([i for i, x in enumerate(ids) if not (x in seen or seen.add(x))], pa.int64()))
+            ids, langs, texts = batch.columns
             for a, b in slices(texts, SLICE_BYTES):
                 table, letters = counts(texts.slice(a, b - a).fill_null(""))
                 rows = [i for i in range(b - a) if letters[i]]
                 out = [(langs[a + i].as_py(), np.flatnonzero(table[i])) for i in rows]
+                names = ids.take(pa.array([a + i for i in rows], pa.int64()))
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "id": names,
                         "lang": pa.array([lang for lang, _ in out], pa.string()),
                         "keys": pa.array([k for _, k in out], pa.list_(pa.int32())),
                         "tfs": pa.array([table[i][k] for i, (_, k) in zip(rows, out)], pa.list_(pa.int32())),
                     }
                 )
 
-    found = sample.select("id", "lang", "text").mapInArrow(features, "lang string, keys array<int>, tfs array<int>").toArrow()
+    kind = known.schema["id"].dataType.simpleString()
+    found = sample.select("id", "lang", "text").mapInArrow(features, f"id {kind}, lang string, keys array<int>, tfs array<int>")
+    found = found.dropDuplicates(["id"]).toArrow()
     if not found.num_rows:
         return LanguageModel(np.zeros(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), (), 0.0)
     keys, tfs = found["keys"].combine_chunks(), found["tfs"].combine_chunks()

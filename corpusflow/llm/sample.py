@@ -22,3 +22,13 @@ def least_hashed(rows: DataFrame, label: str, limit: Column) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_h", "id"))
     ranked = near.withColumn("_h", h).withColumn("_nth", nth)
     return ranked.where(F.col("_nth") <= limit).select("id", label)
+
+
+def one_row_an_id(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, digest, ``more``) of one row per id, that of the least digest of its text and ``more``; no null ids.
+
+    Combined before the shuffle, so an id that repeats costs each task a row.
+    """
+    row = F.struct(F.xxhash64(text_col).alias("digest"), *more)
+    least = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(row).alias("row"))
+    return least.select("id", "row.*")

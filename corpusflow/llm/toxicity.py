@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.sample import least_hashed
+from corpusflow.llm.sample import least_hashed, one_row_an_id
 from corpusflow.llm.textbytes import flat, slices, words
+from corpusflow.session import materialise
 
 ORDER = 4
 SPAN = 7  # letters of a subsequence lie within so many characters
@@ -252,12 +253,19 @@ def fit(
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     rows = F.when(F.col("y") == 1, positive_rows).otherwise(negative_rows)
     chosen = least_hashed(known, "y", rows)
-    # positive_rows + negative_rows rows: a proven bound.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = materialise(chosen, "toxicity-ids")
+    # positive_rows + negative_rows rows, one per id; rows that equal them give way in the tasks and after them.
+    rows = one_row_an_id(texts.join(F.broadcast(chosen), "id"), "id", "text", "y")
+    rows = materialise(rows, "toxicity-sample")
+    sample = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(rows), ["id", "digest"])
     sample = sample.where(F.length("text") <= MAX_FIT_CHARS).select("id", "y", "text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            ids = batch.column(0).to_pylist()
+            batch = batch.take(pa.array([i for i, x in enumerate(ids) if not (x in seen or seen.add(x))], pa.int64()))
             for a, b in slices(batch.column(2)):
                 vocabulary, index, per_text = distinct_words(batch.column(2).slice(a, b - a))
                 bags = [np.unique(x) for x in np.split(index, np.cumsum(per_text)[:-1])]
@@ -268,7 +276,8 @@ def fit(
                 )
 
     kind = sample.schema["id"].dataType.simpleString()
-    table = sample.mapInArrow(listed, f"id {kind}, y int, words array<string>").toArrow().sort_by("id")
+    lists = sample.mapInArrow(listed, f"id {kind}, y int, words array<string>").dropDuplicates(["id"])
+    table = lists.toArrow().sort_by("id")
     lists = table["words"].combine_chunks()
     flat_words = lists.flatten().cast(pa.large_string()).dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)

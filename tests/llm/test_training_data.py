@@ -553,6 +553,21 @@ def test_texts_of_an_unlearned_language_are_rejected(spark, left_out):
     assert got[~unlearned].rejected.mean() < 0.01
 
 
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    """A third of the rows share an id: a sample holds one of them, and other ids besides."""
+    texts = ["one of many words here", "und noch ein Satz dazu", "encore une phrase ici"]
+    rows = [(7 if i % 3 == 0 else i, f"{texts[i % 3]} {chr(97 + i % 26)}", "xx", i % 2) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    tables = []
+    monkeypatch.setattr(langid, "vectors", lambda table, idf, f=langid.vectors: (tables.append(table), f(table, idf))[1])
+    langid.fit(docs, F.lit(True), per_lang=500)
+    assert len(tables[0]) == len({r[0] for r in rows})
+    bags = []
+    monkeypatch.setattr(toxicity, "train", lambda vocabulary, words, labels: bags.extend(words))
+    toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    assert len(bags) == len({r[0] for r in rows})
+
+
 def test_short_texts_are_kept(spark, documents):
     model = langid.fit(documents, F.lit(True))
     words = [w for r in documents.where("length(text) > 200").limit(40).collect() for w in r["text"].split()[:1] if w.isalpha()]
