@@ -32,7 +32,7 @@ MAX_CODES = 128
 MEMBERS, PROBES = 256, 512  # rows of a cell that meet in a task
 ROUNDS = 12
 WHOLE_CELL_ROWS = 4096  # wanted mean rows of a cell, and rows that meet, where all possible cells are visited
-SLACK = 1e-9  # of squared distances, for rounding
+SLACK, ROUNDING = 1e-9, 1e-12  # of squared distances to planes and to codes
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,7 +114,7 @@ class MultiIndex:
         for d, c in zip(self.distances(x), (self.left, self.right)):
             m = d.argmin(axis=1)
             apart = 2 * np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-300))
-            near.append(((d - d.min(axis=1, keepdims=True)) / apart[m]) ** 2)
+            near.append((np.maximum(d - d.min(axis=1, keepdims=True) - ROUNDING, 0) / apart[m]) ** 2)
         own = self.cells(x)
         out = []
         for a, b, first in zip(*near, own):
@@ -366,6 +366,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[labels[child]]
 
 
+def _links(reps: DataFrame, n: int, threshold: float, target_recall: float, report: dict | None) -> DataFrame:
+    """(a, b, n) of ``_verify`` for ``n`` different vectors of one length."""
+    index = fit_index(reps, n)
+    visits, recall = visits_needed(reps, n, index, threshold, target_recall)
+    whole = visits is None
+    if whole:
+        index = fit_index(reps, n, cell_rows=WHOLE_CELL_ROWS)
+    if report is not None:
+        report |= {"visits": visits, "recall": recall, "codes": len(index.left)}
+    visited = materialise(_visited(reps, index, visits, threshold), "vector-visits")
+    blocks = _spread(_dealt(visited, whole), (WHOLE_CELL_ROWS, WHOLE_CELL_ROWS) if whole else (MEMBERS, PROBES))
+    blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "probe")
+    return materialise(blocks.mapInArrow(lambda b: _verify(b, threshold, whole), "a long, b long, n long"), "vector-links")
+
+
 def near_vectors(
     rows: DataFrame,
     id_col: str = "vec_id",
@@ -379,33 +394,21 @@ def near_vectors(
     Vectors link at a cosine of ``threshold`` or more. Equal vectors are looked up once and linked with
     each other. Null, zero and non-finite vectors link with nothing and stand alone. Ids should be
     unique (of repeated ids, all rows get the most links and the least component); rows with a null id stand
-    alone with null component. A table holds vectors of one length; any of another than the most frequent
-    length link with nothing. ``report`` gets the visits per vector
-    and the recall that the sample of queries measured, both None where all possible cells are visited.
+    alone with null component. Vectors of different lengths do not link; every length has an index of its
+    own, one after the other. ``report`` gets the visits per vector and the recall that the sample of
+    queries measured for the most frequent length, both None where all possible cells are visited.
     """
     spark = rows.sparkSession
     ids = materialise(usable_vectors(rows.where(F.col(id_col).isNotNull()), id_col, vector_col), "vectors")
-    dims = [r["dim"] for r in ids.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()]
-    ids = ids.where(F.col("dim") == dims[0]) if dims else ids
     groups = ids.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = materialise(groups, "vector-groups")
     reps = groups.select(F.col("rep").alias("id"), "v", "copies")
-    found = None
-    n = reps.count()
-    if n:
-        index = fit_index(reps, n)
-        visits, recall = visits_needed(reps, n, index, threshold, target_recall)
-        whole = visits is None
-        if whole:
-            index = fit_index(reps, n, cell_rows=WHOLE_CELL_ROWS)
-        if report is not None:
-            report |= {"visits": visits, "recall": recall, "codes": len(index.left)}
-        visited = materialise(_visited(reps, index, visits, threshold), "vector-visits")
-        blocks = _spread(_dealt(visited, whole), (WHOLE_CELL_ROWS, WHOLE_CELL_ROWS) if whole else (MEMBERS, PROBES))
-        blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "probe")
-        found = materialise(blocks.mapInArrow(lambda b: _verify(b, threshold, whole), "a long, b long, n long"), "vector-links")
-    else:
-        found = spark.createDataFrame([], "a long, b long, n long")
+    lengths = reps.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for place, row in enumerate(lengths):
+        if row["count"] > 1:
+            own = report if place == 0 else None
+            found = found.union(_links(reps.where(F.size("v") == row["dim"]), row["count"], threshold, target_recall, own))
     linked = found.where("n IS NOT NULL").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
     comps = materialise(components(found.where("b IS NOT NULL").select("a", "b")), "vector-components")
     comps = comps.select(F.col("node").alias("_node"), F.col("root").alias("_root"))

@@ -456,6 +456,14 @@ def test_vector_links_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_vectors_of_every_length_link(spark):
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(6)] + [(10, [3.0, 4.0]), (11, [3.0, 4.0]), (12, [3.1, 4.0]), (13, [4.0, -3.0])]
+    rows += [(20, [2.0]), (21, [5.0]), (22, [-1.0]), (30, [1.0] * 5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {i: (5, 0) for i in range(6)} | {10: (2, 10), 11: (2, 10), 12: (2, 10), 13: (0, 13)}
+    assert got == want | {20: (1, 20), 21: (1, 20), 22: (0, 22), 30: (0, 30)}
+
+
 def test_no_vectors(spark):
     assert embedding.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
