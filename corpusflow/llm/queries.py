@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import langid, toxicity
+from corpusflow.llm import conversation, langid, toxicity
 from corpusflow.llm.embedding import near_vectors
 from corpusflow.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from corpusflow.llm.packing import pack
@@ -94,6 +94,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    damaged = conversation.damage(_table(spark, sf_dir, "conversations"))
+    return conversation.summarise(conversation.repair(damaged, "copies"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +113,7 @@ QUERIES = {
         op8_embedding,
         op9_langid,
         op10_source_mix,
+        op11_conversation,
     )
 }
 
@@ -165,4 +172,71 @@ ORACLES = {
                    size * (budget // source_size)
                    + least(greatest(budget - (budget // source_size) * source_size - before, 0), size) END::BIGINT AS taken
         FROM o""",
+    "op11_conversation": r"""
+        WITH RECURSIVE bits AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tbl),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(
+                        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                        lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) % 20 AS kind
+                  FROM conversations, bits)),
+        ordered AS (
+            SELECT *, row_number() OVER w AS i, left(role, 1) AS c, lag(left(role, 1)) OVER w AS before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+            FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        rows AS (
+            SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                           WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM ordered),
+        moves(state, c, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        inserts(state, letters, price, after) AS (
+            SELECT DISTINCT state, '', 0, state FROM moves
+            UNION ALL SELECT state, 'I', 2, after FROM moves WHERE c <> 's'
+            UNION ALL SELECT a.state, 'II', 4, b.after FROM moves a JOIN moves b ON a.after = b.state WHERE a.c <> 's' AND b.c <> 's'),
+        steps AS (
+            SELECT state, state AS after, 'any' AS c, 'D' AS letters, 3 AS price FROM inserts WHERE letters = ''
+            UNION ALL SELECT i.state, m.after, m.c, i.letters || 'K', i.price FROM inserts i JOIN moves m ON i.after = m.state
+            UNION ALL SELECT i.state, m.after, 'stays', i.letters || 'R', i.price + 2 FROM inserts i JOIN moves m ON i.after = m.state WHERE m.c <> 's'),
+        paths AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit FROM conversations
+            UNION ALL
+            SELECT conv_id, i, state, cost, audit FROM (
+                SELECT p.conv_id, r.i, s.after AS state, p.cost + s.price + CASE WHEN s.c <> 'any' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+                       p.audit || s.letters AS audit,
+                       row_number() OVER (PARTITION BY p.conv_id, s.after ORDER BY p.cost + s.price
+                           + CASE WHEN s.c <> 'any' AND fault = 'truncated' THEN 1 ELSE 0 END, p.audit || s.letters) AS nth
+                FROM paths p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+                JOIN steps s ON s.state = p.state AND (s.c = 'any' OR fault NOT IN ('blank', 'duplicate') AND s.c IN ('stays', r.c)))
+            WHERE nth = 1),
+        best AS (
+            SELECT conv_id, cost, audit FROM (
+                SELECT p.conv_id, p.cost + i.price AS cost, p.audit || i.letters AS audit,
+                       row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + i.price, p.audit || i.letters) AS nth
+                FROM paths p JOIN inserts i ON p.state = i.state AND i.after IN (0, 3)
+                WHERE p.i = (SELECT count(*) FROM rows r WHERE r.conv_id IS NOT DISTINCT FROM p.conv_id))
+            WHERE nth = 1),
+        letters AS (
+            SELECT conv_id, k, letter, CASE WHEN letter <> 'I' THEN count(*) FILTER (letter <> 'I') OVER w END AS i,
+                   count(*) FILTER (letter <> 'D') OVER w AS place
+            FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(length(audit))) AS k FROM best WHERE audit <> '')
+            WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+        kept AS (
+            SELECT l.*, r.role, r.text, coalesce(max(CASE WHEN letter = 'K' AND r.c = 's' THEN 1 END) OVER (PARTITION BY l.conv_id), 0) AS opened
+            FROM letters l LEFT JOIN rows r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.i = r.i),
+        texts AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                       || ':' || coalesce(text, ''), chr(10) ORDER BY k) FILTER (letter <> 'D') AS repaired
+            FROM kept GROUP BY conv_id),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM rows GROUP BY conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost, b.audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM best b LEFT JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON b.conv_id IS NOT DISTINCT FROM t.conv_id""",
 }
