@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import conversation, langid, toxicity
 from corpusflow.llm.embedding import near_vectors
+from corpusflow.llm.hmm import score_texts
 from corpusflow.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from corpusflow.llm.packing import pack
 from corpusflow.llm.repetition import repetition_rules
@@ -100,6 +101,13 @@ def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.summarise(conversation.repair(damaged, "copies"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov scores of every document, learned from documents outside the held-out fold."""
+    held_out = F.coalesce(in_fold(7, 2), F.lit(False))
+    scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +122,7 @@ QUERIES = {
         op9_langid,
         op10_source_mix,
         op11_conversation,
+        op12_language_model,
     )
 }
 
