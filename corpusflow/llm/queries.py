@@ -11,6 +11,7 @@ from corpusflow.llm.hmm import score_texts
 from corpusflow.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from corpusflow.llm.packing import pack
 from corpusflow.llm.repetition import repetition_rules
+from corpusflow.llm.rtree import mine
 from corpusflow.llm.sharding import minimax_shards
 from corpusflow.llm.simhash import near_duplicates
 from corpusflow.llm.source_mix import mix_sources
@@ -108,6 +109,12 @@ def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, for each of its positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +130,7 @@ QUERIES = {
         op10_source_mix,
         op11_conversation,
         op12_language_model,
+        op13_hard_negatives,
     )
 }
 
@@ -248,4 +256,23 @@ ORACLES = {
         SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
                coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost, b.audit, sha256(coalesce(repaired, '')) AS repaired_sha256
         FROM best b LEFT JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON b.conv_id IS NOT DISTINCT FROM t.conv_id""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.uid <> b.uid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT uid, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS nth
+            FROM scores WHERE same),
+        ranked AS (
+            SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY s.uid, nth ORDER BY score DESC, vec_id)::INTEGER AS rank
+            FROM scores s JOIN positives p ON s.uid = p.uid
+            WHERE nth <= 5 AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3""",
 }
