@@ -16,27 +16,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.textbytes import SPACE, flat, span_ids, tidy, words
+from corpusflow.llm.textbytes import SPACE, flat, tidy, words
 from corpusflow.session import materialise
 
-STATES, ROUNDS = 5, 5
+STATES, ROUNDS = 5, 6
 FREQUENT, RARE = 1 << 16, 1 << 12
 #: Part of a state's emissions that follows the classes' shares in the corpus, and how long a state lasts at first.
 SHARED, LASTS = 0.02, 0.95
 END = " "  # no word holds a space
 PIECE_BYTES, BLOCK_BYTES, BLOCK_PIECES = 1_000_000, 4_000_000, 20_000
-CHUNK = 64
+#: A block's number and a word's code in one long: a million blocks a task, four million words a block.
+BLOCK_BITS, CODE_BITS = 20, 22
+CHUNK = 128
 
 BLOCKS = (
-    "block long, words array<string>, keys array<long>, seen array<long>, codes binary, starts array<long>, "
+    "block long, words array<string>, seen array<int>, rare binary, codes binary, starts binary, "
     "doc array<long>, nth array<int>, last array<boolean>, id array<long>, train array<boolean>"
 )
 
@@ -62,34 +65,39 @@ def encode(pieces: list[np.ndarray], last: list[bool], train: list[bool]):
     """(words, training tokens of each, codes, starts) of a block's pieces; the last piece of a text has its end."""
     data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    data[(data >= 65) & (data <= 90)] += 32
     begin, end, n = words(data, offsets)
-    spans = span_ids(data, begin, end)
-    first = np.full(int(spans.max(initial=-1)) + 1, -1)
-    first[spans[::-1]] = np.arange(len(spans))[::-1]
-    codes = (np.cumsum(first >= 0) - 1)[spans]
-    first = first[first >= 0]
-    names = [data[begin[i] : end[i]].tobytes().decode("utf-8") for i in first]
-    names.append(END)
+    bounds = np.empty(2 * len(begin), dtype=np.int64)
+    bounds[0::2], bounds[1::2] = begin, end
+    buffers = [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+    both = pa.Array.from_buffers(pa.large_binary(), max(len(bounds) - 1, 0), buffers)  # words and what is between them
+    found = both.dictionary_encode()
+    spans = np.asarray(found.indices, dtype=np.int64)[0::2]
+    here = np.zeros(len(found.dictionary), bool)
+    here[spans] = True
+    codes = (np.cumsum(here) - 1)[spans]
+    names = pa.concat_arrays([found.dictionary.filter(pa.array(here)).cast(pa.string()), pa.array([END])])
     ends = np.asarray(last, dtype=np.int64)
     codes = np.insert(codes, np.cumsum(n)[ends > 0], len(names) - 1)
     starts = np.concatenate([[0], np.cumsum(n + ends)])
-    seen = np.bincount(codes, weights=np.repeat(np.asarray(train, float), np.diff(starts)), minlength=len(names))
-    return names, seen.astype(np.int64), codes.astype("<u2" if len(names) <= 1 << 16 else "<u4"), starts
+    learned = codes[np.repeat(np.asarray(train, bool), np.diff(starts))]
+    return names, np.bincount(learned, minlength=len(names)), codes, starts
 
 
 def _blocks(schema: pa.Schema, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n_blocks, n_docs = TaskContext.get().partitionId() << 32, 0, 0
+        task, n_blocks, n_docs = TaskContext.get().partitionId(), 0, 0
         pieces, rows, held = [], [], 0
 
         def flush():
             nonlocal pieces, rows, held, n_blocks
             names, seen, codes, starts = encode(pieces, [r[2] for r in rows], [r[4] for r in rows])
-            keys = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64).view(np.int64)
-            row = [base + n_blocks, names, keys.tolist(), seen.tolist(), codes.tobytes(), starts.tolist(), *map(list, zip(*rows))]
+            rare = np.array([crc32(w.encode()) % RARE for w in names.to_pylist()], "<u2")
+            blobs = [x.tobytes() for x in (rare, codes.astype("<u2" if len(names) <= 1 << 16 else "<u4"), starts)]
+            cells = [pa.array([(task << BLOCK_BITS) + n_blocks]), *(pa.ListArray.from_arrays([0, len(x)], x) for x in (names, pa.array(seen, pa.int32())))]
+            cells += [pa.array([x], f.type) for x, f in zip([*blobs, *map(list, zip(*rows))], list(schema)[3:])]
             n_blocks, pieces, rows, held = n_blocks + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, schema)], schema=schema)
 
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -98,7 +106,7 @@ def _blocks(schema: pa.Schema, piece_bytes: int):
                 text = data[offsets[i] : offsets[i + 1]]
                 for nth, (a, b) in enumerate(cut(text, piece_bytes)):
                     pieces.append(text[a:b].copy())
-                    rows.append((base + n_docs, nth, b == len(text), doc, learn))
+                    rows.append(((task << 40) + n_docs, nth, b == len(text), doc, learn))
                     held += b - a
                     if held >= BLOCK_BYTES or len(rows) >= BLOCK_PIECES:
                         yield flush()
@@ -129,26 +137,28 @@ class Chunks:
         self.steps = [int(np.searchsorted(-self.length, -t, side="left")) for t in range(CHUNK)]  # chunks longer than t
 
     def emissions(self, e: np.ndarray, t: int) -> np.ndarray:
-        return e[self.codes[self.begin[: self.steps[t]] + t]]
+        return e.take(self.codes[self.begin[: self.steps[t]] + t], axis=1)
 
     def products(self, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(matrix, log of its scale) of each chunk; the first token of an opening chunk has no transition."""
+        """(state by next state by chunk, log of the scale) of each chunk; an opening chunk's first token has no transition."""
         k = len(a)
-        m = np.tile(np.eye(k), (len(self.length), 1, 1))
-        scale = np.zeros(len(m))
+        m = np.zeros((k, k, len(self.length)))
+        m[np.arange(k), np.arange(k)] = 1.0
+        scale = np.zeros(m.shape[2])
         for t, n in enumerate(self.steps):
             if not n:
                 break
-            moved = (m[:n].reshape(-1, k) @ a).reshape(n, k, k)
+            moved = np.matmul(a.T, m[:, :, :n])
             if t == 0:
-                moved[self.opening[:n]] = np.eye(k)
-            m[:n] = moved * self.emissions(e, t)[:, None, :]
-            if t % 8 == 7 or t == CHUNK - 1:
-                top = m[:n].max(axis=(1, 2))
-                m[:n] /= top[:, None, None]
+                moved = np.where(self.opening[:n], m[:, :, :n], moved)
+            moved *= self.emissions(e, t)
+            if t % 8 == 7:
+                top = moved.max(axis=(0, 1))
+                moved /= top
                 scale[:n] += np.log(top)
-        top = m.max(axis=(1, 2)) if len(m) else np.ones(0)
-        return m / top[:, None, None], scale + np.log(top)
+            m[:, :, :n] = moved
+        top = m.max(axis=(0, 1))
+        return m / top, scale + np.log(top)
 
     def rounds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(pieces, their chunks) for the first chunks of all pieces, then the second ones, and so on."""
@@ -160,69 +170,73 @@ class Chunks:
 
     def forward(self, pi: np.ndarray, m: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(state weights before each chunk, last weights and log scale of each piece)."""
-        now, total = np.tile(pi, (len(self.n), 1)), np.zeros(len(self.n))
-        before = np.empty((len(self.length), len(pi)))
+        now, total = np.repeat(pi[:, None], len(self.n), axis=1), np.zeros(len(self.n))
+        before = np.empty((len(pi), len(self.length)))
         for pieces, chunks in self.rounds():
-            before[chunks] = now[pieces]
-            after = np.einsum("pi,pij->pj", now[pieces], m[chunks])
-            size = after.sum(axis=1)
-            now[pieces] = after / size[:, None]
+            here = now[:, pieces]
+            before[:, chunks] = here
+            after = (here[:, None, :] * m[:, :, chunks]).sum(axis=0)
+            size = after.sum(axis=0)
+            now[:, pieces] = after / size
             total[pieces] += scale[chunks] + np.log(size)
         return before, now, total
 
     def backward(self, m: np.ndarray) -> np.ndarray:
         """Weights of what follows each chunk, by the state it ends in."""
-        k = m.shape[1]
-        now, after = np.ones((len(self.n), k)), np.empty((len(self.length), k))
+        now, after = np.ones((len(m), len(self.n))), np.empty((len(m), len(self.length)))
         for pieces, chunks in reversed(list(self.rounds())):
-            after[chunks] = now[pieces]
-            before = np.einsum("pij,pj->pi", m[chunks], now[pieces])
-            now[pieces] = before / before.max(axis=1, keepdims=True)
+            here = now[:, pieces]
+            after[:, chunks] = here
+            before = (m[:, :, chunks] * here).sum(axis=1)
+            now[:, pieces] = before / before.max(axis=0)
         return after
 
 
 def expected(codes, starts, pieces, pi, a, e):
-    """Baum-Welch counts of some pieces, each a sequence: (by code and state, transitions, first states)."""
+    """Baum-Welch counts of some pieces, each a sequence, by emissions ``e`` (state by code).
+
+    Returned are (counts by state and code, transitions, first states).
+    """
     c = Chunks(codes, starts, pieces, np.ones(len(pieces), bool))
     k = len(pi)
     m, scale = c.products(a, e)
     before, _, _ = c.forward(pi, m, scale)
-    after = c.backward(m)
-    alphas, now = [], before.copy()
+    beta = c.backward(m)
+    del m
+    alphas, now = [], before
     for t, n in enumerate(c.steps):
         if not n:
             break
-        moved = now[:n] @ a
+        moved = a.T @ now[:, :n]
         if t == 0:
-            moved[c.opening[:n]] = now[:n][c.opening[:n]]
-        got = moved * c.emissions(e, t)
-        alphas.append(got / got.sum(axis=1, keepdims=True))
-        now = alphas[-1]
-    moves, opened = np.zeros((k, k)), np.zeros(k)
-    by_code = np.zeros((len(e), k))
-    beta = after.copy()
+            moved = np.where(c.opening[:n], now[:, :n], moved)
+        moved *= c.emissions(e, t)
+        now = moved / moved.sum(axis=0)
+        alphas.append(now)
+    moves, opened, by_code = np.zeros((k, k)), np.zeros(k), np.zeros(e.shape)
     for t in reversed(range(len(alphas))):
         n = c.steps[t]
-        gamma = alphas[t] * beta[:n]
-        gamma /= gamma.sum(axis=1, keepdims=True)
         at = c.codes[c.begin[:n] + t]
+        gamma = alphas[t] * beta[:, :n]
+        gamma /= gamma.sum(axis=0)
         for s in range(k):
-            by_code[:, s] += np.bincount(at, weights=gamma[:, s], minlength=len(e))
-        w = e[at] * beta[:n]
-        prior, inner = (alphas[t - 1][:n], slice(None)) if t else (before[:n], ~c.opening[:n])
-        size = ((prior @ a) * w).sum(axis=1)
-        moves += a * ((prior[inner] / size[inner, None]).T @ w[inner])
+            by_code[s] += np.bincount(at, weights=gamma[s], minlength=e.shape[1])
+        w = e.take(at, axis=1) * beta[:, :n]
+        back = a @ w
+        prior = alphas[t - 1][:, :n] if t else before[:, :n]
+        share = prior / (prior * back).sum(axis=0)
         if t == 0:
-            opened += gamma[c.opening[:n]].sum(axis=0)
-        back = w @ a.T
-        beta[:n] = back / back.max(axis=1, keepdims=True)
+            opened += gamma[:, c.opening[:n]].sum(axis=1)
+            share = np.where(c.opening[:n], 0.0, share)
+        moves += a * (share @ w.T)
+        beta[:, :n] = back / back.max(axis=0)
     return by_code, moves, opened
 
 
 class Model(NamedTuple):
-    """``frequent`` keys (sorted), first and next states, ``emission`` of classes by state, words' ``mass`` of classes, totals."""
+    """``frequent`` words, first and next states, ``emission`` of classes by state, words' ``mass`` of classes, totals."""
 
-    frequent: np.ndarray
+    frequent: pa.Array
     pi: np.ndarray
     a: np.ndarray
     emission: np.ndarray
@@ -231,103 +245,77 @@ class Model(NamedTuple):
     types: int
 
 
-def classes(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Class of each word key: its place among the frequent ones, else after them by its hash."""
-    rare = len(frequent) + (keys.view(np.uint64) % np.uint64(RARE)).astype(np.int64)
-    if not len(frequent):
-        return rare
-    at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-    return np.where(frequent[at] == keys, at, rare)
-
-
 def emissions(counts: np.ndarray, mass: np.ndarray, tokens: int, types: int) -> np.ndarray:
-    """Emission of each class (last: unknown words, with the share of one word never seen) by state."""
+    """Emissions by state and class (last: unknown words, with the share of one word never seen) of ``counts``."""
     unknown = 1.0 / (tokens + types + 1)
-    own = counts / np.maximum(counts.sum(axis=0), 1e-300)
-    whole = np.maximum(mass.sum(), 1.0)
-    known = (1 - SHARED) * own + SHARED * (mass / whole)[:, None]
-    return np.vstack([known * (1 - unknown), np.full((1, counts.shape[1]), unknown)])
+    own = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
+    known = (1 - SHARED) * own + SHARED * mass / max(mass.sum(), 1.0)
+    return np.hstack([known * (1 - unknown), np.full((len(counts), 1), unknown)])
 
 
 def start(frequent, counts, mass, tokens, types, states: int) -> Model:
     """A model whose states differ at random (the same way every time) and last."""
-    noise = np.exp(np.random.default_rng(0).normal(size=(len(counts), states)))
-    parts = counts[:, None] * noise / noise.sum(axis=1, keepdims=True)
+    noise = np.exp(np.random.default_rng(0).normal(size=(states, len(counts))))
     a = np.full((states, states), (1 - LASTS) / max(states - 1, 1))
     np.fill_diagonal(a, LASTS if states > 1 else 1.0)
-    return Model(frequent, np.full(states, 1 / states), a, emissions(parts, mass, tokens, types), mass, tokens, types)
+    emission = emissions(counts * noise / noise.sum(axis=0), mass, tokens, types)
+    return Model(frequent, np.full(states, 1 / states), a, emission, mass, tokens, types)
 
 
 def update(model: Model, counts: np.ndarray) -> Model:
-    """The next model by the expected counts: classes, then a row of transitions per state, then first states."""
+    """The next model by the expected counts: by class, then transitions to each state, then first states."""
     k, n = len(model.pi), len(model.mass)
-    moves, opened = counts[n : n + k] + 0.1, counts[n + k] + 0.1
+    moves, opened = counts[:, n : n + k] + 0.1, counts[:, n + k] + 0.1
     return model._replace(
         pi=opened / opened.sum(),
         a=moves / moves.sum(axis=1, keepdims=True),
-        emission=emissions(counts[:n], model.mass, model.tokens, model.types),
+        emission=emissions(counts[:, :n], model.mass, model.tokens, model.types),
     )
 
 
-def _row(batch: pa.RecordBatch, i: int) -> tuple:
-    """(keys, codes, starts) of a block."""
-    keys = np.asarray(batch.column("keys")[i].values, dtype=np.int64)
-    codes = np.frombuffer(batch.column("codes")[i].as_buffer(), "<u2" if len(keys) <= 1 << 16 else "<u4")
-    return keys, codes.astype(np.int64), np.asarray(batch.column("starts")[i].values, dtype=np.int64)
+def _codes(batch: pa.RecordBatch, i: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts) of a block."""
+    codes = np.frombuffer(batch.column("codes")[i].as_buffer(), "<u2" if n_words <= 1 << 16 else "<u4")
+    return codes.astype(np.int64), np.frombuffer(batch.column("starts")[i].as_buffer(), np.int64)
 
 
 def _flags(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return np.asarray(batch.column(name)[i].values.to_numpy(zero_copy_only=False))
 
 
-def _sums(by_class: np.ndarray, name: str) -> pa.RecordBatch:
-    """A row (class, columns of ``by_class``) for every class with a count."""
-    there = np.flatnonzero(by_class.any(axis=1))
-    cols = [pa.array(there, pa.int32()), *(pa.array(by_class[there, i]) for i in range(by_class.shape[1]))]
-    return pa.RecordBatch.from_arrays(cols, names=["class", *(f"{name}{i}" for i in range(by_class.shape[1]))])
-
-
-def _class_sums(frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = frequent.value
-        sums = np.zeros((len(keys) + RARE, 2))
-        for batch in batches:
-            c = np.asarray(batch.column(1), dtype=np.float64)
-            at = classes(np.asarray(batch.column(0), dtype=np.int64), keys)
-            for i, w in enumerate((c, np.where(c > 0, c + 1, 0))):
-                sums[:, i] += np.bincount(at, weights=w, minlength=len(sums))
-        yield _sums(sums, "n")
-
-    return run
-
-
 def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         n, k = len(m.mass), len(m.pi)
-        total = np.zeros((n + k + 1, k))
+        total = np.zeros((k, n + k + 1))
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, codes, starts = _row(batch, i)
                 learn = np.flatnonzero(_flags(batch, "train", i))
-                if len(learn):
-                    at = classes(keys, m.frequent)
-                    by_code, moves, opened = expected(codes, starts, learn, m.pi, m.a, m.emission[at])
-                    for s in range(k):
-                        total[:n, s] += np.bincount(at, weights=by_code[:, s], minlength=n)
-                    total[n : n + k] += moves
-                    total[n + k] += opened
-        yield _sums(total, "n")
+                if not len(learn):
+                    continue
+                names = batch.column("words")[i].values
+                own = pc.fill_null(pc.index_in(names, value_set=m.frequent), -1).to_numpy(zero_copy_only=False)
+                rare = np.frombuffer(batch.column("rare")[i].as_buffer(), "<u2")
+                of = np.where(own >= 0, own, len(m.frequent) + rare.astype(np.int64))
+                codes, starts = _codes(batch, i, len(names))
+                by_class, moves, opened = expected(of[codes], starts, learn, m.pi, m.a, m.emission)
+                total[:, :n] += by_class[:, :n]
+                total[:, n : n + k] += moves
+                total[:, n + k] += opened
+        there = np.flatnonzero(total.any(axis=0))
+        cols = [pa.array(there, pa.int32()), *(pa.array(row[there]) for row in total)]
+        yield pa.RecordBatch.from_arrays(cols, names=["class", *(f"n{i}" for i in range(k))])
 
     return tidy(run)
 
 
 def _gathered(rows: DataFrame, n: int, width: int) -> np.ndarray:
-    """Sums by class over all tasks as an array of n rows: bounded by the number of classes."""
+    """Sums by class over all tasks as an array: bounded by the number of classes."""
     cols = [f"n{i}" for i in range(width)]
-    sums = rows.groupBy("class").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
-    out = np.zeros((n, width))
-    out[np.asarray(sums["class"])] = np.stack([np.asarray(sums[c]) for c in cols], axis=1)
+    sums = rows.groupBy("class").agg(*(F.sum(c).cast("double").alias(c) for c in cols)).toArrow()
+    out = np.zeros((width, n))
+    for i, c in enumerate(cols):
+        out[i, np.asarray(sums["class"])] = np.asarray(sums[c])
     return out
 
 
@@ -335,21 +323,31 @@ def _columns(width: int) -> str:
     return ", ".join(["class int", *(f"n{i} double" for i in range(width))])
 
 
-def train(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts of ``blocks``; only sums by class reach the driver."""
-    sc = blocks.sparkSession.sparkContext
-    total = vocabulary.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+def with_class(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows with the ``class`` of their ``word``; ``frequent`` (common, own_class) has at most FREQUENT rows."""
+    joined = rows.join(F.broadcast(frequent), F.col("word") == F.col("common"), "left")
+    rare = frequent.count() + F.crc32(F.col("word").cast("binary")) % RARE
+    return joined.withColumn("class", F.coalesce("own_class", rare).cast("int")).drop("common", "own_class")
+
+
+def train(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """(model, its frequent words) by Baum-Welch over all training texts of ``blocks``; only sums by class reach the driver."""
+    spark = blocks.sparkSession
+    learned = vocabulary.where("c > 0")
+    total = learned.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = total["n"] or 0, total["v"] or 0
-    # Words of at least 1 / FREQUENT of all tokens: at most FREQUENT of them, whatever the corpus.
-    often = vocabulary.where((F.col("c") > 0) & (F.col("c") * FREQUENT >= tokens)).select("key").distinct().toArrow()
-    frequent = np.sort(np.asarray(often["key"], dtype=np.int64))
-    words_of = vocabulary.where("c > 0").select("key", "c").mapInArrow(_class_sums(sc.broadcast(frequent)), _columns(2))
-    counts, mass = _gathered(words_of, len(frequent) + RARE, 2).T
-    model = start(frequent, counts, mass, tokens, types, states)
+    # Words of at least 1 / FREQUENT of all tokens: at most FREQUENT of them, and of bounded length altogether.
+    often = learned.where(F.col("c") * FREQUENT >= tokens).select("word").toArrow()
+    often = often["word"].combine_chunks().cast(pa.string()).sort() if len(often) else pa.array([], pa.string())
+    frequent = spark.createDataFrame(list(zip(often.to_pylist(), range(len(often)))), "common string, own_class int")
+    sums = with_class(learned, frequent).select("class", F.col("c").alias("n0"), (F.col("c") + 1).alias("n1"))
+    counts, mass = _gathered(sums, len(often) + RARE, 2)
+    model = start(often, counts, mass, tokens, types, states)
     for _ in range(rounds):
-        found = blocks.select("keys", "codes", "starts", "train").mapInArrow(_expect(sc.broadcast(model)), _columns(states))
+        shared = spark.sparkContext.broadcast(model)
+        found = blocks.select("words", "rare", "codes", "starts", "train").mapInArrow(_expect(shared), _columns(states))
         model = update(model, _gathered(found, len(mass) + states + 1, states))
-    return model
+    return model, frequent
 
 
 SCORED = (
@@ -362,11 +360,12 @@ def _score(shared, schema: pa.Schema):
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         m = shared.value
         batch = block.combine_chunks().to_batches()[0]
-        keys, codes, starts = _row(batch, 0)
-        c = np.zeros(len(keys))
-        c[np.asarray(counts["code"])] = np.asarray(counts["c"])
-        at = np.where(c > 0, classes(keys, m.frequent), len(m.mass))
-        e = m.emission[at]
+        n_words = batch.column("n_words")[0].as_py()
+        codes, starts = _codes(batch, 0, n_words)
+        c, at = np.zeros(n_words), np.full(n_words, len(m.mass))
+        code_class = np.asarray(counts["code_class"])
+        c[code_class >> 32] = np.asarray(counts["c"])
+        at[code_class >> 32] = code_class & 0xFFFFFFFF
         own = np.where(c > 0, np.log((c + 1) / np.maximum(np.append(m.mass, 1)[at], 1)), 0.0)
         sums = [np.add.reduceat(np.append(w[codes], 0.0), starts[:-1]) for w in (own, np.log(c + 1), (c > 0) * 1.0)]
         sizes = np.diff(starts)
@@ -378,12 +377,12 @@ def _score(shared, schema: pa.Schema):
             pieces = np.flatnonzero((nth == 0) == opens)
             if not len(pieces):
                 continue
-            chunks = Chunks(codes, starts, pieces, np.full(len(pieces), opens))
-            products, scale = chunks.products(m.a, e)
+            chunks = Chunks(at[codes], starts, pieces, np.full(len(pieces), opens))
+            products, scale = chunks.products(m.a, m.emission)
             # A piece that does not open its text is carried from every state it may follow.
             ways = [chunks.forward(p, products, scale)[1:] for p in ([m.pi] if opens else np.eye(len(m.pi)))]
             for j, p in enumerate(pieces):
-                weights[p] = np.concatenate([w[j] for w, _ in ways]).tolist()
+                weights[p] = np.concatenate([w[:, j] for w, _ in ways]).tolist()
                 scales[p] = [float(s[j]) for _, s in ways]
         cols = [
             batch.column("doc")[0].values, nth, (nth == 0) & last, batch.column("id")[0].values, batch.column("train")[0].values,
@@ -435,13 +434,22 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), text_col, F.coalesce(learn, F.lit(False)))
     blocks = materialise(rows.mapInArrow(_blocks(arrow(BLOCKS), piece_bytes), BLOCKS), "lm-blocks")
-    seen = blocks.select(F.explode(F.arrays_zip("words", "keys", "seen")).alias("w")).select("w.*")
-    vocabulary = seen.groupBy(F.col("words").alias("word")).agg(F.sum("seen").alias("c"), F.first("keys").alias("key"))
-    vocabulary = materialise(vocabulary, "lm-words")
-    model = train(blocks, vocabulary, states, rounds)
-    places = blocks.select("block", F.posexplode("words").alias("code", "w"))
-    counts = places.join(vocabulary.where("c > 0"), F.col("w") == F.col("word")).select(F.col("block").alias("of"), "code", "c")
-    narrow = blocks.drop("words", "seen")
+    places = blocks.select("block", F.posexplode(F.arrays_zip("words", "seen")).alias("code", "w"))
+    place = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code"))
+    places = places.select(F.col("w.words").alias("word"), place.alias("place"), "w.seen")
+    # A word has a row per block, the most frequent one too: no word has more than a small part of the rows.
+    by_word = Window.partitionBy("word")
+    counted = places.select(
+        "word", "place", F.sum("seen").over(by_word).alias("c"),
+        (F.row_number().over(by_word.orderBy("place")) == 1).alias("first"),
+    )
+    counted = materialise(counted, "lm-words")
+    model, frequent = train(blocks, counted.where("first").select("word", "c"), states, rounds)
+    code_class = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1)), 32).bitwiseOR(F.col("class"))
+    counts = with_class(counted.where("c > 0"), frequent).select(
+        F.shiftright("place", CODE_BITS).alias("of"), code_class.alias("code_class"), "c"
+    )
+    narrow = blocks.select(F.size("words").alias("n_words"), *(c for c in blocks.columns if c not in ("words", "seen", "rare")))
     shared = spark.sparkContext.broadcast(model)
     scored = narrow.groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(_score(shared, arrow(SCORED)), SCORED)
     scored = materialise(scored, "lm-pieces")
