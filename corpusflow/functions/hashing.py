@@ -16,11 +16,11 @@ _SCALE = float(2**52)
 
 
 def seeded_key(seed, *cols) -> Column:
-    """md5 hex of ``'<seed>:<c1>:<c2>...'``."""
+    """md5 hex of ``'<seed>:<c1>:<c2>...'``; a null part counts as empty."""
     parts = [F.lit(str(seed))]
     for c in cols:
         parts.append(F.lit(":"))
-        parts.append((F.col(c) if isinstance(c, str) else c).cast("string"))
+        parts.append(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")))
     return F.md5(F.concat(*parts))
 
 

@@ -11,41 +11,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.hashing import hash_index, seeded_key
-from corpusflow.operators.packing import fragments, regroup_blocks, token_offsets
+from corpusflow.functions.hashing import hash_index
+from corpusflow.operators import views
+from corpusflow.operators.packing import fragments, regroup_blocks
+from corpusflow.operators.views import bases, domain_order
 from corpusflow.plans.generate import count_up
-from corpusflow.plans.index import ordered_index
+from corpusflow.plans.index import join_same
 from corpusflow.session import materialise
+from corpusflow.sources.blockstore import BlockStore, source_of
 
 STREAM = ["split", "domain"]
 
 
-def stream_lengths(blocks: DataFrame, part_cols: Sequence[str] = STREAM) -> DataFrame:
-    """One row per stream: ``stream_len`` and ``n_blocks`` (partial + final aggregate)."""
+def stream_lengths(blocks: DataFrame | BlockStore, part_cols: Sequence[str] = STREAM) -> DataFrame:
+    """One row per stream: ``stream_len`` and ``n_blocks`` (a store has them; else a partial + final aggregate)."""
+    if isinstance(blocks, BlockStore):
+        return blocks.lengths()
     return blocks.groupBy(*part_cols).agg(
         F.sum(F.size("ids")).cast("long").alias("stream_len"), F.count(F.lit(1)).alias("n_blocks")
     )
 
 
-def _domain_order(names: DataFrame, domains: Sequence[str] | None, split_col="split") -> DataFrame:
-    """Ordinal of every domain: list order if given, else by name (small table)."""
-    if domains is not None:
-        order = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain"))
-        return names.where(F.col("domain").isin(list(domains))).withColumn("_ord", order.cast("long"))
-    w = Window.partitionBy(split_col).orderBy("domain")
-    return names.withColumn("_ord", F.dense_rank().over(w).cast("long"))
-
-
-def _bases(sizes: DataFrame, size_col: str, domains, split_col="split") -> DataFrame:
-    """Exclusive running sum of per-domain sizes in domain order, per split (small)."""
-    ordered = _domain_order(sizes, domains, split_col)
-    w = Window.partitionBy(split_col).orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    return ordered.withColumn("_base", F.coalesce(F.sum(size_col).over(w), F.lit(0)).cast("long"))
-
-
 def locate_blocks(blocks: DataFrame, block_len: int) -> DataFrame:
     """Block rows as located pieces: ``offset`` = first stream position, ``n_tokens``."""
     return blocks.withColumn("offset", F.col("block_id") * F.lit(block_len)).withColumn(
@@ -75,8 +64,8 @@ def concat_domains(
 
     order_cols = list(order_cols)
     names = tok_df.select("split", "domain").distinct()
-    ords = _domain_order(names, domains).select("split", "domain", "_ord")
-    rows = tok_df.join(ords, ["split", "domain"]).withColumn("domain", F.lit(name))
+    ords = domain_order(names, domains).select("split", "domain", "_ord")
+    rows = join_same(tok_df, ords, STREAM).withColumn("domain", F.lit(name))
     return pack_blocks(rows, block_len, STREAM, ["_ord", *order_cols])
 
 
@@ -84,13 +73,8 @@ def concat_streams(
     blocks: DataFrame, block_len: int, domains: Sequence[str] | None = None, name: str = "all"
 ) -> DataFrame:
     """The streams of each split that a block table holds, one after the other, as one stream."""
-    bases = _bases(stream_lengths(blocks), "stream_len", domains).select("split", "domain", "_base")
-    # Written first, as in carve_tail: a row per stream.
-    located = locate_blocks(blocks, block_len).join(materialise(bases, "concat-bases"), ["split", "domain"])
-    pieces = located.select(
-        "split", F.lit(name).alias("domain"), (F.col("offset") + F.col("_base")).alias("offset"), "n_tokens", "ids"
-    )
-    return rebase(pieces, block_len, STREAM)
+    view = views.concat(views.identity(stream_lengths(blocks)), domains, name)
+    return views.read_view(blocks, view, block_len)
 
 
 def train_one_eval_all(corpus: DataFrame, domain: str | Column) -> DataFrame:
@@ -116,6 +100,38 @@ def _per_split(sizes: int | Mapping[str, int]) -> Column:
     return F.try_element_at(pairs, F.col("split")).cast("long")
 
 
+def carve_view(
+    lengths: DataFrame,
+    block_len: int,
+    n_blocks: int | Mapping[str, int],
+    domains: Sequence[str] | None = None,
+    mix_name: str = "mix",
+    head: Mapping[str, int] | None = None,
+    allow_overlap: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(what each stream keeps as ``_keep`` per stream, view of the ``mix`` stream) of :func:`carve_tail`."""
+    L = F.lit(block_len)
+    moved_len = F.coalesce(_per_split(n_blocks), F.lit(0)) * L
+    lens = lengths.withColumn("_cut", F.greatest(F.col("stream_len") - moved_len, F.lit(0)))
+    limit = F.col("stream_len") if allow_overlap else F.col("_cut")
+    first = _per_split(head or {}) * L
+    lens = lens.withColumn("_keep", F.when(first.isNotNull(), F.least(first, limit)).otherwise(F.col("_cut")))
+    tails = lens.withColumn("_tail", F.col("stream_len") - F.col("_cut"))
+    # Written first: the planner knows the size of this row per stream and chooses the joins by it.
+    plan = materialise(bases(tails, "_tail", domains).select(*STREAM, "stream_len", "_cut", "_keep", "_base"), "carve-bases")
+    whole = join_same(views.identity(plan), plan.drop("stream_len"), STREAM)
+    tail = views.clip(whole, F.col("_cut"), F.col("at") + F.col("n"), F.col("_base"), F.lit(mix_name))
+    return plan.select(*STREAM, "_keep"), tail
+
+
+def kept_blocks(blocks: DataFrame, block_len: int, keep: DataFrame) -> DataFrame:
+    """The first ``_keep`` tokens of each stream, in place."""
+    L = F.lit(block_len)
+    held = join_same(blocks.select(*STREAM, "block_id", "ids"), keep, STREAM).where(F.col("block_id") * L < F.col("_keep"))
+    size = F.least(F.col("_keep") - F.col("block_id") * L, L)
+    return held.select(*STREAM, "block_id", F.slice("ids", F.lit(1), F.greatest(size, F.lit(0)).cast("int")).alias("ids"))
+
+
 def carve_tail(
     blocks: DataFrame,
     block_len: int,
@@ -129,63 +145,27 @@ def carve_tail(
 
     ``n_blocks`` may differ by split (a split that is not named moves nothing). The kept part of each
     stream stays at its positions (only the block that holds the cut is shortened); the carved tails are
-    concatenated in domain order and packed afresh. A stream shorter than the tail moves whole.
+    concatenated in domain order, as a view that is read once. A stream shorter than the tail moves whole.
     Of the splits in ``head`` only the first so many blocks are kept; with ``allow_overlap`` these may
     reach into the tail, whose tokens then stand in both.
     """
-    L = F.lit(block_len)
-    moved_len = F.coalesce(_per_split(n_blocks), F.lit(0)) * L
-    lens = stream_lengths(blocks).withColumn("_cut", F.greatest(F.col("stream_len") - moved_len, F.lit(0)))
-    limit = F.col("stream_len") if allow_overlap else F.col("_cut")
-    first = _per_split(head or {}) * L
-    lens = lens.withColumn("_keep", F.when(first.isNotNull(), F.least(first, limit)).otherwise(F.col("_cut")))
-    tails = lens.withColumn("_tail", F.col("stream_len") - F.col("_cut"))
-    # Written first: the planner knows the size of this row per stream and chooses the join by it.
-    bases = materialise(_bases(tails, "_tail", domains).select("split", "domain", "_cut", "_keep", "_base"), "carve-bases")
-    located = locate_blocks(blocks, block_len).join(bases, ["split", "domain"])
-    start = F.col("offset")
-    end = F.col("offset") + F.col("n_tokens")
-    kept = located.where(start < F.col("_keep")).select(
-        "split",
-        "domain",
-        "block_id",
-        F.slice("ids", F.lit(1), F.least(F.col("_keep") - start, L).cast("int")).alias("ids"),
-    )
-    moved = located.where(end > F.col("_cut")).select(
-        "split",
-        F.lit(mix_name).alias("domain"),
-        (F.greatest(start, F.col("_cut")) - F.col("_cut") + F.col("_base")).alias("offset"),
-        F.slice(
-            "ids",
-            (F.greatest(F.col("_cut") - start, F.lit(0)) + 1).cast("int"),
-            (end - F.greatest(start, F.col("_cut"))).cast("int"),
-        ).alias("ids"),
-    ).withColumn("n_tokens", F.size("ids").cast("long"))
-    return kept.unionByName(rebase(moved, block_len, STREAM))
-
-
-def shuffle_blocks(
-    blocks: DataFrame, block_len: int, seed, part_cols: Sequence[str] = STREAM
-) -> DataFrame:
+    keep, tail = carve_view(stream_lengths(blocks), block_len, n_blocks, domains, mix_name, head, allow_overlap)
+    return kept_blocks(blocks, block_len, keep).unionByName(views.read_view(blocks, tail, block_len))
+
+
+def shuffle_blocks(blocks: DataFrame, block_len: int, seed) -> DataFrame:
     """Permute the blocks of each stream (a short last block is permuted too).
 
-    The new order is the rank of ``md5(seed:part:block_id)``; new positions are
+    The new order is the rank of ``md5(seed:split:domain:block_id)``; new positions are
     a prefix sum of block sizes in that order, so a short block landing in the
-    middle shifts the rest, exactly as concatenating the permuted slices does.
+    middle shifts the rest, exactly as concatenating the permuted slices does. Only block
+    numbers are ordered; the ids move once, when the view is read.
     """
-    keyed = blocks.withColumn("_key", seeded_key(seed, *part_cols, "block_id"))
-    ranked = ordered_index(
-        keyed, ["_key", "block_id"], part_cols,
-        weight=F.size("ids"), start_col="offset",
-    )
-    pieces = ranked.select(
-        *part_cols, "offset", F.size("ids").cast("long").alias("n_tokens"), "ids"
-    )
-    return rebase(pieces, block_len, part_cols)
+    return views.read_view(blocks, views.shuffle(views.identity(stream_lengths(blocks)), block_len, seed), block_len)
 
 
 def _gather(
-    blocks: DataFrame,
+    blocks: DataFrame | BlockStore,
     spans: DataFrame,
     block_len: int,
     src_cols: Sequence[str],
@@ -196,15 +176,16 @@ def _gather(
 
     ``spans``: (src_cols..., out_cols..., ``start``, ``length``, ``out_offset``).
     Each span is joined to the at most ceil(length/L)+1 source blocks it
-    covers (an equi-join on block_id), sliced, and re-grouped by target block.
+    covers (an equi-join on block_id), sliced, and re-grouped by target block. Of a block store
+    only the files that the spans touch are opened, so spans of a store are a batch.
     """
     L = F.lit(block_len)
     s, n = F.col("start"), F.col("length")
     cover = spans.where(n > 0).withColumn(
         "block_id", F.explode(F.sequence(F.floor(s / L), F.floor((s + n - 1) / L)).cast("array<long>"))
     )
-    src = blocks.select(*src_cols, "block_id", "ids")
-    joined = cover.join(src, [*src_cols, "block_id"])
+    src = source_of(blocks, spans).select(*src_cols, "block_id", "ids")
+    joined = join_same(cover, src, [*src_cols, "block_id"])
     lo = F.greatest(s, F.col("block_id") * L)
     hi = F.least(s + n, (F.col("block_id") + 1) * L)
     pieces = joined.select(
@@ -249,7 +230,7 @@ def noise_tokens(
     the draws of every split come from the stream of that one.
     """
     lens = stream_lengths(blocks, src_cols)
-    plan = _from_split(sizes, source_split).join(lens, list(src_cols)).where(F.col("stream_len") > 0)
+    plan = join_same(_from_split(sizes, source_split), lens, src_cols).where(F.col("stream_len") > 0)
     key_cols = [TARGET if c == "split" else c for c in src_cols]
     L = F.lit(block_len)
     out_blocks = count_up(plan, F.ceil(F.col("n") / L), "_ob", chunk=256)
@@ -264,7 +245,7 @@ def noise_tokens(
         F.floor(F.col("_pos") / L).cast("long").alias("block_id"),
         F.pmod(F.col("_pos"), L).cast("int").alias("_i"),
     )
-    picked = draws.join(blocks.select(*src_cols, "block_id", "ids"), [*src_cols, "block_id"]).select(
+    picked = join_same(draws, blocks.select(*src_cols, "block_id", "ids"), [*src_cols, "block_id"]).select(
         TARGET, "_ob", F.struct("_j", F.element_at("ids", F.col("_i") + 1).alias("_id")).alias("_d")
     )
     return picked.groupBy(TARGET, "_ob").agg(
@@ -292,7 +273,7 @@ def resample_spans(
     """
     lens = stream_lengths(blocks, src_cols)
     key_cols = [TARGET if c == "split" else c for c in src_cols]
-    plan = _from_split(sizes, source_split).join(lens, list(src_cols)).where(F.col("stream_len") >= F.lit(ctx_len))
+    plan = join_same(_from_split(sizes, source_split), lens, src_cols).where(F.col("stream_len") >= F.lit(ctx_len))
     if "out_base" not in plan.columns:
         plan = plan.withColumn("out_base", F.lit(0).cast("long"))
     n_spans = F.floor(F.col("n") / F.lit(ctx_len)).cast("long")
@@ -330,19 +311,19 @@ def mix_by_rate(
     lens = stream_lengths(blocks)
     if rates is None:
         k = lens.groupBy("split").agg(F.count(F.lit(1)).alias("_k"))
-        table = lens.join(k, "split").withColumn("_rate", F.lit(1.0) / F.col("_k"))
+        table = join_same(lens, k, ["split"]).withColumn("_rate", F.lit(1.0) / F.col("_k"))
         domains = None
     else:
         rate_df = blocks.sparkSession.createDataFrame(list(rates.items()), "domain string, _rate double")
         table = lens.join(rate_df, "domain")
         domains = list(rates)
-    table = table.join(_from_split(budgets, source_split), "split").withColumn(
+    table = join_same(table, _from_split(budgets, source_split), ["split"]).withColumn(
         "n", F.floor(F.col("n") * F.col("_rate")).cast("long")
     )
     table = table.withColumn(
         "_used", F.floor(F.col("n") / F.lit(ctx_len)).cast("long") * F.lit(ctx_len)
     ).withColumn("_used", F.when(F.col("stream_len") >= F.lit(ctx_len), F.col("_used")).otherwise(0))
-    with_base = _bases(table, "_used", domains, TARGET).select(
+    with_base = bases(table, "_used", domains, TARGET).select(
         F.col(TARGET).alias("split"), "domain", "n", F.col("_base").alias("out_base")
     )
     return resample_spans(blocks, block_len, with_base, ctx_len, seed, name=name, source_split=source_split)

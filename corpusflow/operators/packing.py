@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.plans.index import bucket_bases, ordered_index, range_buckets
+from corpusflow.plans.index import join_same, ordered_index
+from corpusflow.session import materialise
 
 
 def token_offsets(
@@ -57,7 +58,7 @@ def shard_contiguous(
 def fragments(
     located: DataFrame, block_len: int, part_cols: Sequence[str], offset_col: str = "offset"
 ) -> DataFrame:
-    """One row per (document, block) overlap: ``block_id``, ``lo`` (stream position), ``frag``."""
+    """One row per (document, block) overlap: ``block_id``, ``lo`` (stream position), ``n_frag``, ``frag``."""
     L = F.lit(block_len)
     s = F.col(offset_col)
     n = F.col("n_tokens")
@@ -70,6 +71,7 @@ def fragments(
         *part_cols,
         "block_id",
         lo.alias("lo"),
+        (hi - lo).alias("n_frag"),
         F.slice("ids", (lo - s + 1).cast("int"), (hi - lo).cast("int")).alias("frag"),
     )
 
@@ -83,93 +85,117 @@ def regroup_blocks(frags: DataFrame, part_cols: Sequence[str]) -> DataFrame:
     )
 
 
-TOKENS_PER_BUCKET = 1 << 22
+#: Tokens of a run, and of the documents that a task joins at a time.
+TOKENS_PER_RUN, BATCH_TOKENS = 1 << 16, 1 << 22
 
 
-def _cut_schema(df: DataFrame, part_cols: Sequence[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(
-        [f"{c} {types[c]}" for c in part_cols]
-        + ["block_id long", "lo long", "ids array<int>", "whole boolean"]
-    )
-
-
-def _cut_bucket(part_cols, order_cols, block_len, keep_whole: bool):
-    """Arrow function for one (partition, bucket) group: its tokens are one
-    contiguous run of the stream, cut into block pieces by slicing offsets.
-    ``keep_whole`` selects complete blocks, else only the boundary pieces."""
+def _runs(part_cols: Sequence[str], run_len: int):
+    """Sorted documents to runs of ``run_len`` ids of one partition: (part..., ``_from``, ``ids``) with the place in the task."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
-
-    L = block_len
-
-    def cut(tbl: pa.Table) -> pa.Table:
-        tbl = tbl.sort_by([(c, "ascending") for c in order_cols])
-        values = pc.list_flatten(tbl.column("ids")).combine_chunks()
-        lo = int(tbl.column("_bwbase")[0].as_py())
-        total = int(tbl.column("_total")[0].as_py())
-        hi = lo + len(values)
-        cols = {c: tbl.column(c)[0].as_py() for c in part_cols}
-        if hi == lo:
-            return pa.table({**{c: pa.array([], tbl.schema.field(c).type) for c in part_cols},
-                             "block_id": pa.array([], pa.int64()), "lo": pa.array([], pa.int64()),
-                             "ids": pa.array([], pa.list_(pa.int32())), "whole": pa.array([], pa.bool_())})
-        blocks = np.arange(lo // L, (hi - 1) // L + 1, dtype=np.int64)
-        starts = np.maximum(lo, blocks * L)
-        ends = np.minimum(hi, (blocks + 1) * L)
-        whole = (starts == blocks * L) & ((ends == (blocks + 1) * L) | (ends == total))
-        keep = whole if keep_whole else ~whole
-        if hi - lo >= 2**31:
-            raise ValueError(f"a bucket of {hi - lo} tokens is too large to cut: lower tokens_per_bucket")
-        offsets = np.append(starts - lo, ends[-1] - lo).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), values.cast(pa.int32())).filter(pa.array(keep))
-        blocks, starts, whole = blocks[keep], starts[keep], whole[keep]
-        k = len(blocks)
-        return pa.table({
-            **{c: pa.array([cols[c]] * k, tbl.schema.field(c).type) for c in part_cols},
-            "block_id": pa.array(blocks),
-            "lo": pa.array(starts),
-            "ids": ids,
-            "whole": pa.array(whole, pa.bool_()),
-        })
+
+    def cut(batches):
+        key, begin, held, size = None, 0, [], 0
+        names, out, tokens = [*part_cols, "_from", "ids"], [], 0
+
+        def flush(whole_only):
+            """Rows of the runs that are full (or of all that is held)."""
+            nonlocal begin, held, size
+            values = pa.concat_arrays(held) if held else pa.array([], pa.int32())
+            end = size - size % run_len if whole_only else size
+            at = np.append(np.arange(0, end, run_len), end).astype(np.int32) if end else np.zeros(1, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), values.slice(0, end))
+            k = len(lists)
+            rows = pa.RecordBatch.from_arrays(
+                [*(pa.array([v] * k, t) for v, t in zip(key, types)), pa.array(begin + at[:k].astype(np.int64)), lists], names=names
+            )
+            begin, held, size = begin + end, [values.slice(end)] if end < size else [], size - end
+            return rows
+
+        for batch in batches:
+            types = [batch.column(i).type for i in range(len(part_cols))]
+            parts = list(zip(*(batch.column(i).to_pylist() for i in range(len(part_cols))))) or [()] * batch.num_rows
+            ids = batch.column(len(part_cols))
+            offsets = np.asarray(ids.offsets, dtype=np.int64)
+            edges = [i for i in range(1, len(parts)) if parts[i] != parts[i - 1]]
+            for a, b in zip([0, *edges], [*edges, len(parts)]):
+                if a == b:
+                    continue
+                if key is not None and parts[a] != key:
+                    yield flush(False)
+                    begin, held, size = 0, [], 0
+                key = parts[a]
+                while a < b:  # as many documents as make up a bounded batch
+                    n = max(1, int(np.searchsorted(offsets[a : b + 1] - offsets[a], BATCH_TOKENS, "right")) - 1)
+                    n = min(n, b - a)
+                    values = ids.slice(a, n).flatten().cast(pa.int32())
+                    held.append(values)
+                    size += len(values)
+                    a += n
+                    if size >= run_len:
+                        yield flush(True)
+        if key is not None:
+            yield flush(False)
 
     return cut
 
 
+def stream_runs(tok_df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[str], run_len: int) -> DataFrame:
+    """Streams as located runs: (part..., ``offset``, ``n_tokens``, ``stream_len``, ``ids``), at most ``run_len`` ids each.
+
+    Documents cross one range shuffle (by partition, order and row number, so equal keys spread) and one Arrow pass,
+    which joins the ids of a sorted task to runs. What a task holds of a stream is summed up from the runs'
+    lengths alone and tells where it begins.
+    """
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    n = int(tok_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*part_cols, *order_cols, "_uid"]
+    rows = tok_df.select(*part_cols, *order_cols, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = rows.withColumn("_uid", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*part_cols, "ids")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in part_cols), "_from long", "ids array<int>"])
+    runs = rows.mapInArrow(_runs(part_cols, run_len), schema).withColumn("_task", F.spark_partition_id())
+    runs = materialise(runs.withColumn("n_tokens", F.size("ids").cast("long")), "stream-runs")
+    held = runs.groupBy(*part_cols, "_task").agg(F.sum("n_tokens").alias("_held"))
+    whole = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.select(
+        *part_cols, "_task", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_base"),
+        F.sum("_held").over(whole).alias("stream_len"),
+    )
+    out = join_same(runs, materialise(bases, "run-bases"), [*part_cols, "_task"])
+    return out.select(*part_cols, (F.col("_base") + F.col("_from")).alias("offset"), "n_tokens", "stream_len", "ids")
+
+
 def pack_blocks(
     tok_df: DataFrame,
     block_len: int,
     part_cols: Sequence[str],
     order_cols: Sequence[str],
     bucket: Column | None = None,
-    tokens_per_bucket: int = TOKENS_PER_BUCKET,
+    tokens_per_bucket: int = TOKENS_PER_RUN,
 ) -> DataFrame:
     """Tokenised documents -> ``(part..., block_id, ids)`` with ``block_len`` ids per block.
 
-    Only the last block of a stream can be shorter. Documents are range-partitioned
-    into buckets of about ``tokens_per_bucket`` tokens; each
-    (partition, bucket) group holds one contiguous run of its stream, so it
-    is cut into blocks where it sits (Arrow slicing of the concatenated ids,
-    no per-token rows). Only the at most two boundary pieces per group are
-    shuffled again to be joined with their neighbours: the tokens cross one
-    shuffle, not two.
+    Only the last block of a stream can be shorter. The streams come as runs of ``tokens_per_bucket``
+    ids (:func:`stream_runs`); the blocks that lie inside a run are sliced from it, and only
+    the fragments at the two ends of a run meet their neighbours in a second, small shuffle. ``bucket``, if
+    given, is non-decreasing in ``order_cols`` and compared before them. Null ids count as no token.
     """
-    part_cols, order_cols = list(part_cols), list(order_cols)
-    tok_df = tok_df.select(*part_cols, *order_cols, "ids", "n_tokens")
-    if bucket is None:
-        tok_df = range_buckets(tok_df, part_cols, order_cols, "n_tokens", tokens_per_bucket)
-        bucket = F.col("_bkt")
-    based = bucket_bases(tok_df, part_cols, bucket, weight="n_tokens")
-    grouped = based.select(*part_cols, "_bkt", *order_cols, "ids", "_bwbase", "_total").groupBy(
-        *part_cols, "_bkt"
-    )
-    schema = _cut_schema(tok_df, part_cols)
-    # both branches read the same grouping shuffle (Spark reuses the exchange)
-    whole = grouped.applyInArrow(_cut_bucket(part_cols, order_cols, block_len, True), schema)
-    edges = grouped.applyInArrow(_cut_bucket(part_cols, order_cols, block_len, False), schema)
-    return whole.select(*part_cols, "block_id", "ids").unionByName(
-        regroup_blocks(edges.select(*part_cols, "block_id", "lo", F.col("ids").alias("frag")), part_cols)
+    if bucket is not None:
+        tok_df, order_cols = tok_df.withColumn("_first_key", bucket), ["_first_key", *order_cols]
+    runs = stream_runs(tok_df, part_cols, order_cols, tokens_per_bucket)
+    return blocks_of_pieces(runs, block_len, list(part_cols))
+
+
+def blocks_of_pieces(pieces: DataFrame, block_len: int, part_cols: Sequence[str]) -> DataFrame:
+    """Located pieces ``(part..., offset, n_tokens, stream_len, ids)`` of streams -> their blocks; whole ones are not shuffled."""
+    frags = fragments(pieces, block_len, [*part_cols, "stream_len"])
+    size = F.least(F.col("stream_len"), (F.col("block_id") + 1) * block_len) - F.col("block_id") * block_len
+    whole = F.col("n_frag") == size
+    return frags.where(whole).select(*part_cols, "block_id", F.col("frag").alias("ids")).unionByName(
+        regroup_blocks(frags.where(~whole).drop("stream_len", "n_frag"), part_cols)
     )
 
 

@@ -3,7 +3,8 @@
 Draws are md5 functions of (seed, stream, draw number): reproducible under
 retries and any partitioning. Window contents are gathered from the block
 table with an equi-join on ``block_id`` (a window of S+1 tokens touches at
-most ceil((S+1)/L)+1 blocks), never by materialising one row per token.
+most ceil((S+1)/L)+1 blocks), never by materialising one row per token. Given a
+block store, a batch takes lengths from its index and opens only the files that its windows touch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from corpusflow.operators.mixing import STREAM, _gather, stream_lengths
 from corpusflow.plans.generate import count_up
 from corpusflow.plans.index import ordered_index
 from corpusflow.session import materialise
+from corpusflow.sources.blockstore import BlockStore
 
 
 def n_windows(stream_len, seq_len: int):
@@ -51,7 +53,7 @@ def _windows_from_draws(blocks, draws, block_len, seq_len, src_cols, keep_cols):
 
 
 def sample_windows(
-    blocks: DataFrame,
+    blocks: DataFrame | BlockStore,
     block_len: int,
     seq_len: int,
     batch_size: int,
@@ -103,23 +105,20 @@ def domain_weight_table(lens: DataFrame, weights: dict[str, float] | None, seq_l
 CELLS = 1024  # of the unit interval, to find the range that a draw falls into
 
 
-def sample_domains_weighted(
-    blocks: DataFrame,
-    block_len: int,
+def draw_domains(
+    blocks: DataFrame | BlockStore,
     seq_len: int,
     batch_size: int,
     seed,
     weights: dict[str, float] | None = None,
     split: str = "train",
 ) -> DataFrame:
-    """Draw a domain per sample by weight (uniform by default), then a window in it.
+    """The draws of :func:`sample_domains_weighted` without their windows: no block is read.
 
-    The draws join the weight table (half-open ranges ``lo <= u < hi``, a row per domain) on the cell
-    of the unit interval that they fall into; a range stands in every cell that it meets. Output:
-    ``sample_id, domain, domain_id, start, x, y``.
+    (split, domain, ``sample_id``, ``domain_id``, ``start``).
     """
-    spark = blocks.sparkSession
-    lens = stream_lengths(blocks.where(F.col("split") == split))
+    lens = stream_lengths(blocks).where(F.col("split") == split)
+    spark = lens.sparkSession
     table = domain_weight_table(lens, weights, seq_len).where(F.col("lo") < F.col("hi"))
     cell = lambda u: F.floor(u * F.lit(CELLS)).cast("int")
     cells = F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(CELLS - 1)))
@@ -134,15 +133,33 @@ def sample_domains_weighted(
     picked = picked.withColumn(
         "start", hash_index(seed, F.col("_nw"), F.lit("window"), "sample_id") * F.lit(seq_len)
     )
+    return picked.select("split", "domain", "sample_id", "domain_id", "start")
+
+
+def sample_domains_weighted(
+    blocks: DataFrame | BlockStore,
+    block_len: int,
+    seq_len: int,
+    batch_size: int,
+    seed,
+    weights: dict[str, float] | None = None,
+    split: str = "train",
+) -> DataFrame:
+    """Draw a domain per sample by weight (uniform by default), then a window in it.
+
+    The draws join the weight table (half-open ranges ``lo <= u < hi``, a row per domain) on the cell
+    of the unit interval that they fall into; a range stands in every cell that it meets. Output:
+    ``sample_id, domain, domain_id, start, x, y``.
+    """
+    picked = draw_domains(blocks, seq_len, batch_size, seed, weights, split)
     got = _windows_from_draws(
-        blocks, picked.select("split", "domain", "sample_id", "domain_id", "start"), block_len,
-        seq_len, STREAM, ["sample_id", "domain_id"],
+        blocks, picked, block_len, seq_len, STREAM, ["sample_id", "domain_id"],
     )
     return got.drop("split")
 
 
 def sample_with_domain_ids(
-    blocks: DataFrame,
+    blocks: DataFrame | BlockStore,
     block_len: int,
     seq_len: int,
     batch_size: int,

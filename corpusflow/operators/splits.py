@@ -4,7 +4,7 @@
 splits here order rows by an md5 key and cut at an exact row count through a
 per-partition threshold (:func:`head_flag`, no row shuffle); order-based
 splits (round robin, character prefix) use the exact rank / prefix sum of
-:func:`ordered_index`.
+:func:`ordered_index`, the latter over keys and lengths only.
 """
 
 from __future__ import annotations
@@ -15,18 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import seeded_key
-from corpusflow.plans.index import hash_bucket, head_flag, ordered_index
+from corpusflow.plans.index import HASH_DIGITS, TIED, attach, hash_bucket, head_flag, ordered_index
+from corpusflow.session import materialise
 
 # Fixed value: the seed used by the corpus builders.
 DEFAULT_SEED = 2357
 
 
-def _shuffled_head(df, id_col, seed, part_cols, head_size, flag_col, broadcast_parts=True):
-    """Flag the first ``head_size(n)`` rows in md5(seed:id) order -- no row is shuffled."""
+def _shuffled_head(df, id_col, seed, part_cols, head_size, flag_col):
+    """Flag the first ``head_size(n)`` rows in md5(seed:id) order -- no row is shuffled.
+
+    Rows of a null or repeated id stand side by side in the order; a cut among them is exact as well.
+    """
     keyed = df.withColumn("_key", seeded_key(seed, id_col))
     flagged = head_flag(
-        keyed, ["_key", id_col], part_cols, hash_bucket("_key"), head_size, flag_col,
-        broadcast_parts=broadcast_parts,
+        keyed, ["_key", id_col], part_cols, hash_bucket("_key"), head_size, flag_col, break_ties=True
     )
     return flagged.drop("_key")
 
@@ -45,7 +48,7 @@ def split_shuffled(
     Rows are ordered by ``md5(seed:id)``; the first ``ceil(share * n)`` are
     validation. Only the threshold key per partition is computed (see
     :func:`head_flag`), so labelling a corpus moves no text through a shuffle.
-    ``part_cols`` values (domains) are few: their tables are broadcast.
+    A null domain is a partition like any other.
     """
     share = float(val_share)
     flagged = _shuffled_head(
@@ -66,15 +69,22 @@ def split_nested_halves(
 ) -> DataFrame:
     """Split off ``val``, then cut the rest into ``train1`` and ``train2``.
 
-    ``train2`` gets ``ceil(0.5 * n_train)`` rows drawn with a second key.
+    ``train2`` gets ``ceil(0.5 * n_train)`` rows drawn with a second key. Validation rows come last in the
+    second order, so both thresholds label every row in one pass over the texts.
     """
-    first = split_shuffled(df, id_col, val_share, seed, part_cols, split_col)
-    val = first.where(F.col(split_col) == "val")
-    rest = first.where(F.col(split_col) == "train").drop(split_col)
-    halves = split_shuffled(
-        rest, id_col, 0.5, f"{seed}:halves", part_cols, split_col, names=("train1", "train2")
-    )
-    return halves.unionByName(val)
+    share = float(val_share)
+    first = _shuffled_head(df, id_col, seed, part_cols, lambda n: F.ceil(F.lit(share) * n.cast("double")), "_val")
+    rest = F.when(F.col("_val"), 1).otherwise(0)
+    keyed = first.withColumn("_rest", rest).withColumn("_key", seeded_key(f"{seed}:halves", id_col))
+    # buckets of validation rows lie behind all others
+    bucket = hash_bucket("_key") + F.col("_rest") * F.lit(16**HASH_DIGITS)
+
+    def half(n):
+        return F.ceil(F.lit(0.5) * (n - F.ceil(F.lit(share) * n.cast("double"))).cast("double"))
+
+    flagged = head_flag(keyed, ["_rest", "_key", id_col], part_cols, bucket, half, "_second", break_ties=True)
+    split = F.when(F.col("_val"), "val").when(F.col("_second"), "train2").otherwise("train1")
+    return flagged.withColumn(split_col, split).drop("_val", "_rest", "_key", "_second")
 
 
 def split_round_robin(
@@ -105,29 +115,34 @@ def split_prefix(
     """The first ``int(share * total_chars)`` characters go to train, the rest to val.
 
     The document holding the cut is split inside its text; one output row per
-    (document, split) piece.
+    (document, split) piece. Only keys and lengths are ordered; the texts are compared with the key of that
+    document, a row per partition. Equal keys are ordered by length and text; rows equal in all of these
+    that lie on both sides of the cut cannot be told apart and raise an error. Null texts have no piece.
     """
-    ranked = ordered_index(
-        df, order_cols, part_cols, bucket=bucket, weight=F.length(text_col)
-    )
+    keys = [*order_cols, "_len", "_text"]
+    rows = df.withColumns({"_len": F.length(text_col).cast("long"), "_text": F.xxhash64(text_col)}).where(F.col("_len").isNotNull())
+    ranked = ordered_index(rows.select(*part_cols, *keys), keys, part_cols, bucket=bucket, weight="_len")
     cut = F.floor(F.lit(float(share)) * F.col("_total").cast("double")).cast("long")
-    ranked = ranked.withColumn("_cut", cut).withColumn("_len", F.length(text_col).cast("long"))
-    local_cut = F.col("_cut") - F.col("_start")
-    train = ranked.where(F.col("_start") < F.col("_cut")).select(
-        *[c for c in df.columns if c != text_col],
-        F.when(local_cut >= F.col("_len"), F.col(text_col))
-        .otherwise(F.substring(F.col(text_col), F.lit(1), local_cut.cast("int")))
-        .alias(text_col),
-        F.lit("train").alias(split_col),
-    )
-    val = ranked.where(F.col("_start") + F.col("_len") > F.col("_cut")).select(
-        *[c for c in df.columns if c != text_col],
-        F.when(local_cut <= 0, F.col(text_col))
-        .otherwise(F.expr(f"substring({text_col}, cast(_cut - _start + 1 as int))"))
-        .alias(text_col),
-        F.lit("val").alias(split_col),
+    at = ranked.where((F.col("_start") <= cut) & (cut < F.col("_start") + F.col("_len")))
+    key = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    cuts = materialise(at.select(*part_cols, key.alias("_cut_key"), (cut - F.col("_start")).alias("_left")), "prefix-cuts")
+    if not attach(ranked, cuts, part_cols).where(key == F.col("_cut_key")).groupBy(*part_cols).count().where("count > 1").isEmpty():
+        raise ValueError(TIED)
+    rows = attach(rows, cuts, part_cols)
+    text, left = F.col(text_col), F.col("_left").cast("int")
+
+    def piece(name, part):
+        return F.struct(F.lit(name).alias("name"), part.alias("part"))
+
+    halves = F.array(piece("train", F.substring(text, F.lit(1), left)), piece("val", F.substring(text, left + 1, F.col("_len").cast("int"))))
+    pieces = (
+        F.when((key == F.col("_cut_key")) & (left > 0), halves)
+        .when(F.coalesce(key >= F.col("_cut_key"), F.lit(False)), F.array(piece("val", text)))
+        .otherwise(F.array(piece("train", text)))
     )
-    return train.unionByName(val)
+    cut_up = rows.withColumn("_piece", F.explode(pieces))
+    others = [c for c in df.columns if c != text_col]
+    return cut_up.select(*others, F.col("_piece.part").alias(text_col), F.col("_piece.name").alias(split_col))
 
 
 def split_fraction(

@@ -11,12 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators import views
 from corpusflow.operators.mixing import (
-    carve_tail,
+    carve_view,
     concat_streams,
+    kept_blocks,
     mix_by_rate,
     noise_tokens,
-    shuffle_blocks,
+    stream_lengths,
 )
 from corpusflow.session import materialise
 
@@ -67,8 +69,10 @@ def with_shuffled_tails(
     allow_overlap: bool = False,
     domains: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Domain streams without their tails, and ``mix``: the tails of all domains, shuffled by block."""
-    carved = carve_tail(blocks, block_len, n_blocks, domains, "mix", head, allow_overlap)
-    carved = materialise(carved, "carved")
-    mixed = shuffle_blocks(carved.where(F.col("domain") == "mix"), block_len, seed)
-    return carved.where(F.col("domain") != "mix").unionByName(mixed)
+    """Domain streams without their tails, and ``mix``: the tails of all domains, shuffled by block.
+
+    Carving and shuffling are composed as views, so the ids of the tails move once.
+    """
+    keep, tail = carve_view(stream_lengths(blocks), block_len, n_blocks, domains, "mix", head, allow_overlap)
+    mixed = views.read_view(blocks, views.shuffle(tail, block_len, seed), block_len)
+    return kept_blocks(blocks, block_len, keep).unionByName(mixed)

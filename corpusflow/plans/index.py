@@ -1,35 +1,32 @@
-"""Exact global row index and prefix sums without a one-task window.
+"""Exact global row index, prefix sums and thresholds without a one-task window.
 
 A plain ``row_number() OVER (ORDER BY ...)`` or a running sum partitioned only
 by (split, domain) puts a whole stream into one task. ``ordered_index`` gets
-the same numbers in two levels:
-
-1. every row gets a *bucket* that is monotone in the order: by default the
-   number of its partition after Spark's range partitioning by (partition
-   columns, order columns), which works for any sortable type, spreads an
-   outlier or a large stream like everything else and has no bucket cap (a
-   caller may give another monotone expression, e.g. leading md5 digits);
-2. a partial + final aggregate counts rows (and sums a weight) per
-   (partition, bucket);
-3. an exclusive running sum over that small table gives each bucket its base
-   (the only ordered window, over few rows);
-4. the bases are written to the shared folder (small: one row per
-   partition and bucket) and join back on (partition, bucket): a broadcast
-   join when their measured size allows, a shuffle join otherwise; a window
-   inside (partition, bucket) adds the local rank. A shuffle join already
-   partitions by (partition, bucket), so the inner window adds no exchange.
-
-Rows with range buckets are written to the shared folder once, so that every
-reader of the bucket number sees the same boundaries and nothing upstream is
-replayed by steps 2 and 4.
+the same numbers from the order itself:
+
+1. rows are range-partitioned and sorted by (partition columns, order columns, row
+   number), the only shuffle they cross; the row number spreads equal keys, so a key held by
+   a third of the rows is dealt out like any other;
+2. each sorted task is written to the shared folder as it is; with a weight, a running
+   sum is carried along the task's Arrow batches first;
+3. a row's place in its file (``_metadata.row_index``) and the running sum are its local numbers; per
+   (partition, task) a partial + final aggregate over narrow columns gives where it begins and what it holds;
+4. an exclusive running sum over that small table gives the bases, which are written
+   and join back: a broadcast join when their measured size allows, a shuffle join otherwise.
+
+No window ever sees the rows. ``head_flag`` needs even less: a threshold per partition.
+All joins on partition columns are null-safe: rows of a null domain form a partition of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusflow.functions.hashing import hex_prefix_int
 from corpusflow.session import materialise
@@ -48,112 +45,136 @@ def hash_bucket(hexcol: Column | str, digits: int = HASH_DIGITS) -> Column:
     return hex_prefix_int(c, digits)
 
 
+def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``cols``, null equal to null; the columns of ``left``, then the other ones of ``right``."""
+    for i, c in enumerate(cols):
+        right = right.withColumnRenamed(c, f"_same{i}")
+    on = [left[c].eqNullSafe(right[f"_same{i}"]) for i, c in enumerate(cols)]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(right, cond, how).drop(*[f"_same{i}" for i in range(len(cols))])
+
+
+def _carry(weight: str):
+    """Adds ``_before``: the sum of ``weight`` over the task's rows before each one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            w = np.asarray(batch.column(batch.schema.get_field_index(weight)), dtype=np.int64)
+            before = total + np.cumsum(w) - w
+            total += int(w.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "_before"]
+            )
+
+    return run
+
+
 def range_buckets(
     df: DataFrame,
     part_cols: Sequence[str],
     order_cols: Sequence[str],
     weight: str | None = None,
-    weight_per_bucket: int | None = None,
 ) -> DataFrame:
-    """``df``, written to the shared folder, with ``_bkt``: its range partition by (part_cols, order_cols).
+    """``df`` in order, written to the shared folder, with ``_bkt``: its range partition by (part_cols, order_cols).
 
-    There are as many buckets as shuffle partitions, and with ``weight`` as many as keep a bucket near
-    ``weight_per_bucket`` if that is more (one aggregate over the weight).
+    Rows with equal keys are told apart by a row number, so they spread over partitions too. With
+    ``weight`` (a long column without nulls) also ``_before``, its sum over the partition's earlier rows.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if weight is not None and weight_per_bucket:
-        total = df.agg(F.sum(weight).alias("w")).first()["w"] or 0
-        n = max(n, -(-int(total) // weight_per_bucket))
-    rows = df.repartitionByRange(n, *part_cols, *order_cols)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*part_cols, *order_cols, "_uid"]
+    rows = df.withColumn("_uid", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_uid")
+    if weight is not None:
+        rows = rows.mapInArrow(_carry(weight), StructType([*rows.schema.fields, StructField("_before", LongType())]))
     return materialise(rows.withColumn("_bkt", F.spark_partition_id().cast("long")), "range-buckets")
 
 
-def bucket_bases(
+def ordered_index(
     df: DataFrame,
-    part_cols: Sequence[str],
-    bucket: Column,
+    order_cols: Sequence[str],
+    part_cols: Sequence[str] = (),
+    bucket: Column | None = None,
     weight: str | Column | None = None,
+    idx_col: str = "_idx",
     count_col: str = "_n",
+    start_col: str = "_start",
     total_col: str = "_total",
 ) -> DataFrame:
-    """Rows with their bucket (``_bkt``) and the bucket's bases.
+    """Add the 0-based rank of every row within ``part_cols`` by ``order_cols``, nulls first.
 
-    Adds ``_bbase`` (rows before the bucket in its partition) and the
-    partition count; with ``weight`` also ``_w``, ``_bwbase`` (weight before
-    the bucket) and the partition total. Steps 1-3 of the module docstring.
+    Also adds the partition row count. With ``weight``: the exclusive running
+    sum of the weight (``start_col``; null weighs 0) and the partition total (``total_col``).
+    ``bucket``, if given, is non-decreasing in ``order_cols`` and compared before them.
     """
-    b = df.withColumn("_bkt", bucket)
-    aggs = [F.count(F.lit(1)).alias("_bn")]
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    if bucket is not None:
+        df, order_cols = df.withColumn("_first_key", bucket), ["_first_key", *order_cols]
     if weight is not None:
-        wcol = F.col(weight) if isinstance(weight, str) else weight
-        b = b.withColumn("_w", wcol.cast("long"))
-        aggs.append(F.sum("_w").alias("_bw"))
-    stats = b.groupBy(*part_cols, "_bkt").agg(*aggs)
-
-    wpart = Window.partitionBy(*part_cols)
-    before = wpart.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        w = F.col(weight) if isinstance(weight, str) else weight
+        df = df.withColumn("_w", F.coalesce(w.cast("long"), F.lit(0)))
+    rows = range_buckets(df, part_cols, order_cols, "_w" if weight is not None else None)
+    rows = rows.select("*", F.col("_metadata.row_index").alias("_at"), F.col("_metadata.file_name").alias("_file"))
+    runs = ["_bkt", "_file"]
+    aggs = [F.count(F.lit(1)).alias("_bn"), F.min("_at").alias("_at0")]
+    if weight is not None:
+        aggs += [F.sum("_w").alias("_bw"), F.min("_before").alias("_before0")]
+    stats = rows.groupBy(*part_cols, *runs).agg(*aggs)
+    whole = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy(*runs).rowsBetween(Window.unboundedPreceding, -1)
     cols = [
         *part_cols,
-        "_bkt",
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bbase"),
-        F.sum("_bn").over(wpart).alias(count_col),
+        *runs,
+        (F.coalesce(F.sum("_bn").over(earlier), F.lit(0)) - F.col("_at0")).alias("_rows0"),
+        F.sum("_bn").over(whole).alias(count_col),
     ]
     if weight is not None:
         cols += [
-            F.coalesce(F.sum("_bw").over(before), F.lit(0)).cast("long").alias("_bwbase"),
-            F.sum("_bw").over(wpart).cast("long").alias(total_col),
+            (F.coalesce(F.sum("_bw").over(earlier), F.lit(0)) - F.col("_before0")).alias("_sum0"),
+            F.sum("_bw").over(whole).cast("long").alias(total_col),
         ]
-    # Written to the shared folder before the join: the planner then sees the
-    # real (small) size of the bases and broadcasts them -- never the row side,
-    # whose static estimate can look small -- and keeps a shuffle join when
-    # the bases are too large to broadcast. Also spares recomputing the stats.
     bases = materialise(stats.select(*cols), "bucket-bases")
-    return b.join(bases, [*part_cols, "_bkt"], "inner")
+    out = join_same(rows, bases, [*part_cols, *runs])
+    out = out.withColumn(idx_col, (F.col("_at") + F.col("_rows0")).cast("long"))
+    drop = ["_bkt", "_file", "_at", "_rows0", "_first_key"]
+    if weight is not None:
+        out = out.withColumn(start_col, (F.col("_before") + F.col("_sum0")).cast("long"))
+        drop += ["_w", "_before", "_sum0"]
+    return out.drop(*drop)
 
 
-def ordered_index(
-    df: DataFrame,
-    order_cols: Sequence[str],
-    part_cols: Sequence[str] = (),
-    bucket: Column | None = None,
-    weight: str | Column | None = None,
-    idx_col: str = "_idx",
-    count_col: str = "_n",
-    start_col: str = "_start",
-    total_col: str = "_total",
-) -> DataFrame:
-    """Add the 0-based rank of every row within ``part_cols`` by ``order_cols``.
+TIED = "rows with equal order keys lie on both sides of the cut: the keys must be unique"
 
-    Also adds the partition row count. With ``weight``: the exclusive running
-    sum of the weight (``start_col``) and the partition total (``total_col``).
-    ``bucket`` must be non-decreasing in ``order_cols``; by default it is the
-    range partition of the row (:func:`range_buckets`).
+
+def _threshold(df: DataFrame, order_cols: Sequence[str], part_cols: Sequence[str], bucket: Column, head_size) -> DataFrame:
+    """A written row per partition: ``_thr``, the order key of its last head row, and ``_take`` of the ``_tied`` rows that have it.
+
+    Bucket counts locate the bucket of that row; only its rows are counted by key (so a key that repeats is a row)
+    and summed up in order. Partitions with an empty head have no row.
     """
-    part_cols = list(part_cols)
-    order_cols = list(order_cols)
-    no_part = not part_cols
-    if no_part:
-        df = df.withColumn("_part", F.lit(0))
-        part_cols = ["_part"]
-    if bucket is None:
-        df, bucket = range_buckets(df, part_cols, order_cols), F.col("_bkt")
-    joined = bucket_bases(df, part_cols, bucket, weight, count_col, total_col)
-    inner = Window.partitionBy(*part_cols, "_bkt").orderBy(*order_cols)
-    out = joined.withColumn(idx_col, (F.col("_bbase") + F.row_number().over(inner) - 1).cast("long"))
-    drop = ["_bkt", "_bbase"]
-    if weight is not None:
-        local = F.coalesce(
-            F.sum("_w").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-        out = out.withColumn(start_col, (F.col("_bwbase") + local).cast("long"))
-        drop += ["_w", "_bwbase"]
-    if no_part:
-        drop.append("_part")
-    return out.drop(*drop)
+    keyed = df.select(*part_cols, *order_cols, bucket.alias("_bkt"))
+    whole = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    stats = keyed.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    stats = stats.select(
+        *part_cols, "_bkt", "_bn", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_rows0"),
+        head_size(F.sum("_bn").over(whole)).cast("long").alias("_k"),
+    )
+    pivot = stats.where((F.col("_rows0") < F.col("_k")) & (F.col("_rows0") + F.col("_bn") >= F.col("_k")))
+    pivot = materialise(pivot.select(*part_cols, "_bkt", (F.col("_k") - F.col("_rows0")).alias("_need")), "pivots")
+    near = join_same(keyed, pivot, [*part_cols, "_bkt"])
+    near = near.groupBy(*part_cols, *order_cols).agg(F.count(F.lit(1)).alias("_tied"), F.first("_need").alias("_need"))
+    upto = F.sum("_tied").over(whole.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_upto", upto)
+    at = near.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_tied") < F.col("_need")))
+    take = F.col("_need") - F.col("_upto") + F.col("_tied")
+    return materialise(at.select(*part_cols, _key(order_cols).alias("_thr"), take.alias("_take"), "_tied"), "thresholds")
 
 
-TIED = "rows with equal order keys lie on both sides of the cut: the keys must be unique"
+def _key(order_cols: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
 
 
 def head_flag(
@@ -163,74 +184,47 @@ def head_flag(
     bucket: Column,
     head_size,
     flag_col: str = "_head",
-    broadcast_parts: bool = True,
+    break_ties: bool = False,
 ) -> DataFrame:
     """Flag the first ``head_size(n)`` rows of every partition by ``order_cols``, shuffling no rows.
 
-    Only the *threshold* -- the order key of the k-th row -- is needed, not
-    every row's rank:
-
-    1. bucket counts per partition (partial + final aggregate, small);
-    2. the bucket holding the k-th row and how many rows of it are needed;
-    3. the rows of that one bucket per partition are ranked (a tiny subset)
-       and the k-th one's order key becomes the partition's threshold;
-    4. every row compares its key with its partition's threshold -- a map-side
-       join against one row per partition.
-
-    Keys that repeat at the threshold raise an error, since the cut would not be exact.
-    ``head_size`` maps the partition row count (a Column) to k. With
-    ``broadcast_parts`` the per-partition tables (one row per partition value)
-    are broadcast explicitly; pass False when partition values are unbounded.
+    Only the *threshold* -- the order key of the k-th row -- is needed, not every row's rank, and every row
+    compares its key with its partition's threshold (a row per partition, whose join the planner chooses).
+    Where rows with equal keys lie on both sides of the cut an error is raised, or with
+    ``break_ties`` the rows are written and the first of them in their files are taken, so the size is exact.
     """
-    part_cols = list(part_cols)
-    order_cols = list(order_cols)
-    no_part = not part_cols
-    if no_part:
-        df = df.withColumn("_part", F.lit(0))
-        part_cols = ["_part"]
-    hint = F.broadcast if broadcast_parts else (lambda x: x)
-    b = df.withColumn("_bkt", bucket)
-    stats = b.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.partitionBy(*part_cols)
-    before = F.coalesce(
-        F.sum("_bn").over(w.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    stats = stats.select(
-        *part_cols, "_bkt", "_bn", before.alias("_before"), F.sum("_bn").over(w).alias("_n")
-    ).withColumn("_k", head_size(F.col("_n")).cast("long"))
-    pivot = stats.where(
-        (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") >= F.col("_k"))
-    ).select(*part_cols, F.col("_bkt").alias("_pb"), (F.col("_k") - F.col("_before")).alias("_need"))
-    cand = b.join(hint(pivot), [*part_cols]).where(F.col("_bkt") == F.col("_pb"))
-    ordered = Window.partitionBy(*part_cols).orderBy(*order_cols)
-    equal = F.count(F.lit(1)).over(Window.partitionBy(*part_cols, *order_cols))
-    thr = cand.select(
-        *part_cols, *order_cols, "_need", F.row_number().over(ordered).alias("_rn"),
-        (F.rank().over(ordered) + equal - 1).alias("_last"),
-    ).where(F.col("_rn") == F.col("_need"))
-    # rows equal to the threshold that lie beyond it could not be told from it
-    thr = thr.select(
-        *part_cols,
-        F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)]).alias("_thr"),
-        (F.col("_last") > F.col("_need")).alias("_tied"),
-    )
-    key = F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
-    if no_part:
-        # one partition: the threshold is a single value, used as a literal (no join)
-        row = thr.select("_thr", "_tied").first()
-        if row is not None and row["_tied"]:
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    thr = _threshold(df, order_cols, part_cols, bucket, head_size)
+    key, below = _key(order_cols), F.lit(False)
+    if not thr.where("_take < _tied").isEmpty():
+        if not break_ties:
             raise ValueError(TIED)
-        if row is None:
-            flag = F.lit(False)
-        else:
-            t = row["_thr"]
-            flag = key <= F.struct(*[F.lit(t[f"_t{i}"]).alias(f"_t{i}") for i in range(len(order_cols))])
-        out = b.withColumn(flag_col, flag).drop("_bkt")
-        return out.drop("_part")
-    out = b.join(hint(thr), part_cols, "left").withColumn(
-        flag_col,
-        F.when(F.col("_tied") & (key == F.col("_thr")), F.raise_error(F.lit(TIED))).otherwise(
-            F.coalesce(key <= F.col("_thr"), F.lit(False))
-        ),
-    )
-    return out.drop("_bkt", "_thr", "_tied")
+        columns = df.columns
+        df = materialise(df, "tied-rows").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
+        cut = attach(df, thr.where("_take < _tied").drop("_tied"), part_cols).where(key == F.col("_thr"))
+        cut = ordered_index(cut.select(*part_cols, "_place", "_take"), ["_place"], part_cols).where("_idx = _take - 1")
+        last = materialise(cut.select(*part_cols, F.col("_place").alias("_last")), "tied-cuts")
+        df = attach(df, last, part_cols)
+        below = F.col("_last").isNotNull() & (key == F.col("_thr")) & (F.col("_place") > F.col("_last"))
+    else:
+        columns = df.columns
+    flagged = attach(df, thr.drop("_take", "_tied"), part_cols)
+    flag = F.coalesce(key <= F.col("_thr"), F.lit(False)) & ~below
+    return flagged.select(*columns, flag.alias(flag_col))
+
+
+def _literal(value, kind) -> Column:
+    if value is not None and isinstance(kind, StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
+def attach(df: DataFrame, table: DataFrame, part_cols: Sequence[str]) -> DataFrame:
+    """Rows with the other columns of ``table``, which has at most a row per partition (nulls where it has none).
+
+    Without partition columns these are literals, so there is no join.
+    """
+    if part_cols:
+        return join_same(df, table, part_cols, "left")
+    row = table.first()
+    return df.withColumns({f.name: _literal(row and row[f.name], f.dataType) for f in table.schema.fields})

@@ -20,6 +20,7 @@ from corpusflow.operators.mixing import (
 from corpusflow.operators.packing import block_summary, pack_blocks
 from corpusflow.operators.sampling import (
     batch_schedule,
+    draw_domains,
     epoch_batches,
     epochs_needed,
     sample_domains_weighted,
@@ -33,7 +34,8 @@ from corpusflow.queries import sql
 from corpusflow.queries.corpus import CORPUS, documents_version, tokens_of
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART, TOK_DOCS, TOKENS, ids_checksum
-from corpusflow.session import session_cached
+from corpusflow.session import cached_path, session_cached
+from corpusflow.sources.blockstore import block_store_once
 
 SEQ = 128
 HEAD = 4
@@ -51,11 +53,15 @@ def summary(positions: str, part=PART, block=BLOCK) -> str:
     return sql.block_summary(positions, part, block)
 
 
+def store_of(spark, base):
+    """The block store of the corpus, built once per application: operators read it for lengths, windows and data."""
+    path = cached_path(spark, f"blocks:{documents_version(spark, base)}:{BLOCK}")
+    return block_store_once(lambda: pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"]), path, spark, BLOCK)
+
+
 def blocks_of(spark, base):
-    """The block table, built once per application: operators read it for lengths and data."""
-    return session_cached(
-        spark, f"blocks:{documents_version(spark, base)}:{BLOCK}", lambda: pack_blocks(tokens_of(spark, base), BLOCK, PART, ["doc_id"])
-    )
+    """The block table of the store."""
+    return store_of(spark, base).blocks()
 
 
 @register(
@@ -151,7 +157,7 @@ np AS (SELECT st.split, st.domain, p.id, st.i * {CTX_RESAMPLE} + p.pos - st.star
 )
 def q_resample_spans(spark, base):
     blocks = blocks_of(spark, base)
-    sizes = stream_lengths(blocks).select("split", "domain", F.col("stream_len").alias("n"))
+    sizes = stream_lengths(store_of(spark, base)).select("split", "domain", F.col("stream_len").alias("n"))
     return block_summary(resample_spans(blocks, BLOCK, sizes, CTX_RESAMPLE, 13), PART)
 
 
@@ -206,7 +212,7 @@ def q_mix_by_rate_explicit(spark, base):
 SELECT split, domain, unnest(range(0, T - {SEQ}, {SEQ})) AS start FROM lens WHERE T > {SEQ}""",
 )
 def q_window_starts(spark, base):
-    return window_starts(stream_lengths(blocks_of(spark, base)), SEQ).select("split", "domain", "start")
+    return window_starts(stream_lengths(store_of(spark, base)), SEQ).select("split", "domain", "start")
 
 
 def _window_sums(draws: str) -> str:
@@ -230,7 +236,7 @@ st AS (SELECT split, domain, sample_id, CAST(floor({sql.hash_uniform(19, 'split'
 {_window_sums('SELECT * FROM st')}""",
 )
 def q_sample_windows(spark, base):
-    s = sample_windows(blocks_of(spark, base), BLOCK, SEQ, 8, 19)
+    s = sample_windows(store_of(spark, base), BLOCK, SEQ, 8, 19)
     return s.select(
         "split", "domain", "sample_id", "start",
         ids_checksum("x").alias("x_checksum"), ids_checksum("y").alias("y_checksum"),
@@ -253,7 +259,7 @@ st AS (SELECT 'train' AS split, t.domain, dr.sample_id, t.domain_id,
 SELECT sample_id, domain, domain_id, start, x_checksum, y_checksum FROM ({_window_sums('SELECT * FROM st')})""",
 )
 def q_sample_domains_weighted(spark, base):
-    s = sample_domains_weighted(blocks_of(spark, base), BLOCK, SEQ, 64, 23)
+    s = sample_domains_weighted(store_of(spark, base), BLOCK, SEQ, 64, 23)
     return s.select(
         "sample_id", "domain", "domain_id", "start",
         ids_checksum("x").alias("x_checksum"), ids_checksum("y").alias("y_checksum"),
@@ -267,7 +273,7 @@ SELECT sample_id, domain_id, CAST({SEQ} AS BIGINT) AS n_token_ids, CAST({SEQ} *
   x_checksum FROM ({_window_sums('SELECT * FROM st')})""",
 )
 def q_sample_with_domain_ids(spark, base):
-    s = sample_with_domain_ids(blocks_of(spark, base), BLOCK, SEQ, 64, 23)
+    s = sample_with_domain_ids(store_of(spark, base), BLOCK, SEQ, 64, 23)
     return s.select(
         "sample_id", "domain_id",
         F.size("token_domain_ids").cast("long").alias("n_token_ids"),
@@ -293,7 +299,7 @@ st AS (SELECT 'train' AS split, t.domain, dr.sample_id, t.domain_id,
 SELECT sample_id, domain, domain_id, start, x_checksum, y_checksum FROM ({_window_sums('SELECT * FROM st')})""",
 )
 def q_sample_domains_explicit(spark, base):
-    s = sample_domains_weighted(blocks_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS)
+    s = sample_domains_weighted(store_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS)
     return s.select(
         "sample_id", "domain", "domain_id", "start",
         ids_checksum("x").alias("x_checksum"), ids_checksum("y").alias("y_checksum"),
@@ -307,7 +313,7 @@ SELECT domain_id, sample_id, row_number() OVER (PARTITION BY domain_id ORDER BY
 FROM ({_window_sums('SELECT * FROM st')})""",
 )
 def q_sample_grouped_by_domain(spark, base):
-    s = sample_with_domain_ids(blocks_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS, grouped=True)
+    s = sample_with_domain_ids(store_of(spark, base), BLOCK, SEQ, 64, 53, WEIGHTS, grouped=True)
     nth = F.row_number().over(Window.partitionBy("domain_id").orderBy("sample_id")) - 1  # of one batch
     return s.select("domain_id", "sample_id", nth.cast("long").alias("nth"), ids_checksum("x").alias("x_checksum"))
 
@@ -318,7 +324,7 @@ def q_sample_grouped_by_domain(spark, base):
 SELECT domain, count(*) AS n_samples FROM st GROUP BY domain""",
 )
 def q_sample_counts(spark, base):
-    return sample_counts(sample_domains_weighted(blocks_of(spark, base), BLOCK, SEQ, 256, 23))
+    return sample_counts(draw_domains(store_of(spark, base), SEQ, 256, 23))
 
 
 def _train_docs(spark, base):

@@ -103,6 +103,14 @@ def input_version(spark: SparkSession, path: str) -> str:
     return f"{(found or 0) & (1 << 64) - 1:016x}"
 
 
+def cached_path(spark: SparkSession, key: str) -> str:
+    """Where a derived table of this application lives; ``key`` names its inputs (with their version) and parameters."""
+    import hashlib
+
+    digest = hashlib.md5(f"{spark.sparkContext.applicationId}:{key}".encode()).hexdigest()[:16]
+    return f"{checkpoint_root(spark)}/corpusflow/cache/{digest}"
+
+
 def session_cached(spark: SparkSession, key: str, build) -> DataFrame:
     """Build a derived table once per application (shared folder), then reuse it.
 
@@ -111,14 +119,9 @@ def session_cached(spark: SparkSession, key: str, build) -> DataFrame:
     run nor rewritten input sees a stale copy; within a run, every operator over
     the same corpus reads one materialised build.
     """
-    import hashlib
-
     from corpusflow.sources.sinks import materialise_once
 
-    app = spark.sparkContext.applicationId
-    digest = hashlib.md5(f"{app}:{key}".encode()).hexdigest()[:16]
-    path = f"{checkpoint_root(spark)}/corpusflow/cache/{digest}"
-    return materialise_once(build, path, spark)
+    return materialise_once(build, cached_path(spark, key), spark)
 
 
 _SHIPPED: set = set()
