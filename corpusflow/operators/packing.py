@@ -58,7 +58,7 @@ def shard_contiguous(
 def fragments(
     located: DataFrame, block_len: int, part_cols: Sequence[str], offset_col: str = "offset"
 ) -> DataFrame:
-    """One row per (document, block) overlap: ``block_id``, ``lo`` (stream position), ``n_frag``, ``frag``."""
+    """One row per (document, block) overlap: ``block_id``, ``lo`` (stream position), ``frag``."""
     L = F.lit(block_len)
     s = F.col(offset_col)
     n = F.col("n_tokens")
@@ -71,7 +71,6 @@ def fragments(
         *part_cols,
         "block_id",
         lo.alias("lo"),
-        (hi - lo).alias("n_frag"),
         F.slice("ids", (lo - s + 1).cast("int"), (hi - lo).cast("int")).alias("frag"),
     )
 
@@ -190,12 +189,34 @@ def pack_blocks(
 
 
 def blocks_of_pieces(pieces: DataFrame, block_len: int, part_cols: Sequence[str]) -> DataFrame:
-    """Located pieces ``(part..., offset, n_tokens, stream_len, ids)`` of streams -> their blocks; whole ones are not shuffled."""
-    frags = fragments(pieces, block_len, [*part_cols, "stream_len"])
-    size = F.least(F.col("stream_len"), (F.col("block_id") + 1) * block_len) - F.col("block_id") * block_len
-    whole = F.col("n_frag") == size
-    return frags.where(whole).select(*part_cols, "block_id", F.col("frag").alias("ids")).unionByName(
-        regroup_blocks(frags.where(~whole).drop("stream_len", "n_frag"), part_cols)
+    """Located pieces ``(part..., offset, n_tokens, stream_len, ids)`` of streams -> their blocks.
+
+    A block that lies inside a piece is sliced from it where it is; only what a piece holds of the blocks
+    at its two ends is shuffled. The slices are made inside the generator, so a long piece is never
+    copied for each of its blocks.
+    """
+    L = F.lit(block_len)
+    a, z = F.col("offset"), F.col("offset") + F.col("n_tokens")
+    first = F.ceil(a / L).cast("long")
+    stop = F.when(z == F.col("stream_len"), F.ceil(z / L)).otherwise(F.floor(z / L)).cast("long")
+
+    def cut(lo, hi):
+        return F.slice("ids", (lo - a + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+
+    def block(b):
+        return F.struct(b.alias("block_id"), cut(b * L, F.least(z, (b + 1) * L)).alias("ids"))
+
+    def fragment(b, lo, hi):
+        return F.struct(b.alias("block_id"), lo.alias("lo"), cut(lo, hi).alias("frag"))
+
+    held = pieces.where(F.col("n_tokens") > 0)
+    inner = held.where(stop > first).withColumn("_b", F.explode(F.transform(F.sequence(first, stop - 1), block)))
+    head = F.when(F.pmod(a, L) != 0, F.array(fragment(F.floor(a / L).cast("long"), a, F.least(z, first * L))))
+    tail = F.when((stop >= first) & (stop * L < z), F.array(fragment(stop, stop * L, z)))
+    none = F.array().cast("array<struct<block_id:bigint,lo:bigint,frag:array<int>>>")
+    ends = held.withColumn("_b", F.explode(F.concat(F.coalesce(head, none), F.coalesce(tail, none))))
+    return inner.select(*part_cols, "_b.block_id", "_b.ids").unionByName(
+        regroup_blocks(ends.select(*part_cols, "_b.block_id", "_b.lo", "_b.frag"), part_cols)
     )
 
 
