@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_index
-from corpusflow.operators import views
+from corpusflow.operators import gather, views
 from corpusflow.operators.packing import fragments, regroup_blocks
 from corpusflow.operators.views import bases, domain_order
 from corpusflow.plans.generate import count_up
@@ -223,34 +223,29 @@ def noise_tokens(
     """``n`` tokens drawn independently, with replacement, from a stream (unigram noise).
 
     ``sizes``: (src_cols..., ``n``) -- how many tokens to draw from each stream.
-    Draw ``j`` takes position ``hash_index(seed, stream_len, j)``. A random
-    gather is inherently one row per drawn token: the draws (generated per
-    output block) join the source blocks on ``block_id`` (uniform keys), pick
-    their id with ``element_at``, and are re-grouped by output block. With ``source_split``
+    Draw ``j`` takes position ``hash_index(seed, stream_len, j)``; chunks of draws are gathered from slices of
+    the stream as packed arrays (:mod:`corpusflow.operators.gather`), never as a row per token. With ``source_split``
     the draws of every split come from the stream of that one.
     """
     lens = stream_lengths(blocks, src_cols)
     plan = join_same(_from_split(sizes, source_split), lens, src_cols).where(F.col("stream_len") > 0)
     key_cols = [TARGET if c == "split" else c for c in src_cols]
-    L = F.lit(block_len)
-    out_blocks = count_up(plan, F.ceil(F.col("n") / L), "_ob", chunk=256)
-    draws = out_blocks.withColumn(
-        "_j",
-        F.explode(
-            F.sequence(F.col("_ob") * L, F.least(F.col("n"), (F.col("_ob") + 1) * L) - 1)
-        ),
-    ).withColumn("_pos", hash_index(seed, F.col("stream_len"), *key_cols, "_j"))
-    draws = draws.select(
-        TARGET, *src_cols, "_ob", "_j",
-        F.floor(F.col("_pos") / L).cast("long").alias("block_id"),
-        F.pmod(F.col("_pos"), L).cast("int").alias("_i"),
-    )
-    picked = join_same(draws, blocks.select(*src_cols, "block_id", "ids"), [*src_cols, "block_id"]).select(
-        TARGET, "_ob", F.struct("_j", F.element_at("ids", F.col("_i") + 1).alias("_id")).alias("_d")
+    # A row per stream to fill, numbered; streams of one source share its number.
+    source = F.dense_rank().over(Window.orderBy(*src_cols)).cast("long")
+    plan = plan.withColumns({"stream": source, "target": F.row_number().over(Window.orderBy(*src_cols, TARGET)).cast("long")})
+    plan = materialise(plan.withColumn("size", gather.chunk_size(F.col("stream_len"), block_len)), "noise-plan")
+    chunks = count_up(plan, F.ceil(F.col("n") / F.col("size")), "chunk", chunk=16)
+    first = F.col("chunk") * F.col("size")
+    last = F.least(F.col("n"), first + F.col("size")) - 1
+    positions = F.transform(F.sequence(first, last), lambda j: hash_index(seed, F.col("stream_len"), *key_cols, j))
+    streams = plan.select(*src_cols, "stream").distinct()
+    numbered = join_same(blocks.select(*src_cols, "block_id", "ids"), streams, src_cols)
+    got = gather.gather_tokens(numbered, chunks.withColumn("positions", positions), block_len)
+    named = plan.select(F.col("target").alias("_t"), TARGET, "size")
+    return got.join(named, F.col("target") == F.col("_t")).select(
+        F.col(TARGET).alias("split"), F.lit(name).alias("domain"),
+        (F.col("chunk") * F.floor(F.col("size") / block_len) + F.col("nth")).cast("long").alias("block_id"), "ids",
     )
-    return picked.groupBy(TARGET, "_ob").agg(
-        F.transform(F.array_sort(F.collect_list("_d")), lambda d: d["_id"]).alias("ids")
-    ).select(F.col(TARGET).alias("split"), F.lit(name).alias("domain"), F.col("_ob").alias("block_id"), "ids")
 
 
 def resample_spans(
