@@ -23,11 +23,11 @@ from corpusflow.sources.readers import (
     read_jsonl_glob,
     read_split_table,
     read_table_corpus,
-    read_token_bin,
     read_whole_files,
     read_year_partitions,
 )
 from corpusflow.sources.sinks import materialise_once, write_archives, write_jsonl, write_token_bin
+from corpusflow.sources.tokens import read_token_stream
 from corpusflow.functions.text import strip_markup_sql
 
 FILE_BLOCKS = 64  # blocks per token file: 32k tokens
@@ -148,9 +148,9 @@ def _bin_positions():
 def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
     blocks = blocks_of(spark, base)
-    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS).count()  # runs the writes
-    pieces = read_token_bin(spark, f"{root}/*/*/*.bin", piece_len=BLOCK)
-    return block_summary(rebase(pieces, BLOCK, PART), PART)
+    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS)
+    pieces = read_token_stream(spark, root, piece_len=BLOCK)
+    return block_summary(rebase(pieces.withColumnRenamed("pos", "offset"), BLOCK, PART), PART)
 
 
 @register(

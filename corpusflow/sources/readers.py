@@ -153,7 +153,8 @@ TOKEN_PIECE_SCHEMA = "split string, domain string, offset long, n_tokens long, i
 def read_token_bin(spark: SparkSession, glob: str, piece_len: int = 1 << 16) -> DataFrame:
     """Flat little-endian ``uint16`` token files -> located pieces.
 
-    File layout (from :func:`write_token_bin`): ``<root>/<split>/<domain>/<first_pos>.bin``.
+    For any files ``<root>/<split>/<domain>/<first_pos>.bin`` (or ``<first_pos>-<name>.bin``), with or without a
+    manifest; :func:`corpusflow.sources.tokens.read_token_stream` reads committed streams by position.
     Each file becomes pieces of at most ``piece_len`` ids with their stream
     ``offset``; :func:`corpusflow.operators.mixing.rebase` turns them into
     blocks of any length. Decoding is one ``np.frombuffer`` per file and the
@@ -168,7 +169,7 @@ def read_token_bin(spark: SparkSession, glob: str, piece_len: int = 1 << 16) ->
             for i, path in enumerate(paths):
                 parts = path.rstrip("/").split("/")
                 split, domain, name = parts[-3], parts[-2], parts[-1]
-                first = int(name.split(".")[0])
+                first = int(name.split(".")[0].split("-")[0])
                 ids = np.frombuffer(blobs[i].as_buffer(), dtype="<u2").astype(np.int32)
                 starts = np.arange(0, len(ids), piece_len, dtype=np.int64)
                 if len(starts) == 0:

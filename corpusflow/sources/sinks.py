@@ -7,16 +7,12 @@ import posixpath
 import tarfile
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.sources import fs
-
-UINT16_MAX = 65535
+from corpusflow.sources.tokens import write_token_stream
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -24,43 +20,17 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-MANIFEST_SCHEMA = "split string, domain string, file_id long, first_pos long, n_tokens long, file string"
-
-
 def write_token_bin(
     blocks: DataFrame, path: str, block_len: int, blocks_per_file: int = 256
 ) -> DataFrame:
-    """Write each stream as little-endian ``uint16`` files of contiguous blocks.
+    """Write each stream as little-endian ``uint16`` files of contiguous blocks and commit them.
 
     A file holds at most ``blocks_per_file`` blocks, so a task never holds more
-    than ``blocks_per_file * block_len`` tokens whatever the stream length;
-    files are named by their first stream position and written under a
-    temporary name then renamed, so a retried task is harmless. An id above
-    65535 fails the task. Returns the manifest (one row per file); the write
-    happens when the manifest is evaluated.
+    than ``blocks_per_file * block_len`` tokens whatever the stream length. An id above
+    65535 fails the job, which then leaves what was visible before. Returns the manifest (one row per
+    file); see :mod:`corpusflow.sources.tokens`.
     """
-    root, shown = fs.qualify(blocks.sparkSession, path), path.rstrip("/")
-    keyed = blocks.withColumn("file_id", F.floor(F.col("block_id") / F.lit(blocks_per_file)).cast("long"))
-
-    def write(tbl: pa.Table) -> pa.Table:
-        tbl = tbl.sort_by("block_id")
-        ids = pc.list_flatten(tbl.column("ids")).to_numpy().astype(np.int64)
-        if ids.size and (ids.max() > UINT16_MAX or ids.min() < 0):
-            raise ValueError("token id outside uint16 range")
-        split, domain = tbl.column("split")[0].as_py(), tbl.column("domain")[0].as_py()
-        file_id = tbl.column("file_id")[0].as_py()
-        first = tbl.column("block_id")[0].as_py() * block_len
-        name = posixpath.join(str(split), str(domain), f"{first:015d}.bin")
-        fs.write_atomic(posixpath.join(root, name), ids.astype("<u2").tobytes())
-        return pa.table(
-            {
-                "split": [split], "domain": [domain], "file_id": pa.array([file_id], pa.int64()),
-                "first_pos": pa.array([first], pa.int64()), "n_tokens": pa.array([int(ids.size)], pa.int64()),
-                "file": [posixpath.join(shown, name)],
-            }
-        )
-
-    return keyed.groupBy("split", "domain", "file_id").applyInArrow(write, MANIFEST_SCHEMA)
+    return write_token_stream(blocks, path, block_len, blocks_per_file)
 
 
 def materialise_once(build: Callable[[], DataFrame], path: str, spark: SparkSession) -> DataFrame:
