@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.columns import passing
 from corpusflow.llm.sample import least_hashed, one_row_an_id
 from corpusflow.llm.textbytes import flat, slices, tidy
 from corpusflow.session import materialise
@@ -195,7 +196,7 @@ def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever their names."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +204,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
             if batch.num_rows:
                 yield batch.filter(pa.array(~predict(batch.column(at), model)[2]))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return passing(docs, (text_col,), lambda d: d.mapInArrow(tidy(run), d.schema))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.columns import passing
 from corpusflow.session import materialise
 
 RATIO = 0.1
@@ -52,8 +53,14 @@ def drop_boilerplate(
     stay. Null hosts form one host; pages without text (null) count as pages and stay null with 0
     lines; a page that loses all its lines stays with an empty text. Repeated rows are pages of their
     own; without ``count_copies`` pages of a host with the same text count as one, so that copies do not
-    make their whole text boilerplate. Other columns pass through.
+    make their whole text boilerplate. Other columns pass through, whatever their names, but for those called
+    ``n_lines`` or ``n_dropped``, which are replaced. An empty table gives none.
     """
+    pages = pages.drop("n_lines", "n_dropped")
+    return passing(pages, (host_col, text_col), lambda p: _without(p, host_col, text_col, ratio, min_pages, count_copies))
+
+
+def _without(pages: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, count_copies: bool) -> DataFrame:
     frequent = line_ratios(pages, host_col, text_col, count_copies).where(
         (F.col("on_pages") >= min_pages) & (F.col("on_pages") > F.col("pages") * F.lit(ratio))
     )

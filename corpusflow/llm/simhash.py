@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from corpusflow.llm.columns import passing
 from corpusflow.llm.graph import components, merge
 from corpusflow.llm.textbytes import tidy
 from corpusflow.session import materialise
@@ -260,8 +261,13 @@ def keep_one(
     """One row of each group of near duplicates: that of the least id, with all its columns.
 
     Rows that repeat an id, or have none, are told apart by their fingerprints: one row of a group stays
-    even if several have its least id; of groups without any id, one row of each fingerprint stays.
+    even if several have its least id; of groups without any id, one row of each fingerprint stays. Null and
+    empty texts are near duplicates of each other. Other columns pass through, whatever their names.
     """
+    return passing(docs, (id_col, text_col), lambda d: _one_of_each(d, id_col, text_col, words_per_shingle, distance))
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, distance: int) -> DataFrame:
     found = materialise(near_duplicates(docs, id_col, text_col, words_per_shingle, distance), "simhash-found")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
     odd = found.groupBy(F.col(id_col).alias("_odd")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR _odd IS NULL")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.columns import passing
 from corpusflow.llm.prefix import range_prefix
 from corpusflow.session import materialise
 
@@ -123,8 +124,14 @@ def take_mix(
     """The rows of the mix: each document as often as it is taken, the one at a source's budget cut there.
 
     All that a row needs to know is its source's number of whole epochs and the place of the cut, so the
-    texts are not shuffled. Rows that repeat the id and the text at the cut are all cut alike.
+    texts are not shuffled. Rows that repeat the id and the text at the cut are all cut alike. Null and empty
+    texts have no word and are not taken. Other columns pass through, whatever their names.
     """
+    used = (id_col, text_col, source_col)
+    return passing(docs, used, lambda d: _taken(d, weights, share, max_epochs, seed, *used))
+
+
+def _taken(docs, weights, share, max_epochs, seed, id_col, text_col, source_col) -> DataFrame:
     mixed = mix_sources(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
     mixed = mixed.withColumn("epochs", epochs.cast("int")).withColumn("extra", F.col("taken") - F.col("size") * epochs)
