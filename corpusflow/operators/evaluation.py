@@ -3,19 +3,17 @@ representation covariance and rank, linear probes, metric roll-ups."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusflow.functions import vectors as V
 from corpusflow.functions.hashing import hash_uniform
-from corpusflow.session import materialise
+from corpusflow.operators.probes import covariance_of_tiles, covariance_tiles, rank_of_tiles
 
 
 def last_position(df: DataFrame, example_cols: Sequence[str], pos_col: str, cols: Sequence[str]):
@@ -69,82 +67,25 @@ def top_k_mask(df: DataFrame, vec_col: str, k: int, out_col: str | None = None):
     return df.withColumn(out_col or vec_col, V.top_k_mask(F.col(vec_col), k))
 
 
-COV_SCHEMA = "i int, j int, n long, m2 double, mx double, my double"
-
-
 def feature_covariance(reps: DataFrame, vec_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Unbiased d x d covariance of the vectors of every group (null group values are a group).
+    """Unbiased d x d covariance of the vectors of every group (null group values are a group), a row per pair (i, j).
 
-    Each task accumulates, per group, row count, mean and centred co-moments
-    over all its Arrow batches (merged pairwise, so large means do not cancel)
-    and emits them once: d*d rows per (task, group), whatever the row count.
-    Spark then merges the partials per (group, i, j) around the group's mean.
+    Tasks emit packed tiles of centred co-moments (:func:`corpusflow.operators.probes.covariance_tiles`), merged
+    pairwise, so large means do not cancel; only the result is a row per pair.
     """
-    group_cols = list(group_cols)
-    schema = ", ".join(
-        [f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields if f.name in group_cols]
-        + [COV_SCHEMA]
-    )
-    fields = [f.name for f in reps.schema.fields if f.name in group_cols]
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict = {}
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            vectors = rb.column(len(fields))
-            x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(rb.num_rows, -1)
-            keys = list(zip(*(rb.column(k).to_pylist() for k in range(len(fields))))) or [()] * rb.num_rows
-            at: dict = {}
-            for row, key in enumerate(keys):
-                at.setdefault(key, []).append(row)
-            for key, rows in at.items():
-                own = x[rows]
-                mean = own.mean(axis=0)
-                n, m2 = len(own), (own - mean).T @ (own - mean)
-                if key in acc:
-                    n0, mean0, m20 = acc[key]
-                    delta = mean - mean0
-                    acc[key] = (
-                        n0 + n, mean0 + delta * (n / (n0 + n)), m20 + m2 + np.outer(delta, delta) * (n0 * n / (n0 + n))
-                    )
-                else:
-                    acc[key] = (n, mean, m2)
-        for key, (n, mean, m2) in acc.items():
-            d = len(mean)
-            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-            ii, jj = ii.ravel(), jj.ravel()
-            out = {c: pa.array([v] * (d * d), rb_types[c]) for c, v in zip(fields, key)}
-            out.update(
-                i=pa.array(ii, pa.int32()), j=pa.array(jj, pa.int32()), n=pa.array(np.full(d * d, n, dtype=np.int64)),
-                m2=pa.array(m2.ravel()), mx=pa.array(mean[ii]), my=pa.array(mean[jj]),
-            )
-            yield pa.RecordBatch.from_pydict(out)
-
-    inp = reps.select(*fields, vec_col).where(F.col(vec_col).isNotNull())
-    rb_types = {c: to_arrow_type(reps.schema[c].dataType) for c in fields}
-    parts = materialise(inp.mapInArrow(partial, schema), "covariance-parts")
-    keys = [*fields, "i", "j"]
-    means = parts.groupBy(*keys).agg(
-        F.sum("n").alias("_n"),
-        F.try_divide(F.sum(F.col("n") * F.col("mx")), F.sum("n")).alias("_x"),
-        F.try_divide(F.sum(F.col("n") * F.col("my")), F.sum("n")).alias("_y"),
-    )
-    means = means.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), "_n", "_x", "_y")
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)))
-    moved = F.col("m2") + F.col("n") * (F.col("mx") - F.col("_x")) * (F.col("my") - F.col("_y"))
-    cov = F.try_divide(F.sum(moved), F.max("_n") - 1)
-    return parts.join(means, same).groupBy(*keys).agg(F.max("_n").alias("n"), cov.alias("cov"))
+    return covariance_of_tiles(covariance_tiles(reps, vec_col, group_cols), list(group_cols))
 
 
 def feature_rank(cov: DataFrame, group_cols: Sequence[str], eps: float = float(np.finfo(np.float32).eps)):
-    """Numerical rank of each group's covariance (SVD of the d x d matrix).
+    """Numerical rank of each group's covariance (SVD of the d x d matrix), from tiles or from rows per pair.
 
     The tolerance is sigma_max * d * eps(float32), the usual default for float32
-    representations. Each group holds exactly d*d rows, so the per-group task
+    representations. A group is a d x d matrix, so the per-group task
     is bounded by the vector width, not by the data.
     """
     group_cols = list(group_cols)
+    if "m2" in cov.columns:
+        return rank_of_tiles(cov, group_cols, eps)
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in cov.schema.fields if f.name in group_cols]
         + ["rank long", "sigma_max double"]

@@ -4,9 +4,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import vectors as V
@@ -17,13 +14,13 @@ from corpusflow.operators.evaluation import (
     feature_covariance,
     feature_rank,
     last_position,
-    linear_probe,
     masked_token_loss,
     mean_rank,
     metric_rollup,
     softmax_temperature,
     top_k_mask,
 )
+from corpusflow.operators.probes import covariance_tiles, fit_probes
 from corpusflow.operators.splits import split_fraction
 from corpusflow.plans.catalog import table
 from corpusflow.queries import sql
@@ -166,25 +163,16 @@ def q_feature_covariance(spark, base):
 def q_feature_rank(spark, base):
     # a batch of representations per layer, ranked on its own; every batch counts in the mean
     reps = emb(spark, base).withColumn("batch", F.pmod(F.floor(F.col("vec_id") / 3), F.lit(N_BATCHES)))
-    cov = feature_covariance(reps, "embedding", ["layer", "batch"])
-    return mean_rank(feature_rank(cov, ["layer", "batch"]), ["layer"])
+    tiles = covariance_tiles(reps, "embedding", ["layer", "batch"])
+    return mean_rank(feature_rank(tiles, ["layer", "batch"]), ["layer"])
 
 
 @register("linear_probe")
 def q_linear_probe(spark, base):
-    from concurrent.futures import ThreadPoolExecutor
-
+    # every step of every layer's probe; the validation row of the step that is kept has is_best
     data = materialise(split_fraction(emb(spark, base), "vec_id", 0.8, 2357), "probe-split")
-
-    layers = sorted(r["layer"] for r in data.select("layer").distinct().collect())  # layers of a model: few
-
-    def fit(layer):  # one distributed fit per layer, as concurrent jobs
-        _, acc = linear_probe(data.where(F.col("layer") == layer), "embedding", "label", max_iter=50)
-        return acc.withColumn("layer", F.lit(layer).cast("long"))
-
-    with ThreadPoolExecutor(3) as pool:
-        out = reduce(DataFrame.unionByName, pool.map(fit, layers))
-    return out.select("layer", "split", "n", (F.round("accuracy", 6) + F.lit(0.0)).alias("accuracy"))
+    out = fit_probes(data, "embedding", "label", ["layer"]).accuracies
+    return out.withColumn("accuracy", F.round("accuracy", 6) + F.lit(0.0))
 
 
 @register(
