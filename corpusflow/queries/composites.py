@@ -1,25 +1,14 @@
-"""Queries over corpora composed of the domain streams."""
+"""Queries over corpora composed of the domain streams, each by its key in the catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from corpusflow.operators.aggregates import common_length_budget
 from corpusflow.operators.packing import block_summary
-from corpusflow.plans.composite import with_all, with_mixture, with_noise, with_shuffled_tails
+from corpusflow.plans.catalog import TAILS, VAL_HEAD, corpus_catalog
 from corpusflow.queries import sql
-from corpusflow.queries.corpus import tokens_of
-from corpusflow.queries.mixes import BUDGET, CTX_MIX, POS, blocks_of, summary
+from corpusflow.queries.mixes import BUDGET, CTX_MIX, POS, summary
 from corpusflow.queries.registry import register
 from corpusflow.queries.streams import BLOCK, PART
 
-VAL_HEAD = 3
-TAILS = {"train": 4, "val": 2}
-
-
-def _budgets(spark, base):
-    return common_length_budget(tokens_of(spark, base)).select("split", F.col("budget").alias("n"))
-
 
 @register(
     "corpus_with_all",
@@ -31,7 +20,7 @@ np AS (SELECT split, domain, id, pos FROM k UNION ALL SELECT split, 'all' AS dom
 {summary('SELECT * FROM np')}""",
 )
 def q_corpus_with_all(spark, base):
-    return block_summary(with_all(blocks_of(spark, base), BLOCK, {"val": VAL_HEAD}), PART)
+    return block_summary(corpus_catalog(spark, "documents+all", base), PART)
 
 
 @register(
@@ -46,7 +35,7 @@ np AS (SELECT split, domain, id, pos FROM pos
 {summary('SELECT * FROM np')}""",
 )
 def q_corpus_with_noise(spark, base):
-    return block_summary(with_noise(blocks_of(spark, base), BLOCK, _budgets(spark, base), 41), PART)
+    return block_summary(corpus_catalog(spark, "documents+noise", base), PART)
 
 
 @register(
@@ -64,8 +53,7 @@ np AS (SELECT split, domain, id, pos FROM pos
 {summary('SELECT * FROM np')}""",
 )
 def q_corpus_with_mixture(spark, base):
-    mixed = with_mixture(blocks_of(spark, base), BLOCK, _budgets(spark, base), None, CTX_MIX, 43)
-    return block_summary(mixed, PART)
+    return block_summary(corpus_catalog(spark, "documents+mix", base), PART)
 
 
 @register(
@@ -84,6 +72,4 @@ np AS (SELECT p.split, p.domain, p.id, p.pos FROM pos p JOIN b ON p.split = b.sp
 {summary('SELECT * FROM np')}""",
 )
 def q_corpus_with_shuffled_tails(spark, base):
-    blocks = blocks_of(spark, base)
-    out = with_shuffled_tails(blocks, BLOCK, TAILS, 47, head={"val": TAILS["val"]}, allow_overlap=True)
-    return block_summary(out, PART)
+    return block_summary(corpus_catalog(spark, "documents+tails", base), PART)

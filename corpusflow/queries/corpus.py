@@ -10,10 +10,10 @@ from corpusflow.operators.aggregates import (
     token_totals,
 )
 from corpusflow.operators.tokens import tokenize_char
-from corpusflow.plans.catalog import documents_corpus
+from corpusflow.plans.catalog import corpus_catalog, documents_corpus
 from corpusflow.queries import sql
 from corpusflow.queries.registry import register
-from corpusflow.session import input_version, session_cached
+from corpusflow.session import input_version
 
 CORPUS = f"corpus AS ({sql.documents_corpus()})"
 
@@ -29,9 +29,7 @@ def documents_version(spark, base) -> str:
 
 def tokens_of(spark, base):
     """The tokenised corpus, built once per application in the shared folder."""
-    return session_cached(
-        spark, f"char-corpus:{documents_version(spark, base)}", lambda: char_corpus(spark, base).drop("text")
-    )
+    return corpus_catalog(spark, "documents_tokens", base)
 
 
 @register(

@@ -24,6 +24,20 @@ def q_stream_token_report(spark, base):
     )
 
 
+@register(
+    "stream_token_report_by_split",
+    f"""SELECT lang AS split, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS domain, count(*) AS n_docs,
+  CAST(sum(length({sql.char_clean('text')})) AS BIGINT) AS n_tokens
+FROM documents GROUP BY GROUPING SETS ((lang, source), (lang))""",
+)
+def q_stream_token_report_by_split(spark, base):
+    schema = table(spark, base, "documents").schema
+    return stream_token_report(
+        spark, base, schema, scratch_path(spark, "stream-report"), scratch_path(spark, "stream-report-ckpt"),
+        glob="documents.parquet", split_col="lang",
+    )
+
+
 @register(
     "stream_metric_rollup",
     """WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS t, event_type, value FROM events),

@@ -35,6 +35,12 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[tuple[int, str]]:
+    """(modification time, path) of what a glob pattern matches on the file system that Spark would use."""
+    store, where = _hadoop(spark, pattern)
+    return [(s.getModificationTime(), s.getPath().toString()) for s in store.globStatus(where) or []]
+
+
 def resolve(path: str):
     """(pyarrow file system, path inside it) of a URI or an absolute local path."""
     if path.startswith("/"):

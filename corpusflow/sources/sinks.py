@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import tarfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,15 +34,21 @@ def write_token_bin(
     return write_token_stream(blocks, path, block_len, blocks_per_file)
 
 
+def _complete_builds(path: str, spark: SparkSession) -> list[str]:
+    """Complete builds below ``path``, the earliest first."""
+    found = fs.matching(spark, posixpath.join(path, "build-*", "_SUCCESS"))
+    return [posixpath.dirname(p) for _, p in sorted(found)]
+
+
 def materialise_once(build: Callable[[], DataFrame], path: str, spark: SparkSession) -> DataFrame:
     """Build a table only if a complete copy is not there yet; then load it.
 
-    Completeness is the ``_SUCCESS`` marker: a half-written folder (a killed
-    job) is rebuilt, not trusted.
+    Every builder writes a folder of its own below ``path``, and all take the earliest complete one: drivers that race
+    never overwrite each other, and a half-written folder (a killed job) is neither trusted nor in the way.
     """
-    if not fs.is_there(spark, posixpath.join(path, "_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _complete_builds(path, spark):
+        build().write.mode("errorifexists").parquet(posixpath.join(path, f"build-{uuid.uuid4().hex}"))
+    return spark.read.parquet(_complete_builds(path, spark)[0])
 
 
 ARCHIVE_RESULT = "archive string, n_members long"

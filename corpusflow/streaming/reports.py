@@ -7,11 +7,15 @@ and stops (the batch-like mode the checks use), otherwise they keep running.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusflow.functions.text import char_count
+from corpusflow.operators.aggregates import ALL
+from corpusflow.sources import fs
 
 
 def _file_stream(spark: SparkSession, directory: str, schema: StructType, glob: str | None, max_files=None):
@@ -32,6 +36,26 @@ def _run(query_builder, available_now: bool):
     return q
 
 
+def _versions(spark: SparkSession, out_path: str) -> list[int]:
+    """Epochs whose whole report is written."""
+    found = fs.matching(spark, f"{out_path}/epoch-*/_SUCCESS")
+    return sorted(int(path.split("/")[-2].split("-")[1]) for _, path in found)
+
+
+def read_token_report(spark: SparkSession, out_path: str, schema: StructType, with_all: bool = False) -> DataFrame:
+    """The last whole version of a streaming report (empty before the first); ``with_all`` adds a line ``all`` per split.
+
+    A version is never changed once it is complete, so a reader beside the running stream sees one epoch or the next.
+    """
+    epochs = _versions(spark, out_path)
+    report = spark.read.parquet(f"{out_path}/epoch-{epochs[-1]}") if epochs else spark.createDataFrame([], schema)
+    if not with_all:
+        return report
+    return report.groupingSets([["split", "domain"], ["split"]], "split", "domain").agg(
+        F.grouping("domain").alias("_g"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
+    ).select("split", F.when(F.col("_g") == 1, F.lit(ALL)).otherwise(F.col("domain")).alias("domain"), "n_docs", "n_tokens")
+
+
 def stream_token_report(
     spark: SparkSession,
     directory: str,
@@ -42,29 +66,40 @@ def stream_token_report(
     text_col: str = "text",
     domain_col: str = "source",
     available_now: bool = True,
+    split_col: str | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Running token totals per domain over newly arriving document files.
+    """Running token totals over newly arriving document files, per domain or, with ``split_col``, as the batch report.
 
-    Complete output mode; every micro-batch overwrites the result table, so a
-    replayed batch rewrites the same rows.
+    Update mode: an epoch brings the totals of the groups that changed. Its report is the one of the epoch before with these
+    rows in place, written as a version of its own and left alone once complete, so a replayed epoch changes nothing and
+    readers (:func:`read_token_report`) see whole versions only. ``out_path`` belongs to one checkpoint. With ``split_col`` the result is that of
+    ``domain_token_report`` over all files so far, with a line ``all`` per split.
     """
-    docs = _file_stream(spark, directory, schema, glob)
-    counts = docs.select(
-        F.col(domain_col).alias("domain"), char_count(F.col(text_col)).alias("n_tokens")
-    ).groupBy("domain").agg(
+    docs = _file_stream(spark, directory, schema, glob, max_files)
+    keys = ["domain"] if split_col is None else ["split", "domain"]
+    named = [F.col(c).alias(k) for c, k in zip([split_col, domain_col][-len(keys):], keys)]
+    counts = docs.select(*named, char_count(F.col(text_col)).alias("n_tokens")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens")
     )
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-
-    builder = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-    )
+        own = batch.sparkSession
+        done = _versions(own, out_path)
+        if epoch_id in done:  # replayed: the same files gave the same totals, and readers may be on it
+            return
+        before = [e for e in done if e < epoch_id]
+        whole = batch
+        if before:  # a row per group: a report
+            old = own.read.parquet(f"{out_path}/epoch-{before[-1]}")
+            changed = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            whole = old.join(changed, same, "left_anti").unionByName(batch)
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/epoch-{epoch_id}")
+
+    builder = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     _run(builder, available_now)
-    return spark.read.parquet(out_path)
+    return read_token_report(spark, out_path, counts.schema, with_all=split_col is not None)
 
 
 def stream_metric_rollup(
