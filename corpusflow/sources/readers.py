@@ -7,16 +7,16 @@ parsed into the plan.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.sources import fs
+
 # The year range of the paper corpus.
 ALL_YEARS = tuple(range(1992, 2004))
 
@@ -81,45 +81,84 @@ def read_whole_files(spark: SparkSession, globs_by_split: dict[str, str]) -> Dat
 ARCHIVE_SCHEMA = "archive string, member string, content string"
 
 
-def _members(pdf: pd.DataFrame) -> Iterator[tuple[str, str, str]]:
+#: Unpacked bytes of the zip members that a task reads at a time, and of a batch of rows.
+PART_BYTES, BATCH_BYTES = 64_000_000, 8_000_000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path) to (path, first, stop): runs of a zip's members, by its index; a tar is one run without numbers."""
+    import zipfile
+
+    for batch in batches:
+        rows: list = []
+        for path in batch.column(0).to_pylist():
+            if not path.endswith(".zip"):
+                rows.append((path, None, None))
+                continue
+            store, place = fs.resolve(path)
+            with store.open_input_file(place) as f, zipfile.ZipFile(f) as zf:
+                first, size, infos = 0, 0, zf.infolist()
+                for i, info in enumerate(infos):
+                    if i > first and size + info.file_size > PART_BYTES:
+                        rows.append((path, first, i))
+                        first, size = i, 0
+                    size += info.file_size
+                rows.append((path, first, len(infos)))
+        cols = list(zip(*rows)) or [(), (), ()]
+        types = [pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "first", "stop"])
+
+
+def _members(path: str, first: int | None, stop: int | None) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of the files of an archive, or of a run of a zip's members, one after the other."""
     import tarfile
     import zipfile
 
-    for path, blob in zip(pdf["path"], pdf["content"]):
-        data = bytes(blob)
-        if path.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as zf:
-                for info in zf.infolist():
-                    if not info.is_dir():
-                        yield path, info.filename, zf.read(info).decode("utf-8", "replace")
-        else:
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tf:
-                for m in tf:
-                    if m.isfile():
-                        yield path, m.name, tf.extractfile(m).read().decode("utf-8", "replace")
-
-
-def read_archives(spark: SparkSession, glob: str, batch_rows: int = 1024) -> DataFrame:
-    """Zip / tar(.gz) archives -> one row per member ``(archive, member, content)``.
+    store, place = fs.resolve(path)
+    if first is not None:
+        with store.open_input_file(place) as f, zipfile.ZipFile(f) as zf:
+            for info in zf.infolist()[first:stop]:
+                if not info.is_dir():
+                    yield info.filename, zf.read(info)
+        return
+    # unpacked by tarfile itself, whatever the compression
+    with store.open_input_stream(place, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as tf:
+        for m in tf:
+            if m.isfile():
+                yield m.name, tf.extractfile(m).read()
+            tf.members = []  # a stream does not go back, so what it has passed is not kept
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, first, stop) to (archive, member, content), in batches of about BATCH_BYTES."""
+    names = ["archive", "member", "content"]
+
+    def rows_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+
+    for batch in batches:
+        for path, first, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows, size = [], 0
+            for name, data in _members(path, first, stop):
+                rows.append((path, name, data.decode("utf-8", "replace")))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield rows_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield rows_of(rows)
 
-    Archives are read by the ``binaryFile`` source (one archive per row, so an
-    archive must fit a task: writers here bound archive size) and unpacked in
-    Arrow batches by ``mapInPandas``.
-    """
-    raw = spark.read.format("binaryFile").load(glob).select("path", "content")
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in _members(pdf):
-                rows.append(r)
-                if len(rows) >= batch_rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+def read_archives(spark: SparkSession, glob: str) -> DataFrame:
+    """Zip / tar(.gz) archives -> one row per member ``(archive, member, content)``.
 
-    return raw.mapInPandas(unpack, ARCHIVE_SCHEMA)
+    Spark lists the archives without reading them. A tar is read as a stream by one task; the members of a zip are dealt out to
+    many tasks by its index. A task holds a batch of members, never an archive.
+    """
+    listed = spark.read.format("binaryFile").load(glob).select("path")
+    parts = listed.mapInArrow(_parts, "path string, first long, stop long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n).mapInArrow(_unpack, ARCHIVE_SCHEMA)
 
 
 def read_year_partitions(

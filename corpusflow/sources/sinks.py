@@ -55,9 +55,9 @@ ARCHIVE_RESULT = "archive string, n_members long"
 
 
 def write_archives(
-    df: DataFrame, path: str, name_col: str, content_col: str, max_members: int = 10000
+    df: DataFrame, path: str, name_col: str, content_col: str, max_members: int = 10000, max_bytes: int = 64_000_000
 ) -> DataFrame:
-    """Pack rows into ``.tar.gz`` archives (one or more per task, at most ``max_members`` each).
+    """Pack rows into ``.tar.gz`` archives (one or more per task, at most ``max_members`` or about ``max_bytes`` each).
 
     Returns one row per archive written; evaluated lazily like any DataFrame.
     Evaluate it once (or persist it): a second evaluation rewrites the same
@@ -90,7 +90,7 @@ def write_archives(
                 info.size = len(data)
                 tar.addfile(info, io.BytesIO(data))
                 count += 1
-                if count >= max_members:
+                if count >= max_members or buf.tell() >= max_bytes:
                     close()
                     tar = None
         if tar is not None:

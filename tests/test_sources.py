@@ -69,3 +69,32 @@ def test_materialise_once_rebuilds_partial(spark, tmp_dir):
     assert materialise_once(build, path, spark).count() == 3
     assert materialise_once(build, path, spark).count() == 3
     assert len(calls) == 1
+
+
+def test_archives_are_read_in_bounded_memory(tmp_dir, monkeypatch):
+    """The peak follows a batch of members, not the archive; the members of a zip are cut into runs."""
+    import tarfile
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusflow.sources import readers
+
+    data = os.urandom(250_000).hex().encode()
+    tar, zipped = os.path.join(tmp_dir, "a.tar.gz"), os.path.join(tmp_dir, "a.zip")
+    with tarfile.open(tar, "w:gz") as tf, zipfile.ZipFile(zipped, "w") as zf:
+        for i in range(200):
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = len(data)
+            tf.addfile(info, io.BytesIO(data))
+            zf.writestr(f"{i}.txt", data)
+    monkeypatch.setattr(readers, "PART_BYTES", 10_000_000)
+    monkeypatch.setattr(readers, "BATCH_BYTES", 2_000_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([tar, zipped])], names=["path"])
+    parts = list(readers._parts(iter([batch])))
+    assert parts[0].num_rows == 1 + 10
+    tracemalloc.start()
+    names = [m for b in readers._unpack(iter(parts)) for m in b.column("member").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(names) == sorted([f"{i}.txt" for i in range(200)] * 2) and peak < 15_000_000
