@@ -91,6 +91,39 @@ def test_shards_are_minimax_over_groups(spark, documents, monkeypatch):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+@pytest.mark.parametrize("kind", ["even", "one", "nine", "many"])
+def test_cuts_beside_hot_groups_read_back_few_segments(kind):
+    """Groups that hold a third of all bytes and more: the capacity is the least one, no call returns over 20,000 rows."""
+    rng = np.random.default_rng(7)
+    keys = np.sort(rng.integers(0, 1 << sharding.KEY_BITS, 200_000))
+    sizes = rng.integers(1, 4000, len(keys))
+    total = int(sizes.sum())
+    if kind == "one":
+        sizes[len(keys) // 3] = total // 2
+    elif kind == "nine":
+        sizes[rng.choice(len(keys), 9, replace=False)] = total
+    elif kind == "many":
+        sizes[rng.choice(len(keys), 40, replace=False)] = total // rng.integers(5, 40, 40)
+    returned = []
+
+    def summary(start, shift, finer):
+        low, high = np.searchsorted(keys, [start, start + (1 << shift)])
+        prefix = keys[low:high] >> finer
+        at = np.flatnonzero(np.diff(prefix, prepend=-1))
+        held = np.split(sizes[low:high], at[1:]) if len(at) else []
+        return [sharding.Segment(int(prefix[i]) << finer, finer, int(s.sum()), len(s), int(s.max())) for i, s in zip(at, held)]
+
+    def finer(segments):
+        out = [part for s in segments for part in summary(s.start, s.shift, max(0, s.shift - sharding.STEP_BITS))]
+        returned.append(len(out))
+        return out
+
+    cuts = sharding.settle(summary(0, sharding.KEY_BITS, sharding.KEY_BITS - sharding.FIRST_BITS), finer, 8)
+    starts = np.concatenate([[0], np.searchsorted(keys, cuts)])
+    assert np.add.reduceat(sizes, starts).max() == sharding.smallest_capacity(sizes.tolist(), 8)
+    assert max(returned, default=0) <= 20_000
+
+
 def test_shards_odd_rows(odd, empty):
     got = sharding.minimax_shards(odd, 3).toPandas()
     assert len(got) == 10 and got[got.doc_id == 1]["size"].tolist() == [1]
