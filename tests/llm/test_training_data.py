@@ -459,6 +459,24 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted(bytes(p) for p in stored) == sorted([big.encode(), b"", b"", b"short", b"short", (big + "z").encode()])
 
 
+def test_archives_of_large_and_hot_pages(spark, tmp_path):
+    """Large payloads stay out of every exchange, records have ids of their own, and a third of equal rows is resolved."""
+    rows = [(i, f"http://a/{i}", f"{i} " * 100_000) for i in range(40)] + [(None, None, "")] * 300
+    rows += [(77, "http://hot", "hot " * 400)] * 300 + [(5, "http://hot/5", "hot " * 400)] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    path = str(tmp_path / "w")
+    got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages, path).collect())
+    want = collections.Counter({(i, "response", None): 1 for i in range(40)})
+    want.update({(None, "response", None): 300, (77, "response", None): 1, (77, "revisit", 77): 299, (5, "revisit", 77): 20})
+    assert got == want
+    records = warc.read_archives(spark, path)
+    assert records.select("record_id").distinct().count() == records.count() == len(rows)
+    assert {len(r["payload"]) for r in records.where("page_id = 39 AND warc_type = 'response'").collect()} == {300_000}
+    pages.where("page_id < 40 AND page_id <> 5").write.parquet(str(tmp_path / "p"))
+    large = spark.read.parquet(str(tmp_path / "p")).selectExpr("page_id AS _id", "url AS _url", "html AS _payload")
+    assert "hashpartitioning" not in warc.records_of(large, 1000)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_archives_of_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
