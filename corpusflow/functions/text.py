@@ -78,6 +78,8 @@ HTML_RULES = [
 
 LATEX_RULES = [
     ("(?m)(^|[^\\\\])%[^\n]*", "$1"),
+    ("(?s)\\\\begin\\{(figure|table)\\*?\\}.*?\\\\end\\{(figure|table)\\*?\\}", " "),
+    ("[ ~]?\\\\(cite[a-z]*|label|[a-z]*ref|bibliography|bibliographystyle)\\*?(\\[[^\\]]*\\])*\\{[^{}]*\\}", ""),
     ("\\\\(begin|end)\\{[^}]*\\}", " "),
     ("\\$\\$[^$]*\\$\\$", " "),
     ("\\\\[a-zA-Z]+\\*?(\\[[^\\]]*\\])?\\{([^{}]*)\\}", "$2"),

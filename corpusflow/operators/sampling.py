@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.hashing import hash_index, hash_uniform, seeded_key
 from corpusflow.operators.mixing import STREAM, _gather, stream_lengths
 from corpusflow.plans.generate import count_up
-from corpusflow.plans.index import ordered_index
+from corpusflow.plans.index import hash_bucket, head_flag, ordered_index
 from corpusflow.session import materialise
 from corpusflow.sources.blockstore import BlockStore
 
@@ -187,16 +187,27 @@ def epoch_batches(
     epochs: int,
     seed,
     n_total: int,
+    num_steps: int | None = None,
 ) -> DataFrame:
     """Rows reshuffled every epoch and cut into batches of ``min(b, ceil(n_total / 2))``.
 
     ``n_total`` is the row count before the train/val split (as the loaders
     size their batches). The short last batch is kept. Adds ``epoch``,
-    ``batch``, ``pos`` (position inside the batch).
+    ``batch``, ``pos`` (position inside the batch). With ``num_steps`` only the rows of that many batches
+    remain: a threshold of the shuffle key cuts the epoch that is not used up, before any row is ranked.
     """
     bs = min(batch_size, math.ceil(n_total / 2))
     ex = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     ex = ex.withColumn("_key", seeded_key(seed, "epoch", key_col))
+    if num_steps is not None:
+
+        def used(n):
+            steps = F.lit(num_steps) - F.col("epoch") * F.ceil(n / F.lit(bs))
+            return F.least(n, F.greatest(F.lit(0), steps) * F.lit(bs))
+
+        order = ["_key", key_col]
+        ex = head_flag(ex, order, ["epoch"], hash_bucket("_key"), used, "_used", break_ties=True)
+        ex = ex.where("_used").drop("_used")
     ranked = ordered_index(ex, ["_key", key_col], ["epoch"])
     return ranked.withColumn("batch", F.floor(F.col("_idx") / F.lit(bs)).cast("long")).withColumn(
         "pos", F.pmod(F.col("_idx"), F.lit(bs)).cast("long")

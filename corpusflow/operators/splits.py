@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import seeded_key
-from corpusflow.plans.index import HASH_DIGITS, TIED, attach, hash_bucket, head_flag, ordered_index
+from corpusflow.plans.index import HASH_DIGITS, TIED, attach, hash_bucket, head_flag, nested_thresholds, order_key, ordered_index
 from corpusflow.session import materialise
 
 # Fixed value: the seed used by the corpus builders.
@@ -69,10 +69,27 @@ def split_nested_halves(
 ) -> DataFrame:
     """Split off ``val``, then cut the rest into ``train1`` and ``train2``.
 
-    ``train2`` gets ``ceil(0.5 * n_train)`` rows drawn with a second key. Validation rows come last in the
-    second order, so both thresholds label every row in one pass over the texts.
+    ``train2`` gets ``ceil(0.5 * n_train)`` rows drawn with a second key. Both thresholds come from one joint count
+    (:func:`nested_thresholds`) and label every row in one pass over the texts. Where rows of a null or
+    repeated id lie on both sides of a cut, the cuts are made one after the other, exact all the same.
     """
     share = float(val_share)
+    sizes = lambda n: F.ceil(F.lit(share) * n.cast("double"))
+    keys = {"_key1": seeded_key(seed, id_col), "_key2": seeded_key(f"{seed}:halves", id_col)}
+    both = df.withColumns(keys)
+    first, second = ["_key1", id_col], ["_key2", id_col]
+    cuts = nested_thresholds(
+        both, first, second, part_cols, sizes, lambda n: F.ceil(F.lit(0.5) * (n - sizes(n)).cast("double"))
+    )
+    if cuts is None:
+        return _one_by_one(df, id_col, share, seed, part_cols, split_col)
+    upto = lambda cols, thr: F.coalesce(order_key(cols) <= F.col(thr), F.lit(False))
+    split = F.when(upto(first, "_thr1"), "val").when(upto(second, "_thr2"), "train2").otherwise("train1")
+    return attach(both, cuts, part_cols).withColumn(split_col, split).drop("_key1", "_key2", "_thr1", "_thr2")
+
+
+def _one_by_one(df, id_col, share, seed, part_cols, split_col):
+    """The cuts of :func:`split_nested_halves` one after the other; validation rows come last in the second order."""
     first = _shuffled_head(df, id_col, seed, part_cols, lambda n: F.ceil(F.lit(share) * n.cast("double")), "_val")
     rest = F.when(F.col("_val"), 1).otherwise(0)
     keyed = first.withColumn("_rest", rest).withColumn("_key", seeded_key(f"{seed}:halves", id_col))

@@ -170,10 +170,87 @@ def _threshold(df: DataFrame, order_cols: Sequence[str], part_cols: Sequence[str
     near = near.withColumn("_upto", upto)
     at = near.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_tied") < F.col("_need")))
     take = F.col("_need") - F.col("_upto") + F.col("_tied")
-    return materialise(at.select(*part_cols, _key(order_cols).alias("_thr"), take.alias("_take"), "_tied"), "thresholds")
+    return materialise(at.select(*part_cols, order_key(order_cols).alias("_thr"), take.alias("_take"), "_tied"), "thresholds")
 
 
-def _key(order_cols: Sequence[str]) -> Column:
+COARSE_DIGITS = 2  # of each key in the joint counts: 65,536 cells a partition at most
+
+
+def nested_thresholds(
+    df: DataFrame,
+    first: Sequence[str],
+    second: Sequence[str],
+    part_cols: Sequence[str],
+    first_size,
+    second_size,
+) -> DataFrame | None:
+    """Both cuts of a nested split from one count of the rows: ``_thr1`` and ``_thr2`` per partition, written.
+
+    ``first`` and ``second`` are order columns led by an md5 key. The first ``first_size(n)`` rows by ``first`` are cut
+    off; of the others the first ``second_size(n)`` by ``second``. Joint counts by both coarse buckets locate the bucket
+    of the first cut and, as the rows of that bucket are on either side, the few buckets that the second can lie in.
+    Only rows of those buckets are written and looked at again. An empty head has a null threshold. None if
+    rows with equal keys lie on both sides of a cut.
+    """
+    part_cols = list(part_cols)
+    keyed = df.select(*part_cols, *dict.fromkeys([*first, *second])).withColumns(
+        {"_b1": hash_bucket(first[0], COARSE_DIGITS), "_b2": hash_bucket(second[0], COARSE_DIGITS)}
+    )
+    cells = materialise(keyed.groupBy(*part_cols, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c")), "joint-counts")
+    whole = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
+    earlier = Window.unboundedPreceding, -1
+
+    rows1 = cells.groupBy(*part_cols, "_b1").agg(F.sum("_c").alias("_c1"))
+    rows1 = rows1.select(
+        *part_cols, "_b1", "_c1", F.coalesce(F.sum("_c1").over(whole.orderBy("_b1").rowsBetween(*earlier)), F.lit(0)).alias("_rows0"),
+        first_size(F.sum("_c1").over(whole)).cast("long").alias("_k1"), second_size(F.sum("_c1").over(whole)).cast("long").alias("_k2"),
+    )
+    cut = (F.col("_rows0") < F.col("_k1")) & (F.col("_rows0") + F.col("_c1") >= F.col("_k1"))
+    found = lambda value: F.max(F.when(cut, value))
+    pivot = rows1.groupBy(*part_cols).agg(
+        F.coalesce(found(F.col("_b1")), F.lit(-1)).alias("_p1"),
+        F.coalesce(found(F.col("_k1") - F.col("_rows0")), F.lit(0)).alias("_need1"),
+        F.coalesce(found(F.col("_c1")), F.lit(0)).alias("_maybe"),
+        F.first("_k2").alias("_k2"),
+    )
+    pivot = materialise(pivot, "first-pivots")
+
+    # rows behind the first cut for sure, and rows of its bucket, by the bucket of the second key
+    by2 = attach(cells, pivot, part_cols).groupBy(*part_cols, "_b2", "_need1", "_maybe", "_k2").agg(
+        F.sum(F.when(F.col("_b1") > F.col("_p1"), F.col("_c")).otherwise(0)).alias("_sure"),
+        F.sum(F.when(F.col("_b1") == F.col("_p1"), F.col("_c")).otherwise(0)).alias("_open"),
+    )
+    order = whole.orderBy("_b2")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(*earlier)), F.lit(0))
+    by2 = by2.withColumns({"_sure0": before("_sure"), "_open0": before("_open")})
+    least = F.col("_sure0") + F.greatest(F.lit(0), F.col("_open0") - F.col("_need1"))
+    open1 = F.col("_open0") + F.col("_open")
+    most = F.col("_sure0") + F.col("_sure") + F.least(open1, F.col("_maybe") - F.col("_need1"))
+    can = by2.where((least < F.col("_k2")) & (most >= F.col("_k2")))
+    can = can.groupBy(*part_cols).agg(F.min("_b2").alias("_lo"), F.max("_b2").alias("_hi"), F.min("_sure0").alias("_sure0"))
+    table = materialise(attach(pivot, can, part_cols), "cut-ranges")
+
+    near = attach(keyed, table, part_cols)
+    within = F.coalesce(F.col("_b2").between(F.col("_lo"), F.col("_hi")), F.lit(False))
+    at1 = F.col("_b1") == F.col("_p1")
+    near = materialise(near.where(at1 | ((F.col("_b1") > F.col("_p1")) & within)), "near-cuts")
+
+    thr1 = _threshold(near.where(at1), first, [*part_cols, "_need1"], hash_bucket(first[0]), lambda n: F.col("_need1"))
+    thr1 = thr1.withColumnRenamed("_thr", "_thr1").drop("_need1")
+    rest = attach(near, thr1, part_cols).where(~at1 | F.coalesce(order_key(first) > F.col("_thr1"), F.lit(True)))
+    passed = rest.where(at1 & (F.col("_b2") < F.col("_lo"))).groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_passed"))
+    need2 = F.col("_k2") - F.col("_sure0") - F.coalesce("_passed", F.lit(0))
+    rest = attach(rest.where(within), materialise(passed, "passed"), part_cols).withColumn("_need2", need2)
+    thr2 = _threshold(rest, second, [*part_cols, "_need2"], hash_bucket(second[0]), lambda n: F.col("_need2"))
+    thr2 = thr2.withColumnRenamed("_thr", "_thr2").drop("_need2")
+    if not thr1.where("_take < _tied").isEmpty() or not thr2.where("_take < _tied").isEmpty():
+        return None
+    parts = attach(pivot.select(*part_cols), thr1.drop("_take", "_tied"), part_cols)
+    return materialise(attach(parts, thr2.drop("_take", "_tied"), part_cols), "nested-thresholds")
+
+
+def order_key(order_cols: Sequence[str]) -> Column:
+    """The order columns as one value that compares like them."""
     return F.struct(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order_cols)])
 
 
@@ -195,7 +272,7 @@ def head_flag(
     """
     part_cols, order_cols = list(part_cols), list(order_cols)
     thr = _threshold(df, order_cols, part_cols, bucket, head_size)
-    key, below = _key(order_cols), F.lit(False)
+    key, below = order_key(order_cols), F.lit(False)
     if not thr.where("_take < _tied").isEmpty():
         if not break_ties:
             raise ValueError(TIED)

@@ -48,13 +48,9 @@ def _docs_with_meta(spark, base):
 )
 def q_read_jsonl_corpus(spark, base):
     root = scratch_path(spark, "jsonl-by-domain")
-    docs = _docs_with_meta(spark, base).withColumn("dom", F.col("meta.source"))
-    docs.write.partitionBy("dom").json(root)
-    domains = [r[0] for r in table(spark, base, "documents").select("source").distinct().collect()]
-    paths = {d: f"{root}/dom={d}" for d in sorted(domains)}  # one entry per domain
-    return read_jsonl_corpus(spark, paths, DOC_JSON_SCHEMA, keep=["doc_id"]).select(
-        "domain", "doc_id", "text"
-    )
+    _docs_with_meta(spark, base).withColumn("dom", F.col("meta.source")).write.partitionBy("dom").json(root)
+    corpus = read_jsonl_corpus(spark, f"{root}/dom=*", DOC_JSON_SCHEMA, keep=["doc_id"], domain=r"dom=([^/]*)")
+    return corpus.select("domain", "doc_id", "text")
 
 
 @register(
@@ -242,12 +238,13 @@ def q_strip_markup(spark, base):
     return pages.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
-#: A paper around each document: comment, section, environment, emphasis, inline and display formulas.
+#: A paper around each document: comment, section, environment, emphasis, formulas, a figure, a label, references.
 _PAPER = (
     "\\documentclass{article} % draft\n\\begin{document}\n\\section*{",
     "}\n\\emph{",
     "} costs 5\\% of $x^2$ and $$y = z$$\n",
-    "\n\\cite[p. 3]{key} \\alpha\n% end\n\\end{document}\n",
+    "\n\\begin{figure*}[h]\n\\includegraphics{a.png}\n\\caption{A figure}\n\\end{figure*}\n"
+    "\\label{sec:end} See~\\cite[p. 3]{key} and \\ref{sec:end} \\alpha\n% end\n\\end{document}\n",
 )
 _PAPER_SQL = (
     f"('{_PAPER[0]}' || source || '{_PAPER[1]}' || lang || '{_PAPER[2]}' || text || '{_PAPER[3]}')"

@@ -366,7 +366,7 @@ def q_batch_schedule(spark, base):
     n_total = table(spark, base, "documents").count()
     train = _train_docs(spark, base)
     k, epochs = epochs_needed(train.count(), 64, n_total, 100)
-    sched = batch_schedule(epoch_batches(train, "doc_id", 64, epochs, 29, n_total), 100, k)
+    sched = batch_schedule(epoch_batches(train, "doc_id", 64, epochs, 29, n_total, 100), 100, k)
     return sched.groupBy("step", "epoch", "batch").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").cast("long").alias("doc_id_sum")
     )

@@ -27,17 +27,32 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def read_jsonl_corpus(
     spark: SparkSession,
-    paths: dict[str, str],
+    paths: dict[str, str] | str | Sequence[str],
     schema: str,
     text_col: str = "text",
     keep: Sequence[str] = (),
+    domain: str = r"([^/]*?)(?:\.jsonl?)?(?:\.(?:gz|bz2|zst))?$",
 ) -> DataFrame:
-    """One JSONL source per domain; ``meta`` and other fields are not selected."""
-    frames = [
-        spark.read.schema(schema).json(path).select(*keep, text_col).withColumn("domain", F.lit(d))
-        for d, path in paths.items()
-    ]
-    return _union(frames)
+    """JSONL sources with their ``domain``; ``meta`` and other fields are not selected.
+
+    One scan, however many domains: a path, a glob or several, where the first group of ``domain`` in a file's path
+    (by default its name without endings) names the domain. With a dict, domains are its keys and each
+    path is a file or folder; the longest one that a file lies in names its domain.
+    """
+    places = list(paths.values()) if isinstance(paths, dict) else paths
+    rows = spark.read.schema(schema).json(places)
+    file = F.col("_metadata.file_path")
+    if isinstance(paths, dict):
+        named = sorted(((fs.qualify(spark, path), d) for d, path in paths.items()), key=lambda x: -len(x[0]))
+        # the place of a file as Spark shows it, without the slashes that some schemes repeat
+        shown = F.regexp_replace(F.try_url_decode(F.regexp_replace(file, r"\+", "%2B")), "^file:/+", "file:/")
+        name = F.lit(None).cast("string")
+        for path, d in reversed(named):
+            path = "file:/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
+            name = F.when((shown == path) | shown.startswith(f"{path}/"), F.lit(d)).otherwise(name)
+    else:
+        name = F.regexp_extract(file, domain, 1)
+    return rows.select(*keep, text_col, name.alias("domain"))
 
 
 def read_jsonl_glob(spark: SparkSession, directory: str, prefix: str, schema: str) -> DataFrame:

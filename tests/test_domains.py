@@ -33,6 +33,12 @@ def test_strip_markup_dialects(spark):
     assert "\\" not in row.t_txt and "x" not in row.t_txt.split()
 
 
+def test_latex_keys_and_floats_are_no_text(spark):
+    tex = "see~\\cite[p. 2][x]{k1,k2} now \\eqref{e}.\n\\begin{figure}[h]\n\\caption{Body}\n\\end{figure}\n\\label{sec:a}end"
+    row = strip_markup(spark.createDataFrame([(tex,)], "t string"), "t", "latex", "txt").first()
+    assert row.txt.split() == ["see", "now.", "end"]
+
+
 def test_nested_filter_pushed_to_scan(spark, tmp_dir):
     df = spark.createDataFrame([(1, ("a",)), (2, ("b",))], "id long, meta struct<set_name:string>")
     df.write.parquet(f"{tmp_dir}/n")

@@ -54,6 +54,9 @@ def test_epoch_batches_and_schedule(spark):
     steps = sorted(r.step for r in batch_schedule(epoch_batches(df, "k", 4, epochs, 9, 20), 7, k)
                    .select("step").distinct().collect())
     assert steps == list(range(7))
+    cut = epoch_batches(df, "k", 4, epochs, 9, 20, num_steps=7)
+    whole = epoch_batches(df, "k", 4, epochs, 9, 20).where("epoch * 3 + batch < 7")
+    assert sorted(cut.collect()) == sorted(whole.select(*cut.columns).collect()) and cut.count() == 24
     # batch size capped at ceil(n_total / 2)
     small = epoch_batches(df, "k", 512, 1, 9, n_total=10)
     assert small.agg(F.max("batch")).first()[0] == 1

@@ -8,7 +8,7 @@ import pytest
 from conftest import tok_frame
 from corpusflow.operators.mixing import rebase
 from corpusflow.operators.packing import pack_blocks
-from corpusflow.sources.readers import read_archives, read_token_bin, read_year_partitions
+from corpusflow.sources.readers import read_archives, read_jsonl_corpus, read_token_bin, read_year_partitions
 from corpusflow.sources.sinks import materialise_once, write_token_bin
 
 
@@ -98,3 +98,14 @@ def test_archives_are_read_in_bounded_memory(tmp_dir, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(names) == sorted([f"{i}.txt" for i in range(200)] * 2) and peak < 15_000_000
+
+
+def test_jsonl_domains_in_one_scan(spark, tmp_dir):
+    for name, ids in (("a", [1, 2]), ("a b", [3]), ("c+d", [4])):
+        spark.createDataFrame([(i, "x") for i in ids], "id long, text string").write.json(f"{tmp_dir}/one-scan/{name}")
+    paths = {"first": f"{tmp_dir}/one-scan/a", "second": f"{tmp_dir}/one-scan/a b", "third": f"{tmp_dir}/one-scan/c+d"}
+    corpus = read_jsonl_corpus(spark, paths, "id long, text string", keep=["id"])
+    assert sorted((r.id, r.domain) for r in corpus.collect()) == [(1, "first"), (2, "first"), (3, "second"), (4, "third")]
+    assert corpus._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    by_folder = read_jsonl_corpus(spark, f"{tmp_dir}/one-scan/*", "id long, text string", keep=["id"], domain="one-scan/([^/]*)/")
+    assert {r.id: r.domain for r in by_folder.collect()}[1] == "a"

@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from corpusflow.operators import splits
 from corpusflow.operators.splits import (
     split_fraction,
     split_nested_halves,
@@ -40,6 +41,28 @@ def test_nested_halves(spark):
     assert out.select("doc_id").distinct().count() == 101
 
 
+def test_nested_cuts_come_from_one_count(spark, tmp_dir):
+    """Both cuts equal those of one threshold after the other, and texts are in no exchange."""
+    n = 3000
+    rows = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN NULL ELSE 'b' END AS domain", "repeat('x', 50) AS text")
+    rows.write.parquet(f"{tmp_dir}/nested")
+    rows = spark.read.parquet(f"{tmp_dir}/nested")
+    for share in (0.0, 0.05, 0.5, 1.0):
+        for parts in ([], ["domain"]):
+            both = split_nested_halves(rows, "doc_id", share, 7, parts)
+            single = splits._one_by_one(rows, "doc_id", share, 7, parts, "split")
+            assert sorted(both.select("doc_id", "split").collect()) == sorted(single.select("doc_id", "split").collect())
+            plan = both._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_nested_halves_of_repeated_ids(spark):
+    df = spark.createDataFrame([(None,)] * 60 + [(5,)] * 41, "doc_id long")
+    counts = dict(split_nested_halves(df, "doc_id", 0.1, 7).groupBy("split").count().collect())
+    assert counts == {"val": 11, "train2": 45, "train1": 45}
+    assert split_nested_halves(df.where("doc_id > 9"), "doc_id", 0.1, 7).count() == 0
+
+
 def test_round_robin_ten_rows(spark):
     df = spark.range(10).withColumnRenamed("id", "doc_id")
     out = {r.doc_id: r.split for r in split_round_robin(df, ["doc_id"]).collect()}
