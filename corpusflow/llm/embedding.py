@@ -3,8 +3,8 @@
 Each half of the unit vectors has a codebook of its own; a pair of codes is a cell of the product grid.
 Every vector visits the cells nearest to it in the order of the sum of its squared distances to the two
 codes (the multi-sequence order), as many as a sample of queries, compared with all rows, needs for
-the target recall. Where too few queries have links to tell, every vector visits all cells that can hold
-a link of it. What it finds there is verified in double precision.
+the target recall. Where too few queries have links to tell, the sample gets partners made for it, at the
+threshold itself, and these set the visits. What a vector finds there is verified in double precision.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ MAX_QUERY_ROWS = 32_768  # and in all, where few of them have links
 QUERY_BLOCK = 512  # queries compared at a time
 ENOUGH = 64  # groups of queries with links, from which the visits are set
 CELL_ROWS = 64  # wanted mean rows of a cell
-MAX_CODES = 128
+MAX_CODES = 2048  # of a half, which is four million cells; codes grow with the root of the rows up to there
 MEMBERS, PROBES = 256, 512  # rows of a cell that meet in a task
 ROUNDS = 12
-WHOLE_CELL_ROWS = 4096  # wanted mean rows of a cell, and rows that meet, where all possible cells are visited
-SLACK, ROUNDING = 1e-9, 1e-12  # of squared distances to planes and to codes
+WHOLE_CELL_ROWS = 4096  # wanted mean rows of a cell, and rows that meet, where made partners set the visits
+MADE_QUERIES = 4096  # vectors that partners are made for
+BLOCK_CELLS = 2_000_000  # distances held at a time
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -95,39 +96,42 @@ class MultiIndex:
         The pair of the i-th and j-th nearest codes has (i+1)(j+1) - 1 pairs before it, so only pairs
         with (i+1)(j+1) <= n can be among the first n.
         """
-        a, b = self.distances(x)
-        n = min(n, a.shape[1] * b.shape[1])
-        ia, ib = np.argsort(a, axis=1)[:, :n], np.argsort(b, axis=1)[:, :n]
-        da, db = np.take_along_axis(a, ia, axis=1), np.take_along_axis(b, ib, axis=1)
-        pairs = [(i, j) for i in range(ia.shape[1]) for j in range(min(ib.shape[1], n // (i + 1)))]
+        n = min(n, len(self.left) * len(self.right))
+        most = [min(n, len(self.left)), min(n, len(self.right))]
+        pairs = [(i, j) for i in range(most[0]) for j in range(min(most[1], n // (i + 1)))]
         i, j = (np.array(p) for p in zip(*pairs))
-        nearest = np.argsort(da[:, i] + db[:, j], axis=1, kind="stable")[:, :n]
-        return np.take_along_axis(ia, i[nearest], axis=1) * len(self.right) + np.take_along_axis(ib, j[nearest], axis=1)
-
-    def possible(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For every row the cells that can hold a vector within ``reach``, a squared distance; its own first.
+        step = max(1, BLOCK_CELLS // max(len(pairs), len(self.left), len(self.right)))
+        out = np.empty((len(x), n), dtype=np.int64)
+        for at in range(0, len(x), step):
+            a, b = self.distances(x[at : at + step])
+            ia, ib = np.argsort(a, axis=1)[:, : most[0]], np.argsort(b, axis=1)[:, : most[1]]
+            da, db = np.take_along_axis(a, ia, axis=1), np.take_along_axis(b, ib, axis=1)
+            nearest = np.argsort(da[:, i] + db[:, j], axis=1, kind="stable")[:, :n]
+            left, right = np.take_along_axis(ia, i[nearest], axis=1), np.take_along_axis(ib, j[nearest], axis=1)
+            out[at : at + step] = left * len(self.right) + right
+        return out
 
-        Points nearer to code i than to the row's nearest code m lie beyond the plane between the two,
-        (d_i - d_m) / (2 |c_i - c_m|) away; what a pair of codes is away adds up over the halves.
-        """
-        near = []
-        for d, c in zip(self.distances(x), (self.left, self.right)):
-            m = d.argmin(axis=1)
-            apart = 2 * np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-300))
-            near.append((np.maximum(d - d.min(axis=1, keepdims=True) - ROUNDING, 0) / apart[m]) ** 2)
-        own = self.cells(x)
-        out = []
-        for a, b, first in zip(*near, own):
-            cells = np.flatnonzero((a[:, None] + b[None, :]).ravel() <= reach + SLACK)
-            out.append(np.concatenate([[first], cells[cells != first]]))
+    def places(self, x: np.ndarray, partners: np.ndarray) -> np.ndarray:
+        """At which visit (from 0) every row comes to the cell of its partner."""
+        cells = self.cells(partners)
+        step = max(1, BLOCK_CELLS // (len(self.left) * len(self.right)))
+        out = np.empty(len(x), dtype=np.int64)
+        for at in range(0, len(x), step):
+            a, b = self.distances(x[at : at + step])
+            sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
+            own = np.take_along_axis(sums, cells[at : at + step, None], axis=1)
+            out[at : at + step] = (sums <= own).sum(axis=1) - 1
         return out
 
 
 def _codebook(x: np.ndarray, k: int) -> np.ndarray:
     """k-means from evenly spaced rows of a hash-ordered sample."""
     codes = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    step = max(1, BLOCK_CELLS // k)
     for _ in range(ROUNDS):
-        near = ((codes * codes).sum(axis=1)[None, :] - 2 * x @ codes.T).argmin(axis=1)
+        square = (codes * codes).sum(axis=1)[None, :]
+        blocks = range(0, len(x), step)
+        near = np.concatenate([(square - 2 * x[at : at + step] @ codes.T).argmin(axis=1) for at in blocks])
         sums = np.zeros_like(codes)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -242,29 +246,43 @@ def visits_needed(
     return need, min(1.0, reached / n_groups)
 
 
-def _visited(vectors: DataFrame, index: MultiIndex, visits: int | None, threshold: float) -> DataFrame:
-    """``vectors`` with ``near``: the cells that each visits, its own first; without ``visits`` all that can hold a link."""
+def made_partners(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two partners of every unit row at just the ``threshold``: towards no row in particular, and towards another row."""
+    rng = np.random.default_rng(len(x))
+    out = []
+    for towards in (rng.normal(size=x.shape), np.roll(x, 1, axis=0) + 1e-6 * rng.normal(size=x.shape)):
+        aside = towards - (towards * x).sum(axis=1)[:, None] * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+        out.append(threshold * x + np.sqrt(1 - threshold**2) * aside)
+    return out[0], out[1]
+
+
+def visits_of_made(vectors: DataFrame, rows: int, index: MultiIndex, threshold: float, target: float) -> tuple[int, float]:
+    """(visits per vector, recall with them) for partners made at the threshold, the less found kind of the two."""
+    x = _matrix(_least_hashed(vectors, "made", min(rows, MADE_QUERIES), rows)["v"].combine_chunks())
+    found = [np.sort(index.places(x, partners)) for partners in made_partners(x, threshold)]
+    need = max(int(p[min(len(p) - 1, int(np.ceil(target * len(p))))]) for p in found) + 1
+    return need, min(float((p < need).mean()) for p in found)
+
+
+def _visited(vectors: DataFrame, index: MultiIndex, visits: int) -> DataFrame:
+    """``vectors`` with ``near``: the cells that each visits, its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
-                near = list(index.visits(x, visits)) if visits else index.possible(x, 2 - 2 * threshold)
-                at = pa.array(np.cumsum([0, *map(len, near)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(near).astype(np.int64)))
+                near = index.visits(_matrix(batch.column(1)), visits)
+                at = pa.array((np.arange(len(near) + 1) * near.shape[1]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(at, pa.array(near.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "copies", "near"])
 
     return vectors.select("id", "v", "copies").mapInArrow(run, "id long, v array<double>, copies long, near array<long>")
 
 
-def _dealt(visited: DataFrame, whole: bool) -> DataFrame:
-    """A member row of each vector in its cell and a probe row in every cell that it visits.
-
-    Where all possible cells are visited (``whole``), both sides find a link, and members need no list.
-    """
+def _dealt(visited: DataFrame) -> DataFrame:
+    """A member row of each vector in its cell and a probe row in every cell that it visits."""
     own = F.element_at("near", 1)
-    near = F.array(own) if whole else F.col("near")
-    members = visited.select(own.alias("cell"), F.lit(0).alias("probe"), "id", "v", "copies", near.alias("near"))
+    members = visited.select(own.alias("cell"), F.lit(0).alias("probe"), "id", "v", "copies", "near")
     probes = visited.select(F.explode("near").alias("cell"), F.lit(1).alias("probe"), "id", "v", "copies", F.array(own).alias("near"))
     return members.union(probes)
 
@@ -295,7 +313,7 @@ def _spread(rows: DataFrame, in_block: tuple[int, int]) -> DataFrame:
     )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, whole: bool) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links of each block: (a, b, null) edges and (a, null, n) additions to a's number of links."""
     key, members = None, None
 
@@ -305,8 +323,8 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, whole: bool) ->
         fine = qids[at] != ids[mt]
         at, mt = at[fine], mt[fine]
         # Found from the other side as well: counted only where the smaller id probes.
-        twice = whole or (near[mt] == qcell[at][:, None]).any(axis=1)
-        fine = np.logical_not(twice) | (qids[at] < ids[mt])
+        twice = (near[mt] == qcell[at][:, None]).any(axis=1)
+        fine = ~twice | (qids[at] < ids[mt])
         at, mt = at[fine], mt[fine]
         if not len(at):
             return None
@@ -370,15 +388,17 @@ def _links(reps: DataFrame, n: int, threshold: float, target_recall: float, repo
     """(a, b, n) of ``_verify`` for ``n`` different vectors of one length."""
     index = fit_index(reps, n)
     visits, recall = visits_needed(reps, n, index, threshold, target_recall)
-    whole = visits is None
-    if whole:
-        index = fit_index(reps, n, cell_rows=WHOLE_CELL_ROWS)
+    in_block = MEMBERS, PROBES
+    if visits is None:
+        # Links are rare: fewer, larger cells, so that a vector is not copied into hundreds of them.
+        index, in_block = fit_index(reps, n, cell_rows=WHOLE_CELL_ROWS), (WHOLE_CELL_ROWS, WHOLE_CELL_ROWS)
+        visits, recall = visits_of_made(reps, n, index, threshold, target_recall)
     if report is not None:
         report |= {"visits": visits, "recall": recall, "codes": len(index.left)}
-    visited = materialise(_visited(reps, index, visits, threshold), "vector-visits")
-    blocks = _spread(_dealt(visited, whole), (WHOLE_CELL_ROWS, WHOLE_CELL_ROWS) if whole else (MEMBERS, PROBES))
+    visited = materialise(_visited(reps, index, visits), "vector-visits")
+    blocks = _spread(_dealt(visited), in_block)
     blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "probe")
-    return materialise(blocks.mapInArrow(lambda b: _verify(b, threshold, whole), "a long, b long, n long"), "vector-links")
+    return materialise(blocks.mapInArrow(lambda b: _verify(b, threshold), "a long, b long, n long"), "vector-links")
 
 
 def near_vectors(
@@ -395,8 +415,9 @@ def near_vectors(
     each other. Null, zero and non-finite vectors link with nothing and stand alone. Ids should be
     unique (of repeated ids, all rows get the most links and the least component); rows with a null id stand
     alone with null component. Vectors of different lengths do not link; every length has an index of its
-    own, one after the other. ``report`` gets the visits per vector and the recall that the sample of
-    queries measured for the most frequent length, both None where all possible cells are visited.
+    own, one after the other; so does the number of codes, which grows with the root of the vectors. A vector of any
+    length is held whole. ``report`` gets the visits per vector and the recall that the sample of
+    queries (or of made partners, where links are rare) measured for the most frequent length.
     """
     spark = rows.sparkSession
     ids = materialise(usable_vectors(rows.where(F.col(id_col).isNotNull()), id_col, vector_col), "vectors")

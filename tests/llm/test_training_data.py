@@ -561,15 +561,33 @@ def test_large_group_does_not_set_the_visits(spark, monkeypatch):
     assert loose.sum() > 50 and reached >= 0.99 and recall >= 0.99
 
 
-def test_possible_cells_lose_no_near_vector():
+def test_made_partners_set_the_visits_of_rare_links(spark):
+    """A thousandth of the vectors is linked, at hardly the threshold: the visits find them in a small part of the cells."""
     rng = np.random.default_rng(10)
-    x = rng.normal(size=(300, 8))
-    x[150:] = x[:150] + rng.normal(size=(150, 8)) * 0.15
+    x = rng.normal(size=(30_000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = embedding.MultiIndex(embedding._codebook(x[:, :4], 9), embedding._codebook(x[:, 4:], 7))
-    cells, near = index.cells(x), index.possible(x, 0.2)
-    assert [c[0] for c in near] == cells.tolist() and all(len(set(c)) == len(c) for c in near)
-    assert all(cells[b] in near[a] for a, b in np.argwhere(x @ x.T >= 0.9)) and min(map(len, near)) < 63
+    x[:300] = embedding.made_partners(x[300:600], 0.905)[0]
+    index = embedding.MultiIndex(embedding._codebook(x[:9000, :8], 48), embedding._codebook(x[:9000, 8:], 48))
+    _, reps = _reps(spark, x[:6000])
+    visits, recall = embedding.visits_of_made(reps, 6000, index, 0.9, 0.999)
+    near, cells = index.visits(x[:300], visits), index.cells(x[300:600])
+    assert recall >= 0.999 and (near == cells[:, None]).any(axis=1).mean() >= 0.99
+    assert visits < 0.2 * 48 * 48
+    assert (index.places(x[:300], x[300:600]) < visits).tolist() == (near == cells[:, None]).any(axis=1).tolist()
+
+
+def test_rare_links_of_many_vectors(spark, monkeypatch):
+    """Made partners set the visits of the whole operator; every vector has one partner or none."""
+    monkeypatch.setattr(embedding, "MAX_QUERY_ROWS", 512)
+    monkeypatch.setattr(embedding, "WHOLE_CELL_ROWS", 100)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:24] = embedding.made_partners(x[100:124], 0.91)[1]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    report = {}
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_vectors(rows, report=report).collect()}
+    assert sum(got.values()) >= 0.99 * 48 and report["recall"] >= 0.99 and report["visits"] < report["codes"] ** 2
 
 
 def test_visits_are_the_nearest_cells():
