@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.columns import passing
 from corpusflow.llm.sample import least_hashed, one_row_an_id
-from corpusflow.llm.textbytes import flat, slices, tidy
+from corpusflow.llm.textbytes import flat, pieces, slices, tidy
 from corpusflow.session import materialise
 
 FEATURES = 4096
@@ -32,6 +32,7 @@ REJECT_PART = 0.5
 FULL_LETTERS = 100
 UNKNOWN = "und"
 SLICE_BYTES = 1_000_000
+SLICE_ROWS = 512  # texts counted at a time: a row of FEATURES counts each
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature) of every trigram around a letter, and letters per text."""
+    """(text, feature, place) of every trigram around a letter; places count the characters of all texts."""
     data, offsets = flat(pc.utf8_lower(texts))
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -64,12 +65,26 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     right[np.isin(at + 1, before[1:])] = 0
     key = (left * np.uint64(1_000_003) + codes[at]) * np.uint64(1_000_003) + right
     key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURES.bit_length() + 1)
-    return text, key.astype(np.int64), np.bincount(text, minlength=len(texts))
+    return text, key.astype(np.int64), at
+
+
+def _long_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``counts`` of one text, a part of it at a time; what stands around a part is seen but not counted."""
+    table, letters = np.zeros((1, FEATURES), dtype=np.int64), 0
+    for part, before, after in pieces(text, SLICE_BYTES):
+        _, key, at = trigrams(pa.array([part]))
+        own = key[(at >= before) & (at < len(part) - after)]
+        table[0] += np.bincount(own, minlength=FEATURES)
+        letters += len(own)
+    return table, np.array([letters])
 
 
 def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(texts x features) counts, and letters per text."""
-    text, key, letters = trigrams(texts)
+    if len(texts) == 1 and len(text := texts[0].as_py() or "") > SLICE_BYTES:
+        return _long_counts(text)
+    text, key, _ = trigrams(texts)
+    letters = np.bincount(text, minlength=len(texts))
     table = np.bincount(text * FEATURES + key, minlength=len(texts) * FEATURES)
     return table.reshape(len(texts), FEATURES), letters
 
@@ -123,7 +138,7 @@ def fit(
             ids = batch.column(0).to_pylist()
             batch = batch.take(pa.array([i for i, x in enumerate(ids) if not (x in seen or seen.add(x))], pa.int64()))
             ids, langs, texts = batch.columns
-            for a, b in slices(texts, SLICE_BYTES):
+            for a, b in slices(texts, SLICE_BYTES, SLICE_ROWS):
                 table, letters = counts(texts.slice(a, b - a).fill_null(""))
                 rows = [i for i in range(b - a) if letters[i]]
                 out = [(langs[a + i].as_py(), np.flatnonzero(table[i])) for i in rows]
@@ -166,7 +181,7 @@ def fit(
 def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, best cosine, rejected) of every text; texts without a letter are unknown and rejected."""
     langs, scores, rejected = [], [], []
-    for a, b in slices(texts, SLICE_BYTES):
+    for a, b in slices(texts, SLICE_BYTES, SLICE_ROWS):
         table, letters = counts(texts.slice(a, b - a).fill_null(""))
         some = (letters > 0) & (len(model.langs) > 0)
         sims = vectors(table, model.idf) @ model.centroids.T if len(model.langs) else np.zeros((b - a, 1))
@@ -182,7 +197,7 @@ def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """(id, ``lang_pred``, ``score``, ``rejected``) of every row: language of the nearest centroid and its cosine.
 
     Null texts and texts without a letter get ``und`` with score 0. Repeated rows are scored alike, null
-    ids pass through, other columns are ignored. Whole texts count, a few MB of them at a time.
+    ids pass through, other columns are ignored. Whole texts count, a few hundred of them or a part of a long one at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,12 +26,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``max_bytes`` bytes; a longer text is a range of its own."""
+def slices(texts: pa.Array, max_bytes: int = 1_000_000, max_rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``max_bytes`` bytes (and ``max_rows`` rows); a longer text is a range of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and held + n > max_bytes:
+        if i > start and (held + n > max_bytes or i - start == max_rows):
             yield start, i
             start, held = i, 0
         held += n
@@ -39,6 +39,13 @@ def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
+def pieces(text: str, max_chars: int) -> Iterator[tuple[str, int, int]]:
+    """Parts of a text with a character more on either side where there is one: (part, more before, more after)."""
+    for at in range(0, len(text), max_chars):
+        before, after = int(at > 0), int(at + max_chars < len(text))
+        yield text[at - before : at + max_chars + after], before, after
+
+
 def tidy(run):
     """``run`` over Arrow batches; a worker goes on to other tasks, so Arrow's free memory is given back at the end."""
 

@@ -608,6 +608,27 @@ def test_language_on_held_out_documents(spark):
     assert (held.lang_pred == held.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_language_counts_of_long_and_many_texts(monkeypatch):
+    """Parts of a long text add up to the whole, also without spaces; memory follows neither length nor rows."""
+    import tracemalloc
+
+    mixed = "Straße über ÀÉ日本語の文 42x, İstanbul\n" * 40
+    texts = [mixed, "ab" * 700, "é" * 1001, "日本" * 333 + " a", "x " * 600]
+    whole = [langid.counts(pa.array([t])) for t in texts]
+    monkeypatch.setattr(langid, "SLICE_BYTES", 97)
+    for t, (table, letters) in zip(texts, whole):
+        got, n = langid.counts(pa.array([t]))
+        assert (got == table).all() and n == letters
+    monkeypatch.undo()
+    model = langid.LanguageModel(np.ones(langid.FEATURES, np.float32), np.eye(4, langid.FEATURES, dtype=np.float32), tuple("abcd"), 0.0)
+    for column in (pa.array(["a", "", None, "bc d"] * 2500), pa.array(["some words here " * 1_200_000])):
+        tracemalloc.start()
+        assert len(langid.predict(column, model)[0]) == len(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300_000_000
+
+
 def test_language_odd(spark, odd, empty, documents):
     model = langid.fit(documents, F.lit(True))
     by = {r["doc_id"]: r for r in langid.classify(odd, model).collect()}
