@@ -32,6 +32,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
+#: A line is boilerplate of a source above this part of its pages, on this many pages at least. Higher than the operator's
+#: own, as near copies stand side by side until the next stage and must not lose their text before it.
+LINE_RATIO, LINE_PAGES = 0.1, 5
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; every document stays.
 
@@ -41,7 +46,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ship_package(spark)
 
     def run(rows: DataFrame) -> DataFrame:
-        cleaned = drop_boilerplate(rows, "source", "text", count_copies=False)
+        cleaned = drop_boilerplate(rows, "source", "text", LINE_RATIO, LINE_PAGES, count_copies=False)
         if "n_chars" in rows.columns:
             chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
             cleaned = cleaned.withColumn("n_chars", chars.cast(rows.schema["n_chars"].dataType))
