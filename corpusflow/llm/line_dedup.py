@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusflow.llm.columns import passing
 from corpusflow.session import materialise
 
-RATIO = 0.1
-MIN_PAGES = 5
+RATIO = 0.02
+MIN_PAGES = 2  # a line on one page is not repeated, however small the host
 
 
 def _lines(text: str) -> Column:
@@ -49,7 +49,7 @@ def drop_boilerplate(
     """``pages`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_dropped``.
 
     A line is boilerplate on a host if it stands on at least ``min_pages`` of its pages and on more
-    than ``ratio`` of them. Lines are \\n-separated and compared exactly; blank lines never count and
+    than ``ratio`` of them; by default on two, as a line that one page holds is not repeated. Lines are \\n-separated and compared exactly; blank lines never count and
     stay. Null hosts form one host; pages without text (null) count as pages and stay null with 0
     lines; a page that loses all its lines stays with an empty text. Repeated rows are pages of their
     own; without ``count_copies`` pages of a host with the same text count as one, so that copies do not

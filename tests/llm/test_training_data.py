@@ -398,7 +398,7 @@ def test_toxicity_odd(spark, odd, empty):
 
 def test_boilerplate_lines(spark):
     rows = [(i, f"own {i}\nshared by host\n\nshared by host\nrare {i % 20}", "h" if i < 60 else None) for i in range(64)]
-    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.1).collect()
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.1, min_pages=5).collect()
     for r in got:
         if r["source"] == "h":
             assert r["text"] == f"own {r['doc_id']}\n\nrare {r['doc_id'] % 20}" and (r["n_lines"], r["n_dropped"]) == (5, 2)
@@ -406,6 +406,23 @@ def test_boilerplate_lines(spark):
             assert "shared by host" in r["text"] and r["n_dropped"] == 0
 
 
+def test_boilerplate_by_brute_force(spark, documents):
+    """The operator's own ratio, also on hosts of a few pages: every line repeated on over a fiftieth of them goes."""
+    few = [(10_000_000 + i, f"same on both\nown {i}", "en", "few", 1) for i in range(2)] + [(20_000_000, "alone\nalone", "en", "one", 1)]
+    docs = documents.select(*[f.split()[0] for f in SCHEMA.split(", ")]).union(spark.createDataFrame(few, SCHEMA))
+    rows = docs.collect()
+    pages = collections.Counter(r["source"] for r in rows)
+    on = collections.Counter(key for r in rows for key in {(r["source"], x) for x in (r["text"] or "").split("\n") if x.strip(" ")})
+    drop = {k for k, n in on.items() if n >= 2 and n > line_dedup.RATIO * pages[k[0]]}
+    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(docs).collect()}
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        kept = [x for x in lines if (r["source"], x) not in drop]
+        if r["text"] is not None:
+            assert (got[r["doc_id"]]["text"], got[r["doc_id"]]["n_dropped"]) == ("\n".join(kept), len(lines) - len(kept))
+    assert got[10_000_001]["text"] == "own 1" and got[20_000_000]["text"] == "alone\nalone"
+
+
 def test_pipeline_keeps_a_document_of_many_copies(spark):
     """Copies over a tenth of a source are left to the near-dedup stage, which keeps one with its text."""
     copied = "\n".join(f"copied line {i} with some words of its own" for i in range(8))
@@ -754,7 +771,7 @@ def test_pipeline_by_brute_force(spark, documents):
             pages, on = collections.Counter(r["source"] for r in before), collections.Counter()
             for r in before:
                 on.update({(r["source"], x) for x in r["text"].split("\n") if x.strip(" ")})
-            drop = {k for k, n in on.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * pages[k[0]]}
+            drop = {k for k, n in on.items() if n >= corpus_pipeline.LINE_PAGES and n > corpus_pipeline.LINE_RATIO * pages[k[0]]}
             want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop) for r in before}
             assert {r["doc_id"]: r["text"] for r in rows} == want
             assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] != next(b["text"] for b in before if b["doc_id"] == r["doc_id"]))
