@@ -46,3 +46,18 @@ def test_vocab_with_merges(spark):
     v = Vocab("merged", ranks, special=(("<|endoftext|>", 257),))
     df = spark.createDataFrame([(0, "abab")], "doc_id long, text string")
     assert tokenize_bpe(df, vocab=v).first().ids == [256, 256, 257]
+
+
+def test_kernels_answer_a_large_batch_in_parts():
+    import pyarrow as pa
+
+    from corpusflow.functions.arrow import char_ids_batch, ids_md5, ids_stats, row_steps
+
+    texts = pa.array(["a" * 700_000, None, "b" * 700_000, "", "c" * 3_000_000])
+    parts = list(char_ids_batch.func(iter([texts])))
+    assert len(parts) == 3 and [len(x) for p in parts for x in p.to_pylist()] == [700_000, 0, 700_000, 0, 3_000_000]
+    ids = pa.concat_arrays(parts)
+    one = [ids_stats.func(ids.slice(i, 1)).to_pylist()[0] for i in range(5)]
+    assert ids_stats.func(ids).to_pylist() == one and ids_stats.func(ids.slice(0, 0)).to_pylist() == []
+    assert ids_md5.func(ids).to_pylist() == [ids_md5.func(ids.slice(i, 1)).to_pylist()[0] for i in range(5)]
+    assert list(row_steps([0, 4, 4, 9, 10], 5)) == [(0, 2), (2, 3), (3, 4)] and list(row_steps([0])) == []
