@@ -68,3 +68,9 @@ def test_an_incomplete_store_is_built_again(spark, table, tmp_path):
     for _ in range(2):
         store = block_store_once(lambda: built.append(1) or table, path, spark, L)
     assert built == [1] and store.blocks().count() == table.count()
+
+
+def test_a_store_written_in_order_holds_and_gives_the_same(spark, table, store, tmp_path):
+    there = write_block_store(table, str(tmp_path / "s"), L, blocks_per_file=8, in_order=True)
+    for a, b in ((there.blocks(), store.blocks()), (there.lengths(), store.lengths()), (sample_windows(there, L, 5, 16, 9), sample_windows(store, L, 5, 16, 9))):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))

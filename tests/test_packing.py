@@ -78,3 +78,40 @@ def test_local_cut_equals_exploded(spark):
         a = pack_blocks(df, 16, ["split", "domain"], ["doc_id"], tokens_per_bucket=tpb)
         b = pack_blocks_exploded(df, 16, ["split", "domain"], ["doc_id"])
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_packed_ids_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusflow.functions.arrow import joined_ids, pack, packed_ids, unpack, unpacked_ids
+
+    rows = [[], [1, 255], [0], [256, 65535], [], [65536, -1, 2**31 - 1]]
+    lists = pa.array(rows, pa.list_(pa.int32()))
+    packed = pa.concat_arrays([packed_ids.func(lists.slice(i, 1)) for i in range(len(rows))])  # a width each
+    assert [len(x) for x in packed.to_pylist()] == [1, 3, 2, 5, 1, 13]
+    for p in (packed, packed_ids.func(lists)):
+        assert [x for part in unpacked_ids.func(iter([p.slice(1)])) for x in part.to_pylist()] == rows[1:]
+    nested = pa.ListArray.from_arrays(pa.array([0, 2, 2, 6], pa.int32()), packed)
+    assert [x for part in joined_ids.func(iter([nested])) for x in part.to_pylist()] == [[1, 255], [], [0, 256, 65535, 65536, -1, 2**31 - 1]]
+    vals, off = unpack(pack(np.zeros(0, np.int32), np.zeros(1, np.int64)))
+    assert len(vals) == 0 and off.tolist() == [0]
+
+
+def test_tasks_follow_the_tokens(spark):
+    from corpusflow.session import TASK_TOKENS, dealt, tasks_for
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, None) == tasks_for(spark, TASK_TOKENS) == n and tasks_for(spark, 100 * TASK_TOKENS + 1) == 101
+    df = spark.range(10)
+    assert dealt(df, n, "id") is df and dealt(df, n + 1, "id").rdd.getNumPartitions() == n + 1
+
+
+def test_pack_blocks_in_more_tasks_than_partitions(spark, monkeypatch):
+    from corpusflow import session
+
+    rows = [("train", d, i, [(i * 31 + j) % 300 for j in range(i % 90)]) for d in ("a", None) for i in range(120)]
+    want = pack_blocks(tok_frame(spark, rows), 16, ["split", "domain"], ["doc_id"], tokens_per_bucket=100).collect()
+    monkeypatch.setattr(session, "TASK_TOKENS", 500)
+    got = pack_blocks(tok_frame(spark, rows), 16, ["split", "domain"], ["doc_id"], tokens_per_bucket=100)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
