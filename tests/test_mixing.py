@@ -1,5 +1,8 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+
 
 from conftest import tok_frame
 from corpusflow.operators.mixing import (
@@ -123,3 +126,25 @@ def test_draws_from_another_split(spark):
     assert {b.split for b in noise} == {"train", "val"} and set(_flat(noise, "noise")) == {1}
     mix = mix_by_rate(blocks, L, sizes.drop("domain"), {"a": 1.0}, 10, 2, source_split="train").collect()
     assert Counter(x for b in mix for x in b.ids) == Counter({1: 40})
+
+
+def test_many_spans_and_intervals_meet_their_blocks_by_shuffle(spark, monkeypatch):
+    from corpusflow import session
+    from corpusflow.operators import mixing, views
+    from corpusflow.operators.packing import pack_blocks
+
+    rows = [("train", d, i, [(i * 7 + j) % 400 for j in range(40 + i % 9)]) for d in ("a", None, "b") for i in range(20)]
+    blocks = pack_blocks(tok_frame(spark, rows), 16, ["split", "domain"], ["doc_id"]).cache()
+    sizes = mixing.stream_lengths(blocks).select("split", "domain", F.col("stream_len").alias("n"))
+    build = {
+        "spans": lambda: mixing.resample_spans(blocks, 16, sizes, 10, 3),
+        "shuffle": lambda: mixing.shuffle_blocks(blocks, 16, 5),
+        "concat": lambda: mixing.concat_streams(blocks, 16),
+    }
+    rows_of = lambda df: sorted(map(repr, df.select("split", "domain", "block_id", "ids").collect()))
+    want = {k: rows_of(f()) for k, f in build.items()}
+    assert any("span-draws" in f for f in build["spans"]().inputFiles())  # the planner knows how many there are
+    monkeypatch.setattr(views, "FEW", 0)
+    monkeypatch.setattr(views, "INTERVALS", 0)
+    monkeypatch.setattr(session, "TASK_TOKENS", 200)
+    assert {k: rows_of(f()) for k, f in build.items()} == want
