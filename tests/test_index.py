@@ -74,3 +74,12 @@ def test_head_flag_equals_rank_cut(spark, share):
         ).collect()
         want = {r.id: r.r < math.ceil(share * r.n) for r in ref}
         assert got == want
+
+
+def test_token_ids_pass_packed_and_unchanged(spark):
+    rows = [(g, i, None if i % 5 == 0 else [i * 100] * (i % 4)) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, id long, ids array<int>")
+    got = ordered_index(df, ["id"], ["g"])
+    assert sorted(map(repr, got.select("g", "id", "ids").collect())) == sorted(map(repr, df.collect()))
+    stored = dict(range_buckets(df.withColumn("ids", F.lit(b"\x01")), ["g"], ["id"], None, 1).dtypes)
+    assert stored["ids"] == "binary" and got.where("_idx != id").isEmpty()
