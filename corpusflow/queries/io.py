@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.domains import filter_domain, normalise_domain, strip_markup
 from corpusflow.operators.mixing import rebase
-from corpusflow.operators.packing import block_summary, shard_contiguous
+from corpusflow.operators.packing import block_summary, count_tokens, shard_contiguous
 from corpusflow.operators.splits import split_shuffled
 from corpusflow.plans.catalog import corpus_catalog, documents_corpus, table
 from corpusflow.queries import sql
@@ -144,9 +144,9 @@ def _bin_positions():
 def q_read_token_bin(spark, base):
     root = scratch_path(spark, "token-bin")
     blocks = blocks_of(spark, base)
-    write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS)
-    pieces = read_token_stream(spark, root, piece_len=BLOCK)
-    return block_summary(rebase(pieces.withColumnRenamed("pos", "offset"), BLOCK, PART), PART)
+    manifest = write_token_bin(blocks, root, BLOCK, blocks_per_file=FILE_BLOCKS)
+    pieces = read_token_stream(spark, root, piece_len=BLOCK).withColumnRenamed("pos", "offset")
+    return block_summary(rebase(pieces, BLOCK, PART, count_tokens(manifest)), PART)
 
 
 @register(

@@ -37,10 +37,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from corpusflow.functions.arrow import packed_ids, unpacked_ids
+from corpusflow.session import tasks_for
 from corpusflow.sources import fs
 
 UINT16_MAX = 65535
 PIECE, PARTITION_TOKENS, FILE_TOKENS = 1 << 16, 1 << 23, 1 << 22
+TASK_TOKENS = 1 << 22  # that a task reads of small files
 MANIFEST = "manifest.parquet"
 ENTRY = pa.schema(
     [("split", pa.string()), ("domain", pa.string()), ("first_pos", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.string())]
@@ -69,6 +72,17 @@ class ByteRange(InputPartition):
     n: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[ByteRange]
+
+    @property
+    def n(self) -> int:
+        return sum(r.n for r in self.ranges)
+
+
 class TokenReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -92,8 +106,12 @@ class TokenReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        """Runs of pieces of the files that can hold a wanted position; a piece starts at a multiple of its length or with its file."""
-        out = []
+        """Runs of pieces of the files that can hold a wanted position; a piece starts at a multiple of its length or with its file.
+
+        A task takes as many runs as make up ``TASK_TOKENS``: small files do not cost a task each.
+        """
+        out: list[ByteRanges] = []
+        held = TASK_TOKENS
         for e in read_manifest(self.root).to_pylist():
             if any(e[c] not in values for c, values in self.names.items()):
                 continue
@@ -103,13 +121,20 @@ class TokenReader(DataSourceReader):
             step = max(self.piece, PARTITION_TOKENS // self.piece * self.piece)
             while start < stop:
                 until = min(stop, (start // self.piece) * self.piece + step)
-                out.append(ByteRange(e["split"], e["domain"], e["file"], start, start - first, until - start))
+                if held + until - start > TASK_TOKENS:
+                    out.append(ByteRanges([]))
+                    held = 0
+                out[-1].ranges.append(ByteRange(e["split"], e["domain"], e["file"], start, start - first, until - start))
+                held += until - start
                 start = until
         return out
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, ByteRange):
-            return
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, ByteRanges):
+            for part in partition.ranges:
+                yield self._pieces(part)
+
+    def _pieces(self, partition: ByteRange) -> pa.RecordBatch:
         store, path = fs.resolve(posixpath.join(self.root, partition.file))
         with store.open_input_file(path) as f:
             f.seek(2 * partition.skip)
@@ -121,7 +146,7 @@ class TokenReader(DataSourceReader):
         starts = np.maximum(np.arange(first, pos + len(ids), self.piece, dtype=np.int64), pos)
         cuts = np.append(starts - pos, len(ids))
         n = len(starts)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([partition.split] * n, pa.string()), pa.array([partition.domain] * n, pa.string()), pa.array(starts),
                 pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)),
@@ -232,11 +257,13 @@ def write_token_stream(blocks: DataFrame, path: str, block_len: int, blocks_per_
     """
     spark = blocks.sparkSession
     spark.dataSource.register(TokenStream)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.select("split", "domain", F.floor(F.col("block_id") / blocks_per_file).alias("file_id"), "block_id", "ids")
-    rows = rows.where(F.size("ids") > 0).repartitionByRange(n, "split", "domain", "file_id").sortWithinPartitions("split", "domain", "block_id")
+    n = tasks_for(spark, blocks.count() * block_len)
+    rows = blocks.where(F.size("ids") > 0).select(
+        "split", "domain", F.floor(F.col("block_id") / blocks_per_file).alias("file_id"), "block_id", packed_ids("ids").alias("ids")
+    )
+    rows = rows.repartitionByRange(n, "split", "domain", "file_id").sortWithinPartitions("split", "domain", "block_id")
     root = fs.qualify(spark, path)
-    writer = rows.select("split", "domain", "block_id", "ids").write.format("token_stream").mode("append" if append else "overwrite")
+    writer = rows.select("split", "domain", "block_id", unpacked_ids("ids").alias("ids")).write.format("token_stream").mode("append" if append else "overwrite")
     writer.option("block_len", block_len).option("file_tokens", block_len * blocks_per_file).save(root)
     manifest = spark.read.parquet(posixpath.join(path, MANIFEST))
     return manifest.select(

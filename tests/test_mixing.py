@@ -2,8 +2,6 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-
-
 from conftest import tok_frame
 from corpusflow.operators.mixing import (
     carve_tail,

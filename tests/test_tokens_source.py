@@ -90,3 +90,10 @@ def files(root):
 def test_nothing_to_write_or_read(spark, tmp_dir, blocks):
     assert write_token_stream(blocks.limit(0), f"{tmp_dir}/e", L).count() == 0
     assert read_token_stream(spark, f"{tmp_dir}/e").count() == 0
+
+
+def test_small_files_share_a_task(spark, tmp_dir, blocks):
+    root = f"{tmp_dir}/t"
+    manifest = write_token_stream(blocks, root, L, blocks_per_file=2)
+    assert manifest.count() > 100 and len(TokenReader({"path": root}).partitions()) == 1
+    assert flat(read_token_stream(spark, root)) == stream(blocks)
