@@ -1,6 +1,7 @@
 """Hidden Markov language model: Baum-Welch over the whole corpus, exact likelihoods of whole texts.
 
-Texts become blocks of a few MB with a dictionary of their own, written once. The words of all blocks are counted in
+Texts become blocks of a few MB with a dictionary of their own, written once, compressed and each in a row group of its
+own, so that a task of the JVM holds a few at a time. The words of all blocks are counted in
 a table that grows with the corpus and never leaves Spark. A state emits word classes: a word that makes up 1 / FREQUENT of all
 training tokens (so there are at most FREQUENT of them) is a class of its own, the others share RARE classes by
 their hash; within a class words follow their counts in the corpus, and all unknown words together are one more class.
@@ -38,8 +39,13 @@ PIECE_BYTES, BLOCK_BYTES, BLOCK_PIECES = 1_000_000, 4_000_000, 20_000
 BLOCK_BITS, CODE_BITS = 20, 22
 CHUNK = 128
 
+#: Rows of the word table that a task hands over at a time.
+PLACES_BATCH = 1 << 16
+#: Parquet options that close a row group, and the pages of its columns, after each block.
+ROW_GROUPS = {"parquet.block.size": "1", "parquet.page.size.row.check.min": "1"}
+
 BLOCKS = (
-    "block long, words array<string>, seen array<int>, rare binary, codes binary, starts binary, "
+    "block long, n_words int, words binary, seen binary, rare binary, codes binary, starts binary, "
     "doc array<long>, nth array<int>, last array<boolean>, id array<long>, train array<boolean>"
 )
 
@@ -61,6 +67,37 @@ def cut(data: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
     yield at, len(data)
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    """The bytes of ``data`` compressed, behind their number; integers by place, so that the high bytes come together."""
+    planes = np.ascontiguousarray(data[:, None].view(np.uint8).T)
+    return np.int64(data.nbytes).tobytes() + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def spread(blob, kind) -> np.ndarray:
+    """The array of ``kind`` behind :func:`squeezed`."""
+    n, kind = int(np.frombuffer(blob, np.int64, 1)[0]), np.dtype(kind)
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(memoryview(blob)[8:], n), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+
+def squeezed_words(names: pa.Array) -> bytes:
+    """Words (none null) compressed: their ends, then their bytes."""
+    data, offsets = flat(names)
+    ends = squeezed(offsets[1:].astype("<u4"))
+    return np.int64(len(ends)).tobytes() + ends + squeezed(data)
+
+
+def spread_words(blob) -> pa.Array:
+    """The words behind :func:`squeezed_words`."""
+    blob = memoryview(blob)
+    at = 8 + int(np.frombuffer(blob, np.int64, 1)[0])
+    ends, data = spread(blob[8:at], "<u4"), spread(blob[at:], np.uint8)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def encode(pieces: list[np.ndarray], last: list[bool], train: list[bool]):
     """(words, training tokens of each, codes, starts) of a block's pieces; the last piece of a text has its end."""
     data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
@@ -93,11 +130,10 @@ def _blocks(schema: pa.Schema, piece_bytes: int):
             nonlocal pieces, rows, held, n_blocks
             names, seen, codes, starts = encode(pieces, [r[2] for r in rows], [r[4] for r in rows])
             rare = np.array([crc32(w.encode()) % RARE for w in names.to_pylist()], "<u2")
-            blobs = [x.tobytes() for x in (rare, codes.astype("<u2" if len(names) <= 1 << 16 else "<u4"), starts)]
-            cells = [pa.array([(task << BLOCK_BITS) + n_blocks]), *(pa.ListArray.from_arrays([0, len(x)], x) for x in (names, pa.array(seen, pa.int32())))]
-            cells += [pa.array([x], f.type) for x, f in zip([*blobs, *map(list, zip(*rows))], list(schema)[3:])]
+            blobs = [squeezed(x) for x in (seen.astype("<u4"), rare, codes.astype("<u4"), starts)]
+            cells = [(task << BLOCK_BITS) + n_blocks, len(names), squeezed_words(names), *blobs, *map(list, zip(*rows))]
             n_blocks, pieces, rows, held = n_blocks + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(cells, schema)], schema=schema)
 
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -117,6 +153,18 @@ def _blocks(schema: pa.Schema, piece_bytes: int):
     return tidy(run)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a block: the word, its place (block and code), and training tokens."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            names = spread_words(batch.column("words")[i].as_buffer())
+            seen = pa.array(spread(batch.column("seen")[i].as_buffer(), "<u4"))
+            place = pa.array((batch.column("block")[i].as_py() << CODE_BITS) + np.arange(len(names)))
+            rows = pa.RecordBatch.from_arrays([names, place, seen.cast(pa.int32())], names=["word", "place", "seen"])
+            for at in range(0, len(names), PLACES_BATCH):
+                yield rows.slice(at, PLACES_BATCH)
+
+
 class Chunks:
     """The tokens of some pieces as chunks that are worked side by side, longest first."""
 
@@ -273,10 +321,10 @@ def update(model: Model, counts: np.ndarray) -> Model:
     )
 
 
-def _codes(batch: pa.RecordBatch, i: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+def _codes(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, starts) of a block."""
-    codes = np.frombuffer(batch.column("codes")[i].as_buffer(), "<u2" if n_words <= 1 << 16 else "<u4")
-    return codes.astype(np.int64), np.frombuffer(batch.column("starts")[i].as_buffer(), np.int64)
+    codes = spread(batch.column("codes")[i].as_buffer(), "<u4")
+    return codes.astype(np.int64), spread(batch.column("starts")[i].as_buffer(), np.int64)
 
 
 def _flags(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -293,11 +341,11 @@ def _expect(shared):
                 learn = np.flatnonzero(_flags(batch, "train", i))
                 if not len(learn):
                     continue
-                names = batch.column("words")[i].values
+                names = spread_words(batch.column("words")[i].as_buffer())
                 own = pc.fill_null(pc.index_in(names, value_set=m.frequent), -1).to_numpy(zero_copy_only=False)
-                rare = np.frombuffer(batch.column("rare")[i].as_buffer(), "<u2")
+                rare = spread(batch.column("rare")[i].as_buffer(), "<u2")
                 of = np.where(own >= 0, own, len(m.frequent) + rare.astype(np.int64))
-                codes, starts = _codes(batch, i, len(names))
+                codes, starts = _codes(batch, i)
                 by_class, moves, opened = expected(of[codes], starts, learn, m.pi, m.a, m.emission)
                 total[:, :n] += by_class[:, :n]
                 total[:, n : n + k] += moves
@@ -361,7 +409,7 @@ def _score(shared, schema: pa.Schema):
         m = shared.value
         batch = block.combine_chunks().to_batches()[0]
         n_words = batch.column("n_words")[0].as_py()
-        codes, starts = _codes(batch, 0, n_words)
+        codes, starts = _codes(batch, 0)
         c, at = np.zeros(n_words), np.full(n_words, len(m.mass))
         code_class = np.asarray(counts["code_class"])
         c[code_class >> 32] = np.asarray(counts["c"])
@@ -433,10 +481,8 @@ def score_texts(
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), text_col, F.coalesce(learn, F.lit(False)))
-    blocks = materialise(rows.mapInArrow(_blocks(arrow(BLOCKS), piece_bytes), BLOCKS), "lm-blocks")
-    places = blocks.select("block", F.posexplode(F.arrays_zip("words", "seen")).alias("code", "w"))
-    place = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code"))
-    places = places.select(F.col("w.words").alias("word"), place.alias("place"), "w.seen")
+    blocks = materialise(rows.mapInArrow(_blocks(arrow(BLOCKS), piece_bytes), BLOCKS), "lm-blocks", **ROW_GROUPS)
+    places = blocks.select("block", "words", "seen").mapInArrow(tidy(_places), "word string, place long, seen int")
     # A word has a row per block, the most frequent one too: no word has more than a small part of the rows.
     by_word = Window.partitionBy("word")
     counted = places.select(
@@ -449,7 +495,7 @@ def score_texts(
     counts = with_class(counted.where("c > 0"), frequent).select(
         F.shiftright("place", CODE_BITS).alias("of"), code_class.alias("code_class"), "c"
     )
-    narrow = blocks.select(F.size("words").alias("n_words"), *(c for c in blocks.columns if c not in ("words", "seen", "rare")))
+    narrow = blocks.drop("words", "seen", "rare")
     shared = spark.sparkContext.broadcast(model)
     scored = narrow.groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(_score(shared, arrow(SCORED)), SCORED)
     scored = materialise(scored, "lm-pieces")

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,27 @@ def test_no_training_and_empty_table(spark):
     rows = hmm.score_texts(df, F.lit(False)).collect()
     assert len(rows) == len(ODD) and all(r.train_tokens == 0 and abs(r.score) < 1e-9 and r.base_score == 0 for r in rows)
     assert hmm.score_texts(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_blocks_are_compressed_in_row_groups_of_their_own(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 500)
+    written, real = {}, hmm.materialise
+    monkeypatch.setattr(hmm, "materialise", lambda df, name, **options: written.setdefault(name, real(df, name, **options)))
+    rows = [(i, f"w{i % 7} Both words " * 20, i % 3 > 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").coalesce(2)
+    check_base(rows, hmm.score_texts(df, F.col("learn")).collect())
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written["lm-blocks"].inputFiles()]
+    assert sum(m.num_rows for m in files) > 3 * len(files)
+    assert all(m.num_row_groups == m.num_rows for m in files)
+    assert not any(kind.startswith("array<string>") for _, kind in written["lm-blocks"].dtypes)
+
+
+@pytest.mark.parametrize("words", [[""], ["a", "ü", " "], [str(i) for i in range(70_000)]])
+def test_blocks_squeeze_and_spread(words):
+    names = pa.array(["before", *words]).slice(1)
+    assert hmm.spread_words(hmm.squeezed_words(names)).to_pylist() == words
+    for kind in ("<u2", "<u4", np.int64):
+        values = np.arange(len(words)).astype(kind)
+        assert np.array_equal(hmm.spread(hmm.squeezed(values), kind), values) and not len(hmm.spread(hmm.squeezed(values[:0]), kind))
