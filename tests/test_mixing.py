@@ -146,3 +146,20 @@ def test_many_spans_and_intervals_meet_their_blocks_by_shuffle(spark, monkeypatc
     monkeypatch.setattr(views, "INTERVALS", 0)
     monkeypatch.setattr(session, "TASK_TOKENS", 200)
     assert {k: rows_of(f()) for k, f in build.items()} == want
+
+
+def test_carve_query_moves_as_much_as_the_reference(spark, tmp_dir, monkeypatch):
+    from corpusflow.queries import mixes
+
+    docs = [(s * 100 + i, chr(97 + i) * 1000, f"s{s}") for s in range(2) for i in range(12)]  # one of twelve is validation
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+
+    def held():
+        rows = mixes.q_carve_tail(spark, tmp_dir).groupBy("split", "domain").agg(F.sum("n_tokens")).collect()
+        return {(r[0], r[1]): r[2] for r in rows}
+
+    assert mixes.CARVE == {"train": 558_035, "val": 2000}  # blocks of 512: 2 * 10**9 tokens of seven domains
+    assert held() == {("train", "mix"): 22_000, ("val", "mix"): 2_000}  # shorter than that, so they move whole
+    monkeypatch.setattr(mixes, "CARVE", {"train": 10, "val": 1})
+    kept = {(s, d): n for s, n in (("train", 11_000 - 5_120), ("val", 1_000 - 512)) for d in ("s0", "s1")}
+    assert held() == kept | {("train", "mix"): 10_240, ("val", "mix"): 1_024}
